@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import quality
+from millrace.llm import mixing, quality, sharding
 from millrace.llm.common import documents
 
 
@@ -14,8 +15,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(documents(spark, sf_dir)).drop("rejected_by")
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix(documents(spark, sf_dir))
+    return plan.taken().select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.assign_shards(documents(spark, sf_dir), shards=40)
+    return rows.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_source_mixing": op2_source_mixing,
+    "op4_sharding": op4_sharding,
 }
 
 ORACLE: dict[str, str] = {
@@ -47,4 +60,32 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR n_symbols * 10 > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words
             OR n_dup_lines * 2 > n_lines OR n_upper * 2 > word_chars OR n_letters * 2 < word_chars) AS kept
 FROM b""",
+    "op2_source_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, md5('mix' || coalesce(doc_id::VARCHAR, '')) AS h,
+         md5(coalesce(text, '')) AS text_key,
+         len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         ([5, 2, 1])[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::BIGINT AS weight
+  FROM d GROUP BY source),
+f AS (
+  SELECT *, 2 * source_size AS cap, row_number() OVER (ORDER BY 2 * source_size / weight, source NULLS LAST) AS i FROM s),
+g AS (
+  SELECT *, 3 * sum(source_size) OVER () - 2 * coalesce(sum(cap) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left2,
+         sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS free
+  FROM f),
+e AS (SELECT left2 AS l, free AS w FROM g WHERE left2 * weight <= 2 * cap * free ORDER BY i LIMIT 1),
+t AS (
+  SELECT source, source_size,
+         CASE WHEN left2 * weight <= 2 * cap * free THEN (l * weight)::DOUBLE / (2 * w)::DOUBLE ELSE cap::DOUBLE END AS target
+  FROM g, e),
+p AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS want,
+         (sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, text_key ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       greatest(0, least(upto, want) - (upto - size)) + greatest(0, least(upto, want - source_size) - (upto - size)) AS taken
+FROM p""",
 }
