@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space between words: a blank, and the five control characters from tab to carriage return.
@@ -53,3 +54,27 @@ def forget(df: DataFrame) -> None:
 
 def crc32_bytes(value: Column) -> Column:
     return F.crc32(value.cast("binary"))
+
+
+#: Rows that one range of ``with_neighbours`` holds, about; and the most ranges.
+RANGE_ROWS, MOST_RANGES = 20_000, 20_000
+
+
+def with_neighbours(df: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """Adds ``prev`` and ``next``: structs of ``columns`` of the rows before and after in ``order``.
+
+    Rows are cut into sorted ranges of bounded size, however frequent a key is; windows work inside
+    a range, and a table of each range's first and last row, ``MOST_RANGES`` rows at most, joins
+    the ends. Null at either end of the whole. ``order`` should be unique, or ties are arbitrary.
+    """
+    ranges = min(df.count() // RANGE_ROWS + 1, MOST_RANGES)
+    rows = stored(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    inside, own = W.partitionBy("_range").orderBy(*order), F.struct(*columns)
+    out = rows.withColumn("prev", F.lag(own).over(inside)).withColumn("next", F.lead(own).over(inside))
+    key = F.struct(*order)
+    ends = rows.groupBy("_range").agg(F.min_by(own, key).alias("_first"), F.max_by(own, key).alias("_last"))
+    over = W.orderBy("_range")
+    ends = ends.select("_range", F.lag("_last").over(over).alias("_before"), F.lead("_first").over(over).alias("_after"))
+    out = out.join(F.broadcast(ends), "_range")
+    out = out.withColumn("prev", F.coalesce("prev", "_before")).withColumn("next", F.coalesce("next", "_after"))
+    return out.drop("_range", "_before", "_after")
