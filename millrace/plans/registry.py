@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from millrace.plans import control, documents, events, integrity, parsing, retrieval
+
+_PLANS = (documents, retrieval, control, integrity, events, parsing)
+
+QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+ORACLE: dict = {name: sql for plan in _PLANS for name, sql in plan.ORACLE.items()}
