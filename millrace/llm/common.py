@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,13 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def crc32_bytes(value: Column) -> Column:
     return F.crc32(value.cast("binary"))
 

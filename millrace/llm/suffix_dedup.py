@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_path, stored
+from millrace.llm.common import let_go, shared_path, stored
 
 PERIOD = 31
 #: A perfect difference set, whose differences are all numbers modulo 31.
@@ -40,8 +40,9 @@ CHUNK_BYTES = 4 << 20
 #: Keys that a task sorts at once, about.
 BUCKET_KEYS = 2_000_000
 MOST_TABLE_BUCKETS = 20_000
-#: Bits of a sample key; a chance agreement costs time, not rightness.
-SAMPLE_BITS = 48
+#: A sample key has so many bits more than it takes to number all samples: a chance agreement costs
+#: time, not rightness, so few bits do.
+SPARE_BITS = 12
 
 _FACTORS = np.random.Generator(np.random.PCG64(50)).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -84,20 +85,23 @@ def member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(at, len(of) - 1)] == keys
 
 
-def later_copies(keys: np.ndarray, owners: np.ndarray, every: bool) -> np.ndarray:
-    """Which keys a smaller owner has too; with ``every``, which another owner has.
-
-    Owners ascend."""
-    order = np.argsort(keys, kind="stable")
+def later_copies(keys: np.ndarray, owners: np.ndarray, every: bool, elsewhere: np.ndarray | None = None) -> np.ndarray:
+    """Which keys a smaller owner has too; with ``every``, which another owner has. Keys of the
+    ascending array ``elsewhere`` are found in any case."""
+    if not len(keys):
+        return np.zeros(0, bool)
+    order = np.argsort(keys)
     k, o = keys[order], owners[order]
-    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     sizes = np.diff(np.append(starts, len(k)))
-    first = np.repeat(o[starts], sizes)
-    found = o > first
+    first = np.minimum.reduceat(o, starts)
     if every:
-        last = np.repeat(o[starts + sizes - 1], sizes)
-        found = last > first
-    out = np.zeros(len(keys), bool)
+        found = np.repeat(np.maximum.reduceat(o, starts) > first, sizes)
+    else:
+        found = o > np.repeat(first, sizes)
+    if elsewhere is not None and len(elsewhere):
+        found |= np.repeat(member(k[starts], elsewhere), sizes)
+    out = np.empty(len(keys), bool)
     out[order] = found
     return out
 
@@ -105,8 +109,8 @@ def later_copies(keys: np.ndarray, owners: np.ndarray, every: bool) -> np.ndarra
 class Chunk:
     """The texts of a chunk as one array of bytes, and what of them is repeated."""
 
-    def __init__(self, batch: pa.RecordBatch, length: int):
-        self.batch, self.length = batch, length
+    def __init__(self, batch: pa.RecordBatch, length: int, bits: int):
+        self.batch, self.length, self.bits = batch, length, bits
         texts = batch.column("text")
         texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
         offsets = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1]
@@ -140,12 +144,12 @@ class Chunk:
         within = number // len(COVER) * PERIOD + np.array(COVER)[number % len(COVER)]
         good = within < n[row]
         self.sample_row, self.sample_at = row[good], within[good] + self.starts[row[good]]
-        self.sample_keys = keys_at(self.data, self.sample_at, deep) >> np.uint64(64 - SAMPLE_BITS)
+        self.sample_keys = keys_at(self.data, self.sample_at, deep) >> np.uint64(64 - self.bits)
 
     def share(self, elsewhere: np.ndarray) -> None:
         """Keeps the samples that another document has: in another chunk (``elsewhere``) or here."""
         self.samples()
-        kept = member(self.sample_keys, elsewhere) | later_copies(self.sample_keys, self.owner[self.sample_row], every=True)
+        kept = later_copies(self.sample_keys, self.owner[self.sample_row], True, elsewhere)
         self.sample_at, self.sample_row, self.sample_keys = self.sample_at[kept], self.sample_row[kept], self.sample_keys[kept]
         self.long = self.sample_at + self.length + PERIOD - 1 <= self.ends[self.sample_row]
         self.long_keys = keys_at(self.data, self.sample_at[self.long], self.length + PERIOD - 1)
@@ -153,7 +157,7 @@ class Chunk:
     def resolve(self, earlier: np.ndarray) -> None:
         """Marks the suffixes that long ties with earlier documents resolve; lists the other ones
         that share a sample, with their keys."""
-        tied = member(self.long_keys, earlier) | later_copies(self.long_keys, self.owner[self.sample_row[self.long]], every=False)
+        tied = later_copies(self.long_keys, self.owner[self.sample_row[self.long]], False, earlier)
         at = self.sample_at[self.long][tied]
         self.resolved = cover(len(self.data), at, at + PERIOD)
         low = np.maximum(self.sample_at - PERIOD + 1, self.starts[self.sample_row])
@@ -164,8 +168,7 @@ class Chunk:
 
     def removed(self, earlier: np.ndarray) -> np.ndarray:
         """Which bytes go."""
-        found = member(self.rest_keys, earlier)
-        found |= later_copies(self.rest_keys, self.owner[self.rows_of(self.rest)], every=False)
+        found = later_copies(self.rest_keys, self.owner[self.rows_of(self.rest)], False, earlier)
         starts = np.concatenate([np.flatnonzero(self.resolved), self.rest[found]])
         return cover(len(self.data), starts, starts + self.length)
 
@@ -240,18 +243,21 @@ def make_chunks(df: DataFrame, id_col: str, text_col: str, carry: list[str], chu
     # Bucketed by chunk: each pass joins what it got for the chunks without shuffling the texts again.
     writer = chunks.write.option("path", place).option("compression", "none").bucketBy(width, "chunk").sortBy("chunk")
     writer.saveAsTable(name)
+    del chunks, writer, rows
+    let_go(spark)
     table = spark.table(name)
     return Chunked(table, total, table.select("chunk").count())
 
 
-def open_chunk(data: bytes, length: int) -> Chunk:
+def open_chunk(data: bytes, length: int, bits: int) -> Chunk:
     with pa.ipc.open_stream(pa.py_buffer(data)) as source:
-        return Chunk(source.read_next_batch(), length)
+        return Chunk(source.read_next_batch(), length, bits)
 
 
 def bucket_rows(chunk: int, keys: np.ndarray, bits: int, buckets: int) -> list[tuple]:
     """Rows bucket, chunk, keys of a chunk's distinct keys, cut into ranges of equal width."""
-    keys = np.unique(keys)
+    keys = np.sort(keys)
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
     edges = np.array([((1 << bits) * b) // buckets for b in range(1, buckets)], np.uint64)
     at = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
     return [(b, chunk, pack(keys[at[b] : at[b + 1]])) for b in range(buckets) if at[b] < at[b + 1]]
@@ -309,25 +315,26 @@ def dedup(df: DataFrame, id_col: str, text_col: str, carry: list[str], length: i
     chunks = make_chunks(df, id_col, text_col, carry, chunk_bytes)
     samples = chunks.bytes * len(COVER) // PERIOD
     buckets = samples // bucket_keys + 1
+    bits = min(64, max(32, samples.bit_length() + SPARE_BITS))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("chunk"), batch.column("data"), strict=True):
-                chunk = open_chunk(data.as_py(), length)
+                chunk = open_chunk(data.as_py(), length, bits)
                 chunk.samples()
-                yield key_batch(bucket_rows(name.as_py(), chunk.sample_keys, SAMPLE_BITS, buckets))
+                yield key_batch(bucket_rows(name.as_py(), chunk.sample_keys, bits, buckets))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data, one in zip(*(batch.column(c) for c in ("chunk", "data", "found0")), strict=True):
-                chunk = open_chunk(data.as_py(), length)
+                chunk = open_chunk(data.as_py(), length, bits)
                 chunk.share(keys_of(one))
                 yield key_batch(bucket_rows(name.as_py(), chunk.long_keys, 64, buckets))
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data, one, two in zip(*(batch.column(c) for c in ("chunk", "data", "found0", "found1")), strict=True):
-                chunk = open_chunk(data.as_py(), length)
+                chunk = open_chunk(data.as_py(), length, bits)
                 chunk.share(keys_of(one))
                 chunk.resolve(keys_of(two))
                 yield key_batch(bucket_rows(name.as_py(), chunk.rest_keys, 64, buckets))
@@ -335,7 +342,7 @@ def dedup(df: DataFrame, id_col: str, text_col: str, carry: list[str], length: i
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, one, two, three in zip(*(batch.column(c) for c in ("data", "found0", "found1", "found2")), strict=True):
-                chunk = open_chunk(data.as_py(), length)
+                chunk = open_chunk(data.as_py(), length, bits)
                 chunk.share(keys_of(one))
                 chunk.resolve(keys_of(two))
                 yield finish(chunk, chunk.removed(keys_of(three)))
@@ -345,7 +352,7 @@ def dedup(df: DataFrame, id_col: str, text_col: str, carry: list[str], length: i
         rows = with_found(chunks, found).mapInArrow(step, KEY_ROWS)
         found.append(stored(sort_buckets(rows, every=step is first), f"shared-{name}"))
         del rows
-        spark.sparkContext._jvm.System.gc()  # lets go of the shuffle files of the pass
+        let_go(spark)
     return with_found(chunks, found).mapInArrow(last, schema)
 
 
