@@ -1,10 +1,11 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Folding lower-cases, maps look-alike letters of other scripts and digits that stand for letters to
-plain letters, and turns punctuation into blanks. Lexicon entries are whole words or beginnings of
-words; their weights come from boosting over labelled texts, so that an entry which only repeats
+plain letters, and turns punctuation into blanks. Lexicon terms are whole words or beginnings of
+words. A term has one weight for standing in a text and another for being frequent in it by the
+text's length; the weights come from boosting over labelled texts, so that a term which only repeats
 what others already explain gets little. A match inside an exception phrase doesn't count. A text's
-sum of weights, once as it is and once divided by its length, goes through a logistic function.
+sum of weights, once as it is and once by its length, goes through a logistic function.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ _TABLE = str.maketrans({**{k: DIGITS.get(v, v).lower() for k, v in _WIDE.items()
 _SIGN = re.compile(r"(?<=\w)[@$!|](?=\w)")
 #: Lengths of the beginnings of words that may become entries.
 PREFIXES = range(3, 9)
+#: What part of its step a round takes: texts with one entry still ask for others.
+RATE = 0.3
 #: Longer words are known by their first letters.
 LONGEST = 24
 
@@ -50,21 +53,33 @@ def fold(text: str) -> str:
     return f" {' '.join(text.translate(_TABLE).split())} "
 
 
+#: A term is frequent in a text that has it so many times at least, and so often in a thousand words.
+FREQUENT, FREQUENT_PER_1000 = 2, 8
+#: Marks the weight of a term's frequency.
+OFTEN = "#"
+
+
+def frequent(count: int, n_words: int) -> bool:
+    return count >= FREQUENT and 1000 * count >= FREQUENT_PER_1000 * n_words
+
+
 @dataclass
 class Lexicon:
-    """``weights``: " word " is a whole word, " beg" the beginning of one. ``exceptions``: folded
-    phrases. ``logistic``: the factors of the two features, and the constant."""
+    """``weights``: " word " is a whole word, " beg" the beginning of one, and either with ``OFTEN``
+    behind it the term's frequency. ``exceptions``: folded phrases. ``logistic``: the factors of the
+    two features, and the constant."""
 
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: tuple[str, ...] = ()
     logistic: tuple[float, float, float] = (0.0, 0.0, -4.0)
 
     def automaton(self) -> ahocorasick.Automaton | None:
+        """Values: term, weights of standing there and of frequency; of a phrase its length and None."""
         found = ahocorasick.Automaton()
-        for term, w in self.weights.items():
-            found.add_word(term, (len(term), w))
+        for term in {t.removesuffix(OFTEN) for t in self.weights}:
+            found.add_word(term, (term, self.weights.get(term, 0.0), self.weights.get(term + OFTEN, 0.0)))
         for phrase in self.exceptions:
-            found.add_word(phrase, (len(phrase), None))
+            found.add_word(phrase, (phrase, None, None))
         if not len(found):
             return None
         found.make_automaton()
@@ -72,26 +87,24 @@ class Lexicon:
 
 
 def features(text: str, automaton: ahocorasick.Automaton | None) -> tuple[float, float]:
-    """Log of the weights of the entries that a text has, and of all matches' weights by its length.
-
-    Of the entries that match at one place only the weightiest counts."""
+    """Log of the weights that a text gets, and of those of all its matches by its length."""
     if automaton is None:
         return 0.0, 0.0
     folded = fold(text)
-    spans, best = [], {}
-    for end, (length, w) in automaton.iter(folded):
-        at = end - length + 1
-        if w is None:
-            spans.append((at, end))
-        elif w > best.get(at, (0.0,))[0]:
-            best[at] = (w, end)
-    if not best:
+    found = list(automaton.iter(folded))
+    if not found:
         return 0.0, 0.0
-    if spans:
-        best = {a: x for a, x in best.items() if not any(s <= a and x[1] <= e for s, e in spans)}
-    once = {folded[a : x[1] + 1]: x[0] for a, x in best.items()}
-    every = sum(x[0] for x in best.values())
-    return float(np.log1p(sum(once.values()))), float(np.log1p(1000 * every / (folded.count(" ") + 20)))
+    spans = [(end - len(term) + 1, end) for end, (term, w, _) in found if w is None]
+    counts: Counter = Counter()
+    for end, value in found:
+        if value[1] is not None and not any(a <= end - len(value[0]) + 1 and end <= b for a, b in spans):
+            counts[value] += 1
+    n_words, total, every = folded.count(" ") - 1, 0.0, 0.0
+    for (_, there, often), n in counts.items():
+        w = there + (often if frequent(n, n_words) else 0.0)
+        total += w
+        every += n * w
+    return float(np.log1p(total)), float(np.log1p(1000 * every / (n_words + 20)))
 
 
 def score_of(x: tuple[float, float], logistic: tuple[float, float, float]) -> float:
@@ -100,21 +113,27 @@ def score_of(x: tuple[float, float], logistic: tuple[float, float, float]) -> fl
 
 
 def candidates(folded: str) -> set[str]:
-    """Each word of a folded text as a whole and by its beginnings."""
-    out = set()
-    for w in set(folded.split()):
+    """Each word of a folded text as a whole and by its beginnings, and with ``OFTEN`` what is frequent."""
+    words = folded.split()
+    counts: Counter = Counter()
+    for w, n in Counter(words).items():
         if len(w) >= 3 and not w.isdigit():
             if len(w) <= LONGEST:
-                out.add(f" {w} ")
-            out.update(f" {w[:k]}" for k in PREFIXES if k <= len(w))
-    return out
+                counts[f" {w} "] += n
+            for k in PREFIXES:
+                if k <= len(w):
+                    counts[f" {w[:k]}"] += n
+    return {*counts, *(t + OFTEN for t, n in counts.items() if frequent(n, len(words)))}
 
 
 def boost(postings: dict[str, np.ndarray], labels: np.ndarray, rounds: int) -> dict[str, float]:
     """Weights of entries by boosting with stumps that abstain where their entry is absent.
 
     Each round takes the entry that most lowers the exponential loss, the toxic and the clean texts
-    weighing the same at the start, and stops when no entry explains what about two texts weigh."""
+    weighing the same at the start, while an entry explains what about a text weighs. Entries that
+    ten toxic texts have and that are thirty times as frequent there go on to be taken for less:
+    they are sure to tell, even if every text that has one is explained by others already.
+    """
     terms = sorted(postings)
     if not terms or not labels.any() or labels.all():
         return {}
@@ -126,15 +145,20 @@ def boost(postings: dict[str, np.ndarray], labels: np.ndarray, rounds: int) -> d
     out: dict[str, float] = {}
     # Of entries with equal gains the shorter one goes first: it also covers words not seen here.
     favour = 1 - 1e-6 * np.array([len(t) for t in terms])
+    n_bad, n_good = (np.bincount(which[labels[texts] == b], minlength=len(terms)) for b in (True, False))
+    strong = (n_bad >= 10) & (n_bad * (~labels).sum() >= 30 * n_good * labels.sum())
+    strong_only, fresh = False, np.ones(len(terms))
     for _ in range(rounds):
         bad = np.bincount(which, np.where(labels[texts], weight[texts], 0), len(terms))
         good = np.bincount(which, np.where(labels[texts], 0, weight[texts]), len(terms))
-        gain = np.where(bad > good, (np.sqrt(bad) - np.sqrt(good)) ** 2, 0) * favour
-        top = int(np.argmax(gain))
-        if gain[top] < least / (4 if out else 1):
+        gain = np.where(bad > good, (np.sqrt(bad) - np.sqrt(good)) ** 2, 0) * favour * fresh
+        if not strong_only and gain.max() < least / (4 if out else 1):
+            strong_only = True
+        top = int(np.argmax(gain * strong if strong_only else gain))
+        if strong_only and gain[top] * strong[top] < least / 1000:
             break
-        alpha = 0.5 * float(np.log((bad[top] + smooth) / (good[top] + smooth)))
-        out[terms[top]] = out.get(terms[top], 0.0) + alpha
+        alpha = RATE * 0.5 * float(np.log((bad[top] + smooth) / (good[top] + smooth)))
+        out[terms[top]], fresh[top] = alpha, 0
         hit = postings[terms[top]]
         weight[hit] *= np.where(labels[hit], np.exp(-alpha), np.exp(alpha))
     return out
@@ -229,10 +253,10 @@ def learn_exceptions(texts: DataFrame, lexicon: Lexicon, min_texts: int = 3) ->
         for batch in batches if automaton is not None else ():
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                 folded, own = fold(text), set()
-                for end, (length, w) in automaton.iter(folded):
+                for end, (term, w, _) in automaton.iter(folded):
                     if w is None:
                         continue
-                    at, stop = end - length + 1, folded.index(" ", max(end, end - length + 2))
+                    at, stop = end - len(term) + 1, folded.index(" ", max(end, end - len(term) + 2))
                     if (before := folded.rfind(" ", 0, at)) >= 0:
                         own.add(folded[before : stop + 1])
                     if (after := folded.find(" ", stop + 1)) >= 0:
