@@ -103,8 +103,10 @@ def list_edges(rows: DataFrame, by: list[str], radius: int) -> DataFrame:
     return lists.select("fps").mapInArrow(links, "a long, b long").distinct()
 
 
-def linked(distinct: DataFrame, radius: int, list_rows: int = LIST_ROWS) -> DataFrame:
-    """node, component over the column fp of ``distinct`` (no repeats); see ``connected_components``."""
+def linked(distinct: DataFrame, radius: int, list_rows: int = LIST_ROWS, extra: DataFrame | None = None) -> DataFrame:
+    """node, component over the column fp of ``distinct`` (no repeats); see ``connected_components``.
+
+    ``extra`` are links (a, b) besides those within the radius."""
     tables = F.array(*(F.xxhash64(F.lit(v), F.col("fp").bitwiseAND(F.lit(m))) for v, m in enumerate(covering_masks(radius))))
     rows = distinct.select("fp", F.explode(tables).alias("key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
@@ -114,7 +116,8 @@ def linked(distinct: DataFrame, radius: int, list_rows: int = LIST_ROWS) -> Data
     members = members.withColumn("lists", F.ceil(F.col("n") / list_rows).cast("int"))
     # The salt differs from table to table, so that lists of one group mix.
     members = stored(members.withColumn("salt", F.pmod(F.xxhash64("fp", "key"), F.col("lists")).cast("int")), "bucket-rows")
-    edges = stored(pairs.unionByName(list_edges(members, ["key", "salt"], radius)), "links")
+    edges = pairs.unionByName(list_edges(members, ["key", "salt"], radius))
+    edges = stored(edges.unionByName(extra) if extra is not None else edges, "links")
     found = connected_components(edges)
 
     hot = members.where("lists > 1").select("key", "fp", "lists", "salt")
@@ -153,3 +156,104 @@ def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: st
     named = named.join(least, "component").select("fp", "component_id")
     out = docs.join(named, "fp")
     return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Shingles that a part of a text holds, about; and the parts of a text that become keys.
+PART_SHINGLES, MOST_PARTS = 8, 64
+#: Pairs found by equal parts are near copies if their whole fingerprints differ in this many bits
+#: at most and they share this many of their parts: a similarity of 0.8 gives 10 bits and 0.13.
+PART_BITS, PART_SHARE = 14, 0.05
+#: Fingerprints that a task remembers, so that exact copies give their parts once.
+SEEN = 200_000
+
+
+def part_keys(text: bytes, shingle: int) -> list[int]:
+    """Keys, as signed numbers, of the SimHash fingerprints of parts of a text.
+
+    Distinct shingles fall into 2 ** k parts by their hash, about ``PART_SHINGLES`` each; k and k - 1
+    are used, so that texts of nearly equal length have a k in common. Of texts that share most
+    shingles some parts are equal as a whole, and so are their fingerprints. Short texts have one part.
+    """
+    w = text.lower().split()
+    if not w:
+        return []
+    shingles = map(b" ".join, zip(*(w[k:] for k in range(shingle)), strict=False)) if len(w) > shingle else iter((b" ".join(w),))
+    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
+    level = max(0, (len(hashes) // PART_SHINGLES).bit_length() - 1)
+    out = []
+    for k in {level, max(0, level - 1)}:
+        # The high bits choose the part: of sorted hashes the parts are runs.
+        part = (hashes >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(hashes), np.int64)
+        some = hashes[: np.searchsorted(part, MOST_PARTS)]
+        if not len(some):
+            continue
+        part = part[: len(some)]
+        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        bits = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+        sizes = np.diff(np.append(starts, len(some)))
+        fps = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
+        mixed = (fps ^ (part[starts].astype(np.uint64) << np.uint64(6)) ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+        out += mixed.view(np.int64).tolist()
+    return out
+
+
+def part_links(df: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
+    """a, b: fingerprints of texts that share parts and are near copies by the measures above.
+
+    In each bucket of equal parts every text is held against the one of the smallest fingerprint,
+    so a bucket gives no more pairs than it has texts."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            rows = []
+            for t in batch.column(0):
+                text = t.as_py()
+                fp = fingerprint(text, shingle)
+                if fp not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(fp)
+                    rows.append((fp, part_keys(text, shingle)))
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["fp", "keys"])
+
+    parts = df.select(F.coalesce(text_col, F.lit("")).cast("binary").alias("text")).mapInArrow(compute, "fp long, keys array<long>")
+    parts = stored(parts.where(F.size("keys") > 0), "parts")
+    rows = parts.select("fp", F.size("keys").alias("n"), F.explode("keys").alias("key"))
+    buckets = rows.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("_most")).where("b < _most").select("key", "b")
+    pairs = rows.join(buckets, "key").where((F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= PART_BITS))
+    pairs = pairs.select("fp", "b", "n", "key").distinct().groupBy("fp", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
+    return pairs.where(F.col("shared") >= PART_SHARE * F.col("n")).select(F.col("fp").alias("a"), "b")
+
+
+def keep_one_of_each(df: DataFrame, shingle: int = 5, radius: int = 4, parts: bool = True) -> DataFrame:
+    """The rows of ``df`` (doc_id, text and more) less all but one of every group of near duplicates.
+
+    Fingerprints within ``radius`` link; with ``parts`` also those of texts of a similarity of about
+    0.8 or more, which whole fingerprints of 64 bits seldom bring so near. Of a group the row of the
+    smallest id stays, null counting as the largest, then of the smallest text hash; of equal rows
+    one stays. All texts without words are one group. Columns stay as they are.
+    """
+    rows = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "_key", "fp"])
+
+    light = rows.select(F.col("doc_id").cast("long"), "_key", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    light = stored(light.mapInArrow(compute, "doc_id long, _key long, fp long"), "fingerprints")
+    more = stored(part_links(df, shingle), "part-links") if parts else None
+    found = linked(light.select("fp").distinct(), radius, extra=more)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))
+    first = light.groupBy("fp").agg(F.min(order).alias("first"))
+    named = first.join(found, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("component", "fp").alias("component"))
+    kept = named.groupBy("component").agg(F.min("first").alias("first"))
+    kept = stored(kept.select(F.col("first.none").alias("_none"), F.coalesce("first.id", F.lit(0)).alias("_id"), F.col("first.key").alias("_kept")), "kept")
+    keyed = df.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    on = (keyed.doc_id.isNull() == kept._none) & (F.coalesce(keyed.doc_id.cast("long"), F.lit(0)) == kept._id) & (F.col("_row") == kept._kept)
+    out = keyed.join(kept, on, "left_semi")
+    if not light.groupBy("doc_id", "_key").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id", "_row"])
+    return out.select(*df.columns)
