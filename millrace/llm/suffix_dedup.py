@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ COVER = (1, 5, 11, 24, 25, 27)
 CHUNK_BYTES = 4 << 20
 #: Keys that a task sorts at once, about.
 BUCKET_KEYS = 2_000_000
-MOST_TABLE_BUCKETS = 20_000
+MOST_RANGES = 20_000
 #: A sample key has so many bits more than it takes to number all samples: a chance agreement costs
 #: time, not rightness, so few bits do.
 SPARE_BITS = 12
@@ -193,7 +194,7 @@ def make_chunks(df: DataFrame, id_col: str, text_col: str, carry: list[str], chu
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry)))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, min(total // (4 * chunk_bytes) + 1, MOST_TABLE_BUCKETS))
+    ranges = max(1, min(total // (4 * chunk_bytes) + 1, MOST_RANGES))
     rows = rows.repartitionByRange(ranges, F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "text")
     rows = rows.withColumn("_part", F.spark_partition_id())
 
@@ -237,10 +238,11 @@ def make_chunks(df: DataFrame, id_col: str, text_col: str, carry: list[str], chu
             yield flush()
 
     chunks = rows.mapInArrow(chunk, "chunk long, data binary")
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(total // chunk_bytes + 1, MOST_TABLE_BUCKETS))
     place = shared_path(spark, "text-chunks")
     name = "millrace_" + place.rpartition("-")[2]
-    # Bucketed by chunk: each pass joins what it got for the chunks without shuffling the texts again.
+    # Bucketed by chunk, as many buckets as a shuffle has partitions: each pass joins what it got for
+    # the chunks without shuffling the texts again.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = chunks.write.option("path", place).option("compression", "none").bucketBy(width, "chunk").sortBy("chunk")
     writer.saveAsTable(name)
     del chunks, writer, rows
@@ -295,17 +297,20 @@ def sort_buckets(rows: DataFrame, every: bool) -> DataFrame:
 
 
 def with_found(chunks: Chunked, found: list[DataFrame]) -> DataFrame:
-    """The chunks with a column of key arrays for each of ``found``."""
-    out = chunks.table
-    for i, rows in enumerate(found):
-        lists = rows.groupBy("chunk").agg(F.collect_list("keys").alias(f"found{i}"))
-        out = out.join(lists, "chunk", "left")
-    return out
+    """The chunks with a column of what was found for them: structs of the pass and an array of keys.
+
+    One join, and the chunks' table is bucketed as the found keys are dealt, so it isn't shuffled."""
+    kind = "array<struct<pass:int,keys:binary>>"
+    if not found:
+        return chunks.table.withColumn("found", F.array().cast(kind))
+    tagged = [rows.select("chunk", F.struct(F.lit(i).alias("pass"), "keys").alias("f")) for i, rows in enumerate(found)]
+    lists = reduce(DataFrame.unionByName, tagged).groupBy("chunk").agg(F.collect_list("f").alias("found"))
+    return chunks.table.join(lists, "chunk", "left")
 
 
-def keys_of(value) -> np.ndarray:
-    """The keys of a chunk's arrays, ascending: buckets are ranges, but lists come in any order."""
-    arrays = [unpack(x) for x in value.as_py() or ()]
+def keys_of(found, number: int) -> np.ndarray:
+    """The keys that a pass found for a chunk, ascending: buckets are ranges, but come in any order."""
+    arrays = [unpack(x["keys"]) for x in found.as_py() or () if x["pass"] == number]
     return np.sort(np.concatenate(arrays)) if arrays else np.zeros(0, np.uint64)
 
 
@@ -317,35 +322,33 @@ def dedup(df: DataFrame, id_col: str, text_col: str, carry: list[str], length: i
     buckets = samples // bucket_keys + 1
     bits = min(64, max(32, samples.bit_length() + SPARE_BITS))
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def opened(batches: Iterator[pa.RecordBatch], passes: int) -> Iterator[tuple]:
+        """Chunks by name, as far as ``passes`` earlier passes settle them, and what those found."""
         for batch in batches:
-            for name, data in zip(batch.column("chunk"), batch.column("data"), strict=True):
+            for name, data, found in zip(*(batch.column(c) for c in ("chunk", "data", "found")), strict=True):
                 chunk = open_chunk(data.as_py(), length, bits)
-                chunk.samples()
-                yield key_batch(bucket_rows(name.as_py(), chunk.sample_keys, bits, buckets))
+                if passes > 0:
+                    chunk.share(keys_of(found, 0))
+                if passes > 1:
+                    chunk.resolve(keys_of(found, 1))
+                yield name.as_py(), chunk, found
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, chunk, _ in opened(batches, 0):
+            chunk.samples()
+            yield key_batch(bucket_rows(name, chunk.sample_keys, bits, buckets))
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data, one in zip(*(batch.column(c) for c in ("chunk", "data", "found0")), strict=True):
-                chunk = open_chunk(data.as_py(), length, bits)
-                chunk.share(keys_of(one))
-                yield key_batch(bucket_rows(name.as_py(), chunk.long_keys, 64, buckets))
+        for name, chunk, _ in opened(batches, 1):
+            yield key_batch(bucket_rows(name, chunk.long_keys, 64, buckets))
 
     def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data, one, two in zip(*(batch.column(c) for c in ("chunk", "data", "found0", "found1")), strict=True):
-                chunk = open_chunk(data.as_py(), length, bits)
-                chunk.share(keys_of(one))
-                chunk.resolve(keys_of(two))
-                yield key_batch(bucket_rows(name.as_py(), chunk.rest_keys, 64, buckets))
+        for name, chunk, _ in opened(batches, 2):
+            yield key_batch(bucket_rows(name, chunk.rest_keys, 64, buckets))
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data, one, two, three in zip(*(batch.column(c) for c in ("data", "found0", "found1", "found2")), strict=True):
-                chunk = open_chunk(data.as_py(), length, bits)
-                chunk.share(keys_of(one))
-                chunk.resolve(keys_of(two))
-                yield finish(chunk, chunk.removed(keys_of(three)))
+        for _, chunk, found in opened(batches, 2):
+            yield finish(chunk, chunk.removed(keys_of(found, 2)))
 
     found: list[DataFrame] = []
     for name, step in (("sample", first), ("ties", second), ("suffixes", third)):
