@@ -15,7 +15,7 @@ matter are sorted at all:
 3. The rest, mostly suffixes near the ends of agreements, are sorted by the key of their first 50
    bytes, bucket by bucket. A run of equal keys belongs to its first document.
 
-Keys are 64-bit hashes: suffixes matter here only as runs of equal ones, not by their order. Keys
+Keys are hashes: suffixes matter here only as runs of equal ones, not by their order. Keys
 travel as sorted, delta-coded arrays, a row for each chunk and bucket, each key once for a chunk;
 so a passage that many documents share costs a key for each chunk. Tasks hold a chunk or a bucket.
 """
@@ -41,15 +41,18 @@ CHUNK_BYTES = 4 << 20
 #: Keys that a task sorts at once, about.
 BUCKET_KEYS = 2_000_000
 MOST_RANGES = 20_000
+REST_PARTS = 2
 #: A sample key has so many bits more than it takes to number all samples: a chance agreement costs
 #: time, not rightness, so few bits do.
-SPARE_BITS = 12
+SPARE_BITS = 11
+#: Bits of the keys that decide: n strings are all told apart but with a chance of n * n / 2 ** 63.
+KEY_BITS = 62
 
 _FACTORS = np.random.Generator(np.random.PCG64(50)).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def keys_at(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """64-bit hashes of the ``length`` bytes from each position of ``at``; ``data`` has 8 bytes more."""
+def keys_at(data: np.ndarray, at: np.ndarray, length: int, bits: int = KEY_BITS) -> np.ndarray:
+    """Hashes of the ``length`` bytes from each position of ``at``; ``data`` has 8 bytes more."""
     words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
     out = np.full(len(at), length, np.uint64)
     for k, start in enumerate(range(0, length, 8)):
@@ -60,7 +63,7 @@ def keys_at(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
         x *= _FACTORS[k]
         out = x ^ (x >> np.uint64(29))
     out *= _FACTORS[-1]
-    return out ^ (out >> np.uint64(32))
+    return (out ^ (out >> np.uint64(32))) >> np.uint64(64 - bits)
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -145,7 +148,7 @@ class Chunk:
         within = number // len(COVER) * PERIOD + np.array(COVER)[number % len(COVER)]
         good = within < n[row]
         self.sample_row, self.sample_at = row[good], within[good] + self.starts[row[good]]
-        self.sample_keys = keys_at(self.data, self.sample_at, deep) >> np.uint64(64 - self.bits)
+        self.sample_keys = keys_at(self.data, self.sample_at, deep, self.bits)
 
     def share(self, elsewhere: np.ndarray) -> None:
         """Keeps the samples that another document has: in another chunk (``elsewhere``) or here."""
@@ -256,13 +259,14 @@ def open_chunk(data: bytes, length: int, bits: int) -> Chunk:
         return Chunk(source.read_next_batch(), length, bits)
 
 
-def bucket_rows(chunk: int, keys: np.ndarray, bits: int, buckets: int) -> list[tuple]:
-    """Rows bucket, chunk, keys of a chunk's distinct keys, cut into ranges of equal width."""
+def bucket_rows(chunk: int, keys: np.ndarray, bits: int, buckets: int, part: range) -> list[tuple]:
+    """Rows bucket, chunk, keys of a chunk's distinct keys, cut into ranges of equal width, for the
+    buckets of ``part``."""
     keys = np.sort(keys)
     keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
     edges = np.array([((1 << bits) * b) // buckets for b in range(1, buckets)], np.uint64)
     at = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-    return [(b, chunk, pack(keys[at[b] : at[b + 1]])) for b in range(buckets) if at[b] < at[b + 1]]
+    return [(b, chunk, pack(keys[at[b] : at[b + 1]])) for b in part if at[b] < at[b + 1]]
 
 
 KEY_ROWS = "bucket long, chunk long, keys binary"
@@ -296,14 +300,14 @@ def sort_buckets(rows: DataFrame, every: bool) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(sort, "chunk long, keys binary")
 
 
-def with_found(chunks: Chunked, found: list[DataFrame]) -> DataFrame:
+def with_found(chunks: Chunked, found: list[tuple[int, DataFrame]]) -> DataFrame:
     """The chunks with a column of what was found for them: structs of the pass and an array of keys.
 
     One join, and the chunks' table is bucketed as the found keys are dealt, so it isn't shuffled."""
     kind = "array<struct<pass:int,keys:binary>>"
     if not found:
         return chunks.table.withColumn("found", F.array().cast(kind))
-    tagged = [rows.select("chunk", F.struct(F.lit(i).alias("pass"), "keys").alias("f")) for i, rows in enumerate(found)]
+    tagged = [rows.select("chunk", F.struct(F.lit(i).alias("pass"), "keys").alias("f")) for i, rows in found]
     lists = reduce(DataFrame.unionByName, tagged).groupBy("chunk").agg(F.collect_list("f").alias("found"))
     return chunks.table.join(lists, "chunk", "left")
 
@@ -320,7 +324,7 @@ def dedup(df: DataFrame, id_col: str, text_col: str, carry: list[str], length: i
     chunks = make_chunks(df, id_col, text_col, carry, chunk_bytes)
     samples = chunks.bytes * len(COVER) // PERIOD
     buckets = samples // bucket_keys + 1
-    bits = min(64, max(32, samples.bit_length() + SPARE_BITS))
+    bits = min(KEY_BITS, max(32, samples.bit_length() + SPARE_BITS))
 
     def opened(batches: Iterator[pa.RecordBatch], passes: int) -> Iterator[tuple]:
         """Chunks by name, as far as ``passes`` earlier passes settle them, and what those found."""
@@ -333,29 +337,35 @@ def dedup(df: DataFrame, id_col: str, text_col: str, carry: list[str], length: i
                     chunk.resolve(keys_of(found, 1))
                 yield name.as_py(), chunk, found
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, chunk, _ in opened(batches, 0):
-            chunk.samples()
-            yield key_batch(bucket_rows(name, chunk.sample_keys, bits, buckets))
+    # What a pass sorts: the keys' name, their bits, and in how many parts, one after the other.
+    # Rest keys are the most; their parts bound the disk that a shuffle takes.
+    passes = (("sample_keys", bits, 1), ("long_keys", KEY_BITS, 1), ("rest_keys", KEY_BITS, REST_PARTS))
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, chunk, _ in opened(batches, 1):
-            yield key_batch(bucket_rows(name, chunk.long_keys, 64, buckets))
+    def keys_to_sort(number: int, part: range) -> Callable:
+        name, width, _ = passes[number]
 
-    def third(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, chunk, _ in opened(batches, 2):
-            yield key_batch(bucket_rows(name, chunk.rest_keys, 64, buckets))
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk_name, chunk, _ in opened(batches, number):
+                if number == 0:
+                    chunk.samples()
+                yield key_batch(bucket_rows(chunk_name, getattr(chunk, name), width, buckets, part))
+
+        return send
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, chunk, found in opened(batches, 2):
             yield finish(chunk, chunk.removed(keys_of(found, 2)))
 
-    found: list[DataFrame] = []
-    for name, step in (("sample", first), ("ties", second), ("suffixes", third)):
-        rows = with_found(chunks, found).mapInArrow(step, KEY_ROWS)
-        found.append(stored(sort_buckets(rows, every=step is first), f"shared-{name}"))
-        del rows
-        let_go(spark)
+    found: list[tuple[int, DataFrame]] = []
+    for number, (name, _, parts) in enumerate(passes):
+        own = []
+        for k in range(parts):
+            part = range(buckets * k // parts, buckets * (k + 1) // parts)
+            rows = with_found(chunks, found).mapInArrow(keys_to_sort(number, part), KEY_ROWS)
+            own.append((number, stored(sort_buckets(rows, every=number == 0), f"shared-{name}")))
+            del rows
+            let_go(spark)
+        found += own
     return with_found(chunks, found).mapInArrow(last, schema)
 
 
