@@ -76,7 +76,7 @@ def covering_masks(radius: int) -> list[int]:
 def forest(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     """Edges (member, first of its component) of the graph that links what differs in ``radius`` bits
     or fewer. A search from each node over the nodes not yet reached: links are never listed."""
-    left, ends, starts = np.unique(fps).view(np.uint64), [], []
+    left, ends, starts = np.sort(fps).view(np.uint64), [], []
     while len(left) > 1:
         first, front, left = left[0], [left[0]], left[1:]
         while front and len(left):
@@ -158,11 +158,12 @@ def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: st
     return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Shingles that a part of a text holds, about; and the parts of a text that become keys.
-PART_SHINGLES, MOST_PARTS = 8, 64
+#: Shingles that a part of a text holds at least, twice as many at most; and how many of a text's
+#: parts, those of the lowest hashes, become keys at either of two sizes.
+PART_SHINGLES, MOST_PARTS = 4, 48
 #: Pairs found by equal parts are near copies if their whole fingerprints differ in this many bits
-#: at most and they share this many of their parts: a similarity of 0.8 gives 10 bits and 0.13.
-PART_BITS, PART_SHARE = 14, 0.05
+#: at most and they share this many of their parts: a similarity of 0.8 gives 10 bits and 0.2.
+PART_BITS, PART_SHARE = 14, 0.08
 #: Fingerprints that a task remembers, so that exact copies give their parts once.
 SEEN = 200_000
 
@@ -170,7 +171,7 @@ SEEN = 200_000
 def part_keys(text: bytes, shingle: int) -> list[int]:
     """Keys, as signed numbers, of the SimHash fingerprints of parts of a text.
 
-    Distinct shingles fall into 2 ** k parts by their hash, about ``PART_SHINGLES`` each; k and k - 1
+    Distinct shingles fall into 2 ** k parts by their hash, ``PART_SHINGLES`` or more each; k and k - 1
     are used, so that texts of nearly equal length have a k in common. Of texts that share most
     shingles some parts are equal as a whole, and so are their fingerprints. Short texts have one part.
     """
@@ -178,7 +179,8 @@ def part_keys(text: bytes, shingle: int) -> list[int]:
     if not w:
         return []
     shingles = map(b" ".join, zip(*(w[k:] for k in range(shingle)), strict=False)) if len(w) > shingle else iter((b" ".join(w),))
-    hashes = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
+    hashes = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
+    hashes = hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])]
     level = max(0, (len(hashes) // PART_SHINGLES).bit_length() - 1)
     out = []
     for k in {level, max(0, level - 1)}:
@@ -198,28 +200,37 @@ def part_keys(text: bytes, shingle: int) -> list[int]:
     return out
 
 
-def part_links(df: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
-    """a, b: fingerprints of texts that share parts and are near copies by the measures above.
-
-    In each bucket of equal parts every text is held against the one of the smallest fingerprint,
-    so a bucket gives no more pairs than it has texts."""
+def with_parts(df: DataFrame, shingle: int, parts: bool) -> DataFrame:
+    """doc_id, _key (a hash of the text), fp and keys, a row per row. ``keys`` are those of the text's
+    parts; exact copies that one task meets have them once, and without ``parts`` no text has any."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            rows = []
-            for t in batch.column(0):
-                text = t.as_py()
-                fp = fingerprint(text, shingle)
-                if fp not in seen:
+            for at in range(0, batch.num_rows, 1024):
+                some = batch.slice(at, 1024)
+                fps, keys = [], []
+                for t in some.column(2):
+                    text = t.as_py()
+                    fps.append(fingerprint(text, shingle))
+                    keys.append(part_keys(text, shingle) if parts and fps[-1] not in seen else [])
                     if len(seen) >= SEEN:
                         seen.clear()
-                    seen.add(fp)
-                    rows.append((fp, part_keys(text, shingle)))
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], ["fp", "keys"])
+                    seen.add(fps[-1])
+                yield pa.record_batch(
+                    [some.column(0), some.column(1), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "_key", "fp", "keys"]
+                )
+
+    text = F.coalesce("text", F.lit(""))
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_key"), text.cast("binary").alias("text"))
+    return rows.mapInArrow(compute, "doc_id long, _key long, fp long, keys array<long>")
+
+
+def part_links(parts: DataFrame) -> DataFrame:
+    """a, b: fingerprints of texts that share parts and are near copies by the measures above.
 
-    parts = df.select(F.coalesce(text_col, F.lit("")).cast("binary").alias("text")).mapInArrow(compute, "fp long, keys array<long>")
-    parts = stored(parts.where(F.size("keys") > 0), "parts")
+    ``parts`` has fp and keys. In each bucket of equal parts every text is held against the one of
+    the smallest fingerprint, so a bucket gives no more pairs than it has texts."""
     rows = parts.select("fp", F.size("keys").alias("n"), F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("_most")).where("b < _most").select("key", "b")
     pairs = rows.join(buckets, "key").where((F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= PART_BITS))
@@ -235,16 +246,8 @@ def keep_one_of_each(df: DataFrame, shingle: int = 5, radius: int = 4, parts: bo
     smallest id stays, null counting as the largest, then of the smallest text hash; of equal rows
     one stays. All texts without words are one group. Columns stay as they are.
     """
-    rows = df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
-
-    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], ["doc_id", "_key", "fp"])
-
-    light = rows.select(F.col("doc_id").cast("long"), "_key", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    light = stored(light.mapInArrow(compute, "doc_id long, _key long, fp long"), "fingerprints")
-    more = stored(part_links(df, shingle), "part-links") if parts else None
+    light = stored(with_parts(df, shingle, parts), "fingerprints")
+    more = stored(part_links(light), "part-links") if parts else None
     found = linked(light.select("fp").distinct(), radius, extra=more)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))
     first = light.groupBy("fp").agg(F.min(order).alias("first"))

@@ -203,11 +203,11 @@ def learn(
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(t, fold(x), l > 0) for t, x, l in zip(*(batch.column(k).to_pylist() for k in ("key", "text", "toxic")), strict=True)]
-            yield pa.record_batch(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_()), pa.array([sorted(candidates(r[1])) for r in rows], pa.list_(pa.string()))],
-                ["key", "toxic", "terms"],
-            )
+            for at in range(0, batch.num_rows, 64):  # a text has thousands of candidates
+                some = batch.slice(at, 64)
+                found = pa.array([sorted(candidates(fold(t.as_py()))) for t in some.column("text")], pa.list_(pa.string()))
+                toxic = pa.array([x.as_py() > 0 for x in some.column("toxic")], pa.bool_())
+                yield pa.record_batch([some.column("key"), toxic, found], ["key", "toxic", "terms"])
 
     texts = texts.withColumn("key", F.xxhash64("text")).select("key", "text", "toxic")
     found = texts.mapInArrow(terms, "key long, toxic boolean, terms array<string>").persist()

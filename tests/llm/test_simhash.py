@@ -93,3 +93,32 @@ def test_lists_that_part_a_bucket(spark):
     df = spark.createDataFrame([(f,) for f in nodes], "fp long")
     for size in (4096, 8, 3):
         assert {r["node"]: r["component"] for r in S.linked(df, 2, size).collect()} == expected
+
+
+def test_one_of_each_group_stays(docs):
+    rng = random.Random(6)
+    text = lambda n: [f"{rng.choice('abcdefgh')}{rng.randint(0, 9999)}" for _ in range(n)]
+    rows, groups = [], []
+    for g in range(40):
+        w, own = text(rng.choice([60, 150, 400])), []
+        for k in range(3):
+            c = list(w)
+            for at in range(20, len(c), 60):  # some changed words: similarities of 0.8 and more
+                if k:
+                    c[at] = f"new{rng.random()}"
+            own.append(100 * g + k)
+            rows.append((own[-1], " ".join(c)))
+        groups.append(own)
+    lone = [(9000 + i, " ".join(text(120))) for i in range(60)]
+    odd = [(None, None), (8001, ""), (8002, " \n"), (8003, "one two"), (8003, "one two"), (None, "only null here")]
+    rows += lone + odd
+    rng.shuffle(rows)
+    df = docs(rows)
+    out = S.keep_one_of_each(df)
+    assert out.columns == df.columns
+    kept = [r["doc_id"] for r in out.collect()]
+    assert {i for i, _ in lone} <= set(kept)
+    assert sum(sum(i in kept for i in g) == 1 for g in groups) >= 38
+    assert all(g[0] in kept for g in groups)
+    assert sorted(i for i in kept if i is not None and 8000 <= i < 9000) == [8001, 8003] and kept.count(None) == 1
+    assert S.keep_one_of_each(docs([])).count() == 0
