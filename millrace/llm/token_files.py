@@ -11,11 +11,13 @@ block alone, by numpy table lookup.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ BLOCK_TOKENS = 1 << 18
 #: Documents that one range of ids holds, about; and the most ranges.
 RANGE_ROWS, MOST_RANGES = 5000, 20_000
 #: Words whose ids a task remembers at once, and the text it works on at once.
-CACHE_WORDS, CHUNK_CHARS = 600_000, 2_000_000
+CACHE_WORDS, CHUNK_CHARS = 800_000, 6_000_000
 
 RAW = "part int, block int, before long, n long, doc_ids binary, lengths binary, ids binary"
 CODED = "part int, block int, before long, n long, doc_ids binary, lengths binary, control binary, data binary"
@@ -61,38 +63,91 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
+#: Texts of these characters alone are cut at white space and encoded word by word: for them the
+#: library's white space is this one, and no character of one word changes another.
+PLAIN = re.compile("[\t-\r -~\u00a1-\u012f\u0131-\u02af]*")
+#: How the library cuts a plain word into pieces before it encodes them.
+PIECE = re.compile(r"(?i:'(?:s|t|re|ve|m|ll|d))|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: New words that are encoded as one text.
+JOINED = 200
+
+_known: dict[str, dict[str, bytes]] = {}
+
+
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space: each word, cut at ASCII white space, is
-    encoded by the library when first met, and its ids are remembered up to ``CACHE_WORDS`` words."""
+    """Ids of texts by a tokenizer that drops white space and ends each piece of a word with a token
+    of its own kind.
+
+    The words of a plain text are encoded when first met, ``JOINED`` at a time, and remembered by
+    the worker, also for its later tasks, up to ``CACHE_WORDS`` words. Other texts go to the library
+    as they are.
+    """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2") if len(vocabulary) <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(new, found, strict=True))
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known = _known.setdefault(path, {})
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
+
+    def learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            found = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, self.kind)
+            cuts = np.flatnonzero(self.closes[ids]) + 1
+            pieces = np.cumsum([len(PIECE.findall(w)) for w in some])
+            if len(cuts) != pieces[-1] or (cuts[-1] if len(cuts) else 0) != len(ids):
+                # The library cuts some word in another way: each by itself, then.
+                self.known.update(zip(some, self.whole(some), strict=True))
+                continue
+            data = ids.tobytes()
+            ends = (self.kind.itemsize * np.concatenate([[0], cuts])[pieces]).tolist()
+            self.known.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends], ends, strict=False))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian bytes."""
         out = []
         for some in chunks(texts):
-            split = [t.encode("utf-8", "replace").split() for t in some]
-            every = set().union(*split)
-            if not every <= self.known.keys():
-                self.learn(every)
-            known = self.known.__getitem__
-            out += [b"".join(map(known, w)) + self.end for w in split]
+            plain = [PLAIN.fullmatch(t) is not None for t in some]
+            coded = iter(self.plain([t.lower() for t, p in zip(some, plain, strict=True) if p]))
+            out += [next(coded) if p else self.whole([t])[0] + self.end for t, p in zip(some, plain, strict=True)]
         return out
 
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """The same of lower-case plain texts: each distinct word is looked up once, and the ids are
+        gathered by numpy."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        each = list(map(self.known.get, words))
+        new = [w for w, ids in zip(words, each, strict=True) if ids is None]
+        if new:
+            if len(self.known) + len(new) > CACHE_WORDS:
+                self.known.clear()
+                new = words
+            self.learn(new)
+            each = list(map(self.known.__getitem__, words))
+        size = self.kind.itemsize
+        sizes = np.array([len(x) for x in each], np.int64) // size
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(each), self.kind)
+        which = np.asarray(coded.indices)
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - ends + lengths, lengths)]
+        cuts = (size * np.concatenate([[0], ends])[np.asarray(split.offsets) - split.offsets[0].as_py()]).tolist()
+        data = ids.tobytes()
+        return [data[a:b] + self.end for a, b in zip(cuts, cuts[1:], strict=False)]
+
 
 def chunks(texts: list[str]) -> Iterator[list[str]]:
     """``texts`` in runs of about ``CHUNK_CHARS`` characters."""
@@ -132,9 +187,9 @@ def token_blocks(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
         for batch in batches:
             keys, texts, parts = (batch.column(k).to_pylist() for k in (0, 1, 2))
             part = parts[0] if parts else part
-            for at in range(0, len(texts), 500):
-                coded = encode(texts[at : at + 500])
-                for key, x in zip(keys[at : at + 500], coded, strict=True):
+            for at in range(0, len(texts), 2000):
+                coded = encode(texts[at : at + 2000])
+                for key, x in zip(keys[at : at + 2000], coded, strict=True):
                     ids.append(x)
                     docs.append(key)
                     held += len(x) // kind.itemsize

@@ -1,0 +1,307 @@
+"""Each operator against a plain version of its contract, and on odd rows."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from millrace.llm import fingerprints, html_text, mixing, pieces, quality, sharding, token_files, toxicity
+
+ODD = [(None, None), (1, None), (2, ""), (3, " \n\t"), (4, "word"), (5, "word"), (5, "word"), (6, "a b c d e f g " * 400), (7, "Ünï   çödé " * 20), (8, "x" * 5000)]
+SPACE = b" \t\n\x0b\x0c\r"
+
+
+def words(text):
+    return (text or "").encode().split()
+
+
+def repeated_words(w):
+    seen = {}
+    for i in range(len(w) - 4):
+        seen.setdefault(tuple(w[i : i + 5]), []).append(i)
+    return len({p for at in seen.values() if len(at) > 1 for i in at for p in range(i, i + 5)})
+
+
+def test_quality_counts(docs):
+    rng = random.Random(5)
+    rows = ODD + [(100 + i, " ".join(rng.choice(["a", "bb", "#c", "d\n", "\n"]) for _ in range(rng.randint(0, 80)))) for i in range(60)]
+    got = sorted((str(r["doc_id"]), r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality.judge_quality(docs(rows)).collect())
+    expected = []
+    for i, t in rows:
+        w, t = words(t), t or ""
+        lines = [x for x in t.split("\n") if x.encode().strip(SPACE)]
+        n = repeated_words(w)
+        expected.append((str(i), len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), n, len(w) < 10 or 100 * n > 20 * len(w)))
+    assert got == sorted(expected)
+
+
+def test_quality_order_changes_no_verdict(docs):
+    rows = [(i, "# " * (i % 7) + "Word THING other " * (i % 11)) for i in range(200)]
+    rules = quality.default_rules()
+    a = {r["doc_id"]: r["kept"] for r in quality.judge_quality(docs(rows), rules).collect()}
+    b = {r["doc_id"]: r["kept"] for r in quality.judge_quality(docs(rows), rules[::-1], sample_rows=1).collect()}
+    assert a == b and len(set(a.values())) == 2
+
+
+def test_mix_reaches_targets(docs):
+    rng = random.Random(6)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 400)))) for i in range(500)] + ODD
+    got = mixing.mix(docs(rows)).taken().collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        by.setdefault(r["source"], []).append(r)
+    total = sum(r["size"] for r in got)
+    targets = {s: x[0]["target"] for s, x in by.items()}
+    assert sum(targets.values()) == pytest.approx(1.5 * total)
+    for s, x in by.items():
+        size = sum(r["size"] for r in x)
+        assert x[0]["source_size"] == size and targets[s] <= 2 * size + 1e-6
+        assert abs(sum(r["taken"] for r in x) - targets[s]) <= 1
+    again = mixing.mix(docs(rows[::-1]).repartition(7)).taken().collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_mixed_documents_have_the_words_that_were_taken(docs):
+    rows = [(i, " ".join(f"w{i}" for _ in range(50 + i))) for i in range(60)]
+    df = docs(rows)
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(df).taken().collect()}
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    found = {}
+    for r in out.collect():
+        found[r["doc_id"]] = found.get(r["doc_id"], 0) + len(r["text"].split())
+        assert r["n_chars"] == len(r["text"])
+    assert found == {i: n for i, n in taken.items() if n}
+
+
+def test_token_files_round_trip(spark, docs):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [*ODD, (9, "it's ROCK'n'roll, İstanbul ΣΑΣ é x²½ don't_12"), (10, "Plain words, again. Plain"), (-3, "first")]
+    place, order = token_files.write_token_files(docs(rows), path, end_id=2)
+    got = [tuple(r) for r in token_files.read_token_files(spark, place, order).collect()]
+    tokenizer = Tokenizer.from_file(path)
+    expected, start = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        expected.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
+def test_byte_coding():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 3, 4, 5, 1000):
+        v = (rng.integers(0, 1 << 32, n, dtype=np.uint64) >> rng.integers(0, 32, n).astype(np.uint64)).astype(np.uint32)
+        assert token_files.decode_values(*token_files.encode_values(v), n).tolist() == v.tolist()
+
+
+def test_shards(docs):
+    rng = random.Random(7)
+    rows = ODD + [(1000 + i, "t" * rng.randint(0, 3000)) for i in range(800)] + [(5000 + i, "same text") for i in range(40)]
+    got = sharding.assign_shards(docs(rows), shards=8).collect()
+    assert len(got) == len(rows)
+    sizes, slots, where = {}, {}, {}
+    for r in got:
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert max(sizes.values()) <= 1.02 * sum(sizes.values()) / 8 + 6000
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    for r in got:
+        if r["doc_id"] and r["doc_id"] >= 5000:
+            where.setdefault(r["shard"], 0)
+    assert len(where) == 1
+
+
+def test_best_fit():
+    assert sharding.best_fit_decreasing([5, 4, 3, 2, 1], 5) == [0, 1, 2, 2, 1]
+    assert sharding.best_fit_decreasing([9], 5) == [0]
+    assert sharding.pack([], 3) == []
+
+
+def test_fold_undoes_disguises():
+    folded = toxicity.fold("You 1D10T, pаthеtic m0r0n! l​oser").split()
+    assert folded == ["you", "idiot", "pathetic", "moron", "loser"]
+
+
+def test_toxicity_learns_and_leaves_exceptions(spark, docs):
+    rng = random.Random(8)
+    plain = lambda: [f"w{rng.randint(0, 300)}" for _ in range(rng.randint(20, 120))]
+    rows, labels = [], []
+    for i in range(1500):
+        w, bad = plain(), i % 5 == 0
+        if bad:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w)), rng.choice(["badword", "nastything", "uglyone", "zzstem" + rng.choice("abcdef")]))
+        elif i % 7 == 0:
+            w += ["badword", "free"]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    df, known = docs(rows), spark.createDataFrame([*labels, (None, 1), (99_999, None)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(df, known)
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(df, lexicon).collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in got.items())
+    out = [(got[i]["predicted"], y) for i, y in labels if got[i]["held_out"]]
+    assert sum(p == y for p, y in out) >= 0.97 * len(out)
+    odd = toxicity.score_toxicity(docs([*ODD, (77, "BADWORD! b@dword nastything " * 3)]), lexicon).collect()
+    assert len(odd) == len(ODD) + 1 and [r["doc_id"] for r in odd if r["predicted"]] == [77]
+    assert toxicity.reject_toxic(docs([*ODD, (77, "badword nastything uglyone")]), lexicon).count() == len(ODD)
+    assert toxicity.score_toxicity(docs([]), lexicon).count() == 0
+
+
+def test_toxicity_without_labels(spark, docs):
+    lexicon = toxicity.learn(docs(ODD), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert {r["predicted"] for r in toxicity.score_toxicity(docs(ODD), lexicon).collect()} == {0}
+
+
+def chained(parts):
+    h = 42
+    for w in parts:
+        h = xxhash.xxh64_intdigest(w, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def sketch(text):
+    w = words(text)
+    h = {chained(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    kept = sorted(x for x in h if x < -(1 << 63) + (1 << 61))
+    return kept or sorted(h)[:1]
+
+
+def test_fingerprints(docs):
+    rng = random.Random(9)
+    rows = ODD + [(10 + i, " ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(rng.randint(0, 200)))) for i in range(1400)]
+    line = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    expected = []
+    for k, (i, t) in enumerate(line):
+        after = line[(k + 1) % len(line)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        a, b, c = sketch(t), sketch(edited), sketch(after)
+        like = lambda x, y: len({*x} & {*y}) / len({*x} | {*y}) if x or y else 1.0
+        name = "".join(f"{x + (1 << 63):016x}" for x in a)
+        expected.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), name, round(like(a, b), 9), round(like(a, c), 9)))
+    got = fingerprints.fingerprint_documents(docs(rows).repartition(5))
+    got = [(str(r["doc_id"]), r["n_chars"], r["edited_sha256"], r["fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got.collect()]
+    assert sorted(got) == sorted(expected)
+    assert fingerprints.fingerprint_documents(docs([])).count() == 0
+    one = fingerprints.fingerprint_documents(docs([(3, "only one text here")])).first()
+    assert one["near_next"] == 1.0
+
+
+def test_containment_of_unequal_texts(spark):
+    long, short = " ".join(f"w{i}" for i in range(4000)), " ".join(f"w{i}" for i in range(400))
+    df = spark.createDataFrame([(long, short)], "a string, b string")
+    df = fingerprints.with_sketch(fingerprints.with_sketch(df, "a", "x"), "b", "y")
+    r = df.select(fingerprints.containment(F.col("y"), F.col("x")).alias("c"), fingerprints.likeness(F.col("x"), F.col("y")).alias("l")).first()
+    assert r["c"] == 1.0 and 0.05 < r["l"] < 0.2
+
+
+PAGE = (
+    '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar"><header><h1>Site</h1></header>'
+    '<nav><ul><li>Home</li></ul></nav><div class="cookie-notice">We use cookies<div>ok</div></div><div class="ad">Buy</div><article class="post"><h1>Ti&amp;tle</h1>'
+    "<p>One &lt;two&gt;<br>three\n  <b>four</b>.<p>Five &eacute;&#x41;<form><input><p>mail</form><ul><li>item</ul><aside>side</aside>"
+    '<section id="comments"><article>me too</article></section><p>A > B &am</article><footer>&copy; x</footer></body></html>'
+)
+
+
+def test_html_blocks():
+    assert html_text.read_blocks(PAGE) == (["Ti&tle", "One <two> three four.", "Five éA", "item", "A > B &am"], True)
+    assert html_text.read_blocks("") == ([], False)
+    assert html_text.read_blocks("plain <b>text") == (["plain text"], False)
+    assert html_text.read_blocks("<div class='main'><p>a<p hidden>b</p><p style='display: none'>c</p></div>") == (["a"], False)
+
+
+def lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_common_lines_are_a_longest_common_subsequence():
+    rng = random.Random(10)
+    for _ in range(300):
+        a, b = ([rng.randint(0, 6) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        at = html_text.common_lines(a, b)
+        assert len(at) == lcs(a, b) and at == sorted(set(at))
+        it = iter(b)
+        assert all(a[i] in it for i in at)
+
+
+def test_pages_lose_what_their_neighbour_has(spark):
+    rows = [(i, f"https://h.example/p/{i:03}", f"<body><p>Menu</p><div>Header line</div><p>Own text {i}</p><p>End</p></body>") for i in range(30)]
+    rows += [(100, "https://alone.example/x", "<p>Menu</p><p>Kept</p>"), (101, None, None), (102, "https://h.example/p/art", PAGE), (None, "bad", ""), (5, rows[5][1], rows[5][2])]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    text = {r["page_id"]: r["text"] for r in got}
+    assert all(text[i] == f"Own text {i}" for i in range(30))
+    assert text[100] == "Menu\n\nKept" and text[101] == "" and text[102].startswith("Ti&tle")
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+
+
+def best_path(unit, scores, unknown):
+    """The best sum by trying every cut."""
+    best = [0.0] + [None] * len(unit)
+    for e in range(1, len(unit) + 1):
+        for s in range(e):
+            if best[s] is None:
+                continue
+            w = scores.get(unit[s:e])
+            if w is None and e == s + 1:
+                w = unknown
+            if w is not None and (best[e] is None or best[s] + w > best[e]):
+                best[e] = best[s] + w
+    return best[-1]
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return pieces.Codec(pieces.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def test_pieces_take_the_best_path(codec):
+    rng = random.Random(11)
+    texts = pieces.trie_texts(codec.pieces)
+    scores = {t.replace(pieces.MARK, " "): codec.pieces.scores[i] for t, i in texts.items()}
+    for _ in range(400):
+        unit = " " * rng.randint(0, 3) + "".join(rng.choice("etaoinshrdluABC,.é€漢𝕏") for _ in range(rng.randint(1, 14)))
+        ids = codec.path(unit)
+        total = sum(codec.pieces.scores[i] for i in ids if codec.pieces.kinds[i] != 6)
+        byte_run = b"".join(codec.surface[i] for i in ids if codec.pieces.kinds[i] == 6)
+        total += codec.unknown * len(byte_run.decode())
+        assert total == pytest.approx(best_path(unit, scores, codec.unknown), rel=1e-12)
+
+
+def test_pieces_equal_the_library_as_a_unigram_model(codec):
+    """The same model file, read as a unigram model (field 2.3 of the file)."""
+    import sentencepiece
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        data = f.read()
+    spec = next(v for n, v in pieces.fields(data) if n == 2)
+    changed = spec.replace(b"\x18\x02", b"\x18\x01", 1)
+    assert changed != spec
+    library = sentencepiece.SentencePieceProcessor(model_proto=data.replace(spec, changed, 1))
+    for word in ["the", "Reading", "tionthand", "élève", "schaft", "internationalization", "a", "x1y2z3"]:
+        assert np.frombuffer(codec.encode(word), codec.kind).tolist() == library.encode(word)
+
+
+def test_pieces_round_trip(docs, codec):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = [*ODD, (9, " lead  and trail  "), (10, "▁ marks ▁▁"), (11, "tabs\tand\x00bytes ퟿ 𝕏 ​"), (12, "\n\nlines\n"), (13, "<s> </s> <0x41> <unk>")]
+    out = pieces.encode_documents(docs(rows), path).collect()
+    assert sorted(map(str, ((r["doc_id"], r["decoded"]) for r in out))) == sorted(map(str, ((i, t or "") for i, t in rows)))
+    digests = pieces.piece_digests(docs(rows), path).collect()
+    assert all(r["round_trip"] for r in digests) and len(digests) == len(rows)
+    assert {r["n_tokens"] for r in digests if r["doc_id"] == 2} == {0}
+    assert pieces.encode_documents(docs([]), path).count() == 0
