@@ -126,7 +126,7 @@ text b
 - item 1
 - item 2
 | a | b |
-|---|:-:|
+|---|:---:|
 | 1 | 2 |
 ![alt](img.png)
 ```py
