@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from millrace.operators import snapshots as N
 from millrace.sources.tables import table
 
-ONE = F.lit(1)
 
 
 def job_overview_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +16,7 @@ def job_overview_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_shipdate")
     counts = items.groupBy("l_orderkey").agg(
-        F.count(ONE).alias("items"),
+        F.count("*").alias("items"),
         F.count_if(F.col("l_returnflag") == "R").alias("failed"),
         F.count_if(F.col("l_linestatus") == "O").alias("open"),
         F.max(F.when(F.col("l_linestatus") == "F", F.col("l_shipdate"))).alias("last_done"),
@@ -25,14 +24,14 @@ def job_overview_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jobs.join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return out.groupBy("o_orderstatus").agg(
-        F.count(ONE).alias("jobs"), F.sum(zero("items")).alias("items"), F.sum(zero("failed")).alias("failed"),
+        F.count("*").alias("jobs"), F.sum(zero("items")).alias("items"), F.sum(zero("failed")).alias("failed"),
         F.sum(zero("open")).alias("open"), F.count_if(F.col("items").isNull()).alias("empty_jobs"), F.date_format(F.max("last_done"), "yyyy-MM-dd").alias("last_done"),
     )
 
 
 def source_latest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source with its number of items and their latest date; 0 and null without any."""
-    items = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(ONE).alias("n"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("latest"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("latest"))
     out = table(spark, sf_dir, "supplier").join(items, F.col("s_suppkey") == F.col("l_suppkey"), "left")
     return out.select("s_suppkey", "s_name", F.coalesce("n", F.lit(0)).alias("items"), "latest")
 
@@ -40,7 +39,7 @@ def source_latest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def version_history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 200 latest of each customer's last order, with nation and region."""
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    last = orders.groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_totalprice")).alias("o"), F.count(ONE).alias("versions"))
+    last = orders.groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_totalprice")).alias("o"), F.count("*").alias("versions"))
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     out = last.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
     out = out.select("o_custkey", F.col("o.o_orderkey").alias("o_orderkey"), F.date_format("o.o_orderdate", "yyyy-MM-dd").alias("latest"), "versions", "n_name", "r_name")
@@ -51,7 +50,7 @@ def conversation_anti_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations without a system turn, with the turns their users took."""
     turns = table(spark, sf_dir, "conversations")
     out = turns.join(turns.where("role = 'system'").select("conv_id").distinct(), "conv_id", "left_anti")
-    return out.groupBy("conv_id").agg(F.count(ONE).alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.max("turn").alias("last_turn"))
+    return out.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("user_turns"), F.max("turn").alias("last_turn"))
 
 
 def history_last6(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +66,7 @@ def parent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
     parent = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("parent_role"))
     out = turns.join(parent, ["conv_id", "turn"], "left")
-    return out.groupBy("role", "parent_role").agg(F.count(ONE).alias("turns"))
+    return out.groupBy("role", "parent_role").agg(F.count("*").alias("turns"))
 
 
 def permission_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +74,7 @@ def permission_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") % 3).alias("stored"))
     now = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey") % 3).alias("now"))
     out = orders.join(now, F.col("o_custkey") == F.col("c_custkey")).where(~F.col("stored").eqNullSafe(F.col("now")))
-    return out.groupBy("stored", "now").agg(F.count(ONE).alias("stale"))
+    return out.groupBy("stored", "now").agg(F.count("*").alias("stale"))
 
 
 def upsert_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +91,7 @@ def insert_ignore_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compare_and_set_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     changes = jobs.where("o_orderkey % 2 = 0").select("o_orderkey", F.when(F.col("o_orderkey") % 4 == 0, "O").otherwise("P").alias("expected"), F.lit("F").alias("to"))
-    return N.compare_and_set(jobs, changes, "o_orderkey", "o_orderstatus").groupBy("o_orderstatus", "outcome").agg(F.count(ONE).alias("jobs"))
+    return N.compare_and_set(jobs, changes, "o_orderkey", "o_orderstatus").groupBy("o_orderstatus", "outcome").agg(F.count("*").alias("jobs"))
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -111,7 +110,7 @@ def publish_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def publish_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.publish(*_versions(spark, sf_dir))[1].groupBy("action", "applied").agg(F.count(ONE).alias("decisions"))
+    return N.publish(*_versions(spark, sf_dir))[1].groupBy("action", "applied").agg(F.count("*").alias("decisions"))
 
 
 def lease_queue_head(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +127,7 @@ def retry_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = table(spark, sf_dir, "orders").select(attempts.alias("attempts"), (F.col("o_orderkey") % 11 == 0).alias("cancelled"))
     outcome = F.when(F.col("cancelled"), "cancelled").when(F.col("attempts") < 5, "retry").otherwise("failed")
     delay = F.when(outcome == "retry", F.pow(F.lit(2), F.least(F.col("attempts"), F.lit(5))).cast("long"))
-    return jobs.groupBy("attempts", outcome.alias("outcome"), delay.alias("delay_s")).agg(F.count(ONE).alias("jobs"))
+    return jobs.groupBy("attempts", outcome.alias("outcome"), delay.alias("delay_s")).agg(F.count("*").alias("jobs"))
 
 
 def ordered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,11 +147,11 @@ def asof_fact_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases in batches of fifty by id, and how many requests a batch needs."""
     # Ids are dense per conversation; ranks come from a running count over ranges of a thousand ids.
-    cases = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(ONE).alias("turns"))
+    cases = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
     cases = cases.withColumn("cell", F.floor(F.col("conv_id") / 1000))
-    before = cases.groupBy("cell").agg(F.count(ONE).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = cases.groupBy("cell").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     ranks = cases.join(before.drop("n"), "cell").withColumn("at", F.col("before") + F.row_number().over(W.partitionBy("cell").orderBy("conv_id")) - 1)
-    batches = ranks.groupBy(F.floor(F.col("at") / 50).alias("batch")).agg(F.count(ONE).alias("cases"), F.sum("turns").alias("turns"))
+    batches = ranks.groupBy(F.floor(F.col("at") / 50).alias("batch")).agg(F.count("*").alias("cases"), F.sum("turns").alias("turns"))
     return batches.select("batch", "cases", (F.ceil(F.col("turns") / 16) + 3 * F.col("cases")).alias("requests"))
 
 
@@ -174,7 +173,7 @@ def manifest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("k")).distinct().withColumn("in_files", F.lit(True))
     out = a.join(b, "k", "full_outer")
     status = F.when(F.col("in_files").isNull(), "missing_file").when(F.col("in_manifest").isNull(), "unreferenced_file").otherwise("matched")
-    return out.groupBy(status.alias("status")).agg(F.count(ONE).alias("documents"))
+    return out.groupBy(status.alias("status")).agg(F.count("*").alias("documents"))
 
 
 QUERIES = {

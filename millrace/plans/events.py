@@ -10,7 +10,6 @@ from millrace.operators.snapshots import submit_status
 from millrace.sources.tables import table
 from millrace.streaming import events as E
 
-ONE = F.lit(1)
 
 
 def event_sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +22,7 @@ def event_sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def next_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number that an execution's next event gets, and its last event."""
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(ONE).alias("n"), F.max(F.struct("ts", "event_id")).alias("last"))
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max(F.struct("ts", "event_id")).alias("last"))
     return rows.select("user_id", (F.col("n") + 1).alias("next_seq"), F.col("last.event_id").alias("last_event"))
 
 
@@ -32,7 +31,7 @@ def rolling_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     is over its limit."""
     rows = table(spark, sf_dir, "events").withColumn("s", F.unix_timestamp("ts"))
     line = W.partitionBy("user_id")
-    recent = F.count(ONE).over(line.orderBy("s").rangeBetween(-3600, 0))
+    recent = F.count("*").over(line.orderBy("s").rangeBetween(-3600, 0))
     spent = F.sum(F.col("value").cast("decimal(18,4)")).over(line.orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0))
     out = rows.select("event_id", recent.alias("recent"), F.round(spent.cast("double"), 4).alias("spent"))
     return out.withColumn("limited", (F.col("recent") > 3) | (F.col("spent") > 1000))
@@ -41,7 +40,7 @@ def rolling_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def error_rate_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failures among the events of each quarter of an hour, for windows that begin every five minutes."""
     rows = table(spark, sf_dir, "events")
-    out = rows.groupBy(F.window("ts", "15 minutes", "5 minutes").alias("w")).agg(F.count(ONE).alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    out = rows.groupBy(F.window("ts", "15 minutes", "5 minutes").alias("w")).agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"))
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("begins"), "events", "errors", F.round(F.col("errors") / F.col("events"), 6).alias("rate"))
 
 
@@ -49,7 +48,7 @@ def idempotency_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests by key (execution, kind and day): the first is new, others replay it or conflict."""
     rows = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")).withColumn("payload", F.md5(F.get_json_object("props", "$.k")))
     out = submit_status(rows, ["user_id", "event_type", "day"], "payload", ["ts", "event_id"])
-    return out.groupBy("event_type", "status").agg(F.count(ONE).alias("requests"))
+    return out.groupBy("event_type", "status").agg(F.count("*").alias("requests"))
 
 
 def turn_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +62,7 @@ def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = rows.groupBy("event_type", "user_id").agg(F.max("ts").alias("last"))
     end = F.lit("2024-01-30").cast("timestamp")
     fresh = F.col("last") >= end - F.expr("INTERVAL 7 DAYS")
-    out = seen.groupBy("event_type").agg(F.count(ONE).alias("workers"), F.count_if(fresh).alias("fresh"), F.date_format(F.max(F.when(fresh, F.col("last"))), "yyyy-MM-dd").alias("last_fresh"))
+    out = seen.groupBy("event_type").agg(F.count("*").alias("workers"), F.count_if(fresh).alias("fresh"), F.date_format(F.max(F.when(fresh, F.col("last"))), "yyyy-MM-dd").alias("last_fresh"))
     status = F.when(F.col("fresh") == F.col("workers"), "healthy").when(F.col("fresh") > 0, "degraded").otherwise("unavailable")
     return out.withColumn("status", status)
 
@@ -75,7 +74,7 @@ def lease_fencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     before, held = F.lag("epoch").over(line), F.lag("ts").over(line)
     rows = rows.select("event_id", before.alias("before"), "epoch", (F.unix_timestamp("ts") - F.unix_timestamp(held) < 45).alias("live"))
     issue = F.when(F.col("epoch") < F.col("before"), "epoch_fell").when(F.col("epoch") > F.col("before") + 1, "epoch_skipped").when((F.col("epoch") == F.col("before") + 1) & F.col("live"), "live_takeover")
-    return rows.where(issue.isNotNull()).groupBy(issue.alias("issue")).agg(F.count(ONE).alias("transitions"))
+    return rows.where(issue.isNotNull()).groupBy(issue.alias("issue")).agg(F.count("*").alias("transitions"))
 
 
 def layout_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +83,7 @@ def layout_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "view", "heading").when(F.col("event_type") == "click", "table").when(F.col("event_type") == "purchase", "image").otherwise("text")
     warned = ~F.col("event_type").isin("view", "click", "purchase")
     out = rows.select(kind.alias("kind"), (F.coalesce("k", F.lit(0)) + 1).alias("page_no"), warned.alias("warned"))
-    return out.groupBy("kind").agg(F.count(ONE).alias("elements"), F.countDistinct("page_no").alias("pages"), F.count_if("warned").alias("warnings"))
+    return out.groupBy("kind").agg(F.count("*").alias("elements"), F.countDistinct("page_no").alias("pages"), F.count_if("warned").alias("warnings"))
 
 
 QUERIES = {

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from millrace.operators import integrity as I
 from millrace.sources.tables import table
 
-ONE = F.lit(1)
 
 
 def _integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +56,7 @@ def chunk_integrity_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         I.Check("gap", F.col("at") != F.col("before") + 1),
         I.Check("repeats", F.col("hash") == F.col("hash_before")),
     ])
-    return issues.groupBy("rule").agg(F.count(ONE).alias("chunks"), F.min("subject").alias("first"))
+    return issues.groupBy("rule").agg(F.count("*").alias("chunks"), F.min("subject").alias("first"))
 
 
 def case_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +64,7 @@ def case_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     text = F.lower("text")
     kind = F.when(F.col("role") == "system", "unauthorized").when(text.rlike("cannot|can't|refuse|sorry"), "refusal").when(F.length("text") < 40, "clarification").otherwise("retrieval")
-    return turns.groupBy(kind.alias("kind")).agg(F.count(ONE).alias("turns"), F.countDistinct("conv_id").alias("conversations"))
+    return turns.groupBy(kind.alias("kind")).agg(F.count("*").alias("turns"), F.countDistinct("conv_id").alias("conversations"))
 
 
 def tag_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,14 +73,14 @@ def tag_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("n_chars") > 3000, "long"), F.when(F.col("n_chars") < 600, "short"), F.when(F.contains("text", F.lit("\n")), "lines"), F.col("lang"),
     )).alias("tags"))
     total = docs.count()
-    rows = docs.select("source", F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(ONE).alias("documents"), F.countDistinct("source").alias("shops"))
+    rows = docs.select("source", F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("documents"), F.countDistinct("source").alias("shops"))
     return rows.withColumn("share", F.round(F.col("documents") / F.lit(max(total, 1)), 6))
 
 
 def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.groupBy(F.col("source").alias("shop_id")).agg(
-        F.count(ONE).alias("documents"), F.sum("n_chars").alias("chars"), F.count_if(F.col("n_chars") > 5000).alias("large"),
+        F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.count_if(F.col("n_chars") > 5000).alias("large"),
         F.array_join(F.sort_array(F.collect_set("lang")), ",").alias("langs"), F.countDistinct(F.md5("text")).alias("texts"),
     )
 
@@ -91,7 +90,7 @@ def citation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = table(spark, sf_dir, "part").where("p_size <= 30 and p_type not like '%BRASS%'").select("p_partkey")
     cited = table(spark, sf_dir, "lineitem").join(evidence, F.col("l_partkey") == F.col("p_partkey"), "left_semi")
     out = cited.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return out.groupBy("o_orderstatus").agg(F.count(ONE).alias("citations"), F.countDistinct("l_partkey").alias("evidence"))
+    return out.groupBy("o_orderstatus").agg(F.count("*").alias("citations"), F.countDistinct("l_partkey").alias("evidence"))
 
 
 def permission_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +104,7 @@ def permission_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.size(F.array_distinct("shops")) < F.size("shops"), "repeated_shop").when(F.size(F.array_except("shops", F.array(*(F.lit(f"s{i}") for i in range(20))))) > 0, "foreign_shop")
         .otherwise("valid")
     )
-    return rows.groupBy("role", status.alias("status")).agg(F.count(ONE).alias("requests"))
+    return rows.groupBy("role", status.alias("status")).agg(F.count("*").alias("requests"))
 
 
 QUERIES = {
