@@ -4,6 +4,7 @@ import zipfile
 
 import pytest
 
+from millrace.operators import artifacts as A
 from millrace.operators import integrity as I
 from millrace.operators import metrics as M
 from millrace.operators import retrieval as R
@@ -187,3 +188,24 @@ def test_layout_and_strict_json(spark):
     assert got == [("heading", "T", 1, [], None, None), ("text", "c", None, [], None, "unknown_type:chart;invalid_page_no"), ("table", "", None, ["p.png"], "a | b\n1 | 2", None)]
     lines = spark.createDataFrame([('{"a":1}',), ('{"a":1,"a":2}',), ("[1]",), (" ",), ("{",)], "line string")
     assert [r["issue"] for r in P.strict_json(lines, "line").collect()] == [None, "invalid_json", "not_an_object", "blank", "invalid_json"]
+
+
+def test_bundles(spark, tmp_path):
+    docs = spark.createDataFrame([("t", "s", "v1", "text", None), ("t", "s", "v2", "text", "p")], "tenant string, shop string, version string, raw string, parsed string")
+    rows = A.artifact_rows(docs, {"raw": "raw", "parsed": "parsed"}, "tenant", "shop", "version")
+    assert rows.count() == 3 and len({r["set_hash"] for r in A.set_hash(rows, ["version"]).collect()}) == 2
+    root = f"file://{tmp_path}/bundle"
+    A.write_bundle(rows, root)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        A.write_bundle(rows, root)
+    manifest, objects = spark.read.parquet(f"{root}/manifest"), spark.read.parquet(f"{root}/objects")
+    assert {r["status"] for r in A.verify_bundle(manifest, objects).collect()} == {"ok"}
+    assert sorted(r["status"] for r in A.verify_bundle(manifest, objects.where("kind = 'raw'")).collect()) == ["missing", "ok", "ok"]
+
+
+def test_addresses_and_robots(spark):
+    df = spark.createDataFrame([("8.8.8.8",), ("10.0.0.1",), ("::1",), ("no",), (None,)], "a string")
+    assert [r["blocked"] for r in A.public_addresses(df, "a").collect()] == [False, True, True, True, True]
+    text = "User-agent: other\nDisallow: /all\n\nUser-agent: mybot\nUser-agent: x\nDisallow: /private # no\nDisallow:\n"
+    df = spark.createDataFrame([(text, "/private/a"), (text, "/public"), (text, "/all"), ("User-agent: *\nDisallow: /", "/x"), (None, "/x")], "robots string, path string")
+    assert [r["allowed"] for r in A.robots_allow(df, "robots", "MyBot/1.0", "path").collect()] == [False, True, True, False, True]
