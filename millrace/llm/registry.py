@@ -128,4 +128,30 @@ p AS (
 SELECT doc_id, size, source_size, target,
        greatest(0, least(upto, want) - (upto - size)) + greatest(0, least(upto, want - source_size) - (upto - size)) AS taken
 FROM p""",
+    # The text of an article, which every page of the tables has; differencing has no part in it.
+    "op8_html_text": r"""
+WITH a AS (
+  SELECT row_number() OVER () AS r, page_id, url,
+         regexp_extract(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<(script|style)\b.*?</(script|style)>', '', 'g'), '(?is)<article\b[^>]*>(.*?)(</article>|$)', 1) AS h
+  FROM pages),
+b AS (
+  SELECT r, unnest(range(0, len(l))) AS i, unnest(l) AS t
+  FROM (SELECT r, string_split_regex(h, '(?i)</?(p|h[1-6]|div|section|ul|ol|li|blockquote|pre|table|tr|td|th|hr)\b[^>]*>') AS l FROM a)),
+c AS (
+  SELECT r, i, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(
+           regexp_replace(regexp_replace(t, '(?i)<br\b[^>]*>', ' ', 'g'), '<[^>]*>?', '', 'g'),
+           '&quot;?', '"', 'g'), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '&copy;', chr(169)), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t
+  FROM b),
+x AS (SELECT r, string_agg(t, chr(10) || chr(10) ORDER BY i) AS text FROM c WHERE t <> '' GROUP BY r)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars FROM a LEFT JOIN x USING (r)""",
+    "op10_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT r, doc_id, unnest(range(0, len(h) // 2)) AS i, h FROM d),
+w AS (SELECT r, doc_id, i, CASE WHEN len(h) >= 2 * i + 100 THEN substr(h, 2 * i + 1, 100) END AS s, substr(h, 2 * i + 1, 2) AS byte FROM p),
+f AS (SELECT r, i, byte, s IS NOT NULL AND min(doc_id) OVER (PARTITION BY s) < doc_id AS hit FROM w),
+g AS (SELECT r, i, byte, coalesce(i - max(CASE WHEN hit THEN i END) OVER (PARTITION BY r ORDER BY i) < 50, false) AS gone FROM f),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS begins FROM g),
+k AS (SELECT r, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY r)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN k USING (r)""",
 }
