@@ -163,7 +163,7 @@ def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: st
 PART_SHINGLES, MOST_PARTS = 4, 48
 #: Pairs found by equal parts are near copies if their whole fingerprints differ in this many bits
 #: at most and they share this many of their parts: a similarity of 0.8 gives 10 bits and 0.2.
-PART_BITS, PART_SHARE = 14, 0.08
+PART_BITS, PART_SHARE = 20, 0.12
 #: Fingerprints that a task remembers, so that exact copies give their parts once.
 SEEN = 200_000
 
