@@ -28,7 +28,7 @@ BLOCK_TOKENS = 1 << 18
 #: Documents that one range of ids holds, about; and the most ranges.
 RANGE_ROWS, MOST_RANGES = 5000, 20_000
 #: Words whose ids a task remembers at once, and the text it works on at once.
-CACHE_WORDS, CHUNK_CHARS = 800_000, 6_000_000
+CACHE_WORDS, CHUNK_CHARS = 1_000_000, 6_000_000
 
 RAW = "part int, block int, before long, n long, doc_ids binary, lengths binary, ids binary"
 CODED = "part int, block int, before long, n long, doc_ids binary, lengths binary, control binary, data binary"
@@ -105,7 +105,7 @@ class WordIds:
             found = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
             ids = np.array(found.ids, self.kind)
             cuts = np.flatnonzero(self.closes[ids]) + 1
-            pieces = np.cumsum([len(PIECE.findall(w)) for w in some])
+            pieces = np.cumsum([1 if w.isalpha() else len(PIECE.findall(w)) for w in some])
             if len(cuts) != pieces[-1] or (cuts[-1] if len(cuts) else 0) != len(ids):
                 # The library cuts some word in another way: each by itself, then.
                 self.known.update(zip(some, self.whole(some), strict=True))
@@ -133,8 +133,10 @@ class WordIds:
         new = [w for w, ids in zip(words, each, strict=True) if ids is None]
         if new:
             if len(self.known) + len(new) > CACHE_WORDS:
+                # What these texts have of the known words is most of what texts have often.
+                kept = [(w, ids) for w, ids in zip(words, each, strict=True) if ids is not None]
                 self.known.clear()
-                new = words
+                self.known.update(kept)
             self.learn(new)
             each = list(map(self.known.__getitem__, words))
         size = self.kind.itemsize
