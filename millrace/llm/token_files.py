@@ -85,9 +85,12 @@ class WordIds:
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Plain words come in lower case and between single blanks: normalizing changes nothing.
+        self.plain_tokenizer = Tokenizer.from_file(path)
+        self.plain_tokenizer.normalizer = normalizers.Sequence([])
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2") if len(vocabulary) <= 1 << 16 else np.dtype("<u4")
         self.end = np.array([end_id], self.kind).tobytes()
@@ -102,7 +105,7 @@ class WordIds:
     def learn(self, words: list[str]) -> None:
         for at in range(0, len(words), JOINED):
             some = words[at : at + JOINED]
-            found = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
+            found = self.plain_tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
             ids = np.array(found.ids, self.kind)
             cuts = np.flatnonzero(self.closes[ids]) + 1
             pieces = np.cumsum([1 if w.isalpha() else len(PIECE.findall(w)) for w in some])
@@ -138,7 +141,7 @@ class WordIds:
                 self.known.clear()
                 self.known.update(kept)
             self.learn(new)
-            each = list(map(self.known.__getitem__, words))
+            each = [self.known[w] if ids is None else ids for w, ids in zip(words, each, strict=True)]
         size = self.kind.itemsize
         sizes = np.array([len(x) for x in each], np.int64) // size
         starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(each), self.kind)
