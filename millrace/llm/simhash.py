@@ -103,10 +103,8 @@ def list_edges(rows: DataFrame, by: list[str], radius: int) -> DataFrame:
     return lists.select("fps").mapInArrow(links, "a long, b long").distinct()
 
 
-def linked(distinct: DataFrame, radius: int, list_rows: int = LIST_ROWS, extra: DataFrame | None = None) -> DataFrame:
-    """node, component over the column fp of ``distinct`` (no repeats); see ``connected_components``.
-
-    ``extra`` are links (a, b) besides those within the radius."""
+def linked(distinct: DataFrame, radius: int, list_rows: int = LIST_ROWS) -> DataFrame:
+    """node, component over the column fp of ``distinct`` (no repeats); see ``connected_components``."""
     tables = F.array(*(F.xxhash64(F.lit(v), F.col("fp").bitwiseAND(F.lit(m))) for v, m in enumerate(covering_masks(radius))))
     rows = distinct.select("fp", F.explode(tables).alias("key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
@@ -117,7 +115,7 @@ def linked(distinct: DataFrame, radius: int, list_rows: int = LIST_ROWS, extra:
     # The salt differs from table to table, so that lists of one group mix.
     members = stored(members.withColumn("salt", F.pmod(F.xxhash64("fp", "key"), F.col("lists")).cast("int")), "bucket-rows")
     edges = pairs.unionByName(list_edges(members, ["key", "salt"], radius))
-    edges = stored(edges.unionByName(extra) if extra is not None else edges, "links")
+    edges = stored(edges, "links")
     found = connected_components(edges)
 
     hot = members.where("lists > 1").select("key", "fp", "lists", "salt")
@@ -158,97 +156,163 @@ def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: st
     return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Shingles that a part of a text holds at least, twice as many at most; and how many of a text's
-#: parts, those of the lowest hashes, become keys at either of two sizes.
-PART_SHINGLES, MOST_PARTS = 4, 48
-#: Pairs found by equal parts are near copies if their whole fingerprints differ in this many bits
-#: at most and they share this many of their parts: a similarity of 0.8 gives 10 bits and 0.2.
-PART_BITS, PART_SHARE = 20, 0.12
-#: Fingerprints that a task remembers, so that exact copies give their parts once.
+#: Texts are near copies from this Jaccard similarity of their shingles on, in ninths of the sum of
+#: their shingles: 5 * shared >= 4 * (n + m - shared), which is 0.8.
+SHARED, OF = 9, 4
+#: Sets that a task remembers, so that texts of equal shingles give their keys once.
 SEEN = 200_000
+#: Texts of the sample that tells frequent shingles, and the most shingles that it names. Any order
+#: of shingles gives the same links; frequent ones come last, so that few texts meet by them.
+SAMPLE_TEXTS, MOST_FREQUENT = 8_000, 200_000
 
 
-def part_keys(text: bytes, shingle: int) -> list[int]:
-    """Keys, as signed numbers, of the SimHash fingerprints of parts of a text.
-
-    Distinct shingles fall into 2 ** k parts by their hash, ``PART_SHINGLES`` or more each; k and k - 1
-    are used, so that texts of nearly equal length have a k in common. Of texts that share most
-    shingles some parts are equal as a whole, and so are their fingerprints. Short texts have one part.
-    """
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles, cut as ``fingerprint`` cuts them."""
     w = text.lower().split()
     if not w:
-        return []
+        return np.zeros(0, np.uint64)
     shingles = map(b" ".join, zip(*(w[k:] for k in range(shingle)), strict=False)) if len(w) > shingle else iter((b" ".join(w),))
-    hashes = np.sort(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
-    hashes = hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])]
-    level = max(0, (len(hashes) // PART_SHINGLES).bit_length() - 1)
-    out = []
-    for k in {level, max(0, level - 1)}:
-        # The high bits choose the part: of sorted hashes the parts are runs.
-        part = (hashes >> np.uint64(64 - k)).astype(np.int64) if k else np.zeros(len(hashes), np.int64)
-        some = hashes[: np.searchsorted(part, MOST_PARTS)]
-        if not len(some):
-            continue
-        part = part[: len(some)]
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        bits = np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
-        sizes = np.diff(np.append(starts, len(some)))
-        fps = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
-        mixed = (fps ^ (part[starts].astype(np.uint64) << np.uint64(6)) ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
-        out += mixed.view(np.int64).tolist()
-    return out
-
-
-def with_parts(df: DataFrame, shingle: int, parts: bool) -> DataFrame:
-    """doc_id, _key (a hash of the text), fp and keys, a row per row. ``keys`` are those of the text's
-    parts; exact copies that one task meets have them once, and without ``parts`` no text has any."""
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
+
+
+def prefix(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first fifth of a set, and one more, rarest first.
+
+    Two sets of a similarity of 0.8 share four fifths of either at least. All that they share comes
+    last in neither, so the smallest shared shingle is within the first n // 5 + 1 of both."""
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        hashes = hashes[np.lexsort((hashes, np.where(frequent[at] == hashes, counts[at], 0)))]
+    return hashes[: len(hashes) // 5 + 1]
+
+
+def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of shingles that three texts of a bounded sample have."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.record_batch([pa.array(shingle_set(t.as_py(), shingle).view(np.int64))], ["hash"])
+
+    every = rows.count() // SAMPLE_TEXTS + 1
+    some = rows.where(F.pmod("_key", F.lit(every)) == 0).dropDuplicates(["_key"]).limit(2 * SAMPLE_TEXTS).select("text")
+    found = some.mapInArrow(compute, "hash long").groupBy("hash").count().where("count > 2").orderBy(F.desc("count"), "hash").limit(MOST_FREQUENT).toArrow()
+    hashes, counts = found["hash"].to_numpy().astype(np.int64).view(np.uint64), found["count"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def keyed_texts(df: DataFrame) -> DataFrame:
+    """doc_id, _key (a hash of the text) and text as bytes."""
+    text = F.coalesce("text", F.lit(""))
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_key"), text.cast("binary").alias("text"))
+
+
+def with_prefixes(df: DataFrame, shingle: int, parts: bool) -> DataFrame:
+    """doc_id, _key, fp, sid (a hash of the shingle set), n (its size) and keys (its prefix), a row per
+    row. Equal sets that one task meets have keys once, and without ``parts`` no text has any."""
+    rows = keyed_texts(df)
+    frequent, times = frequent_shingles(rows, shingle) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                fps, keys = [], []
+                fps, sids, sizes, keys = [], [], [], []
                 for t in some.column(2):
                     text = t.as_py()
                     fps.append(fingerprint(text, shingle))
-                    keys.append(part_keys(text, shingle) if parts and fps[-1] not in seen else [])
+                    hashes = shingle_set(text, shingle) if parts else np.zeros(0, np.uint64)
+                    sid = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
+                    sids.append(sid - (1 << 64) if sid >> 63 else sid)
+                    sizes.append(len(hashes))
+                    keys.append([] if sid in seen or not len(hashes) else prefix(hashes, frequent, times).view(np.int64))
                     if len(seen) >= SEEN:
                         seen.clear()
-                    seen.add(fps[-1])
-                yield pa.record_batch(
-                    [some.column(0), some.column(1), pa.array(fps, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "_key", "fp", "keys"]
-                )
+                    seen.add(sid)
+                columns = [pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.record_batch([some.column(0), some.column(1), *columns], ["doc_id", "_key", "fp", "sid", "n", "keys"])
 
-    text = F.coalesce("text", F.lit(""))
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_key"), text.cast("binary").alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, _key long, fp long, keys array<long>")
+    return rows.mapInArrow(compute, "doc_id long, _key long, fp long, sid long, n int, keys array<long>")
+
+
+def may_be_alike(n, m, at, to):  # noqa: ANN001, ANN201
+    """Whether sets of n and m shingles may be near copies if the places ``at`` and ``to`` of their
+    orders hold the same shingle, the first that they share: no more than what follows is shared."""
+    least = np.minimum if isinstance(n, np.ndarray) else F.least
+    return SHARED * least(n - at, m - to) >= OF * (n + m)
+
+
+def alike(pairs: DataFrame, df: DataFrame, light: DataFrame, shingle: int) -> DataFrame:
+    """Those of the ``pairs`` (a and b are sids) whose sets have a similarity of 0.8 or more."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["sid", "hashes"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                good.append(SHARED * len(np.intersect1d(x, y, assume_unique=True)) >= OF * (len(x) + len(y)))
+            yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    wanted = light.join(wanted, "sid").groupBy("sid").agg(F.min("_key").alias("_key"))
+    texts = keyed_texts(df).select("_key", "text").join(wanted, "_key").dropDuplicates(["sid"]).select("sid", "text")
+    sets = stored(texts.mapInArrow(compute, "sid long, hashes binary"), "shingle-sets")
+    left, right = (sets.select(F.col("sid").alias(c), F.col("hashes").alias(f"{c}_set")) for c in "ab")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(test, "a long, b long")
+
+
+def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """The ``pairs`` whose ends have different components (sid, component), with these as ca and cb."""
+    for c in "ab":
+        pairs = pairs.join(components.select(F.col("sid").alias(c), F.col("component").alias(f"c{c}")), c)
+    return pairs.where("ca <> cb")
+
+
+def with_near_copies(found: DataFrame, df: DataFrame, light: DataFrame, shingle: int) -> DataFrame:
+    """``found`` (node, component over fingerprints) with the links of texts of a similarity of 0.8 or
+    more. Near copies share a key; who shares one is compared by the whole sets.
+
+    In each bucket of equal keys every text is first held against the one of the smallest sid, so a
+    bucket gives no more pairs than it has texts."""
+    sets = light.where("size(keys) > 0").dropDuplicates(["sid"])
+    rows = sets.select("sid", "n", F.posexplode("keys").alias("at", "key"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("sid", "n", "at")).alias("head")).where("size > 1")
+    members = stored(rows.join(buckets, "key"), "members")
+    place = light.select("sid", "fp").distinct()
 
+    def components(found: DataFrame) -> DataFrame:
+        named = place.join(found, F.col("fp") == F.col("node"), "left").select("sid", F.coalesce("component", "fp").alias("component"))
+        return stored(named, "components")
 
-def part_links(parts: DataFrame) -> DataFrame:
-    """a, b: fingerprints of texts that share parts and are near copies by the measures above.
+    def joined(found: DataFrame, now: DataFrame, pairs: DataFrame) -> DataFrame:
+        pairs = stored(apart(pairs, now), "candidates")
+        links = alike(pairs, df, light, shingle).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        links = stored(links.distinct(), "near-copies")
+        return found if links.isEmpty() else connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
-    ``parts`` has fp and keys. In each bucket of equal parts every text is held against the one of
-    the smallest fingerprint, so a bucket gives no more pairs than it has texts."""
-    rows = parts.select("fp", F.size("keys").alias("n"), F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("_most")).where("b < _most").select("key", "b")
-    pairs = rows.join(buckets, "key").where((F.col("fp") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= PART_BITS))
-    pairs = pairs.select("fp", "b", "n", "key").distinct().groupBy("fp", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
-    return pairs.where(F.col("shared") >= PART_SHARE * F.col("n")).select(F.col("fp").alias("a"), "b")
+    heads = members.where((F.col("sid") != F.col("head.sid")) & may_be_alike(F.col("n"), F.col("head.n"), F.col("at"), F.col("head.at")))
+    return joined(found, components(found), heads.select(F.col("head.sid").alias("a"), F.col("sid").alias("b")).distinct())
 
 
 def keep_one_of_each(df: DataFrame, shingle: int = 5, radius: int = 4, parts: bool = True) -> DataFrame:
     """The rows of ``df`` (doc_id, text and more) less all but one of every group of near duplicates.
 
-    Fingerprints within ``radius`` link; with ``parts`` also those of texts of a similarity of about
-    0.8 or more, which whole fingerprints of 64 bits seldom bring so near. Of a group the row of the
+    Fingerprints within ``radius`` link; with ``parts`` also those of texts of a similarity of 0.8
+    or more, which whole fingerprints of 64 bits seldom bring so near. Of a group the row of the
     smallest id stays, null counting as the largest, then of the smallest text hash; of equal rows
     one stays. All texts without words are one group. Columns stay as they are.
     """
-    light = stored(with_parts(df, shingle, parts), "fingerprints")
-    more = stored(part_links(light), "part-links") if parts else None
-    found = linked(light.select("fp").distinct(), radius, extra=more)
+    light = stored(with_prefixes(df, shingle, parts), "fingerprints")
+    found = linked(light.select("fp").distinct(), radius)
+    if parts:
+        found = with_near_copies(stored(found, "by-radius"), df, light, shingle)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))
     first = light.groupBy("fp").agg(F.min(order).alias("first"))
     named = first.join(found, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("component", "fp").alias("component"))

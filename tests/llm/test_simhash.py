@@ -122,3 +122,24 @@ def test_one_of_each_group_stays(docs):
     assert all(g[0] in kept for g in groups)
     assert sorted(i for i in kept if i is not None and 8000 <= i < 9000) == [8001, 8003] and kept.count(None) == 1
     assert S.keep_one_of_each(docs([])).count() == 0
+
+
+def jaccard(x, y):
+    x, y = (set(zip(*(t.lower().split()[k:] for k in range(5)))) for t in (x, y))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_of_long_texts_go(docs):
+    """Similarities of little over 0.8, which a sample of a long text's parts tells badly."""
+    rng, rows = random.Random(8), []
+    for g in range(40):
+        n = rng.choice([120, 500, 2000])
+        w = [f"{rng.choice('abcdefgh')}{rng.randint(0, 9999)}" for _ in range(n)]
+        c = list(w)
+        for at in rng.sample(range(n), n):
+            old, c[at] = c[at], f"new{rng.random()}"
+            if jaccard(" ".join(w), " ".join(c)) < 0.8:
+                c[at] = old
+                break
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(c))]
+    assert sorted(r["doc_id"] for r in S.keep_one_of_each(docs(rows)).collect()) == list(range(0, 80, 2))
