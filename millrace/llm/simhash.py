@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import let_go, stored
 from millrace.llm.components import connected_components
 
 SEED = 42
@@ -164,6 +164,8 @@ SEEN = 200_000
 #: Texts of the sample that tells frequent shingles, and the most shingles that it names. Any order
 #: of shingles gives the same links; frequent ones come last, so that few texts meet by them.
 SAMPLE_TEXTS, MOST_FREQUENT = 8_000, 200_000
+#: Texts of a list that is compared with another, about.
+MEET_ROWS = 2048
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -264,6 +266,7 @@ def alike(pairs: DataFrame, df: DataFrame, light: DataFrame, shingle: int) -> Da
     wanted = light.join(wanted, "sid").groupBy("sid").agg(F.min("_key").alias("_key"))
     texts = keyed_texts(df).select("_key", "text").join(wanted, "_key").dropDuplicates(["sid"]).select("sid", "text")
     sets = stored(texts.mapInArrow(compute, "sid long, hashes binary"), "shingle-sets")
+    let_go(df.sparkSession)
     left, right = (sets.select(F.col("sid").alias(c), F.col("hashes").alias(f"{c}_set")) for c in "ab")
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(test, "a long, b long")
 
@@ -275,16 +278,53 @@ def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return pairs.where("ca <> cb")
 
 
-def with_near_copies(found: DataFrame, df: DataFrame, light: DataFrame, shingle: int) -> DataFrame:
+def parted_pairs(members: DataFrame, components: DataFrame, list_rows: int) -> DataFrame:
+    """a, b: pairs of sids that share a key, may be near copies and have different components, less
+    those with a bucket's head. Of a bucket only rows outside its main component are held against
+    all; both sides are dealt into lists of about ``list_rows``, and every two lists meet."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0):
+                v = [c.to_numpy() for c in x.values.flatten()]
+                asks = v[5]
+                q, b = ([c[some] for c in v[:5]] for some in (asks == 1, asks == 0))
+                for k in range(0, len(q[0]), 256):
+                    sid, n, at, component, _ = (c[k : k + 256, None] for c in q)
+                    # Two rows outside the main component would meet twice.
+                    good = may_be_alike(n, b[1], at, b[2]) & (component != b[3]) & ((b[4] == 0) | (sid < b[0]))
+                    i, j = np.nonzero(good)
+                    if len(i):
+                        yield pa.record_batch([pa.array(sid[i, 0]), pa.array(b[0][j])], ["a", "b"])
+
+    marked = members.where((F.col("size") > 2) & (F.col("sid") != F.col("head.sid"))).select("key", "sid", F.col("n").cast("long"), F.col("at").cast("long"))
+    marked = stored(marked.join(components, "sid"), "bucket-rows")
+    sizes = marked.groupBy("key", "component").count()
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
+    lists = lambda c: F.ceil(c / list_rows).cast("int")
+    main = main.where("all > most").select("key", "main", lists(F.col("all")).alias("lists"), lists(F.col("all") - F.col("most")).alias("others"))
+    marked = marked.join(main, "key").withColumn("other", (F.col("component") != F.col("main")).cast("long"))
+    dealt = lambda c: F.pmod(F.xxhash64("key", "sid"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    row = lambda asks: F.struct("sid", "n", "at", "component", "other", F.lit(asks).cast("long").alias("asks")).alias("row")
+    asking = marked.where("other = 1").select("key", every("lists").alias("salt"), dealt("others").alias("part"), row(1))
+    base = marked.select("key", dealt("lists").alias("salt"), every("others").alias("part"), row(0))
+    rows = asking.unionByName(base).groupBy("key", "salt", "part").agg(F.collect_list("row").alias("rows"))
+    return rows.select("rows").mapInArrow(meet, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def with_near_copies(found: DataFrame, df: DataFrame, light: DataFrame, shingle: int, list_rows: int = MEET_ROWS) -> DataFrame:
     """``found`` (node, component over fingerprints) with the links of texts of a similarity of 0.8 or
     more. Near copies share a key; who shares one is compared by the whole sets.
 
-    In each bucket of equal keys every text is first held against the one of the smallest sid, so a
-    bucket gives no more pairs than it has texts."""
+    In each bucket of equal keys every text is first held against the one of the smallest sid, which
+    joins most of a large family by no more pairs than the bucket has texts. Then those that are
+    still apart are held against each other, whoever heads their buckets."""
     sets = light.where("size(keys) > 0").dropDuplicates(["sid"])
     rows = sets.select("sid", "n", F.posexplode("keys").alias("at", "key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("sid", "n", "at")).alias("head")).where("size > 1")
     members = stored(rows.join(buckets, "key"), "members")
+    let_go(df.sparkSession)
     place = light.select("sid", "fp").distinct()
 
     def components(found: DataFrame) -> DataFrame:
@@ -293,12 +333,16 @@ def with_near_copies(found: DataFrame, df: DataFrame, light: DataFrame, shingle:
 
     def joined(found: DataFrame, now: DataFrame, pairs: DataFrame) -> DataFrame:
         pairs = stored(apart(pairs, now), "candidates")
+        let_go(df.sparkSession)
         links = alike(pairs, df, light, shingle).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         links = stored(links.distinct(), "near-copies")
+        let_go(df.sparkSession)
         return found if links.isEmpty() else connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
     heads = members.where((F.col("sid") != F.col("head.sid")) & may_be_alike(F.col("n"), F.col("head.n"), F.col("at"), F.col("head.at")))
-    return joined(found, components(found), heads.select(F.col("head.sid").alias("a"), F.col("sid").alias("b")).distinct())
+    found = joined(found, components(found), heads.select(F.col("head.sid").alias("a"), F.col("sid").alias("b")).distinct())
+    now = components(found)
+    return joined(found, now, parted_pairs(members, now, list_rows))
 
 
 def keep_one_of_each(df: DataFrame, shingle: int = 5, radius: int = 4, parts: bool = True) -> DataFrame:

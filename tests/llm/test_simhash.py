@@ -143,3 +143,41 @@ def test_near_copies_of_long_texts_go(docs):
                 break
         rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(c))]
     assert sorted(r["doc_id"] for r in S.keep_one_of_each(docs(rows)).collect()) == list(range(0, 80, 2))
+
+
+def test_near_copies_in_a_family_go(spark, docs):
+    """Texts by one template, of a similarity of about 0.6, whose every part some other has too; and
+    a near copy of each."""
+    rng, rows = random.Random(9), []
+    for g in range(150):
+        w = [f"t{i}" for i in range(300)]
+        for at in range(0, 300, 10):
+            w[at] += rng.choice("xy")
+        c = list(w)
+        for at in rng.sample(range(300), 5):
+            c[at] = f"new{rng.random()}"
+        assert jaccard(" ".join(w), " ".join(c)) >= 0.8
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(c))]
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    fps = {i: S.fingerprint(t.encode(), 5) for i, t in rows}
+    for a in sets:
+        for b in range(a):
+            shared = len(sets[a] & sets[b])
+            if 5 * shared >= 4 * (len(sets[a]) + len(sets[b]) - shared) or ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= 4:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    df = docs(rows)
+    heads = sorted(i for i in parent if parent[i] == i)
+    assert len(heads) > 100
+    assert sorted(r["doc_id"] for r in S.keep_one_of_each(df).collect()) == heads
+    light = S.stored(S.with_prefixes(df, 5, True), "fingerprints")
+    none = spark.createDataFrame([], "node long, component long")
+    by_size = [{tuple(r) for r in S.with_near_copies(none, df, light, 5, size).collect()} for size in (2048, 7)]
+    assert by_size[0] == by_size[1] and by_size[0]
