@@ -54,10 +54,11 @@ def conversation_anti_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_last6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last six turns of a conversation, the oldest first."""
+    """The whole texts of a conversation's last six turns, the oldest first; blank ones are left out."""
     turns = table(spark, sf_dir, "conversations")
     last = turns.withColumn("n", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn"), "role", "text"))).where("n <= 6")
-    rows = F.array_sort(F.collect_list(F.struct(-F.col("n"), F.concat("role", F.lit(": "), F.substring("text", 1, 20)).alias("line"))))
+    line = F.when(F.col("text").rlike(r"(?U)\S"), F.concat("role", F.lit(": "), "text"))
+    rows = F.array_sort(F.collect_list(F.struct(-F.col("n"), line.alias("line"))))
     return last.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("history"))
 
 
