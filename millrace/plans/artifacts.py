@@ -57,11 +57,11 @@ def context_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assembled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The beginnings of an item's best three documents, best first, as one text in parts of 32."""
+    """An item's best three documents, whole and best first, as one text in parts of 32."""
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    best = R.lexical_topk(items, docs, "item_id", "doc_id", 3).join(docs.select("doc_id", F.substring("text", 1, 60).alias("head")), "doc_id")
-    parts = best.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "head"))).alias("p"))
-    text = F.array_join(F.transform("p", lambda x: x["head"]), "；")
+    best = R.lexical_topk(items, docs, "item_id", "doc_id", 3).join(docs.select("doc_id", "text"), "doc_id")
+    parts = best.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("p"))
+    text = F.concat(F.lit("根据当前知识资料："), F.array_join(F.transform("p", lambda x: x["text"]), "；"))
     out = parts.select("item_id", text.alias("answer"))
     return out.select("item_id", "answer", F.ceil(F.length("answer") / 32).alias("deltas"))
 
