@@ -26,21 +26,24 @@ def words(text: Column) -> Column:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that driver and executors share.
 
-    The session's ``spark.checkpoint.dir`` names it; where it is unset (tests on one machine) a
-    temporary folder stands in and is noted in the session, so that it is one for the session.
+    The session's ``spark.checkpoint.dir`` names it. Where it is unset a temporary folder stands in
+    on a local master, noted in the session so that it is one for the session; on a cluster, where
+    executors would each write to a disk of their own, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` written as a table in the shared folder and read again: lineage ends here, and a
     lost executor costs a reread, not a recomputation."""
     path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.stored_at = path
     return back

@@ -10,6 +10,7 @@ block alone, by numpy table lookup.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -18,19 +19,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_path, stored
+from millrace.llm.common import forget, shared_path, stored
 
 BLOCK_TOKENS = 1 << 18
-#: Documents that one range of ids holds, about; and the most ranges.
-RANGE_ROWS, MOST_RANGES = 5000, 20_000
+#: Bytes of ids that a range holds, about; smaller tables are cut for all cores, but not below so many rows.
+RANGE_BYTES, LEAST_ROWS = 64 << 20, 1000
 #: Words whose ids a task remembers at once, and the text it works on at once.
 CACHE_WORDS, CHUNK_CHARS = 1_000_000, 6_000_000
 
-RAW = "part int, block int, before long, n long, doc_ids binary, lengths binary, ids binary"
 CODED = "part int, block int, before long, n long, doc_ids binary, lengths binary, control binary, data binary"
 
 #: Lengths of the four values of a control byte, by the byte.
@@ -66,21 +67,29 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
 #: Texts of these characters alone are cut at white space and encoded word by word: for them the
 #: library's white space is this one, and no character of one word changes another.
 PLAIN = re.compile("[\t-\r -~\u00a1-\u012f\u0131-\u02af]*")
-#: How the library cuts a plain word into pieces before it encodes them.
-PIECE = re.compile(r"(?i:'(?:s|t|re|ve|m|ll|d))|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Signs behind a letter or digit that end a word. They are a piece of their own in any case, so
+#: they are cut off first: "word," and "word." need not both be remembered.
+TAIL = r"([\pL\pN])([!-&(-/:-@\[-`{-~]+(?:[\t-\r ]|$))"
 #: New words that are encoded as one text.
 JOINED = 200
+# The normalizer and the end of a word for which words may be encoded one by one.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+END_OF_WORD = "</w>"
 
 _known: dict[str, dict[str, bytes]] = {}
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that drops white space and ends each piece of a word with a token
-    of its own kind.
+    """Ids of texts by a tokenizer file.
 
-    The words of a plain text are encoded when first met, ``JOINED`` at a time, and remembered by
-    the worker, also for its later tasks, up to ``CACHE_WORDS`` words. Other texts go to the library
-    as they are.
+    If the file's normalizer is ``NORMALIZER``, its words are pieces of one pattern that never holds
+    white space, and each piece ends with a token of ``END_OF_WORD``, then the words of a plain text
+    are encoded when first met, ``JOINED`` at a time, and remembered by the worker, also for its
+    later tasks, up to ``CACHE_WORDS`` words. Other texts, those that hold one of the file's added
+    tokens in any letter case, and all texts for another kind of file go to the library as they are.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -88,14 +97,19 @@ class WordIds:
         from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2") if max(vocabulary.values(), default=0) < 1 << 16 else np.dtype("<u4")
+        self.end = np.array([end_id], self.kind).tobytes()
+        self.piece = piece_pattern(spec)
+        if self.piece is None:
+            return
+        self.added = [t["content"].lower() for t in spec["added_tokens"]]
         # Plain words come in lower case and between single blanks: normalizing changes nothing.
         self.plain_tokenizer = Tokenizer.from_file(path)
         self.plain_tokenizer.normalizer = normalizers.Sequence([])
-        vocabulary = self.tokenizer.get_vocab()
-        self.kind = np.dtype("<u2") if len(vocabulary) <= 1 << 16 else np.dtype("<u4")
-        self.end = np.array([end_id], self.kind).tobytes()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.closes[[i for t, i in vocabulary.items() if t.endswith(END_OF_WORD)]] = True
         self.known = _known.setdefault(path, {})
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -108,7 +122,7 @@ class WordIds:
             found = self.plain_tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
             ids = np.array(found.ids, self.kind)
             cuts = np.flatnonzero(self.closes[ids]) + 1
-            pieces = np.cumsum([1 if w.isalpha() else len(PIECE.findall(w)) for w in some])
+            pieces = np.cumsum([1 if w.isalpha() else len(self.piece.findall(w)) for w in some])
             if len(cuts) != pieces[-1] or (cuts[-1] if len(cuts) else 0) != len(ids):
                 # The library cuts some word in another way: each by itself, then.
                 self.known.update(zip(some, self.whole(some), strict=True))
@@ -117,21 +131,30 @@ class WordIds:
             ends = (self.kind.itemsize * np.concatenate([[0], cuts])[pieces]).tolist()
             self.known.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends], ends, strict=False))
 
+    def is_plain(self, text: str) -> bool:
+        if PLAIN.fullmatch(text) is None:
+            return False
+        low = text.lower()
+        return not any(t in low for t in self.added)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian bytes."""
         out = []
         for some in chunks(texts):
-            plain = [PLAIN.fullmatch(t) is not None for t in some]
+            plain = [self.piece is not None and self.is_plain(t) for t in some]
             coded = iter(self.plain([t.lower() for t, p in zip(some, plain, strict=True) if p]))
-            out += [next(coded) if p else self.whole([t])[0] + self.end for t, p in zip(some, plain, strict=True)]
+            other = iter(self.whole([t for t, p in zip(some, plain, strict=True) if not p]))
+            out += [next(coded) if p else next(other) + self.end for p in plain]
         return out
 
     def plain(self, texts: list[str]) -> list[bytes]:
         """The same of lower-case plain texts: each distinct word is looked up once, and the ids are
         gathered by numpy."""
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        if not texts:
+            return []
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(pa.array(texts, pa.string()), TAIL, r"\1 \2"))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         each = list(map(self.known.get, words))
         new = [w for w, ids in zip(words, each, strict=True) if ids is None]
         if new:
@@ -143,17 +166,40 @@ class WordIds:
             self.learn(new)
             each = [self.known[w] if ids is None else ids for w, ids in zip(words, each, strict=True)]
         size = self.kind.itemsize
-        sizes = np.array([len(x) for x in each], np.int64) // size
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // size
         starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(each), self.kind)
         which = np.asarray(coded.indices)
         lengths = sizes[which]
         ends = np.cumsum(lengths)
         ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - ends + lengths, lengths)]
-        cuts = (size * np.concatenate([[0], ends])[np.asarray(split.offsets) - split.offsets[0].as_py()]).tolist()
+        offsets = np.asarray(split.offsets)
+        cuts = (size * np.concatenate([[0], ends])[offsets - offsets[0]]).tolist()
         data = ids.tobytes()
         return [data[a:b] + self.end for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def piece_pattern(spec: dict) -> regex.Pattern | None:
+    """How a tokenizer file of the kind that ``WordIds`` knows cuts a word; None for other kinds."""
+    model, cut = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    known = (
+        spec.get("normalizer") == NORMALIZER
+        and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix") == END_OF_WORD
+        and not (model.get("dropout") or model.get("unk_token") or model.get("byte_fallback") or model.get("ignore_merges"))
+        and [c.get("type") for c in cut] == ["Split", "ByteLevel"]
+        and (cut[0].get("behavior"), cut[0].get("invert")) == ("Removed", True)
+        and not (cut[1].get("add_prefix_space") or cut[1].get("use_regex"))
+        and not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
+    )
+    pattern = cut[0].get("pattern", {}).get("Regex", "") if known else ""
+    # Of the pieces' pattern only this one is known to give signs behind a letter a piece of their own.
+    return regex.compile(pattern) if pattern == PIECE else None
+
+
+# Fixed value: how a word is cut into pieces.
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def chunks(texts: list[str]) -> Iterator[list[str]]:
     """``texts`` in runs of about ``CHUNK_CHARS`` characters."""
     run, size = [], 0
@@ -167,44 +213,58 @@ def chunks(texts: list[str]) -> Iterator[list[str]]:
         yield run
 
 
-def token_blocks(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Blocks of raw ids in ascending order of ``id_col``: a range of ids is a part, cut into blocks."""
+def encoded_texts(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ids (little-endian bytes, the end id last), a row per row, encoded where rows lie."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    ranges = min(max(1, rows.select("doc_id").count() // RANGE_ROWS), MOST_RANGES)
-    rows = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows = rows.select("doc_id", "text", F.spark_partition_id().alias("part"))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = WordIds(path, end_id)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
+                yield pa.record_batch([some.column(0), pa.array(ids_of(some.column(1).to_pylist()), pa.binary())], ["doc_id", "ids"])
+
+    return rows.mapInArrow(encode, "doc_id long, ids binary")
+
+
+def coded_blocks(encoded: DataFrame, wide: bool, rank: np.ndarray) -> DataFrame:
+    """Blocks in ascending order of doc_id (null first), then ids: a range of rows is a part, cut
+    into blocks. Rows of equal doc_id may lie in several ranges."""
+    spark, size = encoded.sparkSession, 4 if wide else 2
+    totals = encoded.agg(F.sum(F.octet_length("ids")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    few = min(totals["n"] // LEAST_ROWS + 1, 2 * spark.sparkContext.defaultParallelism)
+    ranges = max((totals["bytes"] or 0) // RANGE_BYTES + 1, few)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("ids")]
+    rows = encoded.select("doc_id", F.xxhash64("ids").alias("tie"), "ids")
+    rows = rows.repartitionByRange(ranges, *order[:2]).sortWithinPartitions(*order)
+    rows = rows.select("doc_id", "ids", F.spark_partition_id().alias("part"))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(path, end_id)
-        kind, schema = encode.kind, arrow_schema(RAW)
+        kind, schema = np.dtype(f"<u{size}"), arrow_schema(CODED)
         ids: list[bytes] = []
         docs: list[int | None] = []
         part = block = before = held = 0
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(x) // kind.itemsize for x in ids], "<u4")
-            n = int(lengths.sum())
-            raw = np.frombuffer(b"".join(ids), kind)
+            lengths = np.array([len(x) // size for x in ids], "<u4")
             keys = np.array([NO_ID if d is None else d for d in docs], "<i8")
-            row = [part, block, before, n, keys.tobytes(), lengths.tobytes(), raw.astype("<u2" if kind.itemsize == 2 else "<u4").tobytes()]
+            streams = encode_values(rank[np.frombuffer(b"".join(ids), kind)])
+            row = [part, block, before, held, keys.tobytes(), lengths.tobytes(), *streams]
             return pa.record_batch([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
-            keys, texts, parts = (batch.column(k).to_pylist() for k in (0, 1, 2))
-            part = parts[0] if parts else part
-            for at in range(0, len(texts), 2000):
-                coded = encode(texts[at : at + 2000])
-                for key, x in zip(keys[at : at + 2000], coded, strict=True):
-                    ids.append(x)
-                    docs.append(key)
-                    held += len(x) // kind.itemsize
-                    if held >= BLOCK_TOKENS:
-                        yield flush()
-                        block, before, held, ids, docs = block + 1, before + held, 0, [], []
+            part = batch.column(2)[0].as_py() if batch.num_rows else part
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids.append(x)
+                docs.append(key)
+                held += len(x) // size
+                if held >= BLOCK_TOKENS:
+                    yield flush()
+                    block, before, held, ids, docs = block + 1, before + held, 0, [], []
         if ids:
             yield flush()
 
-    return rows.mapInArrow(blocks, RAW)
+    return rows.mapInArrow(blocks, CODED)
 
 
 #: Stands for a null id in a block's binary ids.
@@ -212,12 +272,12 @@ NO_ID = -(1 << 63)
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
 
 
-def frequency_order(blocks: DataFrame, wide: bool) -> np.ndarray:
-    """The ids of all blocks, most frequent first, ties by id. There are no more rows than ids."""
+def frequency_order(encoded: DataFrame, wide: bool) -> np.ndarray:
+    """The ids of all texts, most frequent first, ties by id. There are no more rows than ids."""
     kind = "<u4" if wide else "<u2"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +291,7 @@ def frequency_order(blocks: DataFrame, wide: bool) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
 
-    counts = blocks.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = sorted(((-r["n"], r["id"]) for r in counts.collect()))
     return np.array([r[1] for r in rows], np.uint32)
 
@@ -240,27 +300,19 @@ def write_token_files(df: DataFrame, path: str, end_id: int, to: str | None = No
     """Encodes every text with the tokenizer file at ``path``, appends ``end_id`` to each, and
     writes the files below ``to`` (or a new shared folder). Returns the place and the ids by rank.
 
-    Null is the empty text; repeated ids stay, in the order of their texts; a null id comes first.
+    Null is the empty text; repeated ids stay, in the order of a hash of their tokens; a null id comes first.
     """
     from tokenizers import Tokenizer
 
     spark = df.sparkSession
-    wide = Tokenizer.from_file(path).get_vocab_size() > 1 << 16
-    raw = stored(token_blocks(df, path, end_id, **columns), "token-blocks")
-    spark.sparkContext._jvm.System.gc()  # lets go of the sorted texts' shuffle files
-    order = frequency_order(raw, wide)
+    wide = max(Tokenizer.from_file(path).get_vocab().values(), default=0) >= 1 << 16
+    encoded = stored(encoded_texts(df, path, end_id, **columns), "token-ids", "lz4")
+    order = frequency_order(encoded, wide)
     rank = np.zeros(int(order.max(initial=0)) + 1, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    kind = "<u4" if wide else "<u2"
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [encode_values(rank[np.frombuffer(x.as_py(), kind)]) for x in batch.column("ids")]
-            kept = [batch.column(k) for k in range(6)]
-            yield pa.record_batch([*kept, *(pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1))], schema=arrow_schema(CODED))
-
     to = to or shared_path(spark, "token-files")
-    raw.mapInArrow(code, CODED).write.option("compression", "none").parquet(to)
+    coded_blocks(encoded, wide, rank).write.option("compression", "none").parquet(to)
+    forget(encoded)
     return to, order
 
 

@@ -90,13 +90,47 @@ def test_token_files_round_trip(spark, docs):
     got = [tuple(r) for r in token_files.read_token_files(spark, place, order).collect()]
     tokenizer = Tokenizer.from_file(path)
     expected, start = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         expected.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
+def test_word_ids_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(17)
+    parts = ["<|EndOfText|>", "<|endoftext|>", "<|STARTOFTEXT|>", "<|", "word", "Word,", "it's", "'S", "x²", "a_b", "don't.", "...", "é%%%,", "12", "3.5", "ª", "'ſ", ",'s", "—", "\u3000", "\x85", "i\u0307", "ÇA"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "\n", "\t "]) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    texts += ["<|EndOfText|> x", "a <|ENDOFTEXT|>", "x<|StartOfText|>y"]
+    got = [np.frombuffer(x, "<u2").tolist() for x in token_files.WordIds(path, 2)(texts)]
+    library = Tokenizer.from_file(path)
+    assert got == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_other_tokenizer_files_go_to_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    spec = json.loads(open(public_tokenizers.path("word_bpe_49k.json")).read())
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]
+    path = str(tmp_path / "cased.json")
+    open(path, "w").write(json.dumps(spec))
+    found = token_files.WordIds(path, 2)
+    assert found.piece is None
+    texts = ["Plain Words, again", "", "ÉTÉ"]
+    library = Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u2").tolist() for x in found(texts)] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_token_files_of_an_empty_table(spark, docs):
+    place, order = token_files.write_token_files(docs([]), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    assert token_files.read_token_files(spark, place, order).count() == 0
+
+
 def test_byte_coding():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 1000):
