@@ -28,9 +28,9 @@ from millrace.llm.common import forget, shared_path, stored
 
 BLOCK_TOKENS = 1 << 18
 #: Bytes of ids that a range holds, about; smaller tables are cut for all cores, but not below so many rows.
-RANGE_BYTES, LEAST_ROWS = 64 << 20, 1000
+RANGE_BYTES, LEAST_ROWS = 32 << 20, 1000
 #: Words whose ids a task remembers at once, and the text it works on at once.
-CACHE_WORDS, CHUNK_CHARS = 1_000_000, 6_000_000
+CACHE_WORDS, CHUNK_CHARS = 700_000, 4_000_000
 
 CODED = "part int, block int, before long, n long, doc_ids binary, lengths binary, control binary, data binary"
 
