@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import let_go, stored
+from millrace.llm.common import forget, let_go, stored
 from millrace.llm.components import connected_components
 
 SEED = 42
@@ -166,6 +166,10 @@ SEEN = 200_000
 SAMPLE_TEXTS, MOST_FREQUENT = 8_000, 200_000
 #: Texts of a list that is compared with another, about.
 MEET_ROWS = 2048
+#: Rows of two longs up to which a table is broadcast.
+BROADCAST_ROWS = 200_000
+#: A count of a profile that may stand for more.
+FULL = 255
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -210,9 +214,27 @@ def keyed_texts(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_key"), text.cast("binary").alias("text"))
 
 
+def profile(hashes: np.ndarray) -> bytes:
+    """How many hashes of a set fall into each of as many classes as the set has quarters of hashes,
+    about; classes by the low bits, so that a longer profile folds onto a shorter one."""
+    classes = 1 << min(20, max(4, (len(hashes) // 4).bit_length()))
+    counts = np.bincount((hashes & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+    return np.minimum(counts, FULL).astype(np.uint8).tobytes()
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> int | None:
+    """No more hashes than this can two sets share, by their profiles; None if these can't tell."""
+    if x.max() == FULL or y.max() == FULL:
+        return None
+    n = min(len(x), len(y))
+    x, y = (v.reshape(-1, n).sum(axis=0, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def with_prefixes(df: DataFrame, shingle: int, parts: bool) -> DataFrame:
-    """doc_id, _key, fp, sid (a hash of the shingle set), n (its size) and keys (its prefix), a row per
-    row. Equal sets that one task meets have keys once, and without ``parts`` no text has any."""
+    """doc_id, _key, fp, sid (a hash of the shingle set), n (its size), keys (its prefix) and profile,
+    a row per row. Equal sets that one task meets have keys and profile once, and without ``parts``
+    no text has any."""
     rows = keyed_texts(df)
     frequent, times = frequent_shingles(rows, shingle) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
@@ -221,7 +243,7 @@ def with_prefixes(df: DataFrame, shingle: int, parts: bool) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
-                fps, sids, sizes, keys = [], [], [], []
+                fps, sids, sizes, keys, profiles = [], [], [], [], []
                 for t in some.column(2):
                     text = t.as_py()
                     fps.append(fingerprint(text, shingle))
@@ -229,14 +251,16 @@ def with_prefixes(df: DataFrame, shingle: int, parts: bool) -> DataFrame:
                     sid = xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
                     sids.append(sid - (1 << 64) if sid >> 63 else sid)
                     sizes.append(len(hashes))
-                    keys.append([] if sid in seen or not len(hashes) else prefix(hashes, frequent, times).view(np.int64))
+                    first = sid not in seen and len(hashes) > 0
+                    keys.append(prefix(hashes, frequent, times).view(np.int64) if first else [])
+                    profiles.append(profile(hashes) if first else None)
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(sid)
-                columns = [pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.record_batch([some.column(0), some.column(1), *columns], ["doc_id", "_key", "fp", "sid", "n", "keys"])
+                columns = [pa.array(fps, pa.int64()), pa.array(sids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(profiles, pa.binary())]
+                yield pa.record_batch([some.column(0), some.column(1), *columns], ["doc_id", "_key", "fp", "sid", "n", "keys", "profile"])
 
-    return rows.mapInArrow(compute, "doc_id long, _key long, fp long, sid long, n int, keys array<long>")
+    return rows.mapInArrow(compute, "doc_id long, _key long, fp long, sid long, n int, keys array<long>, profile binary")
 
 
 def may_be_alike(n, m, at, to):  # noqa: ANN001, ANN201
@@ -250,9 +274,14 @@ def alike(pairs: DataFrame, df: DataFrame, light: DataFrame, shingle: int) -> Da
     """Those of the ``pairs`` (a and b are sids) whose sets have a similarity of 0.8 or more."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], ["sid", "hashes"])
+            for sid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if sid not in done:
+                    yield pa.record_batch([pa.array([sid], pa.int64()), pa.array([shingle_set(text.as_py(), shingle).tobytes()], pa.binary())], ["sid", "hashes"])
+                if len(done) >= SEEN:
+                    done.clear()
+                done.add(sid)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,19 +292,36 @@ def alike(pairs: DataFrame, df: DataFrame, light: DataFrame, shingle: int) -> Da
             yield pa.record_batch(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = light.join(wanted, "sid").groupBy("sid").agg(F.min("_key").alias("_key"))
-    texts = keyed_texts(df).select("_key", "text").join(wanted, "_key").dropDuplicates(["sid"]).select("sid", "text")
-    sets = stored(texts.mapInArrow(compute, "sid long, hashes binary"), "shingle-sets")
-    let_go(df.sparkSession)
+    wanted = stored(light.join(wanted, "sid").groupBy("sid").agg(F.min("_key").alias("_key")), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = keyed_texts(df).select("_key", "text").join(F.broadcast(wanted) if few else wanted, "_key").select("sid", "text")
+    sets = stored(texts.mapInArrow(compute, "sid long, hashes binary").dropDuplicates(["sid"]), "shingle-sets")
     left, right = (sets.select(F.col("sid").alias(c), F.col("hashes").alias(f"{c}_set")) for c in "ab")
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(test, "a long, b long")
+    found = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set").mapInArrow(test, "a long, b long")
+    found = stored(found, "alike")
+    forget(sets)
+    forget(wanted)
+    return found
 
 
 def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """The ``pairs`` whose ends have different components (sid, component), with these as ca and cb."""
+    """The ``pairs`` whose ends have different components, as ca and cb, and whose profiles allow a
+    similarity of 0.8. ``components``: sid, component, n, profile."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (np.asarray(batch.column(k)).astype(np.int64) for k in ("na", "nb"))
+            good = []
+            for x, y, size in zip(batch.column("pa"), batch.column("pb"), (n + m).tolist(), strict=True):
+                most = most_shared(*(np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y)))
+                good.append(most is None or SHARED * most >= OF * size)
+            yield pa.record_batch(batch.columns[:4], ["a", "b", "ca", "cb"]).filter(pa.array(good, pa.bool_()))
+
     for c in "ab":
-        pairs = pairs.join(components.select(F.col("sid").alias(c), F.col("component").alias(f"c{c}")), c)
-    return pairs.where("ca <> cb")
+        pairs = pairs.join(components.select(F.col("sid").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}"), F.col("profile").alias(f"p{c}")), c)
+    near = SHARED * F.least("na", "nb") >= OF * (F.col("na") + F.col("nb"))
+    rows = pairs.where((F.col("ca") != F.col("cb")) & near).select("a", "b", "ca", "cb", "na", "nb", "pa", "pb")
+    return rows.mapInArrow(test, "a long, b long, ca long, cb long")
 
 
 def parted_pairs(members: DataFrame, components: DataFrame, list_rows: int) -> DataFrame:
@@ -297,7 +343,7 @@ def parted_pairs(members: DataFrame, components: DataFrame, list_rows: int) -> D
                     if len(i):
                         yield pa.record_batch([pa.array(sid[i, 0]), pa.array(b[0][j])], ["a", "b"])
 
-    marked = members.where((F.col("size") > 2) & (F.col("sid") != F.col("head.sid"))).select("key", "sid", F.col("n").cast("long"), F.col("at").cast("long"))
+    marked = members.where("sid <> head").select("key", "sid", F.col("n").cast("long"), F.col("at").cast("long"))
     marked = stored(marked.join(components, "sid"), "bucket-rows")
     sizes = marked.groupBy("key", "component").count()
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most"))
@@ -313,36 +359,57 @@ def parted_pairs(members: DataFrame, components: DataFrame, list_rows: int) -> D
     return rows.select("rows").mapInArrow(meet, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def with_near_copies(found: DataFrame, df: DataFrame, light: DataFrame, shingle: int, list_rows: int = MEET_ROWS) -> DataFrame:
+def with_near_copies(found: DataFrame, df: DataFrame, light: DataFrame, sets: DataFrame, shingle: int, list_rows: int = MEET_ROWS) -> DataFrame:
     """``found`` (node, component over fingerprints) with the links of texts of a similarity of 0.8 or
-    more. Near copies share a key; who shares one is compared by the whole sets.
+    more. Near copies share a key; who shares one is held against each other by profiles, which rule
+    out nearly all others, and then compared by the whole sets.
 
     In each bucket of equal keys every text is first held against the one of the smallest sid, which
     joins most of a large family by no more pairs than the bucket has texts. Then those that are
     still apart are held against each other, whoever heads their buckets."""
-    sets = light.where("size(keys) > 0").dropDuplicates(["sid"])
-    rows = sets.select("sid", "n", F.posexplode("keys").alias("at", "key"))
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("sid", "n", "at")).alias("head")).where("size > 1")
-    members = stored(rows.join(buckets, "key"), "members")
-    let_go(df.sparkSession)
+    spark = df.sparkSession
+    buckets = sets.select("sid", F.explode("keys").alias("key")).groupBy("key")
+    buckets = buckets.agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("size > 1")
+    buckets = stored(buckets, "buckets")
+    let_go(spark)
+    large = buckets.where("size > 2").select("key", "size", F.col("a").alias("head"))
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    members = sets.select("sid", "n", F.posexplode("keys").alias("at", "key")).join(large, "key")
+    members = stored(members, "members")
+    let_go(spark)
     place = light.select("sid", "fp").distinct()
 
     def components(found: DataFrame) -> DataFrame:
         named = place.join(found, F.col("fp") == F.col("node"), "left").select("sid", F.coalesce("component", "fp").alias("component"))
-        return stored(named, "components")
+        # One set may have several fingerprints: any of them stands for it, as they are linked below.
+        return stored(named.groupBy("sid").agg(F.min("component").alias("component")), "components")
 
     def joined(found: DataFrame, now: DataFrame, pairs: DataFrame) -> DataFrame:
-        pairs = stored(apart(pairs, now), "candidates")
-        let_go(df.sparkSession)
+        pairs = stored(apart(pairs, now.join(sets.select("sid", "n", "profile"), "sid")), "candidates")
+        let_go(spark)
         links = alike(pairs, df, light, shingle).join(pairs, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         links = stored(links.distinct(), "near-copies")
-        let_go(df.sparkSession)
+        forget(pairs)
+        let_go(spark)
         return found if links.isEmpty() else connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
-    heads = members.where((F.col("sid") != F.col("head.sid")) & may_be_alike(F.col("n"), F.col("head.n"), F.col("at"), F.col("head.at")))
-    found = joined(found, components(found), heads.select(F.col("head.sid").alias("a"), F.col("sid").alias("b")).distinct())
+    # Equal sets of different fingerprints: texts that repeat shingles unequally often.
+    span = place.groupBy("sid").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b").select("sid", "a")
+    equal = stored(place.join(span, "sid").where("fp <> a").select(F.col("fp").alias("a"), F.col("a").alias("b")).distinct(), "equal-sets")
+    if not equal.isEmpty():
+        found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(equal))
+    head = members.groupBy("key").agg(F.min(F.struct("sid", "n", "at")).alias("first"))
+    heads = members.join(F.broadcast(head) if head.count() <= BROADCAST_ROWS else head, "key")
+    heads = heads.where((F.col("sid") != F.col("head")) & may_be_alike(F.col("n"), F.col("first.n"), F.col("at"), F.col("first.at")))
+    pairs = buckets.where("size = 2").select("a", "b").unionByName(heads.select(F.col("head").alias("a"), F.col("sid").alias("b"))).distinct()
     now = components(found)
-    return joined(found, now, parted_pairs(members, now, list_rows))
+    found = joined(found, now, pairs)
+    forget(now)
+    forget(buckets)
+    now = components(found)
+    found = joined(found, now, parted_pairs(members, now, list_rows))
+    forget(members)
+    return found
 
 
 def keep_one_of_each(df: DataFrame, shingle: int = 5, radius: int = 4, parts: bool = True) -> DataFrame:
@@ -353,10 +420,16 @@ def keep_one_of_each(df: DataFrame, shingle: int = 5, radius: int = 4, parts: bo
     smallest id stays, null counting as the largest, then of the smallest text hash; of equal rows
     one stays. All texts without words are one group. Columns stay as they are.
     """
-    light = stored(with_prefixes(df, shingle, parts), "fingerprints")
+    texts = stored(with_prefixes(df, shingle, parts), "shingled-texts")
+    light = stored(texts.select("doc_id", "_key", "fp", "sid"), "fingerprints")
+    if parts:
+        sets = stored(texts.where("size(keys) > 0").dropDuplicates(["sid"]).select("sid", "n", "keys", "profile"), "shingle-prefixes")
+    forget(texts)
     found = linked(light.select("fp").distinct(), radius)
+    let_go(df.sparkSession)
     if parts:
-        found = with_near_copies(stored(found, "by-radius"), df, light, shingle)
+        found = with_near_copies(stored(found, "by-radius"), df, light, sets, shingle)
+        forget(sets)
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_key").alias("key"))
     first = light.groupBy("fp").agg(F.min(order).alias("first"))
     named = first.join(found, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("component", "fp").alias("component"))

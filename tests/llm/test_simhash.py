@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import xxhash
 
 from millrace.llm import simhash as S
@@ -178,6 +180,25 @@ def test_near_copies_in_a_family_go(spark, docs):
     assert len(heads) > 100
     assert sorted(r["doc_id"] for r in S.keep_one_of_each(df).collect()) == heads
     light = S.stored(S.with_prefixes(df, 5, True), "fingerprints")
+    texts = light.where("size(keys) > 0").dropDuplicates(["sid"])
     none = spark.createDataFrame([], "node long, component long")
-    by_size = [{tuple(r) for r in S.with_near_copies(none, df, light, 5, size).collect()} for size in (2048, 7)]
+    by_size = [{tuple(r) for r in S.with_near_copies(none, df, light, texts, 5, size).collect()} for size in (2048, 7)]
     assert by_size[0] == by_size[1] and by_size[0]
+
+
+def test_profiles_never_rule_out_what_is_shared():
+    rng = np.random.default_rng(5)
+    for n, m, both in ((0, 3, 0), (10, 12, 9), (300, 280, 250), (5000, 4100, 4000), (40, 4000, 40)):
+        h = rng.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+        x, y = (np.frombuffer(S.profile(v), np.uint8) for v in (h[:n], h[n - both :]))
+        assert both <= S.most_shared(x, y) <= min(n, m)
+    same = np.zeros(1000, np.uint64)
+    assert S.most_shared(np.frombuffer(S.profile(same), np.uint8), np.frombuffer(S.profile(same), np.uint8)) is None
+
+
+def test_equal_sets_of_different_fingerprints_are_one_group(docs):
+    once = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, once), (2, " ".join([once] * 7)), (3, once + " " + " ".join(["w0 w1 w2 w3 w4 w5 w6"] * 9))]
+    assert S.fingerprint(rows[0][1].encode(), 5) != S.fingerprint(rows[2][1].encode(), 5)
+    kept = {r["doc_id"] for r in S.keep_one_of_each(docs(rows)).collect()}
+    assert 1 in kept and 2 not in kept
