@@ -248,10 +248,31 @@ PAGE = (
 
 
 def test_html_blocks():
-    assert html_text.read_blocks(PAGE) == (["Ti&tle", "One <two> three four.", "Five éA", "item", "A > B &am"], True)
-    assert html_text.read_blocks("") == ([], False)
-    assert html_text.read_blocks("plain <b>text") == (["plain text"], False)
-    assert html_text.read_blocks("<div class='main'><p>a<p hidden>b</p><p style='display: none'>c</p></div>") == (["a"], False)
+    plain = lambda *texts: [(t, False) for t in texts]
+    assert html_text.read_blocks(PAGE) == plain("Ti&tle", "One <two> three four.", "Five éA", "item", "A > B &am")
+    assert html_text.read_blocks("") == []
+    assert html_text.read_blocks("plain <b>text") == [("plain text", True)]
+    assert html_text.read_blocks("<div class='main'><p>a<p hidden>b</p><p style='display: none'>c</p></div>") == [("a", True)]
+    hinted = "<article><p>a</p><div class='share-price'><div>b</div>c</div><p class='form-row'>d</p><div class='x share'>e</div>f</article>"
+    assert html_text.read_blocks(hinted) == [("a", False), ("b", True), ("c", True), ("d", True), ("f", False)]
+
+
+def test_hints_are_settled_by_the_nearest_page(spark):
+    page = lambda i: f"<body><div>Menu</div><article><p>The same quote.</p><p>Own {i}</p><div class='share-price'>Price {i}</div><div class='share-row'>Share this</div></article></body>"
+    rows = [(i, f"https://h.example/{i}", page(i)) for i in range(10, 20)]
+    # Copies at other paths are no neighbours: the next page beyond them is.
+    rows += [(30 + k, f"https://c.example/a{k}", "<p>Menu</p><p>Text a</p>") for k in range(4)] + [(40, "https://c.example/b", "<p>Menu</p><p>Text b</p>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"The same quote.\n\nOwn {i}\n\nPrice {i}" for i in range(10, 20))
+    assert all(got[30 + k] == "Text a" for k in range(4)) and got[40] == "Text b"
+
+
+def test_html_of_empty_tables_and_long_pages(spark):
+    schema = "page_id long, url string, html string, _host int, shared string"
+    assert html_text.extract_text(spark.createDataFrame([], schema)).count() == 0
+    long = "<article>" + "<p>" + "</p><p>".join(f"word{i} and more" for i in range(30_000)) + "</p></article>"
+    out = html_text.extract_text(spark.createDataFrame([(1, "u", long, 5, "x")], schema)).collect()
+    assert out[0]["text"].count("\n\n") == 29_999
 
 
 def lcs(a, b):
