@@ -23,6 +23,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted``, each lengthened until no column of ``df`` has the name in any letter case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that driver and executors share.
 

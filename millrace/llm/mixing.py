@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored, words
+from millrace.llm.common import free_names, stored, words
 
 CELL_ROWS = 4096
 CHUNK_SLOTS = 65536
@@ -38,11 +38,12 @@ class Mix:
     pieces: DataFrame
 
     def taken(self, by_epoch: bool = False) -> DataFrame:
-        """``docs`` with ``taken``, the words that the mix takes of each; 0 if none.
+        """``docs`` with ``taken``, the words that the mix takes of each, 0 if none, and ``first_slot``,
+        where in the schedule they begin, null if none.
 
         By epoch, a row per document and pass through its line in which something is taken."""
         key = ["sid", "start", *(["epoch"] if by_epoch else [])]
-        sums = self.pieces.groupBy(*key).agg(F.sum("words").alias("taken")).withColumnRenamed("sid", "sid_")
+        sums = self.pieces.groupBy(*key).agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot")).withColumnRenamed("sid", "sid_")
         sums = sums.withColumnRenamed("start", "start_")
         docs = self.docs
         on = (docs.sid == sums.sid_) & (docs.start == sums.start_) & (docs.size > 0)
@@ -140,8 +141,9 @@ def mix(
     docs = numbered(docs, ["sid"], "cell", order, "start", F.col("size")).drop("cell", "h")
     docs = stored(docs, "mix-docs")
 
-    # The schedule: some more slots than are wanted, so that no source falls short by discrepancy.
-    n_slots = int(size["slots"] * 1.02) + 64 if size["slots"] else 0
+    # The schedule. The first 2 ** k points are evenly spaced; with two of them or more to a wanted
+    # slot every source finds all its slots among them, however few. What is over takes nothing.
+    n_slots = 1 << (2 * size["slots"] - 1).bit_length() if size["slots"] else 0
     grid = 4 * max(size["n"], 1)
     digits = F.conv(F.reverse(F.lpad(F.bin("slot"), DIGITS, "0")), 2, 10).cast("long")
     slots = spark.range(n_slots).withColumnRenamed("id", "slot").withColumn("point", digits * max(size["slots"], 1) / 2**DIGITS)
@@ -173,29 +175,35 @@ def mix(
     return Mix(docs, sources, schedule, pieces)
 
 
-def mixed_documents(df: DataFrame, **parameters) -> DataFrame:
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its ``n``-th word, the white space between words as it is."""
+    gaps = F.split(text, r"[^\x20\x09-\x0D]+")
+    kept = F.slice(words(text), F.lit(1), n)
+    return F.array_join(F.transform(kept, lambda x, i: F.concat(F.get(gaps, i), x)), "")
+
+
+def mixed_documents(df: DataFrame, slot_col: str | None = None, **parameters) -> DataFrame:
     """The mix as documents with the columns of ``df``: a row for each pass in which words of a
-    document are taken, with the whole text or, where a source's target ends inside a document,
-    its first words; ``n_chars`` follows the text if there is such a column.
+    document are taken, with the whole text or, where a source's target ends inside a document, the
+    text up to its last word taken; ``n_chars`` follows the text if there is such a column.
 
-    Documents of which the mix takes nothing are not in it.
+    ``slot_col`` names a column for the slot at which the row's words begin: sorted by it, any
+    beginning of the mix has the wanted weights. Documents of which the mix takes nothing are not in it.
     """
     plan = mix(df, **parameters)
-    picks = plan.taken(by_epoch=True).select("doc_id", "text_key", "start", "sid", "size", "epoch", "taken")
+    picks = plan.taken(by_epoch=True).select("doc_id", "text_key", "start", "sid", "size", "epoch", "taken", "first_slot")
     same = W.partitionBy("doc_id", "text_key")
     lines = picks.select("doc_id", "text_key", "sid", "start").distinct()
     lines = lines.withColumn("copy", F.row_number().over(same.orderBy("sid", "start")))
     picks = picks.join(lines.drop("doc_id", "text_key"), ["sid", "start"])
-    picks = picks.select(*(F.col(c).alias(f"_{c}") for c in ("doc_id", "text_key", "copy", "size", "epoch", "taken")))
-    keyed = df.withColumn("_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    keyed = keyed.withColumn(
-        "_n", F.row_number().over(W.partitionBy("doc_id", "_key").orderBy(F.col("source").asc_nulls_last()))
-    )
-    on = keyed.doc_id.eqNullSafe(F.col("_doc_id")) & (F.col("_key") == F.col("_text_key")) & (F.col("_n") == F.col("_copy"))
-    head = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
-    first = F.concat(head, F.array_join(F.slice(words(F.col("text")), 1, F.col("_taken").cast("int")), " "))
-    text = F.when(F.col("_taken") >= F.col("_size"), F.col("text")).otherwise(first)
-    out = keyed.join(picks, on).withColumn("text", text)
+    key, n, *own = free_names(df, "text_key", "copy_number", "pick_id", "pick_key", "pick_copy", "pick_size", "pick_taken", "pick_slot")
+    picks = picks.select(*(F.col(c).alias(o) for c, o in zip(("doc_id", "text_key", "copy", "size", "taken", "first_slot"), own, strict=True)))
+    keyed = df.withColumn(key, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    keyed = keyed.withColumn(n, F.row_number().over(W.partitionBy("doc_id", key).orderBy(F.col("source").asc_nulls_last())))
+    doc_id, text_key, copy, size, taken, slot = own
+    out = keyed.join(picks, keyed.doc_id.eqNullSafe(F.col(doc_id)) & (F.col(key) == F.col(text_key)) & (F.col(n) == F.col(copy)))
+    text = F.when(F.col(taken) >= F.col(size), F.col("text")).otherwise(first_words(F.col("text"), F.col(taken).cast("int")))
+    out = out.withColumn("text", text)
     if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*df.columns)
+        out = out.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
+    return out.select(*df.columns, *([F.col(slot).alias(slot_col)] if slot_col else []))

@@ -18,7 +18,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(documents(spark, sf_dir))
-    return plan.taken().select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    return plan.taken().select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "first_slot")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,13 +121,26 @@ t AS (
   SELECT source, source_size,
          CASE WHEN left2 * weight <= 2 * cap * free THEN (l * weight)::DOUBLE / (2 * w)::DOUBLE ELSE cap::DOUBLE END AS target
   FROM g, e),
+u AS (
+  SELECT *, greatest(ceil(source_size / b), 1)::BIGINT AS block, round(target)::BIGINT AS want
+  FROM (SELECT *, greatest(ceil(source_size / 4096), least(source_size, 64), 1) AS b FROM t)),
+v AS (SELECT *, ceil(want / block)::BIGINT AS slots FROM u),
+i AS (SELECT *, sum(slots) OVER (ORDER BY source NULLS LAST)::BIGINT AS hi, sum(slots) OVER ()::BIGINT AS every FROM v),
+n AS (
+  SELECT k, list_sum(list_transform(range(0, 40), lambda e: ((k >> e) & 1) << (39 - e))) * every / 1099511627776.0 AS point
+  FROM (SELECT DISTINCT every, unnest(range(0, (2 ** ceil(log2(2 * every)))::BIGINT)) AS k FROM i WHERE every > 0)),
+r AS (
+  SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY k) - 1 AS nth
+  FROM n JOIN i ON point >= hi - slots AND point < hi),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, round(t.target)::BIGINT AS want,
+  SELECT d.doc_id, d.size, t.source, t.source_size, t.target, want, block,
          (sum(d.size) OVER (PARTITION BY d.source ORDER BY h, d.doc_id, text_key ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       greatest(0, least(upto, want) - (upto - size)) + greatest(0, least(upto, want - source_size) - (upto - size)) AS taken
-FROM p""",
+  FROM d JOIN i AS t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (
+  SELECT *, greatest(0, least(upto, want) - (upto - size)) + greatest(0, least(upto, want - source_size) - (upto - size)) AS taken
+  FROM p)
+SELECT doc_id, size, source_size, target, taken, k AS first_slot
+FROM q LEFT JOIN r ON taken > 0 AND nth = (upto - size) // block AND q.source IS NOT DISTINCT FROM r.source""",
     # The text of an article, which every page of the tables has; differencing has no part in it.
     "op8_html_text": r"""
 WITH a AS (
