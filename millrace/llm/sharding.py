@@ -77,8 +77,24 @@ def best_fit_decreasing(sizes: Sequence[int], capacity: int) -> list[int]:
 
 
 def pack(sizes: Sequence[int], shards: int) -> list[int]:
-    """Shards 0 to ``shards`` - 1 for the items, at the least capacity that best-fit-decreasing
-    needs no more shards for, searched by halving down to a ten-thousandth."""
+    """Shards 0 to ``shards`` - 1 for the items. An item above an even share of what is left has a
+    shard of its own; the rest goes into the other shards at the least capacity that
+    best-fit-decreasing needs no more of them for, searched by halving down to a ten-thousandth."""
+    out, left = [0] * len(sizes), sum(sizes)
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    alone = 0
+    while alone < min(len(order), shards - 1) and sizes[order[alone]] * (shards - alone) > left:
+        out[order[alone]] = alone
+        left -= sizes[order[alone]]
+        alone += 1
+    rest = order[alone:]
+    for i, shard in zip(rest, least_capacity([sizes[i] for i in rest], shards - alone), strict=True):
+        out[i] = alone + shard
+    return out
+
+
+def least_capacity(sizes: Sequence[int], shards: int) -> list[int]:
+    """See ``pack``: the bins of the least capacity at which there are ``shards`` at most."""
     if not len(sizes):
         return []
     total = sum(sizes)
@@ -104,12 +120,13 @@ def pack(sizes: Sequence[int], shards: int) -> list[int]:
 
 
 def assign_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", overhead: int = 16) -> DataFrame:
-    """One row per input row: doc_id, size, text_crc32, shard and slot, gapless from 0 per shard.
+    """One row per input row: doc_id, size, text_crc32, shard, slot, gapless from 0 per shard, and
+    group_cut.
 
     Size is the text's UTF-8 bytes plus ``overhead``; null counts as the empty text. Rows with
     equal texts share a shard, unless their group alone is larger than an even share of the whole:
-    no shard could hold it, so it is cut by a hash of the ids into parts of about half a share.
-    Slots follow bins, then ids. Equal rows stay rows of their own. An empty table gives an empty
+    no shard could hold it, so its rows are dealt into parts of about half a share, whatever their
+    ids, and ``group_cut`` is true for them. Slots follow bins, then ids. Equal rows stay rows of their own. An empty table gives an empty
     result; with fewer groups than shards some shards stay empty.
     """
     spark = df.sparkSession
@@ -126,9 +143,10 @@ def assign_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
 
     groups = base.groupBy("key").agg(F.sum("size").alias("bytes"))
     large = groups.where(F.col("bytes") > share).select("key", F.ceil(F.col("bytes") * 2 / share).alias("parts"))
-    base = base.join(large, "key", "left")
-    part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0))
-    base = stored(base.withColumn("part", part).drop("parts"), "shard-parts")
+    # Fewer groups than shards are above an even share: a bounded broadcast.
+    base = base.join(F.broadcast(large), "key", "left")
+    part = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("parts")), F.lit(0))
+    base = stored(base.withColumn("part", part).withColumn("group_cut", F.col("parts").isNotNull()).drop("parts"), "shard-parts")
     items = base.groupBy("key", "part").agg(F.sum("size").alias("bytes"))
     buckets = max(1, -(-base.count() // BUCKET_ITEMS))
     items = items.withColumn("bucket", F.pmod(F.xxhash64("key", "part"), F.lit(buckets)))
@@ -149,11 +167,11 @@ def assign_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
     items = items.join(where, ["bucket", "bin"]).select("key", "part", "bucket", "bin", "shard")
 
     # Slots: rows are counted in cells of some thousand rows of a bin, cells are summed up per shard.
-    rows = base.join(items, ["key", "part"]).select("doc_id", "size", "text_crc32", "shard", "bucket", "bin")
+    rows = base.join(items, ["key", "part"]).select("doc_id", "size", "text_crc32", "group_cut", "shard", "bucket", "bin")
     counts = rows.groupBy("shard", "bucket", "bin").count()
     counts = counts.select("shard", "bucket", "bin", F.ceil(F.col("count") / CELL_ROWS).alias("cells"))
     rows = stored(
-        rows.join(counts, ["shard", "bucket", "bin"]).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.col("cells"))).drop("cells"),
+        rows.join(counts, ["shard", "bucket", "bin"]).withColumn("cell", F.pmod(F.monotonically_increasing_id(), F.col("cells"))).drop("cells"),
         "shard-cells",
     )
     cell = ["shard", "bucket", "bin", "cell"]
@@ -162,5 +180,5 @@ def assign_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
     inside = W.partitionBy(*cell).orderBy("doc_id", "size", "text_crc32")
     rows = rows.join(cells.drop("count"), cell)
     return rows.select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("before") + F.row_number().over(inside) - 1).cast("long").alias("slot")
+        "doc_id", "size", "text_crc32", "shard", (F.col("before") + F.row_number().over(inside) - 1).cast("long").alias("slot"), "group_cut"
     )
