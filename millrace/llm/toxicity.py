@@ -11,6 +11,7 @@ sum of weights, once as it is and once by its length, goes through a logistic fu
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,8 +32,6 @@ LOOK_ALIKES = {
 # Digits and signs that stand for a letter inside a word.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 SIGNS = {"@": "a", "$": "s", "!": "i", "|": "l"}
-# Harmless phrases around words that lexicons tend to hold.
-EXCEPTIONS = ("trash can", "trash bin", "clown fish", "class clown")
 
 _BLANKS = {chr(c): " " for c in range(128) if not chr(c).isalnum()}
 _WIDE = {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}
@@ -94,11 +93,18 @@ def features(text: str, automaton: ahocorasick.Automaton | None) -> tuple[float,
     found = list(automaton.iter(folded))
     if not found:
         return 0.0, 0.0
-    spans = [(end - len(term) + 1, end) for end, (term, w, _) in found if w is None]
+    # Phrases by where they begin, with the furthest end of any that begins there or before.
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, end in sorted((end - len(term) + 1, end) for end, (term, w, _) in found if w is None):
+        starts.append(start)
+        ends.append(max(end, ends[-1]) if ends else end)
     counts: Counter = Counter()
     for end, value in found:
-        if value[1] is not None and not any(a <= end - len(value[0]) + 1 and end <= b for a, b in spans):
-            counts[value] += 1
+        if value[1] is not None:
+            k = bisect_right(starts, end - len(value[0]) + 1)
+            if not k or ends[k - 1] < end:
+                counts[value] += 1
     n_words, total, every = folded.count(" ") - 1, 0.0, 0.0
     for (_, there, often), n in counts.items():
         w = there + (often if frequent(n, n_words) else 0.0)
@@ -186,11 +192,12 @@ def held_out(id_col) -> F.Column:
 
 
 def learn(
-    docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, min_texts: int = 3, rounds: int = 300, exceptions: tuple[str, ...] = EXCEPTIONS
+    docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, min_texts: int = 3, rounds: int = 300, exceptions: tuple[str, ...] = ()
 ) -> Lexicon:
     """A lexicon from the rows of ``labels`` (doc_id, toxic) that aren't held out.
 
-    At most ``sample_rows`` of them are taken, by a hash of their id; equal texts count once.
+    At most ``sample_rows`` of them are taken, by a hash of their id; of rows with equal ids one text
+    is taken, and equal texts count once. ``exceptions`` are phrases known from elsewhere.
     Null labels and labels without a document are left out; contradicting ones count as toxic. With
     no toxic or no clean text the lexicon is empty and every text gets the same low score.
     """
@@ -209,7 +216,8 @@ def learn(
                 toxic = pa.array([x.as_py() > 0 for x in some.column("toxic")], pa.bool_())
                 yield pa.record_batch([some.column("key"), toxic, found], ["key", "toxic", "terms"])
 
-    texts = texts.withColumn("key", F.xxhash64("text")).select("key", "text", "toxic")
+    texts = texts.withColumn("key", F.xxhash64("text")).groupBy("doc_id").agg(F.min(F.struct("key", "text")).alias("t"), F.max("toxic").alias("toxic"))
+    texts = texts.groupBy("t.key").agg(F.min("t.text").alias("text"), F.max("toxic").alias("toxic"))
     found = texts.mapInArrow(terms, "key long, toxic boolean, terms array<string>").persist()
     try:
         each = found.select("key", "toxic", F.explode("terms").alias("term"))
