@@ -17,8 +17,8 @@ SHINGLE = 5
 #: One hash in so many is kept.
 SCALE = 8
 LOWEST = -(1 << 63)
-#: Documents that stand side by side in a bucket, about; and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 512, 20_000
+#: Documents that stand side by side in a bucket, about; and the most buckets, a square.
+BUCKET_ROWS, MOST_BUCKETS = 512, 141 * 141
 
 
 def with_sketch(df: DataFrame, text_col: str, name: str, shingle: int = SHINGLE, scale: int = SCALE) -> DataFrame:
@@ -38,9 +38,12 @@ def with_sketch(df: DataFrame, text_col: str, name: str, shingle: int = SHINGLE,
     return df.withColumn(name, F.when(F.size(name) > 0, F.col(name)).otherwise(lowest)).drop(w, h)
 
 
-def merge_sketches(a: Column, b: Column) -> Column:
-    """The sketch of two parts together (shingles across the seam left out)."""
-    return F.sort_array(F.array_union(a, b))
+def merge_sketches(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The sketch of two parts together (shingles across the seam left out). What a part keeps only
+    for want of a hash below the fraction stays if the other part has none either: the lowest."""
+    both = F.sort_array(F.array_union(a, b))
+    kept = F.filter(both, lambda x: x < LOWEST + (1 << 64) // scale)
+    return F.when(F.size(kept) > 0, kept).otherwise(F.slice(both, 1, 1))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -64,14 +67,23 @@ def beside_next(df: DataFrame, id_col: str, tie_col: str, columns: list[str]) ->
     """Adds ``next_<column>`` of the next row in ascending order of ``id_col`` (null first), then
     ``tie_col``; after the last row comes the first.
 
-    Ids are cut into buckets of equal width, at most ``MOST_BUCKETS``. A window in a bucket finds
-    the next row; the first rows of a bucket also go to the bucket before, as its last. Each text
-    is shuffled once. Ids that lie close together make a bucket larger, which its window spills.
+    Ids are cut into buckets of about equally many rows, at most ``MOST_BUCKETS``, at approximate
+    quantiles. A window in a bucket finds the next row; the first rows of a bucket also go to the
+    bucket before, as its last. Each text is shuffled once. Rows with equal ids share a bucket, which
+    its window spills.
     """
-    ends = df.agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
-    lo, hi = ends["lo"] or 0, ends["hi"] or 0
-    width = (hi - lo) // min(max(1, ends["n"] // BUCKET_ROWS), MOST_BUCKETS) + 1
-    bucket = F.coalesce(F.floor((F.col(id_col).cast("double") - float(lo)) / float(width)), F.lit(-1)).cast("long")
+    n = df.select(id_col).where(F.col(id_col).isNotNull()).count()
+    side = int(min(n // BUCKET_ROWS, MOST_BUCKETS) ** 0.5) + 1
+    cuts = quantiles(df, id_col, side * side)
+    # The bucket of an id: how many cuts are no larger, counted in two steps of ``side`` each.
+    outer, own = F.lit(0), F.lit(0)
+    if cuts:
+        blocks = [cuts[k : k + side] for k in range(0, len(cuts), side)]
+        below = F.filter(F.array(*(F.lit(b[0]) for b in blocks)), lambda x: x <= F.col(id_col))
+        outer = F.size(below)
+        inner = F.element_at(F.array(*(F.array(*(F.lit(x) for x in b)) for b in blocks)), F.greatest(outer, F.lit(1)))
+        own = F.when(outer > 0, (outer - 1) * side + F.size(F.filter(inner, lambda x: x <= F.col(id_col)))).otherwise(0)
+    bucket = F.when(F.col(id_col).isNull(), -1).otherwise(own).cast("long")
     firsts = df.groupBy(bucket.alias("_bucket")).agg(F.min(id_col).alias("_first"))
     line = W.orderBy("_bucket")
     firsts = firsts.withColumn("_before", F.coalesce(F.lag("_bucket").over(line), F.max("_bucket").over(W.partitionBy())))
@@ -86,6 +98,15 @@ def beside_next(df: DataFrame, id_col: str, tie_col: str, columns: list[str]) ->
     return rows.where("_ghost = 0").drop("_b", "_ghost")
 
 
+def quantiles(df: DataFrame, column: str, parts: int) -> list[int]:
+    """Distinct ascending values that cut ``column`` into about ``parts`` parts of equally many rows."""
+    if parts < 2:
+        return []
+    shares = [k / parts for k in range(1, parts)]
+    found = df.agg(F.percentile_approx(column, shares, 10 * parts)).first()[0]
+    return sorted(set(found or []))
+
+
 def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the document's fingerprint, that of its edited text, and likenesses.
 
