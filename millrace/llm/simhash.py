@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import forget, let_go, stored
+from millrace.llm.common import forget, free_names, let_go, stored
 from millrace.llm.components import connected_components
 
 SEED = 42
@@ -435,9 +435,11 @@ def keep_one_of_each(df: DataFrame, shingle: int = 5, radius: int = 4, parts: bo
     named = first.join(found, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("component", "fp").alias("component"))
     kept = named.groupBy("component").agg(F.min("first").alias("first"))
     kept = stored(kept.select(F.col("first.none").alias("_none"), F.coalesce("first.id", F.lit(0)).alias("_id"), F.col("first.key").alias("_kept")), "kept")
-    keyed = df.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    on = (keyed.doc_id.isNull() == kept._none) & (F.coalesce(keyed.doc_id.cast("long"), F.lit(0)) == kept._id) & (F.col("_row") == kept._kept)
+    row, none, own, text = free_names(df, "row_hash", "kept_none", "kept_id", "kept_hash")
+    kept = kept.toDF(none, own, text)
+    keyed = df.withColumn(row, F.xxhash64(F.coalesce("text", F.lit(""))))
+    on = (keyed.doc_id.isNull() == F.col(none)) & (F.coalesce(keyed.doc_id.cast("long"), F.lit(0)) == F.col(own)) & (F.col(row) == F.col(text))
     out = keyed.join(kept, on, "left_semi")
     if not light.groupBy("doc_id", "_key").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "_row"])
+        out = out.dropDuplicates(["doc_id", row])
     return out.select(*df.columns)

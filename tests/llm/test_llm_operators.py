@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -48,6 +49,27 @@ def test_quality_order_changes_no_verdict(docs):
     assert a == b and len(set(a.values())) == 2
 
 
+def test_costly_rules_and_those_with_nothing_left_go_last(docs):
+    df = quality.text_statistics(docs([(i, f"{'#x ' * (i % 2)} word{i}") for i in range(300)]))
+    odd, every = F.col("doc_id") % 2 == 1, F.col("doc_id") % 3 > 0
+    rules = [
+        quality.Rule("costly", every, F.lit(5000)),
+        quality.Rule("same", odd, F.lit(11)),
+        quality.Rule("cheap", odd, F.lit(10)),
+        quality.Rule("rare", F.col("doc_id") == 2, F.lit(10)),
+        quality.Rule("null", F.lit(None).cast("boolean"), F.lit(10)),
+    ]
+    names = [r.name for r in quality.order_rules(df, rules)]
+    assert names[:2] == ["cheap", "rare"] and names[-1] == "costly"
+    assert names == [r.name for r in quality.order_rules(df.repartition(3), rules)]
+
+
+def test_odd_tables_of_quality(spark, docs):
+    assert quality.judge_quality(docs([])).count() == 0
+    df = spark.createDataFrame([(None, None, 1, "x"), (3, "one two", 2, "y")], "doc_id long, text string, w int, h string")
+    assert [r["n_words"] for r in quality.judge_quality(df).orderBy("doc_id").collect()] == [0, 2]
+
+
 def test_mix_reaches_targets(docs):
     rng = random.Random(6)
     rows = [(i, " ".join("w" for _ in range(rng.randint(0, 400)))) for i in range(500)] + ODD
@@ -68,6 +90,36 @@ def test_mix_reaches_targets(docs):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def test_every_source_gets_its_slots_and_every_prefix_is_mixed(spark):
+    rng = random.Random(61)
+    rows = [(i, "w " * rng.randint(1, 60), f"s{min(int(rng.expovariate(0.5)), 9)}") for i in range(1500)] + [(5000, "w w w", "tiny")]
+    plan = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=32)
+    sources = {r["sid"]: r for r in plan.sources.collect()}
+    schedule = [r.asDict() for r in plan.schedule.orderBy("slot").collect()]
+    taken = {sid: 0 for sid in sources}
+    total = sum(r["want"] for r in sources.values())
+    for n, slot in enumerate(schedule, 1):
+        taken[slot["sid"]] += slot["take"]
+        done = sum(taken.values())
+        if n % 50 == 0 and n < len(schedule) * 0.95:
+            # Blocks of a source are equal; few are ahead of or behind their share at any time.
+            assert all(abs(taken[s] - done * r["want"] / total) <= 6 * 64 for s, r in sources.items())
+    assert all(taken[s] == r["want"] for s, r in sources.items())
+    picks = plan.taken().collect()
+    assert all((r["first_slot"] is None) == (r["taken"] == 0) for r in picks)
+
+
+def test_mixed_texts_keep_their_lines_and_columns_their_values(spark):
+    rows = [(i, f"one {i}\n\ttwo  three\nfour {i} ", "a" if i % 3 else "b", i, f"k{i}", i) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _n int, text_key string, pick_id int")
+    out = mixing.mixed_documents(df, slot_col="slot", block_words=4).collect()
+    texts = {r[0]: r for r in rows}
+    assert out and any(r["text"] != texts[r["doc_id"]][1] for r in out)
+    for r in out:
+        assert texts[r["doc_id"]][1].startswith(r["text"]) and (r["_n"], r["text_key"], r["pick_id"]) == texts[r["doc_id"]][3:]
+    assert all(r["slot"] >= 0 for r in out)
+
+
 def test_mixed_documents_have_the_words_that_were_taken(docs):
     rows = [(i, " ".join(f"w{i}" for _ in range(50 + i))) for i in range(60)]
     df = docs(rows)
@@ -138,6 +190,34 @@ def test_byte_coding():
         assert token_files.decode_values(*token_files.encode_values(v), n).tolist() == v.tolist()
 
 
+def test_shards_of_a_group_above_a_share_are_even(docs):
+    for rows in ([(7, "same " * 40)] * 300, [(None, "same " * 40)] * 300):
+        rows = rows + [(1000 + i, f"{i:03} " * 50) for i in range(300)]
+        got = sharding.assign_shards(docs(rows), shards=10).collect()
+        sums = Counter()
+        for r in got:
+            sums[r["shard"]] += r["size"]
+        assert len(sums) == 10 and max(sums.values()) <= 1.25 * sum(sums.values()) / 10
+        assert sum(r["group_cut"] for r in got) == 300
+        by = {}
+        for r in got:
+            by.setdefault(r["shard"], []).append(r["slot"])
+        assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_shard_digests_and_odd_tables(docs):
+    got = sharding.assign_shards(docs(ODD), shards=3).collect()
+    expected = sorted((str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in ODD)
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == expected
+    assert sharding.assign_shards(docs([]), shards=3).count() == 0
+
+
+def test_pack_puts_large_items_apart():
+    assert Counter(sharding.pack([1000, 10, 10, 10, 10], 3)).most_common()[0][1] == 2
+    assert sorted(Counter(sharding.pack([5] * 40, 8)).values()) == [5] * 8
+    assert sharding.pack([], 4) == [] and sharding.pack([3], 1) == [0]
+
+
 def test_shards(docs):
     rng = random.Random(7)
     rows = ODD + [(1000 + i, "t" * rng.randint(0, 3000)) for i in range(800)] + [(5000 + i, "same text") for i in range(40)]
