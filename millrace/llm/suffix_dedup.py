@@ -15,8 +15,12 @@ matter are sorted at all:
 3. The rest, mostly suffixes near the ends of agreements, are sorted by the key of their first 50
    bytes, bucket by bucket. A run of equal keys belongs to its first document.
 
-Keys are hashes: suffixes matter here only as runs of equal ones, not by their order. Keys
-travel as sorted, delta-coded arrays, a row for each chunk and bucket, each key once for a chunk;
+Keys are hashes: suffixes matter here only as runs of equal ones, not by their order. What equal keys
+claim is then checked on the bytes. Each claimed position names the first chunk that has its key;
+runs of claims travel there as one piece of text, and its bytes are compared. Should any two differ,
+all starts anew with other hashes of more bits, so a result never rests on a hash.
+
+Keys travel as sorted, delta-coded arrays, a row for each chunk and bucket, each key once for a chunk;
 so a passage that many documents share costs a key for each chunk. Tasks hold a chunk or a bucket.
 """
 
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import let_go, shared_path, stored
+from millrace.llm.common import forget, let_go, shared_path, stored
 
 PERIOD = 31
 #: A perfect difference set, whose differences are all numbers modulo 31.
@@ -40,19 +44,23 @@ COVER = (1, 5, 11, 24, 25, 27)
 CHUNK_BYTES = 4 << 20
 #: Keys that a task sorts at once, about.
 BUCKET_KEYS = 2_000_000
-MOST_RANGES = 20_000
 REST_PARTS = 2
 #: A sample key has so many bits more than it takes to number all samples: a chance agreement costs
 #: time, not rightness, so few bits do.
 SPARE_BITS = 11
-#: Bits of the keys that decide: n strings are all told apart but with a chance of n * n / 2 ** 63.
+#: Bits of the keys that decide.
 KEY_BITS = 62
+#: Bytes of claims that are checked at once against a chunk, about; and how often all may start anew.
+CLAIM_BYTES, MOST_STARTS = 8 << 20, 12
+
 
-_FACTORS = np.random.Generator(np.random.PCG64(50)).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+def factors(seed: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def keys_at(data: np.ndarray, at: np.ndarray, length: int, bits: int = KEY_BITS) -> np.ndarray:
-    """Hashes of the ``length`` bytes from each position of ``at``; ``data`` has 8 bytes more."""
+def keys_at(data: np.ndarray, at: np.ndarray, length: int, bits: int, odd: np.ndarray) -> np.ndarray:
+    """Hashes, by the ``factors`` odd, of the ``length`` bytes from each position of ``at``; ``data``
+    has 8 bytes more."""
     words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
     out = np.full(len(at), length, np.uint64)
     for k, start in enumerate(range(0, length, 8)):
@@ -60,9 +68,9 @@ def keys_at(data: np.ndarray, at: np.ndarray, length: int, bits: int = KEY_BITS)
         if start + 8 > length:
             x &= np.uint64((1 << 8 * (length - start)) - 1)
         x ^= out
-        x *= _FACTORS[k]
+        x *= odd[k]
         out = x ^ (x >> np.uint64(29))
-    out *= _FACTORS[-1]
+    out *= odd[-1]
     return (out ^ (out >> np.uint64(32))) >> np.uint64(64 - bits)
 
 
@@ -110,11 +118,39 @@ def later_copies(keys: np.ndarray, owners: np.ndarray, every: bool, elsewhere: n
     return out
 
 
+def first_of(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """For each key the index of the one equal to it that has the smallest owner."""
+    order = np.lexsort((owners, keys))
+    k = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.repeat(order[starts], np.diff(np.append(starts, len(k))))
+    return out
+
+
+def differ(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, length: int) -> int:
+    """At how many of the positions ``a`` of ``x`` the next bytes aren't those at ``b`` of ``y``."""
+    n, span = 0, np.arange(length)
+    for k in range(0, len(a), 1 << 14):
+        n += int((x[a[k : k + (1 << 14), None] + span] != y[b[k : k + (1 << 14), None] + span]).any(axis=1).sum())
+    return n
+
+
+@dataclass(frozen=True)
+class Hashing:
+    """The length of a repeated string, the bits of sample keys and of keys that decide, and a seed."""
+
+    length: int
+    sample_bits: int
+    key_bits: int
+    seed: int
+
+
 class Chunk:
     """The texts of a chunk as one array of bytes, and what of them is repeated."""
 
-    def __init__(self, batch: pa.RecordBatch, length: int, bits: int):
-        self.batch, self.length, self.bits = batch, length, bits
+    def __init__(self, batch: pa.RecordBatch, how: Hashing):
+        self.batch, self.length, self.how, self.odd = batch, how.length, how, factors(how.seed)
         texts = batch.column("text")
         texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts
         offsets = np.frombuffer(texts.buffers()[1], "<i8")[texts.offset : texts.offset + len(texts) + 1]
@@ -148,7 +184,7 @@ class Chunk:
         within = number // len(COVER) * PERIOD + np.array(COVER)[number % len(COVER)]
         good = within < n[row]
         self.sample_row, self.sample_at = row[good], within[good] + self.starts[row[good]]
-        self.sample_keys = keys_at(self.data, self.sample_at, deep, self.bits)
+        self.sample_keys = keys_at(self.data, self.sample_at, deep, self.how.sample_bits, self.odd)
 
     def share(self, elsewhere: np.ndarray) -> None:
         """Keeps the samples that another document has: in another chunk (``elsewhere``) or here."""
@@ -156,26 +192,85 @@ class Chunk:
         kept = later_copies(self.sample_keys, self.owner[self.sample_row], True, elsewhere)
         self.sample_at, self.sample_row, self.sample_keys = self.sample_at[kept], self.sample_row[kept], self.sample_keys[kept]
         self.long = self.sample_at + self.length + PERIOD - 1 <= self.ends[self.sample_row]
-        self.long_keys = keys_at(self.data, self.sample_at[self.long], self.length + PERIOD - 1)
+        self.long_keys = keys_at(self.data, self.sample_at[self.long], self.length + PERIOD - 1, self.how.key_bits, self.odd)
 
     def resolve(self, earlier: np.ndarray) -> None:
         """Marks the suffixes that long ties with earlier documents resolve; lists the other ones
         that share a sample, with their keys."""
-        tied = later_copies(self.long_keys, self.owner[self.sample_row[self.long]], False, earlier)
+        self.tied = tied = later_copies(self.long_keys, self.owner[self.sample_row[self.long]], False, earlier)
         at = self.sample_at[self.long][tied]
         self.resolved = cover(len(self.data), at, at + PERIOD)
         low = np.maximum(self.sample_at - PERIOD + 1, self.starts[self.sample_row])
         high = np.minimum(self.sample_at + 1, self.ends[self.sample_row] - self.length + 1)
         good = low < high
         self.rest = np.flatnonzero(cover(len(self.data), low[good], high[good]) & ~self.resolved)
-        self.rest_keys = keys_at(self.data, self.rest, self.length)
+        self.rest_keys = keys_at(self.data, self.rest, self.length, self.how.key_bits, self.odd)
 
     def removed(self, earlier: np.ndarray) -> np.ndarray:
         """Which bytes go."""
-        found = later_copies(self.rest_keys, self.owner[self.rows_of(self.rest)], False, earlier)
+        self.again = found = later_copies(self.rest_keys, self.owner[self.rows_of(self.rest)], False, earlier)
         starts = np.concatenate([np.flatnonzero(self.resolved), self.rest[found]])
         return cover(len(self.data), starts, starts + self.length)
 
+    def kinds(self) -> Iterator[tuple]:
+        """Of long ties and of the rest: keys, positions, owners, which are claimed, the length."""
+        yield self.long_keys, self.sample_at[self.long], self.owner[self.sample_row[self.long]], self.tied, self.length + PERIOD - 1
+        yield self.rest_keys, self.rest, self.owner[self.rows_of(self.rest)], self.again, self.length
+
+    def claims(self, known: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, list[tuple[int, bytes, bytes, bytes]]]:
+        """How many claims within the chunk fail, and those on other chunks: a chunk, pieces of text
+        one after the other, positions in them, and which are long ties. ``known``: by kind the keys
+        that earlier chunks have, ascending, and the first chunk that has each."""
+        wrong, at, size, first = 0, [], [], []
+        for (keys, places, owners, claimed, length), (there, where) in zip(self.kinds(), known, strict=True):
+            own = np.flatnonzero(claimed)
+            if not len(own):
+                continue
+            outside = member(keys[own], there)
+            inside = own[~outside]
+            if len(inside):
+                wrong += differ(self.data, places[inside], self.data, places[first_of(keys, owners)[inside]], length)
+            own = own[outside]
+            at.append(places[own])
+            size.append(np.full(len(own), length))
+            first.append(where[np.searchsorted(there, keys[own])])
+        if not sum(map(len, at)):
+            return wrong, []
+        p, n, f = (np.concatenate(x) for x in (at, size, first))
+        order = np.lexsort((p, f))
+        p, n, f = p[order], n[order], f[order]
+        fresh = np.concatenate([[True], f[1:] != f[:-1]])
+        # Claims that overlap are one piece: ends so far, each chunk's beyond all of the one before.
+        shift = (np.cumsum(fresh) - 1) * (len(self.data) + 1)
+        ends = np.maximum.accumulate(p + n + shift)
+        begins = np.flatnonzero(np.concatenate([[True], (p + shift)[1:] > ends[:-1]]))
+        piece = np.cumsum(np.isin(np.arange(len(p)), begins)) - 1
+        low = p[begins]
+        lengths = ends[np.append(begins[1:], len(p)) - 1] - shift[begins] - low
+        before = np.cumsum(lengths) - lengths
+        text = self.data[np.arange(lengths.sum()) + np.repeat(low - before, lengths)]
+        out, bounds = [], np.append(np.flatnonzero(fresh), len(p))
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            start, stop = before[piece[a]], before[piece[b - 1]] + lengths[piece[b - 1]]
+            places = (p[a:b] - low[piece[a:b]] + before[piece[a:b]] - start).astype("<i8")
+            out.append((int(f[a]), text[start:stop].tobytes(), places.tobytes(), (n[a:b] > self.length).tobytes()))
+        return wrong, out
+
+    def refute(self, text: bytes, at: bytes, long: bytes) -> int:
+        """How many claims of another chunk fail here."""
+        other = np.zeros(len(text) + 8, np.uint8)
+        other[: len(text)] = np.frombuffer(text, np.uint8)
+        at, long, wrong = np.frombuffer(at, "<i8"), np.frombuffer(long, bool), 0
+        for (keys, places, _, _, length), some in zip(self.kinds(), (at[long], at[~long]), strict=True):
+            if not len(some):
+                continue
+            order = np.argsort(keys, kind="stable")
+            asked = keys_at(other, some, length, self.how.key_bits, self.odd)
+            good = member(asked, keys[order])
+            here = places[order[np.searchsorted(keys[order], asked[good])]]
+            wrong += int((~good).sum()) + differ(other, some[good], self.data, here, length)
+        return wrong
+
 
 def cover(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """True from each low up to its high, not included, in an array of ``n``."""
@@ -197,7 +292,7 @@ def make_chunks(df: DataFrame, id_col: str, text_col: str, carry: list[str], chu
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(carry)))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, min(total // (4 * chunk_bytes) + 1, MOST_RANGES))
+    ranges = total // (4 * chunk_bytes) + 1
     rows = rows.repartitionByRange(ranges, F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), "text")
     rows = rows.withColumn("_part", F.spark_partition_id())
 
@@ -211,6 +306,8 @@ def make_chunks(df: DataFrame, id_col: str, text_col: str, carry: list[str], chu
             part = held[0].column("_part")[0].as_py()
             whole = pa.Table.from_batches(held).drop_columns(["_part"]).combine_chunks()
             batch = whole.to_batches()[0]
+            if batch.num_rows != whole.num_rows:
+                raise ValueError("a chunk's texts have over two billion bytes")
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(batch)
@@ -251,12 +348,14 @@ def make_chunks(df: DataFrame, id_col: str, text_col: str, carry: list[str], chu
     del chunks, writer, rows
     let_go(spark)
     table = spark.table(name)
+    # The frame has its files and buckets; the catalog needn't keep the name.
+    spark.sql(f"DROP TABLE {name}")
     return Chunked(table, total, table.select("chunk").count())
 
 
-def open_chunk(data: bytes, length: int, bits: int) -> Chunk:
+def open_chunk(data: bytes, how: Hashing) -> Chunk:
     with pa.ipc.open_stream(pa.py_buffer(data)) as source:
-        return Chunk(source.read_next_batch(), length, bits)
+        return Chunk(source.read_next_batch(), how)
 
 
 def bucket_rows(chunk: int, keys: np.ndarray, bits: int, buckets: int, part: range) -> list[tuple]:
@@ -278,68 +377,88 @@ def key_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def sort_buckets(rows: DataFrame, every: bool) -> DataFrame:
-    """chunk, keys: the keys of each chunk that an earlier chunk has (with ``every``, another one),
-    one bucket sorted at a time."""
+    """chunk, keys, firsts: the keys of each chunk that an earlier chunk has (with ``every``, another
+    one), and the first chunk that has each, one bucket sorted at a time."""
 
     def sort(table: pa.Table) -> pa.Table:
         order = np.argsort(np.asarray(table["chunk"]), kind="stable")
         table = table.take(pa.array(order))
-        chunks = table["chunk"].to_pylist()
+        chunks = np.asarray(table["chunk"])
         each = [unpack(x.as_py()) for x in table["keys"]]
         sizes = [len(x) for x in each]
         keys, owners = np.concatenate(each), np.repeat(np.arange(len(each)), sizes)
-        found = later_copies(keys, owners, every)
+        by = np.argsort(keys, kind="stable")  # owners ascend, so a run begins with its first one
+        starts = np.flatnonzero(np.concatenate([[True], keys[by][1:] != keys[by][:-1]]))
+        counts = np.diff(np.append(starts, len(keys)))
+        first = np.empty(len(keys), np.int64)
+        first[by] = np.repeat(owners[by[starts]], counts)
+        found = owners > first
+        if every:
+            found[by] = np.repeat(counts > 1, counts)
         out, at = [], 0
-        for c, own in zip(chunks, each, strict=True):
-            kept = own[found[at : at + len(own)]]
+        for c, own in zip(chunks.tolist(), each, strict=True):
+            here = slice(at, at + len(own))
+            kept = found[here]
             at += len(own)
-            if len(kept):
-                out.append((c, pack(kept)))
-        return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.binary())], ["chunk", "keys"])
+            if kept.any():
+                out.append((c, pack(own[kept]), None if every else chunks[first[here][kept]].astype("<i8").tobytes()))
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["chunk", "keys", "firsts"])
 
-    return rows.groupBy("bucket").applyInArrow(sort, "chunk long, keys binary")
+    return rows.groupBy("bucket").applyInArrow(sort, "chunk long, keys binary, firsts binary")
 
 
 def with_found(chunks: Chunked, found: list[tuple[int, DataFrame]]) -> DataFrame:
-    """The chunks with a column of what was found for them: structs of the pass and an array of keys.
+    """The chunks with a column of what was found for them: structs of the pass, keys and firsts.
 
     One join, and the chunks' table is bucketed as the found keys are dealt, so it isn't shuffled."""
-    kind = "array<struct<pass:int,keys:binary>>"
+    kind = "array<struct<pass:int,keys:binary,firsts:binary>>"
     if not found:
         return chunks.table.withColumn("found", F.array().cast(kind))
-    tagged = [rows.select("chunk", F.struct(F.lit(i).alias("pass"), "keys").alias("f")) for i, rows in found]
+    tagged = [rows.select("chunk", F.struct(F.lit(i).alias("pass"), "keys", "firsts").alias("f")) for i, rows in found]
     lists = reduce(DataFrame.unionByName, tagged).groupBy("chunk").agg(F.collect_list("f").alias("found"))
     return chunks.table.join(lists, "chunk", "left")
 
 
-def keys_of(found, number: int) -> np.ndarray:
-    """The keys that a pass found for a chunk, ascending: buckets are ranges, but come in any order."""
-    arrays = [unpack(x["keys"]) for x in found.as_py() or () if x["pass"] == number]
-    return np.sort(np.concatenate(arrays)) if arrays else np.zeros(0, np.uint64)
+def keys_of(found, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that a pass found for a chunk, ascending, and their first chunks: buckets are ranges,
+    but come in any order."""
+    some = sorted(((unpack(x["keys"]), x["firsts"] or b"") for x in found.as_py() or () if x["pass"] == number), key=lambda x: int(x[0][0]))
+    if not some:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([x[0] for x in some]), np.concatenate([np.frombuffer(x[1], "<i8") for x in some])
 
 
-def dedup(df: DataFrame, id_col: str, text_col: str, carry: list[str], length: int, finish: Callable, schema: str, chunk_bytes: int = CHUNK_BYTES, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """``finish`` (a chunk, the mask of its bytes that go) for every chunk, after the three sorts."""
-    spark = df.sparkSession
-    chunks = make_chunks(df, id_col, text_col, carry, chunk_bytes)
-    samples = chunks.bytes * len(COVER) // PERIOD
-    buckets = samples // bucket_keys + 1
-    bits = min(KEY_BITS, max(32, samples.bit_length() + SPARE_BITS))
+CLAIM_ROWS = "chunk long, wrong long, gone binary, of long, text binary, at binary, long binary"
+
+
+def claim_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    names = [x.split()[0] for x in CLAIM_ROWS.split(", ")]
+    return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+
+def settled(chunks: Chunked, how: Hashing, bucket_keys: int) -> DataFrame | None:
+    """chunk, gone: the packed bits of the bytes that go, after the three sorts; None if some keys
+    were equal by chance."""
+    spark = chunks.table.sparkSession
+    buckets = chunks.bytes * len(COVER) // PERIOD // bucket_keys + 1
 
     def opened(batches: Iterator[pa.RecordBatch], passes: int) -> Iterator[tuple]:
-        """Chunks by name, as far as ``passes`` earlier passes settle them, and what those found."""
+        """Chunks by name, as far as ``passes`` earlier passes settle them, and their rows."""
         for batch in batches:
-            for name, data, found in zip(*(batch.column(c) for c in ("chunk", "data", "found")), strict=True):
-                chunk = open_chunk(data.as_py(), length, bits)
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                chunk = open_chunk(row["data"].as_py(), how)
                 if passes > 0:
-                    chunk.share(keys_of(found, 0))
+                    chunk.share(keys_of(row["found"], 0)[0])
                 if passes > 1:
-                    chunk.resolve(keys_of(found, 1))
-                yield name.as_py(), chunk, found
+                    chunk.resolve(keys_of(row["found"], 1)[0])
+                yield row["chunk"].as_py(), chunk, row
 
     # What a pass sorts: the keys' name, their bits, and in how many parts, one after the other.
     # Rest keys are the most; their parts bound the disk that a shuffle takes.
-    passes = (("sample_keys", bits, 1), ("long_keys", KEY_BITS, 1), ("rest_keys", KEY_BITS, REST_PARTS))
+    passes = (("sample_keys", how.sample_bits, 1), ("long_keys", how.key_bits, 1), ("rest_keys", how.key_bits, REST_PARTS))
 
     def keys_to_sort(number: int, part: range) -> Callable:
         name, width, _ = passes[number]
@@ -352,9 +471,19 @@ def dedup(df: DataFrame, id_col: str, text_col: str, carry: list[str], length: i
 
         return send
 
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, chunk, found in opened(batches, 2):
-            yield finish(chunk, chunk.removed(keys_of(found, 2)))
+    def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, chunk, row in opened(batches, 2):
+            gone = chunk.removed(keys_of(row["found"], 2)[0])
+            wrong, claims = chunk.claims([keys_of(row["found"], 1), keys_of(row["found"], 2)])
+            yield claim_batch([(name, wrong, np.packbits(gone).tobytes(), None, None, None, None)])
+            for some in claims:
+                yield claim_batch([(name, 0, None, *some)])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, chunk, row in opened(batches, 2):
+            chunk.removed(keys_of(row["found"], 2)[0])
+            wrong = sum(chunk.refute(x["text"], x["at"], x["long"]) for x in row["claims"].as_py())
+            yield pa.record_batch([pa.array([wrong], pa.int64())], ["wrong"])
 
     found: list[tuple[int, DataFrame]] = []
     for number, (name, _, parts) in enumerate(passes):
@@ -366,7 +495,45 @@ def dedup(df: DataFrame, id_col: str, text_col: str, carry: list[str], length: i
             del rows
             let_go(spark)
         found += own
-    return with_found(chunks, found).mapInArrow(last, schema)
+    claims = stored(with_found(chunks, found).mapInArrow(claim, CLAIM_ROWS), "claims")
+    asked = claims.where("of is not null").select(F.col("of").alias("chunk"), F.struct("text", "at", "long").alias("c"), F.xxhash64("chunk", "of").alias("h"))
+    # A chunk that many others copy from gets its claims in several lists.
+    lists = asked.groupBy("chunk").agg(F.ceil(F.sum(F.octet_length("c.text")) / CLAIM_BYTES).alias("lists"))
+    asked = asked.join(lists, "chunk").groupBy("chunk", F.pmod("h", "lists").alias("list")).agg(F.collect_list("c").alias("claims"))
+    wrong = with_found(chunks, found).join(asked.drop("list"), "chunk").mapInArrow(check, "wrong long")
+    wrong = wrong.unionByName(claims.select("wrong")).agg(F.sum("wrong")).first()[0]
+    for _, rows in found:
+        forget(rows)
+    let_go(spark)
+    if wrong:
+        forget(claims)
+        return None
+    return claims.where("of is null").select("chunk", "gone")
+
+
+def dedup(
+    df: DataFrame, id_col: str, text_col: str, carry: list[str], length: int, finish: Callable, schema: str,
+    chunk_bytes: int = CHUNK_BYTES, bucket_keys: int = BUCKET_KEYS, key_bits: int = KEY_BITS, sample_bits: int | None = None,
+) -> DataFrame:
+    """``finish`` (a chunk, the mask of its bytes that go) for every chunk."""
+    chunks = make_chunks(df, id_col, text_col, carry, chunk_bytes)
+    samples = chunks.bytes * len(COVER) // PERIOD
+    sample_bits = sample_bits or min(KEY_BITS, max(32, samples.bit_length() + SPARE_BITS))
+    for start in range(MOST_STARTS):
+        how = Hashing(length, sample_bits, min(KEY_BITS, key_bits << start), 50 + start)
+        gone = settled(chunks, how, bucket_keys)
+        if gone is not None:
+            break
+    else:
+        raise RuntimeError(f"{MOST_STARTS} hash functions took different strings for equal")
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, bits in zip(batch.column("data"), batch.column("gone"), strict=True):
+                chunk = open_chunk(data.as_py(), how)
+                yield finish(chunk, np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=len(chunk.data)).view(bool))
+
+    return chunks.table.join(gone, "chunk").select("data", "gone").mapInArrow(last, schema)
 
 
 def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", **sizes: int) -> DataFrame:

@@ -89,3 +89,22 @@ def test_packed_keys():
     for keys in ([], [0], [1, 2, 2**64 - 1], [2**48]):
         a = np.array(keys, np.uint64)
         assert S.unpack(S.pack(a)).tolist() == keys
+
+
+def test_keys_that_collide_change_nothing(docs):
+    rng = random.Random(12)
+    shared = [words(rng, 60) for _ in range(5)]
+    rows = [(i, f"{words(rng, 20)} {rng.choice(shared)[rng.randint(0, 9) :]} {words(rng, 9)}") for i in range(40)]
+    expected = brute(rows)
+    assert sum(r[2] for r in expected) > 2000
+    assert got(S.remove_repeats(docs(rows), chunk_bytes=900, key_bits=7, sample_bits=5)) == expected
+
+
+def test_claims_that_fail_are_counted(spark, docs):
+    """Hashes of few bits take different strings for equal: the check says so."""
+    rng = random.Random(13)
+    rows = [(i, words(rng, 60)) for i in range(30)]
+    for size in (700, 1 << 20):
+        chunks = S.make_chunks(docs(rows), "doc_id", "text", [], size)
+        assert S.settled(chunks, S.Hashing(50, 4, 6, 50), 1000) is None
+        assert S.settled(chunks, S.Hashing(50, 32, 62, 50), 1000) is not None
