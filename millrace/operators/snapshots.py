@@ -100,3 +100,42 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     line = W.partitionBy("_key").orderBy("_at", F.col("_row").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
     out = l.unionByName(r).withColumn("_found", F.last("_v", ignorenulls=True).over(line)).where("_row is not null")
     return out.select("_row.*", F.col("_found").alias(f"as_of_{value}"))
+
+
+def renew(asks: DataFrame, leases: DataFrame, key: str, length: Column) -> DataFrame:
+    """``asks`` (key, ts, asked_epoch) with ``outcome`` against ``leases`` (key, epoch, since; one row a
+    key): no_lease, fenced by another epoch, expired outside [since, since + length), or renewed."""
+    out = asks.join(leases, key, "left")
+    late = (F.col("ts") < F.col("since")) | (F.col("ts") >= F.col("since") + length)
+    outcome = F.when(F.col("epoch").isNull(), "no_lease").when(F.col("epoch") != F.col("asked_epoch"), "fenced").when(late, "expired")
+    return out.withColumn("outcome", outcome.otherwise("renewed"))
+
+
+def upsert_owned(now: DataFrame, new: DataFrame, key: str, owner: str) -> DataFrame:
+    """Rows of ``new`` replace those of ``now`` with their key and owner, or are added; a row of another
+    owner changes nothing and is a conflict. ``outcome``: unchanged, updated, conflict or inserted."""
+    values = [c for c in now.columns if c != key]
+    fresh = new.select(F.col(key), F.lit(True).alias("_new"), *(F.col(c).alias(f"_{c}") for c in values))
+    both = now.withColumn("_old", F.lit(True)).join(fresh, key, "full_outer")
+    outcome = (
+        F.when(F.col("_new").isNull(), "unchanged").when(F.col("_old").isNull(), "inserted")
+        .when(F.col(owner).eqNullSafe(F.col(f"_{owner}")), "updated").otherwise("conflict")
+    )
+    both = both.withColumn("outcome", outcome)
+    taken = F.col("outcome").isin("updated", "inserted")
+    return both.select(key, *(F.when(taken, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in values), "outcome")
+
+
+def decide(versions: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
+    """``versions`` (key, content_hash, state) after ``decisions`` (key, seen, decision; one row a key).
+
+    Only what needs a review takes a decision, and only if the hash that the reviewer saw is still
+    its own. ``outcome``: undecided, not_reviewable, stale or decided."""
+    out = versions.join(decisions, key, "left")
+    outcome = (
+        F.when(F.col("decision").isNull(), "undecided").when(F.col("state") != "needs_review", "not_reviewable")
+        .when(~F.col("seen").eqNullSafe(F.col("content_hash")), "stale").otherwise("decided")
+    )
+    out = out.withColumn("outcome", outcome)
+    new = F.when(F.col("decision") == "approve", "approved").otherwise("rejected")
+    return out.withColumn("state", F.when(F.col("outcome") == "decided", new).otherwise(F.col("state"))).drop("seen", "decision")

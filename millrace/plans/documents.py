@@ -153,9 +153,6 @@ QUERIES = {
 _TOKENS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))"
 
 
-def _marker(kind: str) -> str:
-    return f"regexp_matches(text, '{X.marker_pattern(X.MARKERS[kind])}') AS {kind}"
-
 
 ORACLE = {
     "scope_filter_documents": f"""
@@ -198,8 +195,8 @@ SELECT lang, CASE WHEN regexp_matches(text, '[\\x{4e00}-\\x{9fff}]') AND regexp_
        count(*) AS documents FROM documents GROUP BY 1, 2""",
     "secret_scan": r"""
 SELECT doc_id, regexp_matches(text, '-----BEGIN (OPENSSH |RSA |EC )?PRIVATE KEY-----') AS private_key,
-       regexp_matches(text, 'sk-[A-Za-z0-9._-]{24,}') AS token,
-       regexp_matches(text, '\b[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\b') AS uuid,
+       regexp_matches(text, '(sk-[A-Za-z0-9._-]{24}|LTAI[A-Za-z0-9]{16}|tvly-[A-Za-z0-9_-]{24})') AS token,
+       len(list_filter(regexp_extract_all(text, '\b[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\b'), lambda u: u <> '00000000-0000-0000-0000-000000000000')) > 0 AS uuid,
        regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])[A-Z]:[/\\][A-Za-z0-9_]') AS drive_path,
        len(list_filter(regexp_extract_all(text, '\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b', 1), lambda a:
          list_max(list_transform(string_split(a, '.'), lambda x: CAST(x AS INTEGER))) <= 255
@@ -216,7 +213,13 @@ SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'IMPORTED' WHEN doc_id % 4 = 0 THEN
     "document_digests": r"""
 SELECT doc_id, CASE WHEN trim(text) <> '' THEN substr(sha256(text), 1, 12) END AS short_hash,
        substr(regexp_replace(trim(text), '\s+', ' ', 'g'), 1, 24) AS title FROM documents""",
-    "answer_markers": f"SELECT conv_id, turn, {', '.join(_marker(k) for k in X.MARKERS)} FROM conversations",
+    "answer_markers": r"""
+SELECT conv_id, turn,
+       regexp_matches(text, '(?i)(^|[^\pL\pN_])(no|not|never|cannot|must not|without)([^\pL\pN_]|$)') OR regexp_matches(text, '不得|不应|不能|不可|禁止|不允许|未|没有|不是') AS polarity,
+       regexp_matches(text, '(?i)(^|[^\pL\pN_])(only|at least|at most|no more than|up to|within|except|unless|maximum|minimum)([^\pL\pN_]|$)') OR regexp_matches(text, '仅限|仅|只能|至少|最多|不超过|以内|除外|除非') AS scope,
+       regexp_matches(text, '(?i)(^|[^\pL\pN_])(must|should|required|recommended|may|can)([^\pL\pN_]|$)') OR regexp_matches(text, '必须|应当|需要|建议|可以') AS modality,
+       regexp_matches(text, '(?i)(^|[^\pL\pN_])(possibly|usually|generally|not guaranteed|cannot guarantee)([^\pL\pN_]|$)') OR regexp_matches(text, '可能|通常|一般|不一定|不保证|无法保证') AS uncertainty
+FROM conversations""",
     "mock_embeddings": """
 WITH v AS (SELECT item_id, list_transform(range(0, 64), lambda i: ('0x' || substr(sha256(text), CAST((i % 32) * 2 + 1 AS BIGINT), 2))::INTEGER::DOUBLE / 255 * 2 - 1) AS v FROM benchmark)
 SELECT item_id, len(v)::BIGINT AS dims, round(list_sum(v), 6) AS total, round(v[2], 6) AS second FROM v""",

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.plans import artifacts, control, documents, events, integrity, parsing, retrieval
+from millrace.plans import artifacts, control, documents, events, evidence, integrity, parsing, retrieval
 
-_PLANS = (documents, artifacts, retrieval, control, integrity, events, parsing)
+_PLANS = (documents, artifacts, retrieval, control, integrity, events, evidence, parsing)
 
 QUERIES: dict = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
 ORACLE: dict = {name: sql for plan in _PLANS for name, sql in plan.ORACLE.items()}

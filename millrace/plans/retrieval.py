@@ -99,10 +99,11 @@ def dedupe_keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into chunks of up to 700 characters at sentence ends."""
     docs = table(spark, sf_dir, "documents")
-    chunks = docs.select("doc_id", "text", F.posexplode(X.chunk_ranges(F.col("text"), 700)).alias("chunk_index", "c"))
+    docs = docs.select("doc_id", "text", X.chunk_ranges(F.col("text"), 700).alias("ranges"))
+    docs = docs.withColumn("ranges", F.arrays_zip(F.col("ranges").alias("c"), X.chunk_reasons(F.col("text"), F.col("ranges")).alias("reason")))
+    chunks = docs.select("doc_id", "text", F.posexplode("ranges").alias("chunk_index", "r")).select("doc_id", "text", "chunk_index", "r.c", "r.reason")
     content = F.substring("text", F.col("c.st") + 1, F.col("c.en") - F.col("c.st"))
-    last = F.count(F.lit(1)).over(W.partitionBy("doc_id")) == 1
-    reason = F.when(F.col("c.hard"), "hard_split").when(last, "element_boundary").otherwise("sentence_boundary")
+    reason = F.col("reason")
     rows = chunks.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("c.st").cast("long").alias("char_start"), F.col("c.en").cast("long").alias("char_end"), F.sha2(content, 256).alias("chunk_hash"), reason.alias("split_reason"))
     return rows
 
