@@ -228,7 +228,10 @@ class Chunk:
             outside = member(keys[own], there)
             inside = own[~outside]
             if len(inside):
-                wrong += differ(self.data, places[inside], self.data, places[first_of(keys, self.owner[self.rows_of(places)])[inside]], length)
+                some = np.flatnonzero(member(keys, np.unique(keys[inside])))
+                first_one = some[first_of(keys[some], self.owner[self.rows_of(places[some])])]
+                at_first = first_one[np.searchsorted(some, inside)]
+                wrong += differ(self.data, places[inside], self.data, places[at_first], length)
             own = own[outside]
             at.append(places[own])
             size.append(np.full(len(own), length))
@@ -255,19 +258,31 @@ class Chunk:
             out.append((int(f[a]), text[start:stop].tobytes(), places.tobytes(), (n[a:b] > self.length).tobytes()))
         return wrong, out
 
-    def refute(self, claims: list[dict]) -> int:
-        """How many claims of other chunks fail here; all of them are looked up at once."""
+    def marks(self) -> bytes:
+        """The positions of long ties and of the rest, as packed bits."""
+        bits = np.zeros((2, len(self.data)), bool)
+        bits[0, self.sample_at[self.long]] = bits[1, self.rest] = True
+        return np.packbits(bits).tobytes()
+
+    def refute(self, claims: list[dict], marks: bytes) -> int:
+        """How many claims of other chunks fail here; all of them are looked up at once. ``marks``
+        spare finding the positions again."""
+        bits = np.unpackbits(np.frombuffer(marks, np.uint8), count=2 * len(self.data)).reshape(2, -1)
         sizes = [len(x["text"]) for x in claims]
         text = np.zeros(sum(sizes) + 8, np.uint8)
         text[:-8] = np.frombuffer(b"".join(x["text"] for x in claims), np.uint8)
         before = np.cumsum([0, *sizes[:-1]])
         at = np.concatenate([np.frombuffer(x["at"], "<i8") + n for x, n in zip(claims, before, strict=True)])
         long, wrong = np.frombuffer(b"".join(x["long"] for x in claims), bool), 0
-        for (keys, places, length), some in zip(self.kinds(), (at[long], at[~long]), strict=True):
+        for row, length, some in zip(bits, (self.length + PERIOD - 1, self.length), (at[long], at[~long]), strict=True):
             if not len(some):
                 continue
+            asked, places = keys_at(text, some, length, self.how.key_bits, self.odd), np.flatnonzero(row)
+            keys = keys_at(self.data, places, length, self.how.key_bits, self.odd)
+            kept = member(keys, np.unique(asked))
+            keys, places = keys[kept], places[kept]
             order = np.argsort(keys)
-            asked, own = keys_at(text, some, length, self.how.key_bits, self.odd), keys[order]
+            own = keys[order]
             good = member(asked, own)
             here = places[order[np.searchsorted(own, asked[good])]]
             wrong += int((~good).sum()) + differ(text, some[good], self.data, here, length)
@@ -431,11 +446,11 @@ def keys_of(found, number: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([x[0] for x in some]), np.concatenate([np.frombuffer(x[1], "<i8") for x in some])
 
 
-CLAIM_ROWS = "chunk long, wrong long, gone binary, of long, text binary, at binary, long binary"
+CLAIM_ROWS = "chunk long, wrong long, gone binary, marks binary, of long, text binary, at binary, long binary"
 
 
 def claim_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
     names = [x.split()[0] for x in CLAIM_ROWS.split(", ")]
     return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
@@ -475,15 +490,15 @@ def settled(chunks: Chunked, how: Hashing, bucket_keys: int) -> DataFrame | None
 
     def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, chunk, row in opened(batches, 2):
-            gone = chunk.removed(keys_of(row["found"], 2)[0])
-            wrong, claims = chunk.claims([keys_of(row["found"], 1), keys_of(row["found"], 2)])
-            yield claim_batch([(name, wrong, np.packbits(gone).tobytes(), None, None, None, None)])
-            for some in claims:
-                yield claim_batch([(name, 0, None, *some)])
+            known = [keys_of(row["found"], 1), keys_of(row["found"], 2)]
+            gone = chunk.removed(known[1][0])
+            wrong, claims = chunk.claims(known)
+            whole = (name, wrong, np.packbits(gone).tobytes(), chunk.marks(), None, None, None, None)
+            yield claim_batch([whole, *((name, 0, None, None, *some) for some in claims)])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, chunk, row in opened(batches, 2):
-            yield pa.record_batch([pa.array([chunk.refute(row["claims"].as_py())], pa.int64())], ["wrong"])
+        for _, chunk, row in opened(batches, 0):
+            yield pa.record_batch([pa.array([chunk.refute(row["claims"].as_py(), row["marks"].as_py())], pa.int64())], ["wrong"])
 
     found: list[tuple[int, DataFrame]] = []
     for number, (name, _, parts) in enumerate(passes):
@@ -500,7 +515,8 @@ def settled(chunks: Chunked, how: Hashing, bucket_keys: int) -> DataFrame | None
     # A chunk that many others copy from gets its claims in several lists.
     lists = asked.groupBy("chunk").agg(F.ceil(F.sum(F.octet_length("c.text")) / CLAIM_BYTES).alias("lists"))
     asked = asked.join(lists, "chunk").groupBy("chunk", F.pmod("h", "lists").alias("list")).agg(F.collect_list("c").alias("claims"))
-    wrong = with_found(chunks, found).join(asked.drop("list"), "chunk").mapInArrow(check, "wrong long")
+    marks = claims.where("of is null").select("chunk", "marks")
+    wrong = chunks.table.join(marks, "chunk").join(asked.drop("list"), "chunk").mapInArrow(check, "wrong long")
     wrong = wrong.unionByName(claims.select("wrong")).agg(F.sum("wrong")).first()[0]
     for _, rows in found:
         forget(rows)
