@@ -364,9 +364,9 @@ def with_near_copies(found: DataFrame, df: DataFrame, light: DataFrame, sets: Da
     more. Near copies share a key; who shares one is held against each other by profiles, which rule
     out nearly all others, and then compared by the whole sets.
 
-    In each bucket of equal keys every text is first held against the one of the smallest sid, which
-    joins most of a large family by no more pairs than the bucket has texts. Then those that are
-    still apart are held against each other, whoever heads their buckets."""
+    In each bucket of equal keys every text is first held against three of it, which joins most of a
+    large family by no more pairs than thrice the bucket's texts. Then those that are still apart are
+    held against each other, whoever heads their buckets."""
     spark = df.sparkSession
     buckets = sets.select("sid", F.explode("keys").alias("key")).groupBy("key")
     buckets = buckets.agg(F.count(F.lit(1)).alias("size"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("size > 1")
@@ -398,13 +398,21 @@ def with_near_copies(found: DataFrame, df: DataFrame, light: DataFrame, sets: Da
     equal = stored(place.join(span, "sid").where("fp <> a").select(F.col("fp").alias("a"), F.col("a").alias("b")).distinct(), "equal-sets")
     if not equal.isEmpty():
         found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(equal))
-    head = members.groupBy("key").agg(F.min(F.struct("sid", "n", "at")).alias("first"))
-    heads = members.join(F.broadcast(head) if head.count() <= BROADCAST_ROWS else head, "key")
-    heads = heads.where((F.col("sid") != F.col("head")) & may_be_alike(F.col("n"), F.col("first.n"), F.col("at"), F.col("first.at")))
-    pairs = buckets.where("size = 2").select("a", "b").unionByName(heads.select(F.col("head").alias("a"), F.col("sid").alias("b"))).distinct()
+    # The text of the smallest sid, the one whose keys most others have, and the one of the smallest hash.
+    weight = members.groupBy("sid").agg(F.sum("size").alias("weight"))
+    row = ("sid", "n", "at")
+    head = members.join(F.broadcast(weight) if weight.count() <= BROADCAST_ROWS else weight, "sid").groupBy("key").agg(
+        F.min(F.struct(*row)).alias("least"), F.max(F.struct("weight", *row)).alias("central"), F.min(F.struct(F.xxhash64("sid").alias("hash"), *row)).alias("any")
+    )
+    head = stored(head.select("key", F.array("least", *(F.struct(*(f"{c}.{x}" for x in row)) for c in ("central", "any"))).alias("first")), "heads")
+    heads = members.join(F.broadcast(head) if head.count() <= BROADCAST_ROWS else head, "key").withColumn("first", F.explode("first"))
+    heads = heads.where((F.col("sid") != F.col("first.sid")) & may_be_alike(F.col("n"), F.col("first.n"), F.col("at"), F.col("first.at")))
+    heads = heads.select(F.least("first.sid", "sid").alias("a"), F.greatest("first.sid", "sid").alias("b"))
+    pairs = buckets.where("size = 2").select("a", "b").unionByName(heads).distinct()
     now = components(found)
     found = joined(found, now, pairs)
     forget(now)
+    forget(head)
     forget(buckets)
     now = components(found)
     found = joined(found, now, parted_pairs(members, now, list_rows))
