@@ -69,25 +69,21 @@ def public_addresses(df: DataFrame, column: str) -> DataFrame:
 
 
 def robots_allow(df: DataFrame, robots: str, agent: str, path: str) -> DataFrame:
-    """Adds ``allowed``: whether the sections of ``robots`` for ``agent`` (or any agent) bar ``path``.
+    """Adds ``allowed``: whether no rule of ``robots`` bars ``path`` for ``agent``.
 
-    Lines are folded in order: agent lines that follow each other open a section together."""
-    lines = F.transform(F.split(F.col(robots), "\n"), lambda x: F.lower(F.trim(F.regexp_replace(x, "#.*", ""))))
-    lines = F.filter(lines, lambda x: x.rlike("^(user-agent|disallow)\\s*:"))
-    value = lambda x: F.trim(F.regexp_replace(x, "^[a-z-]+\\s*:", ""))
-    start = F.struct(F.lit(False).alias("mine"), F.lit(False).alias("heading"), F.array().cast("array<string>").alias("barred"))
+    Lines are folded in order: an agent line decides, by ``*`` or the whole name, whether the rules
+    after it count, and a rule bars paths that begin with its value. Names and values are taken as
+    they are, comments too; null or blank files and empty values bar nothing, a null path is allowed."""
+    lines = F.transform(F.split(F.col(robots), "\r\n|[\r\n]"), lambda x: F.struct(F.lower(F.btrim(F.substring_index(x, ":", 1))).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
+    start = F.struct(F.lit(False).alias("mine"), F.array().cast("array<string>").alias("barred"))
 
     def step(acc, x):
-        names = x.startswith("user-agent")
-        own = (value(x) == "*") | F.contains(F.lit(agent.lower()), value(x))
-        opened = F.struct(F.when(acc["heading"], acc["mine"] | own).otherwise(own).alias("mine"), F.lit(True).alias("heading"), acc["barred"].alias("barred"))
-        more = F.when(acc["mine"] & (value(x) != ""), F.array_append(acc["barred"], value(x))).otherwise(acc["barred"])
-        ruled = F.struct(acc["mine"].alias("mine"), F.lit(False).alias("heading"), more.alias("barred"))
-        return F.when(names, opened).otherwise(ruled)
+        mine = F.when(x["key"] == "user-agent", x["value"].isin("*", agent)).otherwise(acc["mine"])
+        barred = F.when((x["key"] == "disallow") & acc["mine"] & (x["value"] != ""), F.array_append(acc["barred"], x["value"])).otherwise(acc["barred"])
+        return F.struct(mine.alias("mine"), barred.alias("barred"))
 
     barred = F.aggregate(lines, start, step)["barred"]
-    low = F.lower(F.col(path))
-    return df.withColumn("allowed", ~F.coalesce(F.exists(barred, lambda p: F.startswith(low, p)), F.lit(False)))
+    return df.withColumn("allowed", ~F.coalesce(F.exists(barred, lambda p: F.startswith(F.col(path), p)), F.lit(False)))
 
 
 __all__ = ["artifact_rows", "object_key", "public_addresses", "robots_allow", "set_hash", "verify_bundle", "write_bundle"]

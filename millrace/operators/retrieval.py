@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions.text import tokens
 
 #: Query tokens up to which their table is broadcast; beyond that it is joined by a shuffle.
 BROADCAST_TOKENS = 500_000
-#: Query vectors that a pass holds in a task's memory.
-QUERY_BLOCK = 4096
+#: Query vectors that a task holds at once, and query values up to which they are sent to tasks.
+QUERY_BLOCK, BROADCAST_VALUES = 4096, 4_000_000
+#: Items times queries that a task counts at once.
+CELLS = 1_000_000
+#: Rows of items in a packed batch, and parts into which a block's batches are dealt.
+PACKED_ROWS, BLOCK_PARTS = 8192, 64
+#: No text has more parts.
+LAST_PART = (1 << 32) - 1
 
 
 def token_overlaps(queries: DataFrame, items: DataFrame, query_id: str, item_ids: list[str], text: str = "text") -> DataFrame:
@@ -38,13 +47,112 @@ def ranked(df: DataFrame, by: list[str], order: list, limit: int | None, name: s
     return out.where(F.col(name) <= limit) if limit else out
 
 
+def best_overlaps(queries: DataFrame, items: DataFrame, query_id: str, item_ids: list[str], limit: int, text: str = "text", whole: bool = False) -> DataFrame:
+    """query_id, n_query, item_ids, part, overlap and rank of the ``limit`` items that share most tokens
+    with each query, equal ones by their ids; items that share none are left out. With ``whole`` also
+    rows, rank null, of every item that has all tokens of a query.
+
+    ``items`` have integer ids, unique together, and ``text``, a string or an array of strings, the
+    parts: then the best part counts, the first of equal ones, and ``part`` is its place. Rows of null
+    ids or texts are left out. Tasks hold the queries' tokens and give only their own best, so that a
+    shuffle moves ``limit`` rows a query and task. Queries of more than ``BROADCAST_TOKENS`` tokens
+    are joined by the tokens instead.
+    """
+    parted = isinstance(items.schema[text].dataType, T.ArrayType)
+    q = queries.select(F.col(query_id).cast("long").alias(query_id), tokens(F.col(text)).alias("_t")).where("size(_t) > 0")
+    rows = items.where(reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in [*item_ids, text])))
+    rows = rows.select(*(F.col(c).cast("long").alias(c) for c in item_ids), (F.col(text) if parted else F.array(text)).alias("_parts"))
+    keep = [query_id, "n_query", *item_ids, "part", "overlap"]
+    if (q.agg(F.sum(F.size("_t"))).first()[0] or 0) > BROADCAST_TOKENS:
+        parts = rows.select(*item_ids, F.posexplode("_parts").alias("part", "text"))
+        found = token_overlaps(queries.where(F.col(query_id).isNotNull()), parts, query_id, [*item_ids, "part"], "text")
+        found = ranked(found, [query_id, *item_ids], [F.col("overlap").desc(), "part"], 1, "_n").select(*keep)
+        full = found
+    else:
+        asked = q.orderBy(query_id).collect()
+        found = rows.select(*item_ids, F.transform("_parts", tokens).alias("_parts"))
+        schema = ", ".join(f"{c} long" for c in keep) + ", _own boolean"
+        found = found.mapInArrow(overlap_counter([(r[0], r[1]) for r in asked], item_ids, limit, whole, keep), schema)
+        full, found = found.where("not _own").drop("_own"), found.where("_own").drop("_own")
+    best = ranked(found, [query_id], [F.col("overlap").desc(), *item_ids], limit)
+    return best.unionByName(full.where("overlap = n_query").withColumn("rank", F.lit(None).cast("int"))) if whole else best
+
+
+def overlap_counter(asked: list[tuple[int, list[str]]], item_ids: list[str], limit: int, whole: bool, names: list[str]):  # noqa: ANN201
+    """A function for ``mapInArrow`` that counts the tokens that items share with the queries ``asked``."""
+    vocabulary = sorted({t for _, own in asked for t in own})
+    place = {t: i for i, t in enumerate(vocabulary)}
+    # Queries by token, as one array and where a token's part of it begins.
+    holders: list[list[int]] = [[] for _ in vocabulary]
+    for k, (_, own) in enumerate(asked):
+        for t in own:
+            holders[place[t]].append(k)
+    degree = np.array([len(h) for h in holders], np.int64)
+    first = np.concatenate([[0], np.cumsum(degree)])
+    holder = np.array([k for h in holders for k in h], np.int64)
+    ids, sizes = np.array([k for k, _ in asked], np.int64), np.array([len(t) for _, t in asked], np.int64)
+    n, words = len(asked), pa.array(vocabulary, pa.string())
+
+    def merge(best: list[np.ndarray] | None, more: list[np.ndarray]) -> list[np.ndarray]:
+        """Columns query, overlap, part and ids: those of ``limit`` or less rank within their query."""
+        both = more if best is None else [np.concatenate(c) for c in zip(best, more, strict=True)]
+        order = np.lexsort((*reversed(both[3:]), -both[1], both[0]))
+        both = [c[order] for c in both]
+        starts = np.searchsorted(both[0], both[0], side="left")
+        good = np.arange(len(both[0])) - starts < limit
+        return [c[good] for c in both]
+
+    def out(rows: list[np.ndarray], own: bool) -> pa.RecordBatch:
+        k = rows[0]
+        columns = [ids[k], sizes[k], *rows[3:], rows[2], rows[1]]
+        return pa.record_batch([*map(pa.array, columns), pa.array(np.full(len(k), own))], [*names, "_own"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches if n else ():
+            for at in range(0, batch.num_rows, step := max(1, CELLS // n)):
+                some = batch.slice(at, step)
+                parts = some.column(len(item_ids))
+                item = np.repeat(np.arange(some.num_rows), np.diff(parts.offsets.to_numpy()))
+                begin = np.concatenate([[0], np.flatnonzero(np.diff(item)) + 1]) if len(item) else np.zeros(0, np.int64)
+                number = np.arange(len(item)) - np.repeat(begin, np.diff(np.append(begin, len(item)))) if len(item) else item
+                lists = parts.flatten()
+                token = lists.flatten()
+                row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+                code = pc.index_in(token, words).fill_null(-1).to_numpy().astype(np.int64)
+                row, code = row[code >= 0], code[code >= 0]
+                # Most overlap first, then the first part: one number to take the largest of.
+                top = np.zeros((some.num_rows, n), np.int64)
+                for low in range(0, len(lists), step):
+                    mine = slice(*np.searchsorted(row, [low, low + step]))
+                    times = degree[code[mine]]
+                    at_holder = np.arange(times.sum()) + np.repeat(first[code[mine]] - np.cumsum(times) + times, times)
+                    high = min(low + step, len(lists))
+                    cell = np.repeat(row[mine] - low, times) * n + holder[at_holder]
+                    count = np.bincount(cell, minlength=(high - low) * n).reshape(-1, n)
+                    value = np.where(count > 0, (count << 32) + (LAST_PART - number[low:high, None]), 0)
+                    begins = np.concatenate([[0], np.flatnonzero(np.diff(item[low:high])) + 1])
+                    most = np.maximum.reduceat(value, begins, axis=0)
+                    top[item[low:high][begins]] = np.maximum(top[item[low:high][begins]], most)
+                i, k = np.nonzero(top)
+                value = top[i, k]
+                rows = [k, value >> 32, LAST_PART - (value & LAST_PART), *(some.column(c).to_numpy()[i] for c in range(len(item_ids)))]
+                if whole:
+                    every = rows[1] == sizes[k]
+                    yield out([c[every] for c in rows], False)
+                best = merge(best, rows)
+        if best is not None:
+            yield out(best, True)
+
+    return run
+
+
 def lexical_topk(queries: DataFrame, items: DataFrame, query_id: str, item_id: str, limit: int = 5) -> DataFrame:
     """The items that share most of a query's tokens; equal scores by id."""
     if not 1 <= limit <= 5:
         raise ValueError("limit must be 1 to 5")
-    found = token_overlaps(queries, items, query_id, [item_id])
-    found = found.withColumn("score", F.col("overlap") / F.greatest(F.col("n_query"), F.lit(1)))
-    return ranked(found, [query_id], [F.col("score").desc(), F.col(item_id)], limit)
+    found = best_overlaps(queries, items, query_id, [item_id], limit)
+    return found.withColumn("score", F.col("overlap") / F.greatest(F.col("n_query"), F.lit(1)))
 
 
 def with_adjacent(hits: DataFrame, chunks: DataFrame, group: list[str], position: str, query_id: str) -> DataFrame:
@@ -62,43 +170,81 @@ def with_adjacent(hits: DataFrame, chunks: DataFrame, group: list[str], position
     return ranked(first, [query_id], ["_rank", "_order"], None).select(query_id, "rank", *group, position, "score")
 
 
+def best_of_block(ids: np.ndarray, q: np.ndarray, own: np.ndarray, vectors: np.ndarray, limit: int, id_col: str) -> pa.RecordBatch:
+    """The ``limit`` most similar items (``own``, ``vectors``) of each query (``ids``, ``q``), itself left out."""
+    score = np.round(q @ vectors.T, 9)
+    score[ids[:, None] == own[None, :]] = -2
+    # Ids ascend, so that a stable sort leaves equal scores in their order.
+    order = np.argsort(own, kind="stable")
+    top = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :limit]]
+    n = top.shape[1]
+    found = np.take_along_axis(score, top, axis=1).reshape(-1)
+    good = found > -2
+    return pa.record_batch([pa.array(np.repeat(ids, n)[good]), pa.array(own[top].reshape(-1)[good]), pa.array(found[good])], ["query_id", id_col, "similarity"])
+
+
+def packed(df: DataFrame, id_col: str, vector: str, width: int, rows: int) -> DataFrame:
+    """``df`` in rows of up to ``rows`` ids and their unit vectors, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                some = batch.slice(at, rows)
+                ids = np.asarray(some.column(0)).astype(np.int64)
+                yield pa.record_batch([pa.array([ids.tobytes()]), pa.array([unit(some.column(1).to_pylist(), width).tobytes()])], ["ids", "vectors"])
+
+    return df.select(F.col(id_col).cast("long"), vector).where(F.col(id_col).isNotNull()).mapInArrow(run, "ids binary, vectors binary")
+
+
 def vector_topk(queries: DataFrame, items: DataFrame, limit: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, id_col, similarity and rank of the ``limit`` most similar items of each query,
     itself left out; equal similarities (to 9 digits) by id.
 
-    The queries, which must be a bounded set, are held in blocks by every task; a batch of items
-    gives its own best for each query as one matrix product, and a window picks the best of all.
-    Zero vectors and ones of another length have similarity 0.
+    Queries of up to ``BROADCAST_VALUES`` values in all are held by every task; a batch of items gives
+    its own best for each query as one matrix product, and a window picks the best of all. More
+    queries are packed into blocks, and each packed batch of items is sent to each block. Zero vectors
+    and ones of another length than the longest query's have similarity 0; rows without an id are left out.
     """
-    rows = queries.select(id_col, vector).orderBy(id_col).collect()
-    out = None
-    for at in range(0, len(rows), QUERY_BLOCK):
-        some = rows[at : at + QUERY_BLOCK]
-        ids = np.array([r[0] for r in some], np.int64)
-        width = max((len(r[1] or ()) for r in some), default=0)
-        q = unit([r[1] for r in some], width)
-
-        def best(batches: Iterator[pa.RecordBatch], ids=ids, q=q, width=width) -> Iterator[pa.RecordBatch]:
+    queries = queries.where(F.col(id_col).isNotNull())
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("width")).first()
+    width = max(size["width"], 0)
+    schema = f"query_id long, {id_col} long, similarity double"
+    if not size["n"]:
+        return items.sparkSession.createDataFrame([], schema + ", rank int")
+    if size["n"] * max(width, 1) <= BROADCAST_VALUES:
+        rows = queries.select(id_col, vector).orderBy(id_col).collect()
+        ids, q = np.array([r[0] for r in rows], np.int64), unit([r[1] for r in rows], width)
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                own = np.asarray(batch.column(0))
-                score = np.round(q @ unit(batch.column(1).to_pylist(), width).T, 9)
-                score[ids[:, None] == own[None, :]] = -2
-                # Ids ascend, so that a stable sort leaves equal scores in their order.
-                order = np.argsort(own, kind="stable")
-                top = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :limit]]
-                n = top.shape[1]
-                found = np.take_along_axis(score, top, axis=1).reshape(-1)
-                good = found > -2
-                yield pa.record_batch(
-                    [pa.array(np.repeat(ids, n)[good]), pa.array(own[top].reshape(-1)[good]), pa.array(found[good])],
-                    ["query_id", id_col, "similarity"],
-                )
-
-        part = items.select(F.col(id_col).cast("long"), vector).mapInArrow(best, f"query_id long, {id_col} long, similarity double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return items.sparkSession.createDataFrame([], f"query_id long, {id_col} long, similarity double, rank int")
-    return ranked(out, ["query_id"], [F.col("similarity").desc(), F.col(id_col)], limit)
+                own, vectors = np.asarray(batch.column(0)), unit(batch.column(1).to_pylist(), width)
+                for at in range(0, len(ids), QUERY_BLOCK):
+                    yield best_of_block(ids[at : at + QUERY_BLOCK], q[at : at + QUERY_BLOCK], own, vectors, limit, id_col)
+
+        found = items.select(F.col(id_col).cast("long"), vector).where(F.col(id_col).isNotNull()).mapInArrow(best, schema)
+    else:
+        found = meet_in_blocks(queries, items, limit, id_col, vector, width, size["n"]).select("query_id", id_col, "similarity")
+    return ranked(found, ["query_id"], [F.col("similarity").desc(), F.col(id_col)], limit)
+
+
+def meet_in_blocks(queries: DataFrame, items: DataFrame, limit: int, id_col: str, vector: str, width: int, n: int) -> DataFrame:
+    """Each block's queries with their best of each packed batch of items. Blocks are joined by their
+    number and a part, so that no task gets all batches of a block."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, q, own, vectors = (batch.column(c)[row].as_buffer() for c in ("q_ids", "q_vectors", "ids", "vectors"))
+                ids, own = np.frombuffer(ids, np.int64), np.frombuffer(own, np.int64)
+                q, vectors = (np.frombuffer(v, np.float64).reshape(-1, width) for v in (q, vectors))
+                yield best_of_block(ids, q, own, vectors, limit, id_col)
+
+    blocks = -(-n // QUERY_BLOCK)
+    own = packed(queries.repartition(blocks, F.xxhash64(id_col)), id_col, vector, width, QUERY_BLOCK)
+    own = own.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(BLOCK_PARTS - 1))).alias("part"))
+    batches = packed(items, id_col, vector, width, PACKED_ROWS).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(BLOCK_PARTS)).cast("int"))
+    rows = own.join(batches, "part").select("q_ids", "q_vectors", "ids", "vectors")
+    return rows.mapInArrow(best, f"query_id long, {id_col} long, similarity double")
 
 
 def unit(vectors: list, width: int) -> np.ndarray:

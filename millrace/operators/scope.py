@@ -101,24 +101,21 @@ def assess(documents: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def through_gates(documents: DataFrame, access: DataFrame, levels: dict[str, str]) -> DataFrame:
-    """The (principal, doc_id) pairs that pass every level.
+    """The (principal, doc_id) pairs that pass every level; a null principal stands for everyone.
 
     ``access`` has level, resource, principal and granted; ``levels`` names the column of
     ``documents`` that holds a level's resource. A resource without any row at its level is open; one
-    with rows is closed but to principals whom a row grants. Each level is one equi-join with its
+    with rows is closed but to principals whom a row grants. Documents open at all levels are one row
+    for everyone; of the others come only the explicit grants. Each level is one equi-join with its
     aggregated rows, so no correlation skips a query level.
     """
-    principals = access.select("principal").distinct()
     out = documents
     for level, column in levels.items():
-        own = access.where(F.col("level") == level)
-        granted = own.groupBy("resource").agg(F.collect_set(F.when(F.col("granted"), F.col("principal"))).alias(f"_may_{level}"))
-        out = out.join(granted, out[column].cast("string") == granted.resource, "left").drop("resource")
+        granted = access.where(F.col("level") == level).groupBy(F.col("resource").alias("_resource"))
+        granted = granted.agg(F.collect_set(F.when(F.col("granted"), F.col("principal"))).alias(f"_may_{level}"))
+        out = out.join(granted, out[column].cast("string") == F.col("_resource"), "left").drop("_resource")
     # A gate is a set of principals; null is an open one.
-    gates = [F.col(f"_may_{level}") for level in levels]
-    everyone = F.broadcast(principals.agg(F.sort_array(F.collect_set("principal")).alias("_all")))
-    allowed = F.col("_all")
+    allowed, *gates = (F.col(f"_may_{level}") for level in levels)
     for gate in gates:
-        allowed = F.when(gate.isNull(), allowed).otherwise(F.array_intersect(allowed, gate))
-    # One row of all principals joins every document: an attached constant, not pairs of rows.
-    return out.join(everyone).select(F.explode(allowed).alias("principal"), "doc_id")
+        allowed = F.when(gate.isNull(), allowed).when(allowed.isNull(), gate).otherwise(F.array_intersect(allowed, gate))
+    return out.select("doc_id", allowed.alias("_may")).select(F.explode(F.when(F.col("_may").isNull(), F.array(F.lit(None))).otherwise(F.col("_may"))).alias("principal"), "doc_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import artifacts as A
 from millrace.operators import integrity as I
 from millrace.operators import retrieval as R
+from millrace.plans.retrieval import holders
 from millrace.sources.tables import table
 
 
@@ -45,15 +46,14 @@ def manifest_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def context_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the five best documents of an item are all that hold its text word for word."""
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    found = R.token_overlaps(items, docs, "item_id", ["doc_id"])
-    needed = found.where("overlap = n_query").join(docs.select("doc_id", "text"), "doc_id").join(F.broadcast(items.select("item_id", F.col("text").alias("item"))), "item_id")
-    needed = needed.where(F.contains("text", "item")).groupBy("item_id").agg(F.collect_set("doc_id").alias("needed"))
-    given = R.ranked(found, ["item_id"], [(F.col("overlap") / F.col("n_query")).desc(), "doc_id"], 5).groupBy("item_id").agg(F.collect_set("doc_id").alias("given"))
-    out = items.select("item_id").join(needed, "item_id", "left").join(given, "item_id", "left")
-    missing = F.size(F.array_except("needed", F.coalesce("given", F.array().cast("array<bigint>"))))
-    status = F.when(F.col("needed").isNull(), "ineligible").when(F.size("needed") > 5, "exceeded").when(missing > 0, "incomplete").otherwise("within_budget")
-    return out.select("item_id", F.coalesce(F.size("needed"), F.lit(0)).cast("long").alias("needed"), F.coalesce(missing, F.lit(0)).cast("long").alias("missing"), status.alias("status"))
+    items = table(spark, sf_dir, "benchmark")
+    found = R.best_overlaps(items, table(spark, sf_dir, "documents"), "item_id", ["doc_id"], 5, whole=True)
+    given = found.where("rank <= 5").select("item_id", "doc_id", F.lit(True).alias("given"))
+    needed = holders(spark, sf_dir, found).join(given, ["item_id", "doc_id"], "left").groupBy("item_id")
+    needed = needed.agg(F.count(F.lit(1)).alias("needed"), F.count_if(F.col("given").isNull()).alias("missing"))
+    out = items.select("item_id").join(needed, "item_id", "left")
+    status = F.when(F.col("needed").isNull(), "ineligible").when(F.col("needed") > 5, "exceeded").when(F.col("missing") > 0, "incomplete").otherwise("within_budget")
+    return out.select("item_id", F.coalesce("needed", F.lit(0)).alias("needed"), F.coalesce("missing", F.lit(0)).alias("missing"), status.alias("status"))
 
 
 def assembled_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +101,6 @@ SELECT item_id, coalesce(needed, 0) AS needed, coalesce(missing, 0) AS missing,
 FROM benchmark LEFT JOIN m USING (item_id)""",
     "assembled_answers": f"""
 WITH {_OVERLAP},
-a AS (SELECT item_id, string_agg(substr(text, 1, 60), '；' ORDER BY rank) AS answer FROM r JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1)
+a AS (SELECT item_id, '根据当前知识资料：' || string_agg(text, '；' ORDER BY rank) AS answer FROM r JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY 1)
 SELECT item_id, answer, ceil(length(answer) / 32)::BIGINT AS deltas FROM a""",
 }

@@ -147,11 +147,14 @@ def asof_fact_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases in batches of fifty by id, and how many requests a batch needs."""
-    # Ids are dense per conversation; ranks come from a running count over ranges of a thousand ids.
+    # Ranks come from running counts over ranges of a thousand ids, in ranges of a million; only these are one window.
     cases = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
     cases = cases.withColumn("cell", F.floor(F.col("conv_id") / 1000))
-    before = cases.groupBy("cell").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    ranks = cases.join(before.drop("n"), "cell").withColumn("at", F.col("before") + F.row_number().over(W.partitionBy("cell").orderBy("conv_id")) - 1)
+    ahead = lambda line: F.coalesce(F.sum("n").over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = cases.groupBy("cell", F.floor(F.col("cell") / 1000).alias("range")).agg(F.count("*").alias("n"))
+    ranges = cells.groupBy("range").agg(F.sum("n").alias("n")).select("range", ahead(W.orderBy("range")).alias("first"))
+    before = cells.withColumn("within", ahead(W.partitionBy("range").orderBy("cell"))).join(ranges, "range")
+    ranks = cases.join(before.select("cell", (F.col("first") + F.col("within")).alias("before")), "cell").withColumn("at", F.col("before") + F.row_number().over(W.partitionBy("cell").orderBy("conv_id")) - 1)
     batches = ranks.groupBy(F.floor(F.col("at") / 50).alias("batch")).agg(F.count("*").alias("cases"), F.sum("turns").alias("turns"))
     return batches.select("batch", "cases", (F.ceil(F.col("turns") / 16) + 3 * F.col("cases")).alias("requests"))
 
@@ -214,7 +217,7 @@ SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns
 WHERE NOT EXISTS (SELECT 1 FROM conversations s WHERE s.conv_id = c.conv_id AND s.role = 'system') GROUP BY 1""",
     "history_last6": """
 WITH n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role, text) AS n FROM conversations)
-SELECT conv_id, string_agg(role || ': ' || substr(text, 1, 20), chr(10) ORDER BY n DESC) AS history FROM n WHERE n <= 6 GROUP BY 1""",
+SELECT conv_id, coalesce(string_agg(role || ': ' || text, chr(10) ORDER BY n DESC) FILTER (regexp_matches(text, '[^\\s\\pZ]')), '') AS history FROM n WHERE n <= 6 GROUP BY 1""",
     "parent_turns": """
 SELECT c.role, p.role AS parent_role, count(*) AS turns FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 GROUP BY 1, 2""",
     "permission_revisions": """

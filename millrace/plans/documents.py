@@ -67,12 +67,13 @@ def object_keys_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hash for each shop over its documents in order, so that an index is rebuilt only if it
-    changed. Hashes are first summed up in blocks of 1000 ids: a hot shop's rows meet in many tasks."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2("text", 256).alias("h"))
-    blocks = docs.groupBy("source", F.floor(F.col("doc_id") / 1000).alias("block"))
-    joined = lambda rows, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, rows))), lambda x: F.concat_ws(":", x[by], x[rows])), "|")
-    parts = blocks.agg(F.sha2(joined("h", "doc_id"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    return parts.groupBy(F.col("source").alias("shop_id")).agg(F.sum("n").alias("documents"), F.sha2(joined("h", "block"), 256).alias("fingerprint"))
+    changed. Hashes are summed up as a tree over ranges of 1,000, a million and a thousand million ids:
+    none of its nodes has over 1,000 parts, and a hot shop's rows meet in many tasks."""
+    rows = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("at"), F.sha2("text", 256).alias("h"), F.lit(1).alias("n"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: F.concat_ws(":", x["at"], x["h"])), "|")
+    for _ in range(3):
+        rows = rows.groupBy("source", F.floor(F.col("at") / 1000).alias("above")).agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n")).withColumnRenamed("above", "at")
+    return rows.groupBy(F.col("source").alias("shop_id")).agg(F.sum("n").alias("documents"), F.sha2(joined, 256).alias("fingerprint"))
 
 
 def import_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,12 +180,16 @@ SELECT shop_id, CASE WHEN date '2024-02-10' < effective_from THEN 'not_yet_effec
 WITH a AS (
   SELECT 'shop' AS level, 'src' || n_nationkey AS resource, n_regionkey AS principal, n_nationkey % 3 <> 0 AS granted FROM nation WHERE n_nationkey < 12
   UNION ALL SELECT 'document', CAST(doc_id AS VARCHAR), CAST(doc_id % 5 AS INTEGER), true FROM documents WHERE doc_id % 7 = 0),
+d AS (
+  SELECT doc_id, source, source IN (SELECT resource FROM a WHERE level = 'shop') AS by_shop,
+         CAST(doc_id AS VARCHAR) IN (SELECT resource FROM a WHERE level = 'document') AS by_document FROM documents),
 p AS (SELECT DISTINCT principal FROM a)
-SELECT p.principal, d.doc_id FROM documents d, p
-WHERE (NOT EXISTS (SELECT 1 FROM a WHERE level = 'shop' AND resource = d.source)
-       OR EXISTS (SELECT 1 FROM a WHERE level = 'shop' AND resource = d.source AND a.principal = p.principal AND granted))
-  AND (NOT EXISTS (SELECT 1 FROM a WHERE level = 'document' AND resource = CAST(d.doc_id AS VARCHAR))
-       OR EXISTS (SELECT 1 FROM a WHERE level = 'document' AND resource = CAST(d.doc_id AS VARCHAR) AND a.principal = p.principal AND granted))""",
+SELECT NULL::INTEGER AS principal, doc_id FROM d WHERE NOT coalesce(by_shop, false) AND NOT by_document
+UNION ALL
+SELECT p.principal, d.doc_id FROM d, p
+WHERE (by_shop OR by_document)
+  AND (NOT coalesce(by_shop, false) OR EXISTS (SELECT 1 FROM a WHERE level = 'shop' AND resource = d.source AND a.principal = p.principal AND granted))
+  AND (NOT by_document OR EXISTS (SELECT 1 FROM a WHERE level = 'document' AND resource = CAST(d.doc_id AS VARCHAR) AND a.principal = p.principal AND granted))""",
     "tokenize_documents": f"""
 SELECT doc_id, len(t)::BIGINT AS n_tokens, greatest(1, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')))::BIGINT AS n_words,
        md5(array_to_string(list_sort(t), ' ')) AS tokens_md5
@@ -206,8 +211,10 @@ FROM documents""",
 SELECT doc_id, k AS object_key, regexp_matches(k, '^[A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9][A-Za-z0-9._-]*/raw/[0-9a-f]{64}$') AS valid
 FROM (SELECT doc_id, concat_ws('/', lang, source, 'v-' || substr(sha256(sha256(text) || 'p1'), 1, 16), 'raw', sha256(text)) AS k FROM documents)""",
     "fingerprint_index": """
-WITH b AS (SELECT source, doc_id // 1000 AS block, count(*) AS n, sha256(string_agg(doc_id || ':' || sha256(text), '|' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2)
-SELECT source AS shop_id, sum(n)::BIGINT AS documents, sha256(string_agg(block || ':' || h, '|' ORDER BY block)) AS fingerprint FROM b GROUP BY 1""",
+WITH b AS (SELECT source, doc_id // 1000 AS k, count(*) AS n, sha256(string_agg(doc_id || ':' || sha256(text), '|' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2),
+m AS (SELECT source, k // 1000 AS k, sum(n) AS n, sha256(string_agg(k || ':' || h, '|' ORDER BY k)) AS h FROM b GROUP BY source, b.k // 1000),
+g AS (SELECT source, k // 1000 AS k, sum(n) AS n, sha256(string_agg(k || ':' || h, '|' ORDER BY k)) AS h FROM m GROUP BY source, m.k // 1000)
+SELECT source AS shop_id, sum(n)::BIGINT AS documents, sha256(string_agg(k || ':' || h, '|' ORDER BY k)) AS fingerprint FROM g GROUP BY 1""",
     "import_states": """
 SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'IMPORTED' WHEN doc_id % 4 = 0 THEN 'UPDATED' ELSE 'IDEMPOTENT' END AS status FROM documents""",
     "document_digests": r"""

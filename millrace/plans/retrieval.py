@@ -17,33 +17,33 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id", "overlap", F.round("score", 6).alias("score"))
 
 
-def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "text")).where(F.trim("text") != "")
-
-
 def best_chunk_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each item the ten documents whose best paragraph shares most of its tokens."""
-    found = R.token_overlaps(table(spark, sf_dir, "benchmark"), _paragraphs(spark, sf_dir), "item_id", ["doc_id", "chunk_index"])
-    best = R.ranked(found, ["item_id", "doc_id"], [F.col("overlap").desc(), "chunk_index"], 1, "_n")
-    out = R.ranked(best, ["item_id"], [F.col("overlap").desc(), "doc_id"], 10)
-    return out.select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "overlap")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("text"))
+    out = R.best_overlaps(table(spark, sf_dir, "benchmark"), docs, "item_id", ["doc_id"], 10)
+    return out.select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.col("part").alias("chunk_index"), "overlap")
 
 
 def answer_support_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a document holds an item's text word for word, or half of its tokens."""
-    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    found = R.token_overlaps(items, docs, "item_id", ["doc_id"])
-    # Only documents with all tokens of an item can hold it: few texts are looked at.
-    whole = found.where("overlap = n_query").select("item_id", "doc_id")
-    exact = whole.join(docs.select("doc_id", "text"), "doc_id").join(F.broadcast(items.select("item_id", F.col("text").alias("item"))), "item_id")
-    exact = exact.where(F.contains("text", "item")).groupBy("item_id").agg(F.count(F.lit(1)).alias("holders"))
-    best = found.groupBy("item_id").agg(F.max(F.col("overlap") / F.col("n_query")).alias("best"))
+    items = table(spark, sf_dir, "benchmark")
+    found = R.best_overlaps(items, table(spark, sf_dir, "documents"), "item_id", ["doc_id"], 1, whole=True)
+    exact = holders(spark, sf_dir, found).groupBy("item_id").agg(F.count(F.lit(1)).alias("holders"))
+    best = found.where("rank = 1").select("item_id", (F.col("overlap") / F.col("n_query")).alias("best"))
     out = items.select("item_id").join(best, "item_id", "left").join(exact, "item_id", "left")
     status = F.when(F.col("holders") > 0, "exact").when(F.col("best") >= 0.5, "lexical").otherwise("unsupported")
     return out.select("item_id", F.coalesce("holders", F.lit(0)).alias("holders"), F.round(F.coalesce("best", F.lit(0.0)), 6).alias("best"), status.alias("status"))
 
 
+def holders(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """item_id and doc_id of documents that hold an item's text word for word. ``found`` has rows of
+    null rank for those with all its tokens: no other can hold it, so few texts are looked at."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    rows = found.where("rank is null").select("item_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    rows = rows.join(items.select("item_id", F.col("text").alias("item")), "item_id")
+    return rows.where(F.contains("text", "item")).select("item_id", "doc_id")
+
+
 def _vectors(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return R.vector_topk(rows.where("vec_id % 20 = 0"), rows, limit)
@@ -59,7 +59,7 @@ def two_stage_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     signs = lambda v: F.transform(v, lambda x: x > 0)
     found = _vectors(spark, sf_dir, 10).join(rows.select("vec_id", signs("embedding").alias("a")), "vec_id")
-    found = found.join(F.broadcast(rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), signs("embedding").alias("b"))), "query_id")
+    found = found.join(rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), signs("embedding").alias("b")), "query_id")
     same = F.size(F.filter(F.zip_with("a", "b", lambda x, y: x == y), lambda x: x))
     out = R.ranked(found.withColumn("score", same), ["query_id"], [F.col("score").desc(), F.col("vec_id").desc()], 5, "place")
     return out.select("query_id", "vec_id", F.col("score").cast("long").alias("score"), F.col("place").cast("long").alias("place"))
@@ -84,9 +84,8 @@ def ranking_metrics_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adjacent_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best five turns for each of the first items, with the turns around them."""
     turns = table(spark, sf_dir, "conversations")
-    found = R.token_overlaps(table(spark, sf_dir, "benchmark"), turns, "item_id", ["conv_id", "turn"])
-    found = found.withColumn("score", F.col("overlap") / F.col("n_query"))
-    hits = R.ranked(found, ["item_id"], [F.col("score").desc(), "conv_id", "turn"], 5)
+    hits = R.best_overlaps(table(spark, sf_dir, "benchmark"), turns, "item_id", ["conv_id", "turn"], 5)
+    hits = hits.withColumn("score", F.col("overlap") / F.col("n_query"))
     out = R.with_adjacent(hits, turns, ["conv_id"], "turn", "item_id")
     return out.select("item_id", F.col("rank").cast("long").alias("rank"), "conv_id", "turn", F.round("score", 6).alias("score"))
 

@@ -1,5 +1,7 @@
 import datetime as dt
 import io
+import random
+import re
 import zipfile
 
 import pytest
@@ -55,7 +57,7 @@ def test_gates(spark):
     access = [("shop", "a", 7, True), ("shop", "a", 8, False), ("shop", "b", 8, True), ("document", "2", 7, True)]
     access = spark.createDataFrame(access, "level string, resource string, principal int, granted boolean")
     got = {(r["principal"], r["doc_id"]) for r in S.through_gates(docs, access, {"shop": "source", "document": "doc_id"}).collect()}
-    assert got == {(7, 1), (7, 3), (8, 3)}
+    assert got == {(7, 1), (None, 3)}
 
 
 def test_metrics_of_a_small_ranking(spark):
@@ -206,6 +208,49 @@ def test_bundles(spark, tmp_path):
 def test_addresses_and_robots(spark):
     df = spark.createDataFrame([("8.8.8.8",), ("10.0.0.1",), ("::1",), ("no",), (None,)], "a string")
     assert [r["blocked"] for r in A.public_addresses(df, "a").collect()] == [False, True, True, True, True]
-    text = "User-agent: other\nDisallow: /all\n\nUser-agent: mybot\nUser-agent: x\nDisallow: /private # no\nDisallow:\n"
-    df = spark.createDataFrame([(text, "/private/a"), (text, "/public"), (text, "/all"), ("User-agent: *\nDisallow: /", "/x"), (None, "/x")], "robots string, path string")
-    assert [r["allowed"] for r in A.robots_allow(df, "robots", "MyBot/1.0", "path").collect()] == [False, True, True, False, True]
+    text = "User-agent: other\nDisallow: /all\n\nuser-agent: mybot\nDisallow: /Private\nDisallow:\nUser-agent: mybot/2\nDisallow: /public\n"
+    df = [(text, "/Private/a"), (text, "/private"), (text, "/public"), (text, "/all"), ("User-agent: *\r\nDISALLOW : /", "/x"), (None, "/x"), ("", "/x"), (text, None)]
+    df = spark.createDataFrame(df, "robots string, path string")
+    assert [r["allowed"] for r in A.robots_allow(df, "robots", "mybot", "path").collect()] == [False, True, True, True, False, True, True, True]
+
+
+def naive_best(queries, items, limit):
+    """Best items of each query by shared tokens, the first best part counting, plainly."""
+    words = lambda t: set(re.findall("[a-z0-9_]+", (t or "").lower()))
+    out = set()
+    for k, q in queries:
+        found = []
+        for ids, parts in items:
+            if None not in ids and parts is not None:
+                n, at = max(((len(words(q) & words(p)), -i) for i, p in enumerate(parts)), default=(0, 0))
+                found += [(-n, ids, -at)] if n else []
+        out |= {(k, *ids, part, -n, r + 1) for r, (n, ids, part) in enumerate(sorted(found)[:limit])}
+        out |= {(k, *ids, part, -n, None) for n, ids, part in found if -n == len(words(q))}
+    return out
+
+
+@pytest.mark.parametrize(("cells", "tokens"), [(1_000_000, 500_000), (7, 500_000), (7, 0)])
+def test_best_overlaps(spark, monkeypatch, cells, tokens):
+    monkeypatch.setattr(R, "CELLS", cells)
+    monkeypatch.setattr(R, "BROADCAST_TOKENS", tokens)
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, n)))
+    queries = [(i, text(5)) for i in range(9)] + [(9, None), (10, ""), (11, "zz")]
+    items = [((i // 3, i % 3), [text(9) for _ in range(rng.randint(0, 5))]) for i in range(60)]
+    items += [((50, 0), None), ((None, 1), ["a b c d"]), ((51, 0), [None, "a b", "a b", ""]), ((52, 0), [])]
+    q = spark.createDataFrame(queries, "q long, text string")
+    df = spark.createDataFrame([(*ids, parts) for ids, parts in items], "a int, b long, text array<string>").repartition(3)
+    got = R.best_overlaps(q, df, "q", ["a", "b"], 4, whole=True).select("q", "a", "b", "part", "overlap", "rank").collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == naive_best(queries, items, 4)
+    assert R.best_overlaps(q.where("false"), df, "q", ["a", "b"], 4).isEmpty() and R.best_overlaps(q, df.where("false"), "q", ["a", "b"], 4).isEmpty()
+
+
+def test_vectors_meet_in_blocks(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(50)] + [(50, None), (51, [1.0]), (None, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    kept = sorted(map(tuple, R.vector_topk(df, df, 4).collect()))
+    monkeypatch.setattr(R, "BROADCAST_VALUES", 0)
+    monkeypatch.setattr(R, "QUERY_BLOCK", 11)
+    monkeypatch.setattr(R, "PACKED_ROWS", 7)
+    assert len(kept) == 52 * 4 and sorted(map(tuple, R.vector_topk(df, df, 4).collect())) == kept
