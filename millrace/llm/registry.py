@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fingerprints, html_text, mixing, pieces, quality, sharding, simhash, suffix_dedup, token_files, toxicity
+from millrace.llm import fingerprints, html_text, mixing, periodic_runs, pieces, quality, sharding, simhash, suffix_dedup, token_files, toxicity
 from millrace.llm.common import documents
 
 
@@ -58,6 +58,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), length=50)
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = periodic_runs.with_planted_periods(documents(spark, sf_dir))
+    return periodic_runs.run_digests(periodic_runs.periodic_runs(planted, least_length=6, least_exponent=4))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mixing": op2_source_mixing,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_pieces": op9_pieces,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_runs": op13_runs,
 }
 
 ORACLE: dict[str, str] = {
