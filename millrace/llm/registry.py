@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fingerprints, html_text, mixing, periodic_runs, pieces, quality, sharding, simhash, suffix_dedup, token_files, toxicity
-from millrace.llm.common import documents
+from millrace.llm import fingerprints, html_text, mixing, near_vectors, periodic_runs, pieces, quality, sharding, simhash, suffix_dedup, token_files, toxicity
+from millrace.llm.common import documents, embeddings
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), length=50)
 
 
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(embeddings(spark, sf_dir), threshold=0.98)
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = periodic_runs.with_planted_periods(documents(spark, sf_dir))
     return periodic_runs.run_digests(periodic_runs.periodic_runs(planted, least_length=6, least_exponent=4))
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_pieces": op9_pieces,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_near_vectors": op12_near_vectors,
     "op13_runs": op13_runs,
 }
 
@@ -173,4 +178,19 @@ e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i)
 k AS (SELECT r, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY r)
 SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM d LEFT JOIN k USING (r)""",
+    "op12_near_vectors": """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+u AS (
+  SELECT * FROM v
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = len(e)
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.r AS a, b.r AS b FROM u AS a JOIN u AS b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT r AS s, r AS t FROM v UNION SELECT reach.s, l.b FROM reach JOIN l ON reach.t = l.a),
+c AS (SELECT reach.s, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.t GROUP BY reach.s),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, coalesce(v.vec_id = component_id, false) AS kept
+FROM v JOIN c ON c.s = v.r LEFT JOIN n ON n.a = v.r""",
 }
