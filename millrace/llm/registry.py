@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import fingerprints, html_text, mixing, near_vectors, periodic_runs, pieces, quality, sharding, simhash, suffix_dedup, token_files, toxicity
+from millrace.llm import fingerprints, hard_negatives, html_text, mixing, near_vectors, periodic_runs, pieces, quality, sharding, simhash, suffix_dedup, token_files, toxicity
 from millrace.llm.common import documents, embeddings
 
 
@@ -58,6 +58,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), length=50)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(embeddings(spark, sf_dir).withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(embeddings(spark, sf_dir), threshold=0.98)
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_pieces": op9_pieces,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_near_vectors": op12_near_vectors,
     "op13_runs": op13_runs,
 }
@@ -178,6 +184,23 @@ e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i)
 k AS (SELECT r, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY r)
 SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM d LEFT JOIN k USING (r)""",
+    "op11_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT DISTINCT a.vec_id AS anchor_id, b.vec_id AS row_id, a.label = b.label AS same, list_inner_product(a.e, b.e)::BIGINT AS score
+  FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, row_id) AS i FROM s WHERE same) WHERE i <= 5),
+n AS (
+  SELECT anchor_id, p.row_id AS positive_id, s.row_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         (row_number() OVER (PARTITION BY anchor_id, p.row_id ORDER BY s.score DESC, s.row_id))::INTEGER AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10""",
     "op12_near_vectors": """
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
