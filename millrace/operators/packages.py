@@ -31,21 +31,13 @@ def element_chunks(elements: DataFrame, max_chars: int = 700, overlap: int = 0,
     chunk but the first of its section begins ``overlap`` characters earlier. Its hash is that of its
     canonical JSON, and its id begins with ``chunk-``.
     """
-    if max_chars <= 0:
-        raise ValueError("max_chars must be positive")
-    if not 0 <= overlap < max_chars:
-        raise ValueError("overlap must be from 0 to max_chars - 1")
     own = ["document_id", "version_id"]
     rows = elements.where("text <> ''").withColumn("section_seq", F.row_number().over(W.partitionBy(*own).orderBy("element_index")))
-    rows = rows.withColumn("_r", X.chunk_ranges(F.col("text"), max_chars))
-    rows = rows.withColumn("_r", F.arrays_zip(F.col("_r").alias("at"), X.chunk_reasons(F.col("text"), F.col("_r")).alias("why")))
-    rows = rows.select(*own, "section_seq", "kind", "text", *position, F.posexplode("_r").alias("section_chunk_index", "_c"))
-    start = F.when(F.col("section_chunk_index") > 0, F.greatest(F.lit(0), F.col("_c.at.st") - overlap)).otherwise(F.col("_c.at.st"))
-    rows = rows.withColumn("char_start", start).withColumn("char_end", F.col("_c.at.en"))
-    rows = rows.withColumn("content", F.substring("text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start")))
+    rows = rows.select(*own, "section_seq", "kind", *position, "text")
+    rows = X.chunk_rows(rows, "text", max_chars, overlap).withColumnRenamed("chunk_index", "section_chunk_index")
     shown = F.when(F.col("kind") == "row", "table").otherwise(F.col("kind"))
     boundary = F.when(shown.isin(*CONTENT_TYPES), F.concat(shown, F.lit("_boundary"))).otherwise("element_boundary")
-    rows = rows.withColumn("split_reason", F.when(F.col("_c.why") == "element_boundary", boundary).otherwise(F.col("_c.why")))
+    rows = rows.withColumn("split_reason", F.when(F.col("split_reason") == "element_boundary", boundary).otherwise(F.col("split_reason")))
     rows = rows.withColumn("content_type", F.when(F.col("kind").isin(*CONTENT_TYPES), F.col("kind")).otherwise("text"))
     place = F.struct(*(F.col(c) for c in sorted([*position, "char_start", "char_end"])))
     whole = canonical_json(document_id=F.col("document_id"), version_id=F.col("version_id"), source_position=place, content=F.col("content"), content_type=F.col("content_type"), rule_version=F.lit(rule))

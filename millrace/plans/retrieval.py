@@ -97,14 +97,9 @@ def dedupe_keep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into chunks of up to 700 characters at sentence ends."""
-    docs = table(spark, sf_dir, "documents")
-    docs = docs.select("doc_id", "text", X.chunk_ranges(F.col("text"), 700).alias("ranges"))
-    docs = docs.withColumn("ranges", F.arrays_zip(F.col("ranges").alias("c"), X.chunk_reasons(F.col("text"), F.col("ranges")).alias("reason")))
-    chunks = docs.select("doc_id", "text", F.posexplode("ranges").alias("chunk_index", "r")).select("doc_id", "text", "chunk_index", "r.c", "r.reason")
-    content = F.substring("text", F.col("c.st") + 1, F.col("c.en") - F.col("c.st"))
-    reason = F.col("reason")
-    rows = chunks.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("c.st").cast("long").alias("char_start"), F.col("c.en").cast("long").alias("char_end"), F.sha2(content, 256).alias("chunk_hash"), reason.alias("split_reason"))
-    return rows
+    rows = X.chunk_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 700)
+    whole = [F.col(c).cast("long").alias(c) for c in ("chunk_index", "char_start", "char_end")]
+    return rows.select("doc_id", *whole, F.sha2("content", 256).alias("chunk_hash"), "split_reason")
 
 
 QUERIES = {
@@ -178,4 +173,29 @@ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY hit, o) AS rank
     "dedupe_keep_best": """
 SELECT l_suppkey AS query, l_partkey AS item, l_quantity AS relevance, l_linenumber AS rank, l_orderkey AS position FROM lineitem
 QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_quantity DESC, l_linenumber, l_orderkey) = 1""",
+    # A full stop between digits is put out of sight while sentences are told apart; the fold goes
+    # sentence by sentence over all documents.
+    "chunk_documents": r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, text, regexp_extract_all(regexp_replace(regexp_replace(text, '([0-9])[.]([0-9])', '\1' || chr(1) || '\2', 'g'), '([0-9])[.]([0-9])', '\1' || chr(1) || '\2', 'g'),
+         '(?:[^\n。！？；.!?;]*(?:\n+|[。！？；.!?;])|[^\n。！？；.!?;]+)') AS u
+  FROM documents),
+s AS (
+  SELECT doc_id, i, size, (sum(size) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS en
+  FROM (SELECT doc_id, unnest(range(1, len(u) + 1)) AS i, unnest(list_transform(u, lambda x: length(x))) AS size FROM t)),
+f AS (
+  SELECT doc_id, i, size, en, CASE WHEN size > 700 THEN -1 ELSE 0 END::BIGINT AS st FROM s WHERE i = 1
+  UNION ALL
+  SELECT s.doc_id, s.i, s.size, s.en, CASE WHEN s.size > 700 THEN -1 WHEN f.st >= 0 AND s.en - f.st <= 700 THEN f.st ELSE s.en - s.size END
+  FROM f JOIN s ON s.doc_id = f.doc_id AND s.i = f.i + 1),
+c AS (
+  SELECT doc_id, st, max(en) AS en, false AS hard FROM f WHERE st >= 0 GROUP BY doc_id, st
+  UNION ALL
+  SELECT doc_id, st, least(st + 700, en), true FROM (SELECT doc_id, en, unnest(range(en - size, en, 700)) AS st FROM f WHERE st < 0)),
+k AS (
+  SELECT *, row_number() OVER w - 1 AS chunk_index, count(*) OVER (PARTITION BY doc_id) AS n, lead(hard) OVER w AS next_hard
+  FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY st))
+SELECT k.doc_id, chunk_index, st AS char_start, k.en AS char_end, sha256(substr(text, st + 1, k.en - st)) AS chunk_hash,
+       CASE WHEN hard OR (NOT next_hard AND NOT regexp_matches(text, '\s|\p{Z}|\x{85}')) THEN 'hard_split' WHEN n = 1 THEN 'element_boundary' ELSE 'sentence_boundary' END AS split_reason
+FROM k JOIN t USING (doc_id)""",
 }
