@@ -337,6 +337,22 @@ def test_html_blocks():
     assert html_text.read_blocks(hinted) == [("a", False), ("b", True), ("c", True), ("d", True), ("f", False)]
 
 
+def test_values_and_longer_names_of_attributes_rule_nothing_out():
+    kept = ["<p title='hidden treasure'>", '<a title="hidden lake">', "<p data-id=share>", '<section data-role="banner">', "<p data-hidden>", "<p alt='class=ad' id=x>", '<p data-x="a\'b" title=" role=menu ">']
+    page = "<article>" + "".join(f"{tag}text {i}</{tag[1:].split()[0].rstrip('>')}>\n" for i, tag in enumerate(kept)) + "</article>"
+    assert " ".join(t for t, _ in html_text.read_blocks(page)).split() == [x for i in range(len(kept)) for x in ("text", str(i))]
+    assert not any(hinted for _, hinted in html_text.read_blocks(page))
+
+
+def test_widget_names_on_an_articles_paragraphs_only_hint(spark):
+    """Differencing keeps what this page alone says and drops what the next page says too."""
+    part = lambda own: f"<article><p>own {own}</p><p class='search'>searched {own}</p><p id='notice'>noted {own}</p><p class=share>send this on</p><p class=ad>buy {own}</p></article>"
+    assert html_text.read_blocks(part(1)) == [("own 1", False), ("searched 1", True), ("noted 1", True), ("send this on", True)]
+    rows = [(i, f"http://h/a/{i}", part(i)) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"own {i}\n\nsearched {i}\n\nnoted {i}" for i in range(3)}
+
+
 def test_hints_are_settled_by_the_nearest_page(spark):
     page = lambda i: f"<body><div>Menu</div><article><p>The same quote.</p><p>Own {i}</p><div class='share-price'>Price {i}</div><div class='share-row'>Share this</div></article></body>"
     rows = [(i, f"https://h.example/{i}", page(i)) for i in range(10, 20)]
