@@ -59,7 +59,7 @@ def best_overlaps(queries: DataFrame, items: DataFrame, query_id: str, item_ids:
     are joined by the tokens instead.
     """
     parted = isinstance(items.schema[text].dataType, T.ArrayType)
-    q = queries.select(F.col(query_id).cast("long").alias(query_id), tokens(F.col(text)).alias("_t")).where("size(_t) > 0")
+    q = queries.select(F.col(query_id).cast("long").alias(query_id), tokens(F.col(text)).alias("_t")).where((F.size("_t") > 0) & F.col(query_id).isNotNull())
     rows = items.where(reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in [*item_ids, text])))
     rows = rows.select(*(F.col(c).cast("long").alias(c) for c in item_ids), (F.col(text) if parted else F.array(text)).alias("_parts"))
     keep = [query_id, "n_query", *item_ids, "part", "overlap"]

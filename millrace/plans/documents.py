@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.operators import scope as S
+from millrace.operators.postings import shop_fingerprints
 from millrace.operators.snapshots import import_status
 from millrace.sources.derive import SCOPED_SQL, scoped_documents
 from millrace.sources.tables import table
@@ -66,14 +67,8 @@ def object_keys_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hash for each shop over its documents in order, so that an index is rebuilt only if it
-    changed. Hashes are summed up as a tree over ranges of 1,000, a million and a thousand million ids:
-    none of its nodes has over 1,000 parts, and a hot shop's rows meet in many tasks."""
-    rows = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("at"), F.sha2("text", 256).alias("h"), F.lit(1).alias("n"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: F.concat_ws(":", x["at"], x["h"])), "|")
-    for _ in range(3):
-        rows = rows.groupBy("source", F.floor(F.col("at") / 1000).alias("above")).agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n")).withColumnRenamed("above", "at")
-    return rows.groupBy(F.col("source").alias("shop_id")).agg(F.sum("n").alias("documents"), F.sha2(joined, 256).alias("fingerprint"))
+    """One hash for each shop over its documents in order, so that an index is rebuilt only if it changed."""
+    return shop_fingerprints(table(spark, sf_dir, "documents"), "source", "doc_id", "text").withColumnRenamed("shop", "shop_id")
 
 
 def import_states(spark: SparkSession, sf_dir: str) -> DataFrame:

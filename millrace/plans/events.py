@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 from millrace.operators.snapshots import submit_status
 from millrace.sources.tables import table
 from millrace.streaming import events as E
-
+from millrace.streaming import leases as L
+from millrace.streaming import ordered as O
 
 
 def event_sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +80,43 @@ def lease_fencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(issue.isNotNull()).groupBy(issue.alias("issue")).agg(F.count("*").alias("transitions"))
 
 
+def event_release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each execution's events in order of their numbers, from a log that lost some and repeats some."""
+    rows = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    rows = rows.withColumn("seq", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")))
+    rows = rows.withColumn("kind", F.when((F.col("event_type") == "purchase") & (F.col("k") >= 90), "completed").otherwise(F.col("event_type")))
+    kept = rows.where("event_id % 13 <> 5")
+    log = kept.unionByName(kept.where("event_id % 11 = 3").withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 HOUR")))
+    return O.released(O.numbered_events(log, "user_id", "ts", "seq", "kind", "props"))
+
+
+#: Requests are hours apart here, so leases last longer than in service.
+TERMS = L.Terms(lease=timedelta(hours=18), attempts=4, backoff=timedelta(hours=3), most_backoff=timedelta(hours=8))
+
+
+def _lease_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as requests of three workers on a job."""
+    kind = F.col("event_type")
+    action = F.when(kind.isin("view", "signup"), "claim").when(kind == "click", "renew").when(kind == "error", "fail").otherwise("complete")
+    rows = table(spark, sf_dir, "events").withColumn("action", action).withColumn("worker", F.get_json_object("props", "$.k").cast("long") % 3)
+    rows = rows.withColumn("action", F.when((F.col("action") == "complete") & (F.get_json_object("props", "$.k").cast("long") >= 30), "renew").otherwise(F.col("action")))
+    return L.requests(rows, "user_id", "ts", "event_id", "worker", "action")
+
+
+def lease_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each request: claims, renewals, expiry and fencing."""
+    out = L.lease_log(_lease_requests(spark, sf_dir), TERMS)
+    return out.select("job", F.unix_micros("ts").alias("at"), "event_id", "worker", "action", "accepted", "reason", "epoch", "status")
+
+
+def lease_log_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of a log of transitions that the rules don't give: every 17th says the opposite, every
+    19th states another epoch."""
+    log = L.lease_log(_lease_requests(spark, sf_dir), TERMS).where("event_id IS NOT NULL")
+    log = log.withColumn("accepted", F.col("accepted") != (F.col("event_id") % 17 == 0)).withColumn("epoch", F.col("epoch") + (F.col("event_id") % 19 == 0).cast("long"))
+    return L.lease_issues(log.select("job", "ts", "event_id", "worker", "action", "accepted", "epoch"), TERMS)
+
+
 def layout_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as elements of a layout list: kinds mapped, unknown ones text, pages from 1."""
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
@@ -90,11 +130,61 @@ QUERIES = {
     f.__name__: f
     for f in (
         event_sequence_gaps, next_sequence, rolling_rate_limit, error_rate_trailing, idempotency_conflicts, turn_states, heartbeats, lease_fencing,
-        layout_elements,
+        event_release, lease_transitions, lease_log_issues, layout_elements,
     )
 }
 
+# The machine once more, a request of every job at a time; times are microseconds.
+_LEASES = """
+RECURSIVE e AS (
+  SELECT user_id AS job, epoch_us(ts) AS t, event_id, (props->>'$.k')::BIGINT % 3 AS w, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
+         CASE WHEN event_type IN ('view', 'signup') THEN 'claim' WHEN event_type = 'click' THEN 'renew' WHEN event_type = 'error' THEN 'fail'
+              WHEN (props->>'$.k')::BIGINT < 30 THEN 'complete' ELSE 'renew' END AS a
+  FROM events),
+s AS (
+  SELECT DISTINCT user_id AS job, 0::BIGINT AS i, 'pending' AS status, NULL::BIGINT AS worker, 0::BIGINT AS epoch, NULL::BIGINT AS until, NULL::BIGINT AS due, 0::BIGINT AS failures, false AS told,
+         [0, 0, 0]::BIGINT[] AS got, NULL::BIGINT AS t, NULL::BIGINT AS event_id, NULL::BIGINT AS w, NULL::VARCHAR AS a, NULL::VARCHAR AS why, false AS ended, NULL::BIGINT AS ended_at, NULL::BIGINT AS ended_of
+  FROM events
+  UNION ALL
+  SELECT job, i, CASE WHEN why IS NOT NULL THEN status WHEN a = 'claim' THEN 'running' WHEN a = 'complete' THEN 'done' WHEN a = 'fail' THEN CASE WHEN failures < 3 THEN 'pending' ELSE 'failed' END ELSE status END,
+         CASE WHEN why IS NOT NULL OR a = 'renew' THEN worker WHEN a = 'claim' THEN w END,
+         CASE WHEN why IS NULL AND a = 'claim' THEN epoch + 1 ELSE epoch END,
+         CASE WHEN why IS NOT NULL THEN until WHEN a IN ('claim', 'renew') THEN t + 64800000000 END,
+         CASE WHEN why IS NULL AND a = 'fail' THEN t + least(10800000000 * (2 ** failures)::BIGINT, 28800000000) ELSE due END,
+         CASE WHEN why IS NULL AND a = 'fail' THEN failures + 1 ELSE failures END,
+         CASE WHEN why IS NULL AND a = 'claim' THEN false ELSE told OR ended END,
+         CASE WHEN why IS NULL AND a = 'claim' THEN list_transform(got, lambda g, k: CASE WHEN k = w + 1 THEN epoch + 1 ELSE g END) ELSE got END,
+         t, event_id, w, a, why, ended, until, worker
+  FROM (
+    SELECT s.job, e.i, status, worker, epoch, until, due, failures, told, got, e.t, e.event_id, e.w, e.a, status = 'running' AND until <= e.t AND NOT told AS ended,
+           CASE WHEN status IN ('done', 'failed') THEN 'job_' || status
+                WHEN e.a = 'claim' THEN CASE WHEN status = 'running' AND until > e.t THEN 'lease_held' WHEN status = 'pending' AND due > e.t THEN 'not_due' END
+                WHEN status <> 'running' THEN 'not_running' WHEN got[e.w + 1] = 0 THEN 'never_claimed' WHEN e.w <> worker OR got[e.w + 1] <> epoch THEN 'fenced'
+                WHEN until <= e.t THEN 'lease_expired' END AS why
+    FROM s JOIN e ON e.job = s.job AND e.i = s.i + 1))"""
+
 ORACLE = {
+    "event_release": """
+WITH n AS (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq,
+         CASE WHEN event_type = 'purchase' AND (props->>'$.k')::BIGINT >= 90 THEN 'completed' ELSE event_type END AS kind
+  FROM events),
+p AS (SELECT user_id, seq, kind, props FROM n WHERE event_id % 13 <> 5),
+z AS (SELECT user_id, coalesce(min(seq) FILTER (kind = 'completed'), max(seq)) AS top FROM p GROUP BY user_id),
+l AS (SELECT user_id, seq, seq - row_number() OVER (PARTITION BY user_id ORDER BY seq) AS island FROM n JOIN z USING (user_id) WHERE event_id % 13 = 5 AND seq < top)
+SELECT user_id::VARCHAR AS execution, 'event' AS kind, seq, seq AS upto, kind AS type, props AS data FROM p JOIN z USING (user_id) WHERE seq <= top
+UNION ALL
+SELECT user_id::VARCHAR, 'gap', min(seq), max(seq), NULL, NULL FROM l GROUP BY user_id, island""",
+    "lease_transitions": f"""
+WITH {_LEASES}
+SELECT job::VARCHAR AS job, t AS at, event_id, w::VARCHAR AS worker, a AS action, why IS NULL AS accepted, why AS reason, epoch, status FROM s WHERE i > 0
+UNION ALL
+SELECT job::VARCHAR, ended_at, NULL, ended_of::VARCHAR, 'expire', true, NULL, epoch - (a = 'claim')::BIGINT, 'running' FROM s WHERE ended""",
+    "lease_log_issues": f"""
+WITH {_LEASES}
+SELECT job::VARCHAR AS job, event_id,
+       CASE WHEN event_id % 17 = 0 AND why IS NOT NULL THEN 'accepted_wrongly' WHEN event_id % 17 = 0 THEN 'refused_wrongly' ELSE 'epoch_wrong' END AS issue
+FROM s WHERE i > 0 AND (event_id % 17 = 0 OR event_id % 19 = 0 AND why IS NULL)""",
     "event_sequence_gaps": """
 SELECT event_id, user_id, row_number() OVER w AS seq, (epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER w)))::BIGINT AS step_s,
        coalesce((epoch(date_trunc('second', ts)) - epoch(date_trunc('second', lag(ts) OVER w)))::BIGINT > 86400, false) AS gap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""",
