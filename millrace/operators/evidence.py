@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.operators.intervals import interval_join
 from millrace.operators.scope import in_window
 
 ROLES = ("owner", "admin", "operator", "viewer")
@@ -27,7 +28,7 @@ def eligible_chunks(cases: DataFrame, documents: DataFrame, chunks: DataFrame) -
     ``cases``: case_id, tenant_id, shop_id, on. ``documents`` and ``chunks`` have doc_id, tenant_id,
     shop_id, effective_from and effective_to, chunks also disclosure_class."""
     docs = documents.select("doc_id", "tenant_id", "shop_id", "effective_from", "effective_to")
-    docs = cases.join(docs, ["tenant_id", "shop_id"]).where(in_window(F.col("on"), F.col("effective_from"), F.col("effective_to")))
+    docs = interval_join(cases, docs, ["tenant_id", "shop_id"], "on", "effective_from", "effective_to")
     own = chunks.where(F.col("disclosure_class") == "external_allowed")
     own = docs.select("case_id", "on", "doc_id", "tenant_id", "shop_id").join(own, ["doc_id", "tenant_id", "shop_id"])
     return own.where(in_window(F.col("on"), F.col("effective_from"), F.col("effective_to")))
