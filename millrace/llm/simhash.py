@@ -168,8 +168,10 @@ SAMPLE_TEXTS, MOST_FREQUENT = 8_000, 200_000
 MEET_ROWS = 2048
 #: Rows of two longs up to which a table is broadcast.
 BROADCAST_ROWS = 200_000
-#: A count of a profile that may stand for more.
-FULL = 255
+#: A count of a profile that may stand for more; classes of a brief profile.
+FULL, BRIEF = 255, 256
+#: Pairs whose brief profiles are held against each other at once.
+BRIEF_PAIRS = 1 << 14
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -231,6 +233,37 @@ def most_shared(x: np.ndarray, y: np.ndarray) -> int | None:
     return int(np.minimum(x, y).sum())
 
 
+def folded(profile: np.ndarray, classes: int) -> np.ndarray:
+    """A profile over fewer classes, or itself; ``FULL`` stays what may stand for more."""
+    if len(profile) <= classes:
+        return profile
+    parts = profile.reshape(-1, classes)
+    return np.where((parts == FULL).any(axis=0), FULL, np.minimum(parts.sum(axis=0, dtype=np.int64), FULL)).astype(np.uint8)
+
+
+def briefly_alike(x: list[bytes], y: list[bytes], i: np.ndarray, j: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which pairs (x[i], y[j]) of brief profiles allow a similarity of 0.8, where the sets of a pair have
+    so many hashes together; the same bound as by whole profiles, only looser."""
+    out = np.ones(len(i), bool)
+    p, q = (np.array([len(v) for v in side]) for side in (x, y))
+    for a in np.unique(p[i]).tolist():
+        for b in np.unique(q[j]).tolist():
+            some = np.flatnonzero((p[i] == a) & (q[j] == b))
+            if not len(some):
+                continue
+            m = min(a, b)
+            rows, other = ({k: folded(np.frombuffer(side[k], np.uint8), m) for k in np.unique(at[some]).tolist()} for side, at in ((x, i), (y, j)))
+            u, v = (np.stack(list(r.values())) for r in (rows, other))
+            iu, jv = np.searchsorted(list(rows), i[some]), np.searchsorted(list(other), j[some])
+            for k in range(0, len(some), BRIEF_PAIRS):
+                part = slice(k, k + BRIEF_PAIRS)
+                one, two = u[iu[part]], v[jv[part]]
+                known = (one != FULL).all(axis=1) & (two != FULL).all(axis=1)
+                most = np.minimum(one, two).sum(axis=1, dtype=np.int64)
+                out[some[part]] = ~known | (SHARED * most >= OF * sizes[some[part]])
+    return out
+
+
 def with_prefixes(df: DataFrame, shingle: int, parts: bool) -> DataFrame:
     """doc_id, _key, fp, sid (a hash of the shingle set), n (its size), keys (its prefix) and profile,
     a row per row. Equal sets that one task meets have keys and profile once, and without ``parts``
@@ -324,24 +357,33 @@ def apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return rows.mapInArrow(test, "a long, b long, ca long, cb long")
 
 
-def parted_pairs(members: DataFrame, components: DataFrame, list_rows: int) -> DataFrame:
-    """a, b: pairs of sids that share a key, may be near copies and have different components, less
-    those with a bucket's head. Of a bucket only rows outside its main component are held against
-    all; both sides are dealt into lists of about ``list_rows``, and every two lists meet."""
+def parted_pairs(members: DataFrame, components: DataFrame, sets: DataFrame, list_rows: int) -> DataFrame:
+    """a, b: pairs of sids that share a key, may be near copies by their brief profiles too, and have
+    different components, less those with a bucket's head. Of a bucket only rows outside its main
+    component are held against all; both sides are dealt into lists of about ``list_rows``, and every
+    two lists meet. ``sets``: sid, profile."""
+
+    def brief(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [folded(np.frombuffer(v.as_buffer(), np.uint8), BRIEF).tobytes() for v in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(short, pa.binary())], ["sid", "brief"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.column(0):
-                v = [c.to_numpy() for c in x.values.flatten()]
+                *v, briefs = x.values.flatten()
+                v, briefs = [c.to_numpy() for c in v], briefs.to_pylist()
                 asks = v[5]
                 q, b = ([c[some] for c in v[:5]] for some in (asks == 1, asks == 0))
+                own, other = ([briefs[k] for k in np.flatnonzero(some)] for some in (asks == 1, asks == 0))
                 for k in range(0, len(q[0]), 256):
                     sid, n, at, component, _ = (c[k : k + 256, None] for c in q)
                     # Two rows outside the main component would meet twice.
                     good = may_be_alike(n, b[1], at, b[2]) & (component != b[3]) & ((b[4] == 0) | (sid < b[0]))
                     i, j = np.nonzero(good)
                     if len(i):
-                        yield pa.record_batch([pa.array(sid[i, 0]), pa.array(b[0][j])], ["a", "b"])
+                        near = briefly_alike(own[k : k + 256], other, i, j, n[i, 0] + b[1][j])
+                        yield pa.record_batch([pa.array(sid[i[near], 0]), pa.array(b[0][j[near]])], ["a", "b"])
 
     marked = members.where("sid <> head").select("key", "sid", F.col("n").cast("long"), F.col("at").cast("long"))
     marked = stored(marked.join(components, "sid"), "bucket-rows")
@@ -350,9 +392,10 @@ def parted_pairs(members: DataFrame, components: DataFrame, list_rows: int) -> D
     lists = lambda c: F.ceil(c / list_rows).cast("int")
     main = main.where("all > most").select("key", "main", lists(F.col("all")).alias("lists"), lists(F.col("all") - F.col("most")).alias("others"))
     marked = marked.join(main, "key").withColumn("other", (F.col("component") != F.col("main")).cast("long"))
+    marked = marked.join(sets.select("sid", "profile").mapInArrow(brief, "sid long, brief binary"), "sid")
     dealt = lambda c: F.pmod(F.xxhash64("key", "sid"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    row = lambda asks: F.struct("sid", "n", "at", "component", "other", F.lit(asks).cast("long").alias("asks")).alias("row")
+    row = lambda asks: F.struct("sid", "n", "at", "component", "other", F.lit(asks).cast("long").alias("asks"), "brief").alias("row")
     asking = marked.where("other = 1").select("key", every("lists").alias("salt"), dealt("others").alias("part"), row(1))
     base = marked.select("key", dealt("lists").alias("salt"), every("others").alias("part"), row(0))
     rows = asking.unionByName(base).groupBy("key", "salt", "part").agg(F.collect_list("row").alias("rows"))
@@ -415,7 +458,7 @@ def with_near_copies(found: DataFrame, df: DataFrame, light: DataFrame, sets: Da
     forget(head)
     forget(buckets)
     now = components(found)
-    found = joined(found, now, parted_pairs(members, now, list_rows))
+    found = joined(found, now, parted_pairs(members, now, sets, list_rows))
     forget(members)
     return found
 

@@ -202,3 +202,23 @@ def test_equal_sets_of_different_fingerprints_are_one_group(docs):
     assert S.fingerprint(rows[0][1].encode(), 5) != S.fingerprint(rows[2][1].encode(), 5)
     kept = {r["doc_id"] for r in S.keep_one_of_each(docs(rows)).collect()}
     assert 1 in kept and 2 not in kept
+
+
+def test_brief_profiles_keep_near_copies_and_rule_out_most_others():
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(n)).astype(np.uint64)) for n in rng.integers(1, 4000, 60)]
+    near = [np.unique(np.concatenate([h[len(h) // 12 :], rng.integers(0, 1 << 63, len(h) // 12).astype(np.uint64)])) for h in sets]
+    every = sets + near
+    brief = [S.folded(np.frombuffer(S.profile(h), np.uint8), S.BRIEF).tobytes() for h in every]
+    assert max(map(len, brief)) == S.BRIEF
+    i, j = (v.ravel() for v in np.meshgrid(np.arange(len(every)), np.arange(len(every))))
+    sizes = np.array([len(h) for h in every])
+    good = S.briefly_alike(brief, brief, i, j, sizes[i] + sizes[j])
+    true = np.array([S.SHARED * len(np.intersect1d(every[a], every[b])) >= S.OF * (len(every[a]) + len(every[b])) for a, b in zip(i, j, strict=True)])
+    assert not (true & ~good).any() and true.sum() > 120
+    close = np.minimum(sizes[i], sizes[j]) >= 0.8 * np.maximum(sizes[i], sizes[j])
+    large = (sizes[i] > 100) & (sizes[i] < 2000)
+    assert good[close & large & ~true].mean() < 0.2
+    same = np.full(2000, 3, np.uint64)
+    full = S.folded(np.frombuffer(S.profile(same), np.uint8), S.BRIEF).tobytes()
+    assert S.briefly_alike([full], [full], np.array([0]), np.array([0]), np.array([99])).all()
