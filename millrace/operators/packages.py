@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as X
 from millrace.operators import integrity as I
+from millrace.sources.archives import parse_mixed
 
 # Kinds of content, chunk rule, reasons of splits, formats, disclosure classes, the most tokens of a chunk.
 CONTENT_TYPES = ("text", "heading", "table", "image", "list", "code")
@@ -58,6 +59,58 @@ def dataset_hashes(packages: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.select("package_id", F.sha2(canonical_json(manifest_sha256=F.col("manifest_sha256"), documents=listed), 256).alias("dataset_sha256"))
 
 
+# The most documents, bytes and chunks of a package.
+MOST_DOCUMENTS, MOST_BYTES, MOST_CHUNKS = 100, 8 << 20, 10_000
+
+
+def package_parse(packages: DataFrame, files: DataFrame, documents: DataFrame, max_chars: int = 700, pipeline: str = "structured-v2") -> tuple[DataFrame, DataFrame]:
+    """Parses packages whole or not at all: a row for each package, and the chunks of those that pass.
+
+    ``packages``: package_id, manifest_sha256. ``files``: package_id, path, content (bytes).
+    ``documents``: package_id, position, document_id, path, format, source_hash. The first frame has
+    state (PARSED or FAILED), reason (the first rule that fails, in the order below), subject (the
+    first document it fails for), documents, chunks and dataset_sha256, null unless parsed. A failed
+    document fails its package. Limits are counted in the same pass as the work.
+    """
+    own = ["package_id", "document_id"]
+    at = files.dropDuplicates(["package_id", "path"]).select("package_id", "path", "content", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("file_hash"))
+    docs = documents.join(at, ["package_id", "path"], "left")
+    # One id for a document of a package, so that parsers see one column.
+    key = F.concat_ws("\u0001", F.col("package_id").cast("string"), "document_id")
+    elements = parse_mixed(docs.withColumn("_key", key).where("content IS NOT NULL"), "_key", "format", "content")
+    made = element_chunks(elements.where("kind <> 'error'").withColumn("version_id", F.lit(pipeline)), max_chars)
+    counts = made.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunks"))
+    failed = elements.where("kind = 'error'").groupBy("document_id").agg(F.min("text").alias("error"))
+    rows = docs.drop("content").withColumn("_key", key)
+    rows = rows.join(counts.withColumnRenamed("document_id", "_key"), "_key", "left").join(failed.withColumnRenamed("document_id", "_key"), "_key", "left").na.fill(0, ["chunks"])
+    reason = (
+        F.when(F.col("bytes").isNull(), "file_missing").when(~F.coalesce(F.col("file_hash") == F.col("source_hash"), F.lit(False)), "source_hash_mismatch")
+        .when(F.col("error").isNotNull(), "document_could_not_be_parsed").when(F.col("chunks") == 0, "document_has_no_chunks")
+    )
+    rows = rows.withColumn("reason", reason)
+    whole = rows.groupBy("package_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("chunks").alias("chunks"), F.sum("bytes").alias("bytes"),
+        F.min(F.when(F.col("reason").isNotNull(), F.struct("position", "document_id", "reason"))).alias("first"),
+    )
+    out = packages.join(whole, "package_id", "left").na.fill(0, ["documents", "chunks", "bytes"])
+    why = (
+        F.when(F.col("documents") == 0, "no_documents").when(F.col("documents") > MOST_DOCUMENTS, "too_many_documents").when(F.col("bytes") > MOST_BYTES, "too_many_bytes")
+        .when(F.col("first").isNotNull(), F.col("first.reason")).when(F.col("chunks") > MOST_CHUNKS, "too_many_chunks")
+    )
+    out = out.withColumn("reason", why)
+    # Only packages within the limits are hashed, so that one row holds their documents.
+    good = out.where("reason IS NULL").select("package_id", "manifest_sha256")
+    hashes = dataset_hashes(good, rows.join(good.select("package_id"), "package_id", "left_semi"))
+    states = out.join(hashes, "package_id", "left").select(
+        "package_id", F.when(F.col("reason").isNull(), "PARSED").otherwise("FAILED").alias("state"), "reason",
+        F.when(F.col("reason") == F.col("first.reason"), F.col("first.document_id")).alias("subject"), "documents", "chunks", "dataset_sha256",
+    )
+    parts = F.split("document_id", "\u0001")
+    chunks = made.withColumn("package_id", F.get(parts, 0)).withColumn("document_id", F.get(parts, 1))
+    chunks = chunks.join(good.select(F.col("package_id").cast("string").alias("package_id")), "package_id", "left_semi")
+    return states, chunks
+
+
 def sha256_hex(c: Column) -> Column:
     return F.coalesce(c.rlike("^[0-9a-f]{64}$"), F.lit(False))
 

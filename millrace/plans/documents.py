@@ -198,9 +198,9 @@ SELECT doc_id, regexp_matches(text, '-----BEGIN (OPENSSH |RSA |EC )?PRIVATE KEY-
        regexp_matches(text, '(sk-[A-Za-z0-9._-]{24}|LTAI[A-Za-z0-9]{16}|tvly-[A-Za-z0-9_-]{24})') AS token,
        len(list_filter(regexp_extract_all(text, '\b[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\b'), lambda u: u <> '00000000-0000-0000-0000-000000000000')) > 0 AS uuid,
        regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])[A-Z]:[/\\][A-Za-z0-9_]') AS drive_path,
-       len(list_filter(regexp_extract_all(text, '\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b', 1), lambda a:
-         list_max(list_transform(string_split(a, '.'), lambda x: CAST(x AS INTEGER))) <= 255
-         AND NOT regexp_matches(a, '^(192\.0\.2|198\.51\.100|203\.0\.113|127\.\d+\.\d+|0\.0\.0)\.'))) > 0 AS address
+       len(list_filter(string_split_regex(text, '[^A-Za-z0-9_.]+'), lambda a:
+         regexp_full_match(a, '(0|[1-9][0-9]{0,2})([.](0|[1-9][0-9]{0,2})){3}') AND list_max(list_transform(string_split(a, '.'), lambda x: TRY_CAST(x AS INTEGER))) <= 255
+         AND a <> '0.0.0.0' AND NOT regexp_matches(a, '^(192\.0\.2|198\.51\.100|203\.0\.113|127\.\d+\.\d+)\.'))) > 0 AS address
 FROM documents""",
     "object_keys_hash": """
 SELECT doc_id, k AS object_key, regexp_matches(k, '^[A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9][A-Za-z0-9._-]*/[A-Za-z0-9][A-Za-z0-9._-]*/raw/[0-9a-f]{64}$') AS valid

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import warnings
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import packages as P
+from millrace.sources import archives as A
 from millrace.sources.derive import SCOPED_SQL, scoped_documents
 from millrace.sources.parsers import parse_documents
 from millrace.sources.tables import table
@@ -65,7 +72,46 @@ def package_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues.groupBy("rule").agg(F.count(F.lit(1)).alias("issues"), F.min("subject").alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (element_chunks, package_hashes, package_gate)}
+def package_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of documents parsed whole or not at all; some have a changed, a missing or an empty file,
+    one of a format that isn't known, or one whose bytes are no text."""
+    packages, docs = _packages(spark, sf_dir)
+    fault = F.col("doc_id") % 211
+    docs = docs.withColumn("path", F.concat(F.lit("docs/"), F.col("doc_id"), F.lit(".md"))).withColumn("content", F.when(fault == 5, F.lit("  \n")).otherwise(F.coalesce("text", F.lit(""))).cast("binary"))
+    docs = docs.withColumn("content", F.when(fault == 9, F.concat("content", F.unhex(F.lit("FF")))).otherwise(F.col("content"))).withColumn("source_hash", F.sha2("content", 256))
+    files = docs.where(fault != 3).select("package_id", "path", F.when(fault == 1, F.concat("content", F.lit("!").cast("binary"))).otherwise(F.col("content")).alias("content"))
+    documents = docs.select("package_id", "position", "document_id", "path", F.when(fault == 7, "pdf").otherwise("markdown").alias("format"), "source_hash")
+    return P.package_parse(packages, files, documents)[0]
+
+
+def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of a document's text, its lines as a table and a page, some of them broken: members and
+    what is refused."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sink, fault = io.BytesIO(), doc_id % 29
+                with zipfile.ZipFile(sink, "w", zipfile.ZIP_DEFLATED) as out, warnings.catch_warnings():
+                    warnings.simplefilter("ignore")
+                    out.writestr("../up.md" if fault == 1 else "text/whole.md", text)
+                    out.writestr("text/whole.md" if fault == 2 else "rows.csv", "a,b\n1,2\n")
+                    out.writestr("text" if fault == 3 else "page.html", "<p>page</p>")
+                    if fault == 4:
+                        link = zipfile.ZipInfo("link")
+                        link.external_attr = 0o120777 << 16
+                        out.writestr(link, "rows.csv")
+                data = sink.getvalue()
+                made.append(data[: len(data) // 2] if fault == 5 else data)
+            yield pa.record_batch([pa.array([f"a/{i}.zip" for i in batch.column(0).to_pylist()]), pa.array(made, pa.binary())], ["path", "content"])
+
+    out = A.archive_members(docs.mapInArrow(pack, "path string, content binary"), most_bytes=60_000)
+    return out.select("archive", "member", "size", "sha256", "issue")
+
+
+QUERIES = {f.__name__: f for f in (element_chunks, package_hashes, package_gate, package_parse, archive_members)}
 
 ORACLE = {
     "package_hashes": """
@@ -87,4 +133,15 @@ i AS (
   UNION ALL SELECT DISTINCT 'parse_dataset_hash_mismatch', (doc_id // 50)::VARCHAR FROM documents WHERE doc_id // 50 % 4 = 1
   UNION ALL SELECT DISTINCT 'parse_manifest_binding_invalid', (doc_id // 50)::VARCHAR FROM documents WHERE doc_id // 50 % 3 = 2)
 SELECT rule, count(*) AS issues, min(subject) AS first FROM i GROUP BY 1""",
+    "archive_members": """
+WITH d AS (
+  SELECT 'a/' || doc_id || '.zip' AS archive, doc_id % 29 AS f, coalesce(text, '') AS t, strlen(coalesce(text, '')) AS n FROM documents),
+i AS (
+  SELECT *, CASE f WHEN 1 THEN 'unsafe_path' WHEN 2 THEN 'duplicate_path' WHEN 5 THEN 'invalid_archive'
+                   ELSE CASE WHEN n > 60000 - 19 THEN 'too_large' WHEN f = 3 THEN 'conflicting_paths' WHEN f = 4 THEN 'special_file' END END AS issue
+  FROM d)
+SELECT archive, NULL AS member, NULL::BIGINT AS size, NULL AS sha256, issue FROM i WHERE issue IS NOT NULL
+UNION ALL SELECT archive, 'text/whole.md', n, sha256(t), NULL FROM i WHERE issue IS NULL
+UNION ALL SELECT archive, 'rows.csv', 8, sha256('a,b' || chr(10) || '1,2' || chr(10)), NULL FROM i WHERE issue IS NULL
+UNION ALL SELECT archive, 'page.html', 11, sha256('<p>page</p>'), NULL FROM i WHERE issue IS NULL""",
 }
