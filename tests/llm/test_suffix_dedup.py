@@ -108,3 +108,22 @@ def test_claims_that_fail_are_counted(spark, docs):
         chunks = S.make_chunks(docs(rows), "doc_id", "text", [], size)
         assert S.settled(chunks, S.Hashing(50, 4, 6, 50), 1000) is None
         assert S.settled(chunks, S.Hashing(50, 32, 62, 50), 1000) is not None
+
+
+def test_strings_in_doubt_are_settled_by_one_more_look(spark, docs, monkeypatch):
+    """Keys of few bits collide by the thousand; one look at what fails is enough."""
+    rng = random.Random(14)
+    shared = [words(rng, 60) for _ in range(6)]
+    rows = [(i, f"{words(rng, 25)} {rng.choice(shared)[rng.randint(0, 9) :]} {words(rng, 9)}") for i in range(60)]
+    rows += [(100 + i, rows[5][1]) for i in range(8)]
+    expected, calls, settled = brute(rows), [], S.settled
+    monkeypatch.setattr(S, "settled", lambda *a: calls.append(len(a[3])) or settled(*a))
+    for size in (900, 1 << 20):
+        calls.clear()
+        assert got(S.remove_repeats(docs(rows), chunk_bytes=size, key_bits=10)) == expected
+        assert calls == [0, 1]
+    # More strings in doubt than a look takes are left to the next ones.
+    calls.clear()
+    monkeypatch.setattr(S, "MOST_DOUBTS", 4000)
+    assert got(S.remove_repeats(docs(rows), chunk_bytes=2000, key_bits=8)) == expected
+    assert 2 <= len(calls) < 12
