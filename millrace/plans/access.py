@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators import alignment as A
 from millrace.operators import changes as C
 from millrace.operators import signing as S
 from millrace.operators.intervals import interval_join
+from millrace.sources.derive import SCOPED_SQL, scoped_documents
+from millrace.sources.store import shared_path, stored
 from millrace.sources.tables import table
 from millrace.streaming import resume as R
 
@@ -69,9 +72,79 @@ def windows_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval_join(days, offers, ["segment"], "day", "since", "until").groupBy("segment", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("offers"), F.sum("c_custkey").alias("ids"))
 
 
-QUERIES = {f.__name__: f for f in (readable_executions, signed_contexts, batch_resume_issues, windows_in_force)}
+def corpus_rule_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as lines of JSON, a hundred ids to a corpus, with fields harmed in the text: every issue."""
+    docs = scoped_documents(spark, sf_dir)
+    quoted = lambda c: F.coalesce(F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"')), F.lit("null"))
+    policy = F.concat(*(x for c in ("tenant_id", "shop_id", "disclosure_class", "effective_from", "effective_to") for x in (F.lit(f'"{c}":'), quoted(c), F.lit(","))))
+    chunk = lambda n: F.concat(F.lit("{"), policy, F.lit('"chunk_id":"c'), F.col("doc_id"), F.lit(f'-{n}","source_position":{{"n":{n}}}}}'))
+    whole = F.concat(F.lit("{"), policy, F.lit('"document_id":"d'), F.col("doc_id"), F.lit('","chunks":['), chunk(1), F.lit(","), chunk(2), F.lit("]}"))
+    docs = docs.select("doc_id", whole.alias("json"))
+    harmed = F.when(F.lit(False), "")
+    for k, (old, new) in enumerate(HARM):
+        harmed = harmed.when(F.col("doc_id") % 37 == 2 * k, F.regexp_replace("json", old, new))
+    lines = docs.select(F.floor(F.col("doc_id") / 100).alias("artifact_id"), F.col("doc_id").alias("line"), harmed.otherwise(F.col("json")).alias("json"))
+    # A corpus is a table that many rules read, not an expression to be computed for each.
+    return A.corpus_issues(stored(lines, shared_path(spark, "corpus")))
+
+
+#: Patterns and what they become, for ids with remainders 0, 2, 4 and so on of 37.
+HARM = [
+    ('^[{]"tenant_id":"[a-z]*"', '{"tenant_id":7'), ('"document_id":"d[0-9]*"', '"document_id":"d1"'), ('"chunk_id":"c[0-9]*-2"', '"chunk_id":"c-2"'), ('"chunks":.*$', '"chunks":{}}'),
+    ('"source_position":[{]"n":1[}]', '"source_position":{}'), ('"effective_from":"2024', '"effective_from":"24'), ('"chunks":.*$', '"chunks":[3,{}]}'), ("[}]$", ""),
+    ('"document_id":"d[0-9]*"', '"document_id":null'), ('"disclosure_class":"[a-z_]*","effective_from":"([0-9-]*)","effective_to":[^,]*,', '"disclosure_class":"none","effective_from":"$1","effective_to":"$1",'),
+    ('"shop_id":"[a-z0-9]*",("disclosure_class":"[a-z_]*","effective_from":"[0-9-]*","effective_to":[^,]*,"chunk_id":"c[0-9]*-1")', '"shop_id":"other",$1'), ('"chunk_id":"c[0-9]*-1"', '"chunk_id":""'),
+]
+
+QUERIES = {f.__name__: f for f in (corpus_rule_issues, readable_executions, signed_contexts, batch_resume_issues, windows_in_force)}
+
+_POLICY = """'"tenant_id":' || coalesce('"' || tenant_id || '"', 'null') || ',"shop_id":' || coalesce('"' || shop_id || '"', 'null') || ',"disclosure_class":"' || disclosure_class
+  || '","effective_from":"' || effective_from || '","effective_to":' || coalesce('"' || effective_to || '"', 'null') || ',' """
+_HARMED = " ".join(f"WHEN doc_id % 37 = {2 * k} THEN regexp_replace(whole, '{old}', '{new.replace('$', chr(92))}', 'g')" for k, (old, new) in enumerate(HARM))
+_DAY = "CASE WHEN json_type({0}, '$.{1}') = 'VARCHAR' AND regexp_full_match({0}->>'$.{1}', '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN TRY_CAST({0}->>'$.{1}' AS DATE) END"
+_UNDATED = "({0}->>'$.{1}' IS NOT NULL AND " + _DAY + " IS NULL)"
+
+
+def _policy_rules(value: str, prefix: str) -> str:
+    days = [_DAY.format(value, f) for f in ("effective_from", "effective_to")]
+    undated = [_UNDATED.format(value, f) for f in ("effective_from", "effective_to")]
+    known = f"json_type({value}, '$.disclosure_class') = 'VARCHAR' AND ({value}->>'$.disclosure_class') IN ('external_allowed', 'internal_only', 'unclassified')"
+    return f"""CASE WHEN NOT coalesce({known}, false) THEN '{prefix}_disclosure_class_invalid' END, CASE WHEN {undated[0]} OR {undated[1]} THEN '{prefix}_date_invalid' END,
+    CASE WHEN {days[0]} >= {days[1]} THEN '{prefix}_date_range_invalid' END"""
+
 
 ORACLE = {
+    "corpus_rule_issues": f"""
+WITH {SCOPED_SQL},
+w AS (
+  SELECT doc_id, '{{' || {_POLICY} || '"document_id":"d' || doc_id || '","chunks":[{{' || {_POLICY} || '"chunk_id":"c' || doc_id || '-1","source_position":{{"n":1}}}},{{'
+         || {_POLICY} || '"chunk_id":"c' || doc_id || '-2","source_position":{{"n":2}}}}]}}' AS whole FROM scoped),
+t AS (SELECT doc_id // 100 AS artifact_id, doc_id AS line, CASE {_HARMED} ELSE whole END AS json FROM w),
+j AS (SELECT artifact_id, line, CASE WHEN json_valid(json) THEN json::JSON END AS v FROM t),
+i AS (
+  SELECT *, CASE WHEN json_type(v, '$.document_id') = 'VARCHAR' THEN nullif(v->>'$.document_id', '') END AS id FROM j),
+n AS (SELECT *, row_number() OVER (PARTITION BY artifact_id, id ORDER BY line) AS nth FROM i),
+d AS (SELECT * FROM n WHERE id IS NOT NULL AND nth = 1),
+e AS (SELECT artifact_id, line, id, v, unnest(range(0, json_array_length(v, '$.chunks')::BIGINT)) AS pos FROM d WHERE json_type(v, '$.chunks') = 'ARRAY'),
+c AS (SELECT *, json_extract(v, '$.chunks[' || pos || ']') AS c, id || '/' || (pos + 1) AS path FROM e),
+o AS (SELECT *, CASE WHEN json_type(c, '$.chunk_id') = 'VARCHAR' THEN nullif(c->>'$.chunk_id', '') END AS chunk_id FROM c WHERE json_type(c) = 'OBJECT'),
+q AS (SELECT *, row_number() OVER (PARTITION BY artifact_id, chunk_id ORDER BY line, pos) AS again FROM o),
+x AS (
+  SELECT artifact_id, line::VARCHAR AS path, CASE WHEN v IS NULL THEN 'json_input_invalid' WHEN id IS NULL THEN 'corpus_document_id_invalid' END AS code FROM i
+  UNION ALL SELECT artifact_id, id, 'duplicate_corpus_document_id' FROM n WHERE id IS NOT NULL AND nth > 1
+  UNION ALL SELECT artifact_id, id, unnest([
+    CASE WHEN NOT coalesce(json_type(v, '$.tenant_id') = 'VARCHAR' AND v->>'$.tenant_id' <> '' AND json_type(v, '$.shop_id') = 'VARCHAR' AND v->>'$.shop_id' <> '', false) THEN 'corpus_scope_invalid' END,
+    {_policy_rules("v", "corpus_document")}, CASE WHEN json_type(v, '$.chunks') IS DISTINCT FROM 'ARRAY' THEN 'corpus_chunks_invalid' END]) FROM d
+  UNION ALL SELECT artifact_id, path, 'corpus_chunk_invalid' FROM c WHERE json_type(c) <> 'OBJECT'
+  UNION ALL SELECT artifact_id, chunk_id, 'duplicate_corpus_chunk_id' FROM q WHERE chunk_id IS NOT NULL AND again > 1
+  UNION ALL SELECT artifact_id, path, unnest([
+    CASE WHEN chunk_id IS NULL THEN 'corpus_chunk_id_invalid' END,
+    CASE WHEN nullif(c->'$.tenant_id', 'null') IS DISTINCT FROM nullif(v->'$.tenant_id', 'null') OR nullif(c->'$.shop_id', 'null') IS DISTINCT FROM nullif(v->'$.shop_id', 'null') THEN 'corpus_chunk_scope_mismatch' END,
+    {_policy_rules("c", "corpus_chunk")},
+    CASE WHEN NOT coalesce(json_type(c, '$.source_position') = 'OBJECT' AND c->>'$.source_position' <> '{{}}', false) THEN 'corpus_chunk_source_position_invalid' END]) FROM q
+  UNION ALL SELECT artifact_id, path || '/' || f, 'corpus_chunk_policy_mismatch' FROM q, unnest(['disclosure_class', 'effective_from', 'effective_to']) AS t(f)
+    WHERE nullif(json_extract(c, '$.' || f), 'null') IS DISTINCT FROM nullif(json_extract(v, '$.' || f), 'null'))
+SELECT artifact_id, path, code FROM x WHERE code IS NOT NULL""",
     "readable_executions": """
 WITH u AS (SELECT c_custkey AS u, n_regionkey AS t, c_mktsegment AS role, c_acctbal AS b FROM customer JOIN nation ON n_nationkey = c_nationkey),
 k AS (
