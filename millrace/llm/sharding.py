@@ -125,8 +125,9 @@ def assign_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
 
     Size is the text's UTF-8 bytes plus ``overhead``; null counts as the empty text. Rows with
     equal texts share a shard, unless their group alone is larger than an even share of the whole:
-    no shard could hold it, so its rows are dealt into parts of about half a share, whatever their
-    ids, and ``group_cut`` is true for them. Slots follow bins, then ids. Equal rows stay rows of their own. An empty table gives an empty
+    no shard could hold it, so its rows are dealt into parts of about half a share, by a hash of id
+    and copy, and ``group_cut`` is true for them. Slots follow bins, then cells
+    of hashed ids, then ids; reruns agree, however the table is cut into partitions. Equal rows stay rows of their own. An empty table gives an empty
     result; with fewer groups than shards some shards stay empty.
     """
     spark = df.sparkSession
@@ -137,6 +138,9 @@ def assign_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
         crc32_bytes(text).alias("text_crc32"),
         F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"),
     )
+    # Rows that repeat each other are told apart by a number, so that a rerun deals them alike.
+    base = base.groupBy("doc_id", "size", "text_crc32", "key").agg(F.count(F.lit(1)).alias("n"))
+    base = base.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).drop("n")
     base = stored(base, "shard-rows")
     total = base.agg(F.sum("size")).first()[0] or 0
     share, room = max(-(-total // shards), 1), max(total // (shards * BINS_PER_SHARD), 1)
@@ -145,7 +149,7 @@ def assign_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
     large = groups.where(F.col("bytes") > share).select("key", F.ceil(F.col("bytes") * 2 / share).alias("parts"))
     # Fewer groups than shards are above an even share: a bounded broadcast.
     base = base.join(F.broadcast(large), "key", "left")
-    part = F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("parts")), F.lit(0))
+    part = F.coalesce(F.pmod(F.xxhash64("doc_id", "copy"), F.col("parts")), F.lit(0))
     base = stored(base.withColumn("part", part).withColumn("group_cut", F.col("parts").isNotNull()).drop("parts"), "shard-parts")
     items = base.groupBy("key", "part").agg(F.sum("size").alias("bytes"))
     buckets = max(1, -(-base.count() // BUCKET_ITEMS))
@@ -167,17 +171,17 @@ def assign_shards(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text_
     items = items.join(where, ["bucket", "bin"]).select("key", "part", "bucket", "bin", "shard")
 
     # Slots: rows are counted in cells of some thousand rows of a bin, cells are summed up per shard.
-    rows = base.join(items, ["key", "part"]).select("doc_id", "size", "text_crc32", "group_cut", "shard", "bucket", "bin")
+    rows = base.join(items, ["key", "part"]).select("doc_id", "size", "text_crc32", "copy", "group_cut", "shard", "bucket", "bin")
     counts = rows.groupBy("shard", "bucket", "bin").count()
     counts = counts.select("shard", "bucket", "bin", F.ceil(F.col("count") / CELL_ROWS).alias("cells"))
     rows = stored(
-        rows.join(counts, ["shard", "bucket", "bin"]).withColumn("cell", F.pmod(F.monotonically_increasing_id(), F.col("cells"))).drop("cells"),
+        rows.join(counts, ["shard", "bucket", "bin"]).withColumn("cell", F.pmod(F.xxhash64("doc_id", "copy"), F.col("cells"))).drop("cells"),
         "shard-cells",
     )
     cell = ["shard", "bucket", "bin", "cell"]
     ahead = W.partitionBy("shard").orderBy("bucket", "bin", "cell").rowsBetween(W.unboundedPreceding, -1)
     cells = rows.groupBy(*cell).count().withColumn("before", F.coalesce(F.sum("count").over(ahead), F.lit(0)))
-    inside = W.partitionBy(*cell).orderBy("doc_id", "size", "text_crc32")
+    inside = W.partitionBy(*cell).orderBy("doc_id", "size", "text_crc32", "copy")
     rows = rows.join(cells.drop("count"), cell)
     return rows.select(
         "doc_id", "size", "text_crc32", "shard", (F.col("before") + F.row_number().over(inside) - 1).cast("long").alias("slot"), "group_cut"

@@ -147,15 +147,23 @@ def near_duplicates(df: DataFrame, shingle: int = 4, radius: int = 4, id_col: st
     result; extra columns are left behind.
     """
     docs = stored(fingerprints(df, shingle, id_col, text_col), "fingerprints")
-    distinct = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    distinct = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "distinct-fingerprints")
     found = linked(distinct.select("fp"), radius)
-    named = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    named = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", "rows", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
-    out = docs.join(named, "fp")
+    named = stored(named.join(least, "component").select("fp", "component_id", "rows"), "named-fingerprints")
+    # Fingerprints that each have more than a thousandth of the rows are fewer than a thousand; their
+    # rows stay where they are.
+    n = distinct.agg(F.sum("rows")).first()[0] or 0
+    heavy, light = (named.where(w).drop("rows") for w in (F.col("rows") * HEAVY > n, F.col("rows") * HEAVY <= n))
+    rest = docs.join(F.broadcast(heavy.select("fp")), "fp", "left_anti")
+    out = docs.join(F.broadcast(heavy), "fp").unionByName(rest.join(light, "fp"))
+    forget(distinct)
     return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: A fingerprint is heavy if its rows, so many times, are more than all.
+HEAVY = 1000
 #: Texts are near copies from this Jaccard similarity of their shingles on, in ninths of the sum of
 #: their shingles: 5 * shared >= 4 * (n + m - shared), which is 0.8.
 SHARED, OF = 9, 4

@@ -464,3 +464,36 @@ def test_pieces_round_trip(docs, codec):
     assert all(r["round_trip"] for r in digests) and len(digests) == len(rows)
     assert {r["n_tokens"] for r in digests if r["doc_id"] == 2} == {0}
     assert pieces.encode_documents(docs([]), path).count() == 0
+
+
+def test_shards_don_t_depend_on_partitions(docs):
+    rng = random.Random(23)
+    rows = [(i, "x" * rng.randint(0, 300)) for i in range(300)] + [(1000 + i, "one large group of equal texts " * 4) for i in range(400)] + [(7, "again")] * 60 + [(None, None)] * 5
+    runs = []
+    for n in (1, 7):
+        out = sharding.assign_shards(docs(rng.sample(rows, len(rows))).repartition(n), shards=8).collect()
+        runs.append(sorted((tuple(r) for r in out), key=str))
+    assert runs[0] == runs[1]
+    assert len({r[3] for r in runs[0] if r[5]}) > 1
+
+
+def test_features_are_those_of_a_naive_search():
+    """Weights, lengths, frequent terms and phrases of exceptions, found position by position."""
+    rng = random.Random(24)
+    terms = {" bad ": 0.7, " ugly": 0.4, " bad" + toxicity.OFTEN: 0.2, " ugly" + toxicity.OFTEN: 0.9, " b": 0.1, " bad": 0.3, " badger ": 1.1}
+    lexicon = toxicity.Lexicon(terms, (" not bad ", " bad ugly duck "))
+    automaton = lexicon.automaton()
+    for _ in range(300):
+        text = " ".join(rng.choice(["bad", "badger", "ugly", "uglyone", "not", "duck", "fine", "b", "x"]) for _ in range(rng.randint(0, 60)))
+        folded = toxicity.fold(text)
+        shielded = [(i, i + len(p)) for p in lexicon.exceptions for i in range(len(folded)) if folded.startswith(p, i)]
+        n_words, total, every = len(folded.split()), 0.0, 0.0
+        for term in {t.removesuffix(toxicity.OFTEN) for t in terms}:
+            at = [i for i in range(len(folded)) if folded.startswith(term, i) and not any(a <= i and i + len(term) <= b for a, b in shielded)]
+            if at:
+                often = terms.get(term + toxicity.OFTEN, 0.0) if toxicity.frequent(len(at), n_words) else 0.0
+                w = terms.get(term, 0.0) + often
+                total += w
+                every += len(at) * w
+        got = toxicity.features(text, automaton)
+        assert np.allclose(got, (np.log1p(total), np.log1p(1000 * every / (n_words + 20))))

@@ -222,3 +222,13 @@ def test_brief_profiles_keep_near_copies_and_rule_out_most_others():
     same = np.full(2000, 3, np.uint64)
     full = S.folded(np.frombuffer(S.profile(same), np.uint8), S.BRIEF).tobytes()
     assert S.briefly_alike([full], [full], np.array([0]), np.array([0]), np.array([99])).all()
+
+
+def test_heavy_fingerprints_are_joined_where_they_are(docs, monkeypatch):
+    rng = random.Random(31)
+    rows = [(i, "the same text of some words") for i in range(50)] + [(100 + i, " ".join(rng.choice("abcdefgh") for _ in range(30))) for i in range(40)] + [(None, None), (5, None)]
+    runs = []
+    for heavy in (1000, 2, 0):
+        monkeypatch.setattr(S, "HEAVY", heavy)
+        runs.append(sorted((tuple(r) for r in S.near_duplicates(docs(rows)).collect()), key=str))
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == len(rows)
