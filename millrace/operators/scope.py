@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 PRIVILEGED = ("admin", "owner")
 
 
+#: Requests up to which their table is broadcast; more are joined by a shuffle.
+BROADCAST_REQUESTS = 50_000
+
+
 @dataclass(frozen=True)
 class Scope:
     """``documents`` None is any document, empty is none. Without ``on`` dates aren't looked at."""
@@ -75,7 +79,7 @@ def assess(documents: DataFrame, requests: DataFrame) -> DataFrame:
     UNCLASSIFIED_BLOCKED, ACCESS_DENIED.
     """
     asked = requests.select("request_id", F.col("tenant_id"), F.col("shop_id").alias("_shop"), "role", "on")
-    rows = documents.join(F.broadcast(asked), "tenant_id")
+    rows = documents.join(F.broadcast(asked) if asked.count() <= BROADCAST_REQUESTS else asked, "tenant_id")
     active = in_window(F.col("on"), F.col("effective_from"), F.col("effective_to"))
     bad = (F.col("effective_to") <= F.col("effective_from")) | ~F.col("disclosure_class").isin("external_allowed", "internal_only", "unclassified")
     states = rows.groupBy("request_id", "doc_id").agg(

@@ -226,3 +226,24 @@ def probes_for(index: VectorIndex, queries: DataFrame, limit: int, recall: float
     rank = {i: {k: r for r, k in enumerate(row)} for i, row in zip(ids, order.tolist(), strict=True)}
     ranks = np.sort([rank[i].get(k, index.lists) for i, k in where])
     return int(min(index.lists, ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)] + 1))
+
+
+def embedding_issues(asked: DataFrame, got: DataFrame, id_col: str, dims: int) -> DataFrame:
+    """id and issue of all that an answer to a request for embeddings lacks or has wrong.
+
+    ``asked`` has ids, ``got`` ids, dense (numbers) and sparse (structs of token_id and weight). Rows are
+    missing, unexpected or repeated; dense vectors have ``dims`` finite numbers; sparse ones have a
+    weight or more, finite, under token ids that are zero or more and don't repeat. Null is wrong
+    everywhere; an issue of a repeated row is told once."""
+    counts = got.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
+    both = asked.select(id_col).distinct().withColumn("_asked", F.lit(True)).join(counts, id_col, "full_outer")
+    rows = F.when(F.col("_n").isNull(), "missing_row").when(F.col("_asked").isNull(), "unexpected_row")
+    of_rows = both.select(id_col, F.explode(F.array_compact(F.array(rows, F.when(F.col("_n") > 1, "repeated_row")))).alias("issue"))
+    finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+    tokens, weights = F.transform("sparse", lambda s: s["token_id"]), F.transform("sparse", lambda s: s["weight"])
+    rules = {
+        "dense_dimensions": F.coalesce(F.size("dense"), F.lit(-1)) != dims, "dense_not_finite": F.exists("dense", lambda x: ~finite(x)), "sparse_missing": F.coalesce(F.size("sparse"), F.lit(-1)) < 1,
+        "sparse_token_invalid": F.exists(tokens, lambda t: F.coalesce(t < 0, F.lit(True))), "sparse_token_repeated": F.size(F.array_distinct(tokens)) < F.size(tokens), "sparse_weight_invalid": F.exists(weights, lambda w: ~finite(w)),
+    }
+    found = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules.items())))
+    return of_rows.unionByName(got.select(id_col, F.explode(found).alias("issue")).distinct())

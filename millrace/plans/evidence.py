@@ -158,8 +158,8 @@ def first_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors by what is wrong with them: dimensions, values that aren't finite, repeated ids; and the
-    cosine distance of each good one to the one with the next id."""
+    """Vectors by what is wrong with them: dimensions, values that aren't finite; and the cosine distance
+    of each good one to the one with the next id. ``embedding_contract`` has the other rules."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.col("vec_id") % 50 == 7, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("v"))
     dims = table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding")).alias("dims"))
     rows = rows.join(F.broadcast(dims))  # one row

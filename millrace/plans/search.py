@@ -62,9 +62,40 @@ def postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id", "overlap", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (ivf_topk, ivf_exact_topk, ivf_scoped_topk, postings_refresh, postings_topk)}
+def embedding_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers to a request for all even ids, with sparse weights, some of them wrong: every issue."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    dims = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    asked = rows.where("vec_id % 2 = 0").select("vec_id")
+    i, f = F.col("vec_id"), F.col("vec_id") % 31
+    dense = F.when(f == 1, F.slice("embedding", 1, 3)).when(f == 2, F.transform("embedding", lambda x, k: F.when(k == 1, F.lit("NaN").cast("float")).otherwise(x))).when(f == 3, F.lit(None)).otherwise(F.col("embedding"))
+    weight = lambda token, w: F.struct(token.cast("long").alias("token_id"), w.cast("double").alias("weight"))
+    usual = F.array(weight(i, F.lit(0.5)), weight(i + 1, F.lit(0.25)))
+    sparse = F.when(f == 4, F.array(weight(-i - 1, F.lit(0.5)))).when(f == 5, F.array(weight(i, F.lit(0.5)), weight(i, F.lit(0.1)))).when(f == 6, F.array(weight(i, F.lit("inf")))).when(f == 7, F.slice(usual, 1, 0)).otherwise(usual)
+    got = rows.where((i % 2 == 0) & (f != 8) | (i % 50 == 7)).select("vec_id", dense.alias("dense"), sparse.alias("sparse"))
+    return V.embedding_issues(asked, got.unionByName(got.where(f == 9)), "vec_id", dims)
+
+
+QUERIES = {f.__name__: f for f in (embedding_contract, ivf_topk, ivf_exact_topk, ivf_scoped_topk, postings_refresh, postings_topk)}
 
 ORACLE = {
+    "embedding_contract": """
+WITH g AS (
+  SELECT vec_id, vec_id % 31 AS f, CASE vec_id % 31 WHEN 1 THEN embedding[1:3] WHEN 2 THEN list_transform(embedding, lambda x, k: CASE WHEN k = 2 THEN 'NaN'::FLOAT ELSE x END) WHEN 3 THEN NULL ELSE embedding END AS dense,
+         CASE vec_id % 31 WHEN 4 THEN [-vec_id - 1] WHEN 5 THEN [vec_id, vec_id] WHEN 6 THEN [vec_id] WHEN 7 THEN [] ELSE [vec_id, vec_id + 1] END AS tokens,
+         CASE vec_id % 31 WHEN 6 THEN ['inf'::DOUBLE] ELSE [0.5] END AS weights
+  FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 31 <> 8 OR vec_id % 50 = 7),
+r AS (SELECT * FROM g UNION ALL SELECT * FROM g WHERE f = 9),
+d AS (SELECT max(len(embedding)) AS dims FROM embeddings),
+x AS (
+  SELECT vec_id, 'missing_row' AS issue FROM embeddings WHERE vec_id % 2 = 0 AND vec_id NOT IN (SELECT vec_id FROM r)
+  UNION ALL SELECT DISTINCT vec_id, 'unexpected_row' FROM r WHERE vec_id % 2 <> 0
+  UNION ALL SELECT vec_id, 'repeated_row' FROM r GROUP BY vec_id HAVING count(*) > 1
+  UNION ALL SELECT DISTINCT vec_id, unnest([
+    CASE WHEN len(dense) IS DISTINCT FROM dims THEN 'dense_dimensions' END, CASE WHEN len(list_filter(dense, lambda x: NOT isfinite(x))) > 0 THEN 'dense_not_finite' END,
+    CASE WHEN len(tokens) = 0 THEN 'sparse_missing' END, CASE WHEN list_min(tokens) < 0 THEN 'sparse_token_invalid' END,
+    CASE WHEN len(list_distinct(tokens)) < len(tokens) THEN 'sparse_token_repeated' END, CASE WHEN len(list_filter(weights, lambda x: NOT isfinite(x))) > 0 THEN 'sparse_weight_invalid' END]) FROM r, d)
+SELECT vec_id, issue FROM x WHERE issue IS NOT NULL""",
     "ivf_exact_topk": RETRIEVAL["vector_topk_cosine"],
     "ivf_scoped_topk": f"""
 WITH {_VECTORS.split("r AS (")[0]}

@@ -152,3 +152,17 @@ def test_postings_of_odd_rows_and_the_large_way(spark, tmp_path, monkeypatch, bo
     empty = docs.where("false")
     assert {r["action"] for r in P.refresh_postings(empty, path, "source", "doc_id").collect()} == {"dropped"}
     assert P.postings_topk(asked, path, "item_id").count() == 0
+
+
+def test_issues_of_embeddings(spark):
+    good = [(0, 0.5), (3, 0.1)]
+    rows = [(1, [1.0, 2.0], good), (2, [1.0], good), (3, None, None), (4, [1.0, None], []), (5, [1.0, float("inf")], [(-1, 1.0), (2, None)]), (6, [1.0, 2.0], [(7, 1.0), (7, 2.0), (None, 1.0)]), (7, [1.0, 2.0], good), (7, [1.0, 2.0], good), (9, [1.0, 2.0], good)]
+    got = spark.createDataFrame(rows, "id int, dense array<double>, sparse array<struct<token_id: long, weight: double>>")
+    asked = spark.createDataFrame([(k,) for k in range(1, 9)], "id int")
+    found = {}
+    for r in V.embedding_issues(asked, got, "id", 2).collect():
+        found.setdefault(r["id"], []).append(r["issue"])
+    assert {k: sorted(v) for k, v in found.items()} == {
+        2: ["dense_dimensions"], 3: ["dense_dimensions", "sparse_missing"], 4: ["dense_not_finite", "sparse_missing"], 5: ["dense_not_finite", "sparse_token_invalid", "sparse_weight_invalid"],
+        6: ["sparse_token_invalid", "sparse_token_repeated"], 7: ["repeated_row"], 8: ["missing_row"], 9: ["unexpected_row"],
+    }
