@@ -236,9 +236,12 @@ class Chunk:
         """Which bytes go. For each look there are the keys that earlier chunks have; what a look is
         about isn't settled by anything before it."""
         self.again = later_copies(self.rest_keys, self.owner[self.rows_of(self.rest)], False, earlier)
-        gone = self.resolved.copy()
+        self.looks = []
+        if not looks:
+            starts = np.concatenate([np.flatnonzero(self.resolved), self.rest[self.again]])
+            return cover(len(self.data), starts, starts + self.length)
+        gone, doubted = self.resolved.copy(), np.zeros(len(self.data), bool)
         gone[self.rest[self.again]] = True
-        doubted, self.looks = np.zeros(len(self.data), bool), []
         for look, have in looks:
             self.look_at(look)
             claimed = later_copies(self.look_keys, self.owner[self.rows_of(self.look_places)], False, have)
@@ -337,11 +340,13 @@ class Chunk:
             kept = member(keys, np.unique(asked))
             keys, places = keys[kept], places[kept]
             # Of equal keys the first position answers, in each call the same one.
-            order = np.argsort(keys, kind="stable")
-            own = keys[order]
+            order = np.argsort(keys)
+            own, first = keys[order], places[order]
+            begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+            own, first = own[begins], np.minimum.reduceat(first, begins) if len(own) else first
             bad = ~member(asked, own)
             good = np.flatnonzero(~bad)
-            here = places[order[np.searchsorted(own, asked[good])]]
+            here = first[np.searchsorted(own, asked[good])]
             bad[good] = differ(text, some[good], self.data, here, length)
             wrong.append(doubts(text, some[bad], length - self.length + 1, self.length, seed))
         return np.unique(np.concatenate(wrong))

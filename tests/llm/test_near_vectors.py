@@ -49,27 +49,27 @@ def answer(df, **options):
     return sorted((tuple(r) for r in nv.near_vectors(df, **options).collect()), key=str)
 
 
-@pytest.mark.parametrize(("interval", "block", "fan"), [(4096, 128, 4), (16, 4, 1)])
+@pytest.mark.parametrize(("interval", "block", "fan"), [(4096, 128, 4), (24, 4, 1)])
 def test_links_are_those_of_all_pairs(spark, monkeypatch, interval, block, fan):
     monkeypatch.setattr(nv, "FAN_BITS", fan)
     monkeypatch.setattr(nv.join_intervals, "__defaults__", (block,))
-    rows = clustered(np.random.default_rng(interval), 400)
+    rows = clustered(np.random.default_rng(interval), 400 if interval > 400 else 160)
     got = answer(spark.createDataFrame(rows, KINDS), threshold=0.98, interval=interval)
     expected = plain(rows, 0.98)
     assert got == expected
-    assert sum(r[1] for r in got) > 500 and sum(not r[3] for r in got) > 50
+    assert sum(r[1] for r in got) > 400 and sum(not r[3] for r in got) > 40
 
 
 def test_dense_groups_are_settled_whole(spark, monkeypatch):
     """A tight group of most rows: nodes of the tree settle it above the intervals."""
     rng = np.random.default_rng(3)
     centre = rng.normal(size=8)
-    rows = [(i, (centre + 0.001 * rng.normal(size=8)).tolist(), 1) for i in range(300)] + [(1000 + i, rng.normal(size=8).tolist(), i % 3) for i in range(60)]
+    rows = [(i, (centre + 0.001 * rng.normal(size=8)).tolist(), 1) for i in range(120)] + [(1000 + i, rng.normal(size=8).tolist(), i % 3) for i in range(30)]
     seen = []
     whole = nv.links_of_wholes
     monkeypatch.setattr(nv, "links_of_wholes", lambda i, w: seen.append(w.count()) or whole(i, w))
     monkeypatch.setattr(nv, "FAN_BITS", 1)
-    assert answer(spark.createDataFrame(rows, KINDS), interval=8) == plain(rows, 0.98)
+    assert answer(spark.createDataFrame(rows, KINDS), interval=12) == plain(rows, 0.98)
     assert seen[0] > 0
 
 
