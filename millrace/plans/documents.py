@@ -108,6 +108,15 @@ def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("allowed", F.coalesce(X.allowed_path(path, ["/en", "/de/"]), F.lit(False)))
 
 
+def url_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' URLs, some with ports, users or fragments, under the policy of one source."""
+    f, url = F.col("page_id") % 9, F.col("url")
+    changed = F.when(f == 1, F.regexp_replace(url, "^(https?://[^/]+)", "$1:8080")).when(f == 2, F.regexp_replace(url, "^(https?://[^/]+)", "$1:443")).when(f == 3, F.concat(url, F.lit("#top"))).when(f == 4, F.regexp_replace(url, "^(https?://)", "$1me@")).otherwise(url)
+    host = F.regexp_extract(url, "^https?://([^/?#]+)", 1)
+    hosts = [r[0] for r in table(spark, sf_dir, "pages").select(host.alias("h")).distinct().orderBy("h").limit(2).collect()]
+    return table(spark, sf_dir, "pages").select("page_id", X.url_decision(changed, [h.upper() + "." for h in hosts], ["/en", "/de/", "/2024"]).alias("decision"))
+
+
 def snapshot_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages stored once for each host and content; ``copies`` of a content share its first page."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("long").alias("size"))
@@ -141,7 +150,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scope_filter_documents, policy_assess_documents, date_states, acl_gate_authorized, tokenize_documents, script_profile, secret_scan,
-        object_keys_hash, fingerprint_index, import_states, document_digests, answer_markers, mock_embeddings, page_text_extract, url_normalize,
+        object_keys_hash, fingerprint_index, import_states, document_digests, answer_markers, mock_embeddings, page_text_extract, url_normalize, url_policy,
         snapshot_store, safe_paths, query_routing, line_kinds,
     )
 }
@@ -228,6 +237,11 @@ SELECT item_id, len(v)::BIGINT AS dims, round(list_sum(v), 6) AS total, round(v[
     "page_text_extract": r"""
 SELECT page_id, length(t)::BIGINT AS n_chars, sha256(t) AS sha256
 FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages)""",
+    "url_policy": r"""
+WITH h AS (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS h FROM pages ORDER BY h LIMIT 2),
+p AS (SELECT page_id, page_id % 9 AS f, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_matches(url, '^https?://[^/?#@\s]+([/?][^#\s]*)?$') AS good FROM pages)
+SELECT page_id, CASE WHEN f IN (3, 4) OR NOT good THEN 'invalid_url' WHEN host NOT IN (SELECT h FROM h) THEN 'host_not_allowed' WHEN f = 1 THEN 'port_not_allowed'
+                     WHEN NOT (path IN ('/en', '/de/', '/2024') OR starts_with(path, '/en/') OR starts_with(path, '/de/') OR starts_with(path, '/2024/')) THEN 'path_not_allowed' ELSE 'allowed' END AS decision FROM p""",
     "url_normalize": r"""
 WITH u AS (
   SELECT page_id, CASE WHEN regexp_matches(url, '^https?://[^/?#@\s]+([/?][^#\s]*)?$') THEN

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.artifacts import robots_allow
 from millrace.operators.snapshots import replace_documents
-from millrace.sources.parsers import normalize_layout, parse_documents, strict_json
+from millrace.sources.parsers import layout_counts, normalize_layout, parse_documents, strict_json
 from millrace.sources.tables import table
 
 
@@ -39,8 +39,8 @@ def strict_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict_json(table(spark, sf_dir, "events").select("event_id", line.alias("line")), "line").select("event_id", "issue")
 
 
-def layout_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order's lines as a layout list of several kinds: elements with pages, images, tables and warnings."""
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as a layout list of several kinds, normalized."""
     kind = F.element_at(F.array(*(F.lit(k) for k in ("text", "Table", "image", "chart", "list"))), (F.col("l_linenumber") % 5 + 1).cast("int"))
     item = F.to_json(F.struct(
         kind.alias("type"), F.col("l_returnflag").alias("text"), F.when(F.col("l_linenumber") == 5, 2).alias("text_level"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") - 2).alias("page_no"),
@@ -49,10 +49,20 @@ def layout_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
     lists = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag", "l_linestatus", item.alias("item")))).alias("items"))
     lists = lists.select("l_orderkey", F.concat(F.lit("["), F.array_join(F.transform("items", lambda x: x["item"]), ","), F.lit("]")).alias("content"))
-    out = normalize_layout(lists, "l_orderkey", "content")
+    return normalize_layout(lists, "l_orderkey", "content")
+
+
+def layout_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of layout lists, with pages, images, tables and warnings."""
+    out = _layout(spark, sf_dir)
     return out.select(F.col("document_id").alias("l_orderkey"), "element_index", "kind", "text", "page_no", F.array_join("image_refs", ",").alias("images"), F.coalesce("table_text", F.lit("")).alias("table_text"), "warning")
 
 
+def layout_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a conversion reports of each layout list: elements, pages, tables, images, assets, warnings."""
+    return layout_counts(_layout(spark, sf_dir)).withColumnRenamed("document_id", "l_orderkey").withColumn("page_numbers", F.array_join("page_numbers", ","))
+
+
 def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which pages' paths the rules of their host bar for two agents."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]+(/[^?#]*)", 1).alias("path"))
@@ -71,7 +81,7 @@ def replaced_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("doc").agg(F.count(F.lit(1)).alias("chunks"), F.max("chunk").alias("last"))
 
 
-QUERIES = {f.__name__: f for f in (parse_html_pages, markdown_elements, csv_elements, strict_json_lines, layout_lists, robots_rules, replaced_documents)}
+QUERIES = {f.__name__: f for f in (parse_html_pages, markdown_elements, csv_elements, strict_json_lines, layout_lists, layout_report, robots_rules, replaced_documents)}
 
 ORACLE: dict[str, str] = {
     "strict_json_lines": """
@@ -94,6 +104,11 @@ k AS (SELECT *, CASE WHEN raw = 'text' AND n = 5 THEN 'heading' ELSE raw END AS
 SELECT l_orderkey, p::INTEGER AS element_index, CASE WHEN kind = 'chart' THEN 'text' ELSE kind END AS kind, f AS text, CASE WHEN page >= 1 THEN page::INTEGER END AS page_no,
        CASE WHEN n = 2 THEN 'i.png' ELSE '' END AS images, CASE WHEN n = 1 THEN f || ' | ' || s || chr(10) || 'x' ELSE '' END AS table_text,
        nullif(concat_ws(';', CASE WHEN kind = 'chart' THEN 'unknown_type:chart' END, CASE WHEN page < 1 THEN 'invalid_page_no' END), '') AS warning FROM k""",
+    "layout_report": """
+WITH i AS (
+  SELECT l_orderkey, l_linenumber AS n, l_linenumber % 5 AS m, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber - 2 ELSE l_linenumber + 1 END AS page FROM lineitem)
+SELECT l_orderkey, count(*) AS elements, coalesce(array_to_string(list_sort(list_distinct(list(page) FILTER (page >= 1))), ','), '') AS page_numbers, count(*) FILTER (m = 1) AS tables, count(*) FILTER (m = 2) AS images,
+       count(*) FILTER (n = 2) AS image_assets, count(*) FILTER (m = 3 OR page < 1) AS warnings FROM i GROUP BY 1""",
     "robots_rules": r"""
 WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages)
 SELECT page_id, NOT (page_id % 3 = 0 AND starts_with(path, regexp_extract(path, '^(/[^/]*)', 1)) AND regexp_extract(path, '^(/[^/]*)', 1) <> '') AND NOT starts_with(path, CASE WHEN page_id % 3 = 0 THEN '/?' ELSE '/none/' END)

@@ -102,11 +102,22 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *whole, F.sha2("content", 256).alias("chunk_hash"), "split_reason")
 
 
+def searchable_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five lines that share most of an item's tokens, with their document's first line as heading and
+    the name of a fact; of equal ones a heading comes last."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    lines = lines.select("doc_id", F.get("lines", F.lit(0)).alias("head"), F.posexplode("lines").alias("line", "content"))
+    fact = F.element_at(F.array(*(F.lit(k) for k in ("stock", "price", "order_status", ""))), (F.col("doc_id") % 4 + 1).cast("int"))
+    items = lines.select((F.col("line") == 0).cast("long").alias("is_heading"), "doc_id", F.col("line").cast("long").alias("line"), X.searchable(F.col("content"), F.array("head"), fact).alias("text"))
+    out = R.best_overlaps(table(spark, sf_dir, "benchmark"), items, "item_id", ["is_heading", "doc_id", "line"], 5)
+    return out.select("item_id", F.col("rank").cast("long").alias("rank"), "doc_id", "line", (F.col("is_heading") == 1).alias("is_heading"), "overlap")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lexical_topk, best_chunk_per_document, answer_support_audit, vector_topk_cosine, two_stage_rerank, ranking_metrics_exp,
-        ranking_metrics_linear, adjacent_expansion, dedupe_keep_best, chunk_documents,
+        ranking_metrics_linear, adjacent_expansion, dedupe_keep_best, chunk_documents, searchable_topk,
     )
 }
 
@@ -131,6 +142,15 @@ SELECT count(*) AS queries, round(avg(h1), 6) AS recall_1, round(avg(h5), 6) AS
 
 
 ORACLE = {
+    "searchable_topk": f"""
+WITH q AS (SELECT item_id, unnest({_T}) AS token FROM benchmark),
+l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
+p AS (SELECT doc_id, l[1] AS head, unnest(range(0, len(l))) AS line, unnest(l) AS content FROM l),
+t AS (SELECT doc_id, line, content || ' ' || head || (['  stock', ' price', ' order_status', ''])[doc_id % 4 + 1] AS text FROM p),
+d AS (SELECT doc_id, line, unnest({_T}) AS token FROM t),
+o AS (SELECT item_id, doc_id, line, count(*) AS overlap FROM q JOIN d USING (token) GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, line = 0, doc_id, line) AS rank FROM o)
+SELECT item_id, rank, doc_id, line, line = 0 AS is_heading, overlap FROM r WHERE rank <= 5""",
     "lexical_topk": f"""
 WITH q AS (SELECT item_id, len(t) AS n, unnest(t) AS token FROM (SELECT item_id, {_T} AS t FROM benchmark)),
 d AS (SELECT doc_id, unnest({_T}) AS token FROM documents),

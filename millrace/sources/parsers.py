@@ -301,6 +301,15 @@ def normalize_layout(df: DataFrame, id_col: str = "document_id", content: str =
     )
 
 
+def layout_counts(elements: DataFrame) -> DataFrame:
+    """What ``normalize_layout`` gave, counted by document: elements, page_numbers (ascending), tables,
+    images, image_assets (references) and warnings (elements that have one)."""
+    return elements.groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("elements"), F.array_sort(F.collect_set("page_no")).alias("page_numbers"), F.count_if(F.col("kind") == "table").alias("tables"),
+        F.count_if(F.col("kind") == "image").alias("images"), F.sum(F.size("image_refs")).alias("image_assets"), F.count("warning").alias("warnings"),
+    )
+
+
 def strict_json(df: DataFrame, column: str) -> DataFrame:
     """Adds ``issue``: blank, invalid_utf8, invalid_json (repeated keys too) or not_an_object, else null."""
     value = F.expr(f"try_parse_json({column})")
