@@ -189,8 +189,8 @@ class Chunk:
     def rows_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, side="right") - 1
 
-    def samples(self) -> None:
-        """Positions of the cover sample, counted from each document's start, and their keys."""
+    def sample_places(self) -> None:
+        """Positions of the cover sample, counted from each document's start."""
         deep = self.length - PERIOD + 1
         sizes = self.ends - self.starts
         n = np.maximum(sizes - deep + 1, 0)
@@ -202,13 +202,22 @@ class Chunk:
         within = number // len(COVER) * PERIOD + np.array(COVER)[number % len(COVER)]
         good = within < n[row]
         self.sample_row, self.sample_at = row[good], within[good] + self.starts[row[good]]
-        self.sample_keys = keys_at(self.data, self.sample_at, deep, self.how.sample_bits, self.odd)
 
-    def share(self, elsewhere: np.ndarray) -> None:
-        """Keeps the samples that another document has: in another chunk (``elsewhere``) or here."""
+    def samples(self) -> None:
+        """The cover sample's positions and keys."""
+        self.sample_places()
+        self.sample_keys = keys_at(self.data, self.sample_at, self.length - PERIOD + 1, self.how.sample_bits, self.odd)
+
+    def shared(self, elsewhere: np.ndarray) -> bytes:
+        """Packed bits of the samples that another document has: in another chunk (``elsewhere``) or here."""
         self.samples()
-        kept = later_copies(self.sample_keys, self.owner[self.sample_row], True, elsewhere)
-        self.sample_at, self.sample_row, self.sample_keys = self.sample_at[kept], self.sample_row[kept], self.sample_keys[kept]
+        return np.packbits(later_copies(self.sample_keys, self.owner[self.sample_row], True, elsewhere)).tobytes()
+
+    def keep(self, bits: bytes) -> None:
+        """Keeps the samples that ``shared`` tells, and takes the keys of their long ties."""
+        self.sample_places()
+        kept = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(self.sample_at)).view(bool)
+        self.sample_at, self.sample_row = self.sample_at[kept], self.sample_row[kept]
         self.long = self.sample_at + self.length + PERIOD - 1 <= self.ends[self.sample_row]
         self.long_keys = keys_at(self.data, self.sample_at[self.long], self.length + PERIOD - 1, self.how.key_bits, self.odd)
 
@@ -488,16 +497,16 @@ def sort_buckets(rows: DataFrame, every: bool) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(sort, "chunk long, keys binary, firsts binary")
 
 
-def with_found(chunks: Chunked, found: list[tuple[int, DataFrame]]) -> DataFrame:
-    """The chunks with a column of what was found for them: structs of the pass, keys and firsts.
+def with_found(chunks: DataFrame, found: list[tuple[int, DataFrame]]) -> DataFrame:
+    """``chunks`` with a column of what was found for them: structs of the pass, keys and firsts.
 
     One join, and the chunks' table is bucketed as the found keys are dealt, so it isn't shuffled."""
     kind = "array<struct<pass:int,keys:binary,firsts:binary>>"
     if not found:
-        return chunks.table.withColumn("found", F.array().cast(kind))
+        return chunks.withColumn("found", F.array().cast(kind))
     tagged = [rows.select("chunk", F.struct(F.lit(i).alias("pass"), "keys", "firsts").alias("f")) for i, rows in found]
     lists = reduce(DataFrame.unionByName, tagged).groupBy("chunk").agg(F.collect_list("f").alias("found"))
-    return chunks.table.join(lists, "chunk", "left")
+    return chunks.join(lists, "chunk", "left")
 
 
 def keys_of(found, number: int) -> tuple[np.ndarray, np.ndarray]:
@@ -533,7 +542,7 @@ def settled(chunks: Chunked, how: Hashing, bucket_keys: int, looks: list[Look] |
                 row = {c: batch.column(c)[k] for c in batch.schema.names}
                 chunk = open_chunk(row["data"].as_py(), how)
                 if passes > 0:
-                    chunk.share(keys_of(row["found"], 0)[0])
+                    chunk.keep(row["kept"].as_py())
                 if passes > 1:
                     chunk.resolve(keys_of(row["found"], 1)[0])
                 yield row["chunk"].as_py(), chunk, row
@@ -555,6 +564,10 @@ def settled(chunks: Chunked, how: Hashing, bucket_keys: int, looks: list[Look] |
 
         return send
 
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, chunk, row in opened(batches, 0):
+            yield pa.record_batch([pa.array([name], pa.int64()), pa.array([chunk.shared(keys_of(row["found"], 0)[0])], pa.binary())], ["chunk", "kept"])
+
     def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, chunk, row in opened(batches, 2):
             known = [keys_of(row["found"], 1 + k) for k in range(2 + len(old))]
@@ -569,16 +582,22 @@ def settled(chunks: Chunked, how: Hashing, bucket_keys: int, looks: list[Look] |
             yield pa.record_batch([pa.array([wrong.view(np.int64).tolist()], pa.list_(pa.int64()))], ["wrong"])
 
     found: list[tuple[int, DataFrame]] = []
+    base = chunks.table
     for number, (name, _, parts) in enumerate(passes):
         own = []
         for k in range(parts):
             part = range(buckets * k // parts, buckets * (k + 1) // parts)
-            rows = with_found(chunks, found).mapInArrow(keys_to_sort(number, part), KEY_ROWS)
+            rows = with_found(base, found).mapInArrow(keys_to_sort(number, part), KEY_ROWS)
             own.append((number, stored(sort_buckets(rows, every=number == 0), f"shared-{name}")))
             del rows
             let_go(spark)
         found += own
-    claims = stored(with_found(chunks, found).mapInArrow(claim, CLAIM_ROWS), "claims")
+        if number == 0:
+            # Which samples are shared is told once, as bits; later passes needn't sort samples again.
+            shared = stored(with_found(base, found).mapInArrow(mark, "chunk long, kept binary"), "shared-samples")
+            forget(found.pop()[1])
+            base = chunks.table.join(shared, "chunk")
+    claims = stored(with_found(base, found).mapInArrow(claim, CLAIM_ROWS), "claims")
     asked = claims.where("of is not null").select(F.col("of").alias("chunk"), F.struct("text", "at", "kind").alias("c"), F.xxhash64("chunk", "of").alias("h"))
     # A chunk that many others copy from gets its claims in several lists.
     lists = asked.groupBy("chunk").agg(F.ceil(F.sum(F.octet_length("c.text")) / CLAIM_BYTES).alias("lists"))
@@ -588,7 +607,7 @@ def settled(chunks: Chunked, how: Hashing, bucket_keys: int, looks: list[Look] |
     wrong = wrong.unionByName(claims.where("size(wrong) > 0").select("wrong")).select(F.explode("wrong").alias("key")).distinct()
     # Any of the strings in doubt will do: those beyond the bound fail again, and the next look is theirs.
     found_wrong = wrong.limit(MOST_DOUBTS).toArrow()["key"].to_numpy().astype(np.int64).view(np.uint64)
-    for _, rows in found:
+    for rows in (shared, *(rows for _, rows in found)):
         forget(rows)
     let_go(spark)
     if len(found_wrong):
