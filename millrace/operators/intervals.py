@@ -45,9 +45,8 @@ def pieces(since: Column, until: Column, levels: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step, finish)
 
 
-def interval_join(points: DataFrame, windows: DataFrame, keys: list[str], at: str, since: str, until: str, levels: int = LEVELS) -> DataFrame:
-    """``points`` joined to the ``windows`` of equal ``keys`` with since <= at < until, where null bounds
-    are open. Points without a date, and null keys, match nothing; rows that repeat stay."""
+def piece_rows(points: DataFrame, windows: DataFrame, at: str, since: str, until: str, levels: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a row for each of their pieces, in _level and _piece."""
     span = points.agg(F.min(at).alias("low"), F.max(at).alias("high")).first()
     low, high = F.lit(span["low"]).cast("date"), F.lit(span["high"]).cast("date")
     # Windows are cut to the dates there are, so that open ones end.
@@ -57,4 +56,26 @@ def interval_join(points: DataFrame, windows: DataFrame, keys: list[str], at: st
     day = day_number(F.col(at))
     own = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), F.floor(day / F.pow(F.lit(2.0), k)).cast("int").alias("piece")))
     asked = points.where(F.col(at).isNotNull()).withColumn("_p", F.explode(own)).withColumns({"_level": F.col("_p.level"), "_piece": F.col("_p.piece")}).drop("_p")
-    return asked.join(cut, [*keys, "_level", "_piece"]).drop("_level", "_piece")
+    return asked, cut
+
+
+def interval_join(points: DataFrame, windows: DataFrame, keys: list[str], at: str, since: str, until: str, levels: int = LEVELS) -> DataFrame:
+    """``points`` joined to the ``windows`` of equal ``keys`` with since <= at < until, where null bounds
+    are open. Points without a date, and null keys, match nothing; rows that repeat stay."""
+    asked, cut = piece_rows(points, windows, at, since, until, levels)
+    # A window has many pieces, which the planner's sizes don't know: they are shuffled, never broadcast.
+    return asked.join(cut.hint("merge"), [*keys, "_level", "_piece"]).drop("_level", "_piece")
+
+
+def interval_totals(points: DataFrame, windows: DataFrame, keys: list[str], at: str, since: str, until: str, count: str, totals: dict[str, str], levels: int = LEVELS) -> DataFrame:
+    """``keys``, ``at``, ``count`` and sums over all pairs of ``interval_join``, for each key and date of
+    ``points`` that has any. ``totals`` names a sum and the column of ``windows`` it is over; where that
+    is null in all pairs the sum is null.
+
+    Windows are summed up by piece before they meet points, so no pair is made: what is joined has a
+    row for each piece of a key's days, however many windows there are."""
+    asked, cut = piece_rows(points.groupBy(*keys, at).agg(F.count(F.lit(1)).alias("_times")), windows, at, since, until, levels)
+    sums = cut.groupBy(*keys, "_level", "_piece").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_{name}") for name, c in totals.items()))
+    met = asked.join(sums.hint("merge"), [*keys, "_level", "_piece"])
+    weighted = lambda c: F.sum(F.col("_times") * F.col(c))
+    return met.groupBy(*keys, at).agg(weighted("_n").alias(count), *(weighted(f"_{name}").alias(name) for name in totals))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import alignment as A
 from millrace.operators import changes as C
 from millrace.operators import signing as S
-from millrace.operators.intervals import interval_join
+from millrace.operators.intervals import interval_totals
 from millrace.sources.derive import SCOPED_SQL, scoped_documents
 from millrace.sources.store import shared_path, stored
 from millrace.sources.tables import table
@@ -64,12 +64,13 @@ def batch_resume_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def windows_in_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each day of a customer segment's orders how many of the segment's offers hold: windows of
-    which many are long, joined by pieces."""
+    which many are long, summed up by pieces."""
     orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment")), "o_custkey")
     days = orders.select("segment", F.to_date("o_orderdate").alias("day")).distinct()
     start = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("c_custkey") * 13 % 2400).cast("int"))
     offers = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), "c_custkey", F.when(F.col("c_custkey") % 11 != 0, start).alias("since"), F.when(F.col("c_custkey") % 7 != 0, F.date_add(start, (F.col("c_custkey") % 300).cast("int"))).alias("until"))
-    return interval_join(days, offers, ["segment"], "day", "since", "until").groupBy("segment", F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("offers"), F.sum("c_custkey").alias("ids"))
+    found = interval_totals(days, offers, ["segment"], "day", "since", "until", "offers", {"ids": "c_custkey"})
+    return found.select("segment", F.date_format("day", "yyyy-MM-dd").alias("day"), "offers", "ids")
 
 
 def corpus_rule_issues(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,26 @@ def test_interval_join_is_a_join_on_windows(spark):
     assert I.interval_join(a.where("false"), b, ["k"], "d", "s", "e").count() == 0
 
 
+def test_interval_totals_are_those_of_the_pairs(spark):
+    rng = random.Random(3)
+    maybe = lambda n: None if rng.random() < 0.1 else n
+    points = [(maybe(rng.choice("ab")), day(maybe(rng.randint(0, 40)))) for _ in range(90)]
+    windows = [(maybe(i), maybe(rng.choice("ab")), day(maybe(s := rng.randint(-10, 50))), day(maybe(s + rng.randint(-3, 30)))) for i in range(120)]
+    a, b = spark.createDataFrame(points, "k string, d date"), spark.createDataFrame(windows, "w int, k string, s date, e date")
+    got = I.interval_totals(a, b, ["k"], "d", "s", "e", "n", {"total": "w"})
+    pairs = I.interval_join(a, b, ["k"], "d", "s", "e").groupBy("k", "d").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect())) != []
+
+
+def test_pieces_of_windows_are_never_broadcast(spark):
+    """A few windows that seem small have many pieces."""
+    points = spark.createDataFrame([("t", day(n)) for n in range(50)], "k string, d date")
+    windows = spark.createDataFrame([("t", day(0), None)], "k string, s date, e date")
+    for df in (I.interval_join(points, windows, ["k"], "d", "s", "e"), I.interval_totals(points, windows, ["k"], "d", "s", "e", "n", {})):
+        assert df.count() == 50
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_one_hot_key_is_spread(spark):
     """All rows have one key: no piece holds more than a share of either side."""
     rng = random.Random(2)
