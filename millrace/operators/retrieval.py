@@ -17,12 +17,13 @@ from millrace.functions.text import tokens
 
 #: Query tokens up to which their table is broadcast; beyond that it is joined by a shuffle.
 BROADCAST_TOKENS = 500_000
-#: Query vectors that a task holds at once, and query values up to which they are sent to tasks.
-QUERY_BLOCK, BROADCAST_VALUES = 4096, 4_000_000
+#: Query vectors that meet items at once, and query values (with the best of each query) up to which they
+#: are sent to tasks.
+QUERY_BLOCK, BROADCAST_VALUES = 512, 4_000_000
 #: Items times queries that a task counts at once.
 CELLS = 1_000_000
-#: Rows of items in a packed batch, and parts into which a block's batches are dealt.
-PACKED_ROWS, BLOCK_PARTS = 8192, 64
+#: Items that meet queries at once, and values of items that a task holds at once.
+PACKED_ROWS, ITEM_VALUES = 4096, 4_000_000
 #: No text has more parts.
 LAST_PART = (1 << 32) - 1
 
@@ -170,40 +171,57 @@ def with_adjacent(hits: DataFrame, chunks: DataFrame, group: list[str], position
     return ranked(first, [query_id], ["_rank", "_order"], None).select(query_id, "rank", *group, position, "score")
 
 
-def best_of_block(ids: np.ndarray, q: np.ndarray, own: np.ndarray, vectors: np.ndarray, limit: int, id_col: str) -> pa.RecordBatch:
-    """The ``limit`` most similar items (``own``, ``vectors``) of each query (``ids``, ``q``), itself left out."""
-    score = np.round(q @ vectors.T, 9)
-    score[ids[:, None] == own[None, :]] = -2
-    # Ids ascend, so that a stable sort leaves equal scores in their order.
-    order = np.argsort(own, kind="stable")
-    top = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :limit]]
-    n = top.shape[1]
-    found = np.take_along_axis(score, top, axis=1).reshape(-1)
-    good = found > -2
-    return pa.record_batch([pa.array(np.repeat(ids, n)[good]), pa.array(own[top].reshape(-1)[good]), pa.array(found[good])], ["query_id", id_col, "similarity"])
-
-
-def packed(df: DataFrame, id_col: str, vector: str, width: int, rows: int) -> DataFrame:
-    """``df`` in rows of up to ``rows`` ids and their unit vectors, as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                some = batch.slice(at, rows)
-                ids = np.asarray(some.column(0)).astype(np.int64)
-                yield pa.record_batch([pa.array([ids.tobytes()]), pa.array([unit(some.column(1).to_pylist(), width).tobytes()])], ["ids", "vectors"])
-
-    return df.select(F.col(id_col).cast("long"), vector).where(F.col(id_col).isNotNull()).mapInArrow(run, "ids binary, vectors binary")
+class Best:
+    """The ``limit`` most similar items of each of some queries among all that were shown, equal scores (to
+    9 digits) by id; a query's own id is left out. What it holds doesn't grow with the items."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, limit: int):
+        self.ids, self.q, self.limit = ids, q, limit
+        # Below -1 there is no similarity, so these are free places.
+        self.score, self.found = np.full((len(ids), limit), -2.0), np.zeros((len(ids), limit), np.int64)
+
+    def show(self, own: np.ndarray, vectors: np.ndarray) -> None:
+        for a in range(0, len(self.ids), QUERY_BLOCK):
+            for b in range(0, len(own), PACKED_ROWS):
+                self.meet(slice(a, a + QUERY_BLOCK), own[b : b + PACKED_ROWS], vectors[b : b + PACKED_ROWS])
+
+    def meet(self, some: slice, own: np.ndarray, vectors: np.ndarray) -> None:
+        score = self.q[some] @ vectors.T
+        score[self.ids[some, None] == own[None, :]] = -2
+        # Rounding moves a score by less than this.
+        floor = np.maximum(self.score[some, -1] - 1e-9, -1.5)
+        near = score >= floor[:, None]
+        if near.sum() > 4 * near.shape[0] * self.limit and near.shape[1] > self.limit:
+            last = -np.partition(-score, self.limit - 1, axis=1)[:, self.limit - 1]
+            near = score >= np.fmax(floor, last - 1e-9)[:, None]
+        i, j = np.nonzero(near)
+        if not len(i):
+            return
+        rows = np.unique(i)
+        query = np.concatenate([np.repeat(rows, self.limit), i])
+        value = np.concatenate([self.score[some][rows].reshape(-1), np.round(score[i, j], 9)])
+        item = np.concatenate([self.found[some][rows].reshape(-1), own[j]])
+        order = np.lexsort((item, -value, query))
+        # A row had ``limit`` entries before, so it has as many now.
+        take = order[np.searchsorted(query[order], rows)[:, None] + np.arange(self.limit)]
+        self.score[some][rows], self.found[some][rows] = value[take], item[take]
+
+    def batches(self, id_col: str) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.ids), PACKED_ROWS):
+            score = self.score[a : a + PACKED_ROWS].reshape(-1)
+            good = score > -2
+            columns = np.repeat(self.ids[a : a + PACKED_ROWS], self.limit), self.found[a : a + PACKED_ROWS].reshape(-1), score
+            yield pa.record_batch([pa.array(c[good]) for c in columns], ["query_id", id_col, "similarity"])
 
 
 def vector_topk(queries: DataFrame, items: DataFrame, limit: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, id_col, similarity and rank of the ``limit`` most similar items of each query,
     itself left out; equal similarities (to 9 digits) by id.
 
-    Queries of up to ``BROADCAST_VALUES`` values in all are held by every task; a batch of items gives
-    its own best for each query as one matrix product, and a window picks the best of all. More
-    queries are packed into blocks, and each packed batch of items is sent to each block. Zero vectors
-    and ones of another length than the longest query's have similarity 0; rows without an id are left out.
+    Queries of up to ``BROADCAST_VALUES`` values in all are held by every task, which keeps its own best of
+    each, and a window picks the best of all. More queries are sent to parts of the items. Either way a task
+    holds a bounded number of vectors, and of scores a block. Zero vectors and ones of another length than
+    the longest query's have similarity 0; rows without an id are left out.
     """
     queries = queries.where(F.col(id_col).isNotNull())
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("width")).first()
@@ -211,47 +229,81 @@ def vector_topk(queries: DataFrame, items: DataFrame, limit: int, id_col: str =
     schema = f"query_id long, {id_col} long, similarity double"
     if not size["n"]:
         return items.sparkSession.createDataFrame([], schema + ", rank int")
-    if size["n"] * max(width, 1) <= BROADCAST_VALUES:
-        rows = queries.select(id_col, vector).orderBy(id_col).collect()
-        ids, q = np.array([r[0] for r in rows], np.int64), unit([r[1] for r in rows], width)
+    columns = [F.col(id_col).cast("long").alias(id_col), F.col(vector).cast("array<double>").alias(vector)]
+    items = items.select(*columns).where(F.col(id_col).isNotNull())
+    if size["n"] * max(width, 2 * limit) <= BROADCAST_VALUES:
+        asked = queries.select(*columns).toArrow().combine_chunks()
+        ids, q = asked.column(0).to_numpy().astype(np.int64), unit_rows(asked.column(1), width)
 
         def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = None
             for batch in batches:
-                own, vectors = np.asarray(batch.column(0)), unit(batch.column(1).to_pylist(), width)
-                for at in range(0, len(ids), QUERY_BLOCK):
-                    yield best_of_block(ids[at : at + QUERY_BLOCK], q[at : at + QUERY_BLOCK], own, vectors, limit, id_col)
+                found = found or Best(ids, q, limit)
+                found.show(batch.column(0).to_numpy(), unit_rows(batch.column(1), width))
+            if found:
+                yield from found.batches(id_col)
 
-        found = items.select(F.col(id_col).cast("long"), vector).where(F.col(id_col).isNotNull()).mapInArrow(best, schema)
+        found = items.mapInArrow(best, schema)
     else:
-        found = meet_in_blocks(queries, items, limit, id_col, vector, width, size["n"]).select("query_id", id_col, "similarity")
+        found = meet_in_parts(queries.select(*columns), items, limit, id_col, width)
     return ranked(found, ["query_id"], [F.col("similarity").desc(), F.col(id_col)], limit)
 
 
-def meet_in_blocks(queries: DataFrame, items: DataFrame, limit: int, id_col: str, vector: str, width: int, n: int) -> DataFrame:
-    """Each block's queries with their best of each packed batch of items. Blocks are joined by their
-    number and a part, so that no task gets all batches of a block."""
+def meet_in_parts(queries: DataFrame, items: DataFrame, limit: int, id_col: str, width: int) -> DataFrame:
+    """The queries' best of each part of the items. Items are dealt by their ids into parts of about
+    ``ITEM_VALUES`` values, each part gets all queries after its items, and a task holds the items of one
+    part and a batch of queries."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, own, vectors = None, [], None, None
         for batch in batches:
-            for row in range(batch.num_rows):
-                ids, q, own, vectors = (batch.column(c)[row].as_buffer() for c in ("q_ids", "q_vectors", "ids", "vectors"))
-                ids, own = np.frombuffer(ids, np.int64), np.frombuffer(own, np.int64)
-                q, vectors = (np.frombuffer(v, np.float64).reshape(-1, width) for v in (q, vectors))
-                yield best_of_block(ids, q, own, vectors, limit, id_col)
-
-    blocks = -(-n // QUERY_BLOCK)
-    own = packed(queries.repartition(blocks, F.xxhash64(id_col)), id_col, vector, width, QUERY_BLOCK)
-    own = own.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(BLOCK_PARTS - 1))).alias("part"))
-    batches = packed(items, id_col, vector, width, PACKED_ROWS).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(BLOCK_PARTS)).cast("int"))
-    rows = own.join(batches, "part").select("q_ids", "q_vectors", "ids", "vectors")
+            at, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (asks[1:] != asks[:-1])) + 1), len(at)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if at[a] != part:
+                    part, held, own, vectors = at[a], [], None, None
+                some = batch.slice(a, b - a)
+                ids, x = some.column(2).to_numpy(), unit_rows(some.column(3), width)
+                if not asks[a]:
+                    held.append((ids, x))
+                    continue
+                if held:
+                    own, vectors = (np.concatenate(c) for c in zip(*held, strict=True))
+                    held = []
+                if own is not None:
+                    found = Best(ids, x, limit)
+                    found.show(own, vectors)
+                    yield from found.batches(id_col)
+
+    parts = -(-items.count() * max(width, 1) // ITEM_VALUES) or 1
+    dealt = items.select(F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asks"), "*")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), "*")
+    rows = dealt.unionByName(asked).repartition("part").sortWithinPartitions("part", "asks")
     return rows.mapInArrow(best, f"query_id long, {id_col} long, similarity double")
 
 
+def unit_rows(vectors: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """``unit`` of an Arrow column of lists."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = pa.concat_arrays(vectors.chunks) if vectors.num_chunks else pa.array([], vectors.type)
+    out = np.zeros((len(vectors), width))
+    good = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False)
+    values = pc.fill_null(vectors.filter(good).flatten().cast(pa.float64()), 0.0)
+    out[good.to_numpy(zero_copy_only=False)] = values.to_numpy(zero_copy_only=False).reshape(-1, width) if width else 0.0
+    return at_length_one(out)
+
+
+def at_length_one(out: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1)
+
+
 def unit(vectors: list, width: int) -> np.ndarray:
     """The vectors as rows of length one; those of another width are zero."""
     out = np.zeros((len(vectors), width))
     for i, v in enumerate(vectors):
         if v is not None and len(v) == width:
             out[i] = np.array([0.0 if x is None else x for x in v], np.float64)
-    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return out / np.where(norm > 0, norm, 1)
+    return at_length_one(out)

@@ -4,6 +4,7 @@ import random
 import re
 import zipfile
 
+import numpy as np
 import pytest
 
 from millrace.operators import artifacts as A
@@ -254,3 +255,24 @@ def test_vectors_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(R, "QUERY_BLOCK", 11)
     monkeypatch.setattr(R, "PACKED_ROWS", 7)
     assert len(kept) == 52 * 4 and sorted(map(tuple, R.vector_topk(df, df, 4).collect())) == kept
+
+
+@pytest.mark.parametrize("bound", [0, 4_000_000])
+def test_vectors_of_many_parts_hold_little(spark, monkeypatch, bound):
+    """Blocks of a few vectors, parts of a few items and many ties give what all pairs give; no product
+    is larger than a block."""
+    rng = random.Random(4)
+    rows = [(i, [float(rng.randint(-1, 1)) for _ in range(3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(2)
+    monkeypatch.setattr(R, "BROADCAST_VALUES", bound)
+    for name, value in (("QUERY_BLOCK", 5), ("PACKED_ROWS", 7), ("ITEM_VALUES", 60)):
+        monkeypatch.setattr(R, name, value)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in R.vector_topk(df.where("vec_id % 3 = 0"), df, 4).collect()}
+    norm = lambda v: sum(x * x for x in v) ** 0.5 or 1.0
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b, strict=True)) / norm(a) / norm(b), 9)
+    for i, a in rows[::3]:
+        best = sorted((-cos(a, b), j) for j, b in rows if j != i)[:4]
+        assert [got[i, k + 1] for k in range(4)] == [j for _, j in best]
+    held = R.Best(np.arange(20), np.eye(20), 2)
+    held.show(np.arange(20, 60), np.ones((40, 20)))
+    assert held.score.shape == (20, 2) and all(b.num_rows <= 7 * 2 for b in held.batches("v"))
