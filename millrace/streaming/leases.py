@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -122,6 +123,7 @@ def fold(job: Job, rows: pd.DataFrame) -> list[tuple]:
 
 
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
+KINDS = [pa.string(), pa.timestamp("us", "UTC"), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.string()]
 
 
 def framed(job: str, rows: list[tuple]) -> pd.DataFrame:
@@ -134,9 +136,44 @@ def framed(job: str, rows: list[tuple]) -> pd.DataFrame:
 def lease_log(log: DataFrame, terms: Terms | None = None) -> DataFrame:
     """job, ts, event_id, worker, action, accepted, reason, epoch and status of every request of a
     log, in its job's order of time and event_id, and a row ``expire`` where a lease ran out before
-    the next request. A job's requests are an ordered fold and meet in one task."""
+    the next request. A job's requests are an ordered fold: they meet in one task, row by row."""
     terms = terms or Terms()
-    return log.groupBy("job").applyInPandas(lambda key, rows: framed(key[0], fold(Job(terms), rows)), OUT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_jobs(batches, terms):
+            out = []
+            for name, job, at, event_id, worker, action in rows:
+                if job.run_out(at):
+                    out.append((name, job.until, None, job.worker, "expire", True, None, job.epoch, job.status))
+                why = job.request(at, worker, action)
+                out.append((name, at, event_id, worker, action, why is None, why, job.epoch, job.status))
+            yield pa.record_batch([pa.array([r[k] for r in out], kind) for k, kind in enumerate(KINDS)], COLUMNS)
+
+    return in_order(log, F.asc_nulls_first("event_id"), "worker", "action").mapInArrow(run, OUT)
+
+
+def in_order(log: DataFrame, last: Column, *columns: str) -> DataFrame:
+    """A log dealt by its jobs, each job's rows one after the other by time and ``last``."""
+    return log.select("job", "ts", "event_id", *columns).repartition("job").sortWithinPartitions("job", "ts", last)
+
+
+def by_jobs(batches: Iterator[pa.RecordBatch], terms: Terms) -> Iterator[Iterator[tuple]]:
+    """For each batch its rows: the job's name, its machine, and the other columns. A job goes on from
+    batch to batch, so none is held whole."""
+    name, job = None, None
+    for batch in batches:
+
+        def rows(batch: pa.RecordBatch = batch) -> Iterator[tuple]:
+            nonlocal name, job
+            # Times are instants, without a zone in Python.
+            at = batch.column(1).cast(pa.timestamp("us", "UTC")).cast(pa.int64()).cast(pa.timestamp("us"))
+            others = (c.to_pylist() for c in batch.columns[2:])
+            for key, *rest in zip(batch.column(0).to_pylist(), at.to_pylist(), *others, strict=True):
+                if job is None or key != name:
+                    name, job = key, Job(terms)
+                yield key, job, *rest
+
+        yield rows()
 
 
 def lease_stream(log: DataFrame, terms: Terms | None = None, late: str = "0 seconds") -> DataFrame:
@@ -175,15 +212,16 @@ def lease_issues(log: DataFrame, terms: Terms | None = None) -> DataFrame:
     give, so that one fault isn't counted again in all that follow."""
     terms = terms or Terms()
 
-    def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        job, out = Job(terms), []
-        for r in rows.sort_values(["ts", "event_id"], kind="stable").itertuples():
-            why = job.request(r.ts.to_pydatetime(), plain(r.worker), plain(r.action))
-            stated = bool(plain(r.accepted))
-            if stated != (why is None):
-                out.append((key[0], r.event_id, "accepted_wrongly" if stated else "refused_wrongly"))
-            elif stated and plain(r.epoch) != job.epoch:
-                out.append((key[0], r.event_id, "epoch_wrong"))
-        return pd.DataFrame(out, columns=["job", "event_id", "issue"])
-
-    return log.groupBy("job").applyInPandas(judge, "job string, event_id long, issue string")
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_jobs(batches, terms):
+            out: list[tuple] = []
+            for name, job, at, event_id, worker, action, accepted, epoch in rows:
+                why = job.request(at, worker, action)
+                stated = bool(accepted)
+                if stated != (why is None):
+                    out.append((name, event_id, "accepted_wrongly" if stated else "refused_wrongly"))
+                elif stated and epoch != job.epoch:
+                    out.append((name, event_id, "epoch_wrong"))
+            yield pa.record_batch([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))], ["job", "event_id", "issue"])
+
+    return in_order(log, F.asc_nulls_last("event_id"), "worker", "action", "accepted", "epoch").mapInArrow(judge, "job string, event_id long, issue string")

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,3 +169,24 @@ def test_a_log_is_checked_row_by_row(spark):
     assert L.lease_log(spark.createDataFrame([], REQUESTS)).count() == 0
     odd = L.requests(spark.createDataFrame([(None, at(0), 1, "a", "claim"), ("j", None, 2, "a", "claim"), ("j", at(0), None, None, None)], REQUESTS), "job", "ts", "event_id", "worker", "action")
     assert [(r["reason"], r["event_id"]) for r in L.lease_log(odd).collect()] == [("unknown_request", None)]
+
+
+def test_jobs_go_on_over_batches_without_being_held(spark):
+    """Batches of three requests give what one fold of a whole job gives; no group is gathered."""
+    rng = random.Random(9)
+    rows = [(f"j{rng.randint(0, 2)}", at(rng.randint(0, 900)), i, f"w{rng.randint(0, 1)}", rng.choice(["claim", "renew", "fail", "claim", "none"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "job string, ts timestamp_ntz, event_id long, worker string, action string").withColumn("ts", F.col("ts").cast("timestamp"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        log = L.lease_log(df)
+        got = [(r["job"], r["ts"], r["event_id"] or -1, r["accepted"], r["reason"], r["epoch"]) for r in log.withColumn("ts", F.col("ts").cast("timestamp_ntz")).collect()]
+        assert L.lease_issues(log.where("event_id IS NOT NULL")).isEmpty()
+        assert "FlatMapGroups" not in log._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    expected = []
+    for name in ("j0", "j1", "j2"):
+        mine = pd.DataFrame([r[1:] for r in rows if r[0] == name], columns=["ts", "event_id", "worker", "action"])
+        expected += [(name, r[0], r[1] or -1, r[4], r[5], r[6]) for r in L.fold(L.Job(L.Terms()), mine)]
+    assert sorted(got, key=str) == sorted(expected, key=str)
