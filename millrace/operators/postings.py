@@ -55,8 +55,12 @@ def posting_lists(docs: DataFrame) -> DataFrame:
     """shop, fingerprint, part, token and docs, the ids of the part's documents that have the token, of
     shop, fingerprint, doc_id and text. A shop is cut by a hash of the ids into parts of bounded size."""
     sizes = docs.groupBy("shop").agg((F.floor(F.sum(F.octet_length("text")) / PART_BYTES) + 1).alias("parts"))
-    words = docs.join(sizes, "shop").select("shop", "fingerprint", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "doc_id", F.explode(tokens(F.col("text"))).alias("token"))
-    lists = words.groupBy("shop", "fingerprint", "part", "token").agg(F.collect_set("doc_id").alias("docs"))
+    own = ["shop", "fingerprint", "part"]
+    dealt = docs.join(sizes, "shop").select("shop", "fingerprint", F.pmod(F.xxhash64("doc_id"), "parts").cast("int").alias("part"), "doc_id", "text")
+    # Texts are shuffled once, by their parts; tokens, many times as many bytes, stay in the part's task.
+    # An outer explode gets no filter that would cut each text into tokens again.
+    words = dealt.repartition(*own).select(*own, "doc_id", F.explode_outer(tokens(F.col("text"))).alias("token")).where("token IS NOT NULL")
+    lists = words.groupBy(*own, "token").agg(F.collect_set("doc_id").alias("docs"))
     return lists.withColumn("docs", F.array_sort("docs"))
 
 
@@ -80,7 +84,7 @@ def refresh_postings(docs: DataFrame, path: str, shop: str, doc_id: str, text: s
         changed = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(shop).cast("string").alias("shop"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         lists = posting_lists(changed.join(fresh, "shop"))
         # A part's lists lie together in order of tokens, so that a search skips most of a file.
-        lists = lists.repartition("shop", "fingerprint", "part").sortWithinPartitions("shop", "fingerprint", "part", "token")
+        lists = lists.sortWithinPartitions("shop", "fingerprint", "part", "token")
         lists.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shop", "fingerprint").parquet(f"{path}/postings")
     live = states.where("new IS NOT NULL").select("shop", F.col("new").alias("fingerprint"))
     # A row of nulls makes a manifest of no shops one, too.

@@ -166,3 +166,13 @@ def test_issues_of_embeddings(spark):
         2: ["dense_dimensions"], 3: ["dense_dimensions", "sparse_missing"], 4: ["dense_not_finite", "sparse_missing"], 5: ["dense_not_finite", "sparse_token_invalid", "sparse_weight_invalid"],
         6: ["sparse_token_invalid", "sparse_token_repeated"], 7: ["repeated_row"], 8: ["missing_row"], 9: ["unexpected_row"],
     }
+
+
+def test_tokens_stay_where_their_texts_were_dealt(spark):
+    """Only texts are shuffled to their parts; no exchange is dealt by tokens."""
+    docs = spark.createDataFrame([("s", "f", i, f"word{i} common words") for i in range(20)] + [("s", "f", 20, "")], "shop string, fingerprint string, doc_id long, text string")
+    lists = P.posting_lists(docs)
+    got = {r["token"]: r["docs"] for r in lists.collect()}
+    assert got["common"] == list(range(20)) and got["word7"] == [7] and "" not in got
+    exchanges = [line for line in lists._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in line]
+    assert exchanges and not any("token" in line for line in exchanges)
