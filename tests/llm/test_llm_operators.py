@@ -371,6 +371,48 @@ def test_html_of_empty_tables_and_long_pages(spark):
     assert out[0]["text"].count("\n\n") == 29_999
 
 
+def test_every_line_is_differenced_before_markup_checks(spark):
+    """Menus, adverts and footers that differ from page to page are told by where pages differ most."""
+    page = lambda i: (
+        f"<head><title>t</title></head><body><nav><ul><li>Home<li>menu {i}</ul></nav><div class=ad{i}>advert {i}</div>"
+        f"<article><h1>Own title {i}</h1><p>The same quote.</p><p>A long passage of page {i} that no other has</p></article><footer>foot {i}</footer></body>"
+    )
+    places = [(text, place) for text, place, _ in html_text.read_lines(page(1))]
+    assert places[:3] == [("Home", "nav/ul/"), ("menu 1", "nav/ul/"), ("advert 1", "div.ad#/")] and places[-1] == ("foot 1", "footer/")
+    rows = [(i, f"http://h/a/{i}", page(i)) for i in range(5)] + [(9, "http://lone/", page(9))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: [(x["text"], x["shared"], x["inside"]) for x in r["lines"]] for r in html_text.difference_pages(frame).collect()}
+    for i in range(5):
+        assert [t for t, shared, inside in got[i] if inside and not shared] == [f"Own title {i}", f"A long passage of page {i} that no other has"]
+        assert [t for t, shared, inside in got[i] if inside and shared] == ["The same quote."] and len(got[i]) == 7
+    assert {inside for _, _, inside in got[9]} == {None}
+    text = {r["page_id"]: r["text"] for r in html_text.extract_text(frame).collect()}
+    assert all(text[i] == f"Own title {i}\n\nThe same quote.\n\nA long passage of page {i} that no other has" for i in text)
+
+
+def test_differencing_rules_out_hinted_widgets_of_pages_without_article(spark):
+    page = lambda i: f"<div class=story><p>A long passage {i} of the story</p><p class=form-row>row {i}</p></div><div class=ad-slot><p>buy {i}</p></div><div class=tail><p>end {i}</p></div>"
+    rows = [(i, f"http://h/a/{i}", page(i)) for i in range(4)] + [(7, "http://h/b", "<div class=menu-card><p>Another kind of page</p></div>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"A long passage {i} of the story\n\nrow {i}\n\nend {i}" for i in range(4)) and got[7] == "Another kind of page"
+
+
+def test_many_copies_are_dealt_into_slots(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "SLOT_ROWS", 3)
+    rows = [(i, f"http://h/{i}", "<p>Menu</p><p>same</p>") for i in range(20)] + [(30, "http://h/x", "<p>Menu</p><p>other</p>")]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == [(i, "same") for i in range(20)] + [(30, "other")]
+
+
+def test_long_alignments_hold_few_rows():
+    rng = random.Random(4)
+    for n, kinds in ((300, 3), (5000, 5000), (4500, 40)):
+        a, b = ([rng.randrange(kinds) for _ in range(n)] for _ in range(2))
+        at, it = html_text.common_lines(a, b), iter(b)
+        assert all(a[i] in it for i in at) and (n > 300 or len(at) == lcs(a, b))
+        assert len(html_text.common_lines(b, a)) == len(at)
+
+
 def lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
