@@ -407,7 +407,7 @@ def difference_pages(pages: DataFrame) -> DataFrame:
     ``text``, ``place``, ``said``, and differencing's two answers: ``shared`` (the nearest page has
     the line too; told of the body's lines only) and ``inside`` (it stands in the host's main
     container; null where that is unknown, or none of the page's differing lines stands there)."""
-    # Pages are read into lines twice, which is cheaper than to store all their texts between.
+    # Pages are read into lines more than once; to store all their texts between took more disk than the budget has.
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     found = stored(page_differences(pages.select("url", "html").mapInArrow(parse_pages, PARSED)), "page-differences")
     mains = stored(main_containers(found), "page-mains")
