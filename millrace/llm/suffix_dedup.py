@@ -20,7 +20,8 @@ claim is then checked on the bytes. Each claimed position names the first chunk
 runs of claims travel there as one piece of text, and its bytes are compared. Strings of which a claim
 fails are in doubt, and only they are looked at once more: all positions that have one are sorted by
 keys of another hash function, which are few and so hardly ever collide, and what these claim is
-checked in the same way. So a result never rests on a hash, and no number of keys is too many.
+checked in the same way. So a result never rests on a hash, and no number of keys is too many; a look
+sorts nothing anew, and makes anew only what chunks that have such a string lose.
 
 Keys travel as sorted, delta-coded arrays, a row for each chunk and bucket, each key once for a chunk;
 so a passage that many documents share costs a key for each chunk. Tasks hold a chunk or a bucket.
@@ -31,7 +32,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 CHUNK_BYTES = 4 << 20
 #: Keys that a task sorts at once, about.
-BUCKET_KEYS = 2_000_000
+BUCKET_KEYS = 4_000_000
 REST_PARTS = 2
 #: A sample key has so many bits more than it takes to number all samples: a chance agreement costs
 #: time, not rightness, so few bits do.
@@ -56,26 +57,39 @@ KEY_BITS = 62
 CLAIM_BYTES = 8 << 20
 #: Strings in doubt that one look settles; any others are left to the next one.
 MOST_DOUBTS = 1 << 20
+#: Positions hashed at once, so that what lies between stays in the cache.
+BLOCK = 1 << 14
 
 
 def factors(seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def keys_at(data: np.ndarray, at: np.ndarray, length: int, bits: int, odd: np.ndarray) -> np.ndarray:
+def words_of(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position of ``data``, which has 8 bytes more."""
+    return np.ascontiguousarray(np.ndarray(len(data) - 7, "<u8", data, strides=(1,)))
+
+
+def keys_at(data: np.ndarray, at: np.ndarray, length: int, bits: int, odd: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
     """Hashes, by the ``factors`` odd, of the ``length`` bytes from each position of ``at``; ``data``
-    has 8 bytes more."""
-    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
-    out = np.full(len(at), length, np.uint64)
-    for k, start in enumerate(range(0, length, 8)):
-        x = words[at + start]
-        if start + 8 > length:
-            x &= np.uint64((1 << 8 * (length - start)) - 1)
-        x ^= out
-        x *= odd[k]
-        out = x ^ (x >> np.uint64(29))
-    out *= odd[-1]
-    return (out ^ (out >> np.uint64(32))) >> np.uint64(64 - bits)
+    has 8 bytes more. ``words`` of it make many or long strings faster."""
+    words = np.ndarray(len(data) - 7, "<u8", data, strides=(1,)) if words is None else words
+    keys = np.empty(len(at), np.uint64)
+    for block in range(0, len(at), BLOCK):
+        own = at[block : block + BLOCK]
+        out = np.full(len(own), length, np.uint64)
+        for k, start in enumerate(range(0, length, 8)):
+            x = words[own + start]
+            if start + 8 > length:
+                x &= np.uint64((1 << 8 * (length - start)) - 1)
+            x ^= out
+            x *= odd[k]
+            np.right_shift(x, np.uint64(29), out=out)
+            out ^= x
+        out *= odd[-1]
+        out ^= out >> np.uint64(32)
+        keys[block : block + BLOCK] = out >> np.uint64(64 - bits)
+    return keys
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -93,35 +107,59 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(steps.view("<u8").reshape(-1), dtype=np.uint64)
 
 
+def find(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each of ``keys`` its index in the ascending array ``of``, or -1.
+
+    A table of slots tells most; only keys whose slot others share are searched for."""
+    if not len(of) or not len(keys):
+        return np.full(len(keys), -1, np.int64)
+    if len(keys) < 1000 or len(of) >= 1 << 27:
+        at = np.minimum(np.searchsorted(of, keys), len(of) - 1)
+        return np.where(of[at] == keys, at, -1)
+    bits = max(12, min(24, len(of).bit_length() + 3))
+    slot = lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+    table, own = np.full(1 << bits, -1, np.int32), slot(of)
+    table[own] = np.arange(len(of), dtype=np.int32)
+    out = table[slot(keys)].astype(np.int64)
+    missed = np.flatnonzero((out >= 0) & (of[out] != keys))
+    out[missed] = -1
+    lost = np.flatnonzero(table[own] != np.arange(len(of)))
+    if len(lost) and len(missed):
+        at = np.minimum(np.searchsorted(of[lost], keys[missed]), len(lost) - 1)
+        here = of[lost[at]] == keys[missed]
+        out[missed[here]] = lost[at[here]]
+    return out
+
+
 def member(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Which ``keys`` are in the ascending array ``of``."""
-    if not len(of):
-        return np.zeros(len(keys), bool)
-    at = np.searchsorted(of, keys)
-    return of[np.minimum(at, len(of) - 1)] == keys
+    return find(keys, of) >= 0
 
 
 def later_copies(keys: np.ndarray, owners: np.ndarray, every: bool, elsewhere: np.ndarray | None = None) -> np.ndarray:
     """Which keys a smaller owner has too; with ``every``, which another owner has. Keys of the
     ascending array ``elsewhere`` are found in any case."""
-    if not len(keys):
-        return np.zeros(0, bool)
-    order = np.argsort(keys)
+    out = np.zeros(len(keys), bool) if elsewhere is None else member(keys, elsewhere)
+    ordered = np.sort(keys)
+    some = np.flatnonzero(member(keys, distinct(ordered[1:][ordered[1:] == ordered[:-1]])))
+    if not len(some):
+        return out
+    order = some[np.argsort(keys[some])]
     k, o = keys[order], owners[order]
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     sizes = np.diff(np.append(starts, len(k)))
     first = np.minimum.reduceat(o, starts)
     if every:
-        found = np.repeat(np.maximum.reduceat(o, starts) > first, sizes)
+        out[order] |= np.repeat(np.maximum.reduceat(o, starts) > first, sizes)
     else:
-        found = o > np.repeat(first, sizes)
-    if elsewhere is not None and len(elsewhere):
-        found |= np.repeat(member(k[starts], elsewhere), sizes)
-    out = np.empty(len(keys), bool)
-    out[order] = found
+        out[order] |= o > np.repeat(first, sizes)
     return out
 
 
+def distinct(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
 def first_of(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
     """For each key the index of the one equal to it that has the smallest owner."""
     order = np.lexsort((owners, keys))
@@ -133,10 +171,22 @@ def first_of(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
 
 
 def differ(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """At which of the positions ``a`` of ``x`` the next bytes aren't those at ``b`` of ``y``."""
-    out, span = np.zeros(len(a), bool), np.arange(length)
-    for k in range(0, len(a), 1 << 14):
-        out[k : k + (1 << 14)] = (x[a[k : k + (1 << 14), None] + span] != y[b[k : k + (1 << 14), None] + span]).any(axis=1)
+    """At which of the positions ``a`` of ``x`` the next bytes aren't those at ``b`` of ``y``. Strings
+    that overlap, as far apart in both, are compared as one."""
+    out = np.zeros(len(a), bool)
+    for k in range(0, len(a), BLOCK):
+        at, to = a[k : k + BLOCK], b[k : k + BLOCK]
+        step = at[1:] - at[:-1]
+        fresh = np.concatenate([[True], (step < 0) | (step > length) | (to[1:] - to[:-1] != step)])
+        begins = np.flatnonzero(fresh)
+        sizes = at[np.append(begins[1:], len(at)) - 1] + length - at[begins]
+        before = np.cumsum(sizes) - sizes
+        within = np.arange(sizes.sum()) - np.repeat(before, sizes)
+        wrong = x[within + np.repeat(at[begins], sizes)] != y[within + np.repeat(to[begins], sizes)]
+        so_far = np.concatenate([[0], np.cumsum(wrong)])
+        run = np.cumsum(fresh) - 1
+        place = at - at[begins][run] + before[run]
+        out[k : k + BLOCK] = so_far[place + length] > so_far[place]
     return out
 
 
@@ -186,27 +236,35 @@ class Chunk:
             values, nulls = np.asarray(ids.fill_null(0)), np.asarray(ids.is_null())
             self.owner[1:] = np.cumsum((values[1:] != values[:-1]) | (nulls[1:] != nulls[:-1]))
 
+    @cached_property
+    def words(self) -> np.ndarray:
+        return words_of(self.data)
+
+    def keys(self, at: np.ndarray, length: int, bits: int, odd: np.ndarray) -> np.ndarray:
+        return keys_at(self.data, at, length, bits, odd, self.words if len(at) * length > len(self.data) else None)
+
     def rows_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, side="right") - 1
 
-    def sample_places(self) -> None:
-        """Positions of the cover sample, counted from each document's start."""
-        deep = self.length - PERIOD + 1
-        sizes = self.ends - self.starts
-        n = np.maximum(sizes - deep + 1, 0)
-        # A document's sample: all whole periods, then what of the last one is inside.
-        periods = (n + PERIOD - 1) // PERIOD
-        row = np.repeat(np.arange(len(n)), periods * len(COVER))
-        first = np.concatenate([[0], np.cumsum(periods)])[:-1]
-        number = np.arange(len(row)) - first[row] * len(COVER)
-        within = number // len(COVER) * PERIOD + np.array(COVER)[number % len(COVER)]
-        good = within < n[row]
-        self.sample_row, self.sample_at = row[good], within[good] + self.starts[row[good]]
+    def rows_in_order(self, at: np.ndarray) -> np.ndarray:
+        """``rows_of`` positions that ascend."""
+        bounds = np.append(np.searchsorted(at, self.starts), len(at))
+        return np.repeat(np.arange(len(self.starts)), np.diff(bounds))
+
+    def sample_counts(self) -> None:
+        """How many positions of the cover sample each document has, and the numbers of the first ones."""
+        sizes = np.maximum(self.ends - self.starts - (self.length - PERIOD), 0)
+        self.counts = sizes // PERIOD * len(COVER) + np.searchsorted(np.array(COVER), sizes % PERIOD)
+        self.firsts = np.cumsum(self.counts) - self.counts
+        number = np.arange(self.counts.max(initial=0))
+        self.offsets = number // len(COVER) * PERIOD + np.array(COVER)[number % len(COVER)]
 
     def samples(self) -> None:
-        """The cover sample's positions and keys."""
-        self.sample_places()
-        self.sample_keys = keys_at(self.data, self.sample_at, self.length - PERIOD + 1, self.how.sample_bits, self.odd)
+        """The cover sample's positions, counted from each document's start, and keys."""
+        self.sample_counts()
+        self.sample_row = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.sample_at = self.offsets[np.arange(len(self.sample_row)) - np.repeat(self.firsts, self.counts)] + np.repeat(self.starts, self.counts)
+        self.sample_keys = self.keys(self.sample_at, self.length - PERIOD + 1, self.how.sample_bits, self.odd)
 
     def shared(self, elsewhere: np.ndarray) -> bytes:
         """Packed bits of the samples that another document has: in another chunk (``elsewhere``) or here."""
@@ -215,11 +273,13 @@ class Chunk:
 
     def keep(self, bits: bytes) -> None:
         """Keeps the samples that ``shared`` tells, and takes the keys of their long ties."""
-        self.sample_places()
-        kept = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(self.sample_at)).view(bool)
-        self.sample_at, self.sample_row = self.sample_at[kept], self.sample_row[kept]
+        self.sample_counts()
+        kept = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=int(self.counts.sum())))
+        # An empty document has the number of the next one's first sample, so the last of equal numbers is meant.
+        self.sample_row = np.searchsorted(self.firsts, kept, side="right") - 1
+        self.sample_at = self.offsets[kept - self.firsts[self.sample_row]] + self.starts[self.sample_row]
         self.long = self.sample_at + self.length + PERIOD - 1 <= self.ends[self.sample_row]
-        self.long_keys = keys_at(self.data, self.sample_at[self.long], self.length + PERIOD - 1, self.how.key_bits, self.odd)
+        self.long_keys = self.keys(self.sample_at[self.long], self.length + PERIOD - 1, self.how.key_bits, self.odd)
 
     def resolve(self, earlier: np.ndarray) -> None:
         """Marks the suffixes that long ties with earlier documents resolve; lists the other ones
@@ -232,39 +292,37 @@ class Chunk:
         good = low < high
         self.near = cover(len(self.data), low[good], high[good])
         self.rest = np.flatnonzero(self.near & ~self.resolved)
-        self.rest_keys = keys_at(self.data, self.rest, self.length, self.how.key_bits, self.odd)
+        self.rest_keys = self.keys(self.rest, self.length, self.how.key_bits, self.odd)
 
     def look_at(self, look: Look) -> None:
         """Lists the positions of strings in doubt, with their keys by the look's hash function."""
         at = np.flatnonzero(self.near | self.resolved)
-        keys = keys_at(self.data, at, self.length, KEY_BITS, factors(look.seed))
+        keys = self.keys(at, self.length, KEY_BITS, factors(look.seed))
         here = member(keys, look.wanted)
         self.look_places, self.look_keys = at[here], keys[here]
 
     def removed(self, earlier: np.ndarray, looks: list[tuple[Look, np.ndarray]] = ()) -> np.ndarray:
         """Which bytes go. For each look there are the keys that earlier chunks have; what a look is
         about isn't settled by anything before it."""
-        self.again = later_copies(self.rest_keys, self.owner[self.rows_of(self.rest)], False, earlier)
+        self.again = later_copies(self.rest_keys, self.owner[self.rows_in_order(self.rest)], False, earlier)
         self.looks = []
-        if not looks:
-            starts = np.concatenate([np.flatnonzero(self.resolved), self.rest[self.again]])
-            return cover(len(self.data), starts, starts + self.length)
         gone, doubted = self.resolved.copy(), np.zeros(len(self.data), bool)
         gone[self.rest[self.again]] = True
         for look, have in looks:
             self.look_at(look)
-            claimed = later_copies(self.look_keys, self.owner[self.rows_of(self.look_places)], False, have)
+            claimed = later_copies(self.look_keys, self.owner[self.rows_in_order(self.look_places)], False, have)
             gone[self.look_places] = False
             gone[self.look_places[claimed]] = True
             doubted[self.look_places] = True
             for _, places, mine in self.looks:
                 mine &= ~np.isin(places, self.look_places)
             self.looks.append((self.look_keys, self.look_places, claimed))
-        # Claims on strings that a look is about count no more: a long tie's, if all of its strings are.
-        ties = self.sample_at[self.long]
-        run = np.concatenate([[0], np.cumsum(doubted)])
-        self.tied = self.tied & (run[np.minimum(ties + PERIOD, len(doubted))] - run[ties] < PERIOD)
-        self.again = self.again & ~doubted[self.rest]
+        if looks:
+            # Claims on strings that a look is about count no more: a long tie's, if all of its strings are.
+            ties = self.sample_at[self.long]
+            run = np.concatenate([[0], np.cumsum(doubted)])
+            self.tied = self.tied & (run[np.minimum(ties + PERIOD, len(doubted))] - run[ties] < PERIOD)
+            self.again = self.again & ~doubted[self.rest]
         starts = np.flatnonzero(gone)
         return cover(len(self.data), starts, starts + self.length)
 
@@ -274,20 +332,21 @@ class Chunk:
         first = [(self.long_keys, self.sample_at[self.long], self.length + PERIOD - 1, self.tied), (self.rest_keys, self.rest, self.length, self.again)]
         return first + [(keys, places, self.length, claimed) for keys, places, claimed in self.looks]
 
-    def claims(self, known: list[tuple[np.ndarray, np.ndarray]], seed: int) -> tuple[np.ndarray, list[tuple[int, bytes, bytes, bytes]]]:
+    def claims(self, known: list[tuple[np.ndarray, np.ndarray]], seed: int, since: int = 0) -> tuple[np.ndarray, list[tuple[int, bytes, bytes, bytes]]]:
         """The strings of claims within the chunk that fail, as keys for a look of that seed, and the
         claims on other chunks: a chunk, pieces of text one after the other, positions in them, and
         their kinds. ``known``: by kind the keys that earlier chunks have, ascending, and the first chunk
-        that has each."""
+        that has each. Kinds before ``since`` have been checked."""
         wrong, at, size, first, kind = [np.zeros(0, np.uint64)], [], [], [], []
         for number, ((keys, places, length, claimed), (there, where)) in enumerate(zip(self.kinds(), known, strict=True)):
             own = np.flatnonzero(claimed)
-            if not len(own):
+            if number < since or not len(own):
                 continue
-            outside = member(keys[own], there)
+            index = find(keys[own], there)
+            outside = index >= 0
             inside = own[~outside]
             if len(inside):
-                some = np.flatnonzero(member(keys, np.unique(keys[inside])))
+                some = np.flatnonzero(member(keys, distinct(np.sort(keys[inside]))))
                 first_one = some[first_of(keys[some], self.owner[self.rows_of(places[some])])]
                 at_first = first_one[np.searchsorted(some, inside)]
                 bad = differ(self.data, places[inside], self.data, places[at_first], length)
@@ -295,7 +354,7 @@ class Chunk:
             own = own[outside]
             at.append(places[own])
             size.append(np.full(len(own), length))
-            first.append(where[np.searchsorted(there, keys[own])])
+            first.append(where[index[outside]])
             kind.append(np.full(len(own), number))
         wrong = np.unique(np.concatenate(wrong))
         if not sum(map(len, at)):
@@ -332,6 +391,7 @@ class Chunk:
         """The strings of claims of other chunks that fail here, as keys for a look of that seed; all
         claims are looked up at once. ``marks`` spare finding the positions again."""
         count = 2 + len(looks)
+        words = None
         bits = np.unpackbits(np.frombuffer(marks, np.uint8), count=count * len(self.data)).reshape(count, -1)
         sizes = [len(x["text"]) for x in claims]
         text = np.zeros(sum(sizes) + 8, np.uint8)
@@ -344,27 +404,32 @@ class Chunk:
             some, length = at[kind == number], self.length + PERIOD - 1 if number == 0 else self.length
             if not len(some):
                 continue
-            asked, places = keys_at(text, some, length, width, odd), np.flatnonzero(row)
-            keys = keys_at(self.data, places, length, width, odd)
-            kept = member(keys, np.unique(asked))
+            words = words_of(text) if words is None else words
+            asked, places = keys_at(text, some, length, width, odd, words), np.flatnonzero(row)
+            keys = self.keys(places, length, width, odd)
+            kept = member(keys, distinct(np.sort(asked)))
             keys, places = keys[kept], places[kept]
             # Of equal keys the first position answers, in each call the same one.
             order = np.argsort(keys)
             own, first = keys[order], places[order]
             begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
             own, first = own[begins], np.minimum.reduceat(first, begins) if len(own) else first
-            bad = ~member(asked, own)
+            index = find(asked, own)
+            bad = index < 0
             good = np.flatnonzero(~bad)
-            here = first[np.searchsorted(own, asked[good])]
-            bad[good] = differ(text, some[good], self.data, here, length)
+            bad[good] = differ(text, some[good], self.data, first[index[good]], length)
             wrong.append(doubts(text, some[bad], length - self.length + 1, self.length, seed))
         return np.unique(np.concatenate(wrong))
 
 
 def cover(n: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """True from each low up to its high, not included, in an array of ``n``."""
-    steps = np.bincount(low, minlength=n + 1) - np.bincount(high, minlength=n + 1)
-    return np.cumsum(steps[:n]) > 0
+    """True from each low up to its high, not included, in an array of ``n``; lows ascend, and highs too."""
+    steps = np.zeros(n + 1, np.int8)
+    if len(low):
+        begins = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+        steps[low[begins]] = 1
+        steps[high[np.append(begins[1:], len(high)) - 1]] = -1
+    return np.cumsum(steps[:n], dtype=np.int8).view(bool)
 
 
 @dataclass
@@ -450,8 +515,7 @@ def open_chunk(data: bytes, how: Hashing) -> Chunk:
 def bucket_rows(chunk: int, keys: np.ndarray, bits: int, buckets: int, part: range) -> list[tuple]:
     """Rows bucket, chunk, keys of a chunk's distinct keys, cut into ranges of equal width, for the
     buckets of ``part``."""
-    keys = np.sort(keys)
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+    keys = distinct(np.sort(keys))
     edges = np.array([((1 << bits) * b) // buckets for b in range(1, buckets)], np.uint64)
     at = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
     return [(b, chunk, pack(keys[at[b] : at[b + 1]])) for b in part if at[b] < at[b + 1]]
@@ -465,6 +529,45 @@ def key_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "chunk", "keys"])
 
 
+def in_order(keys: np.ndarray, owners: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and owners, of ``width`` bits, by key and then owner.
+
+    Both go into one number, as a plain sort is several times as fast as a sort of places; keys of
+    too wide a range are halved."""
+    if not len(keys):
+        return keys, owners
+    least, most = keys.min(), keys.max()
+    bits = int(most - least).bit_length()
+    if bits + width > 64:
+        low = keys < least + np.uint64(1 << (bits - 1))
+        halves = [in_order(keys[x], owners[x], width) for x in (low, ~low)]
+        return np.concatenate([x[0] for x in halves]), np.concatenate([x[1] for x in halves])
+    both = (keys - least) << np.uint64(width)
+    both |= owners
+    both.sort()
+    owners = both & np.uint64((1 << width) - 1)
+    both >>= np.uint64(width)
+    both += least
+    return both, owners
+
+
+def shared_keys(keys: np.ndarray, sizes: list[int], every: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the keys of several owners, so many each and distinct, those that an earlier owner has (with
+    ``every``, another one), by owner and ascending: the keys, their owners and the first owners."""
+    owners = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes)
+    k, o = in_order(keys, owners, max(1, (len(sizes) - 1).bit_length()))
+    copy = np.zeros(len(k), bool)
+    copy[1:] = k[1:] == k[:-1]
+    kept = copy.copy()
+    if every:
+        kept[:-1] |= copy[1:]
+    kept = np.flatnonzero(kept)
+    first = o[np.flatnonzero(~copy)[np.cumsum(~copy)[kept] - 1]].astype(np.int64)
+    k, o = k[kept], o[kept].astype(np.int64)
+    order = np.argsort(o.astype(np.uint16) if len(sizes) < 1 << 16 else o, kind="stable")
+    return k[order], o[order], first[order]
+
+
 def sort_buckets(rows: DataFrame, every: bool) -> DataFrame:
     """chunk, keys, firsts: the keys of each chunk that an earlier chunk has (with ``every``, another
     one), and the first chunk that has each, one bucket sorted at a time."""
@@ -475,22 +578,12 @@ def sort_buckets(rows: DataFrame, every: bool) -> DataFrame:
         chunks = np.asarray(table["chunk"])
         each = [unpack(x.as_py()) for x in table["keys"]]
         sizes = [len(x) for x in each]
-        keys, owners = np.concatenate(each), np.repeat(np.arange(len(each)), sizes)
-        by = np.argsort(keys, kind="stable")  # owners ascend, so a run begins with its first one
-        starts = np.flatnonzero(np.concatenate([[True], keys[by][1:] != keys[by][:-1]]))
-        counts = np.diff(np.append(starts, len(keys)))
-        first = np.empty(len(keys), np.int64)
-        first[by] = np.repeat(owners[by[starts]], counts)
-        found = owners > first
-        if every:
-            found[by] = np.repeat(counts > 1, counts)
-        out, at = [], 0
-        for c, own in zip(chunks.tolist(), each, strict=True):
-            here = slice(at, at + len(own))
-            kept = found[here]
-            at += len(own)
-            if kept.any():
-                out.append((c, pack(own[kept]), None if every else chunks[first[here][kept]].astype("<i8").tobytes()))
+        keys, owners, firsts = shared_keys(np.concatenate(each), sizes, every)
+        del each
+        out, at = [], np.searchsorted(owners, np.arange(len(sizes) + 1))
+        for c, a, b in zip(chunks.tolist(), at, at[1:], strict=False):
+            if a < b:
+                out.append((c, pack(keys[a:b]), None if every else chunks[firsts[a:b]].astype("<i8").tobytes()))
         kinds = (pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["chunk", "keys", "firsts"])
 
@@ -527,11 +620,38 @@ def claim_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
 
-def settled(chunks: Chunked, how: Hashing, bucket_keys: int, looks: list[Look] | None = None) -> DataFrame | None:
+class Looks(list):
+    """The looks so far, and what the sorts before them found, which further looks need: the chunks with
+    their shared samples, the keys found by each pass, and the bits of all chunks by the last look.
+    With ``whole`` there were more strings in doubt than a look takes: all claims are checked again."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.base: DataFrame | None = None
+        self.found: list[tuple[int, DataFrame]] = []
+        self.gone: DataFrame | None = None
+        self.whole = True
+        self.scratch: list[DataFrame] = []
+
+
+def dealt(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """``chunks`` with lists of the claims on them. A chunk that many others copy from gets its claims
+    in several lists, which are dealt by chunk and list, so that they need not meet in a task; chunks
+    of a single list aren't shuffled."""
+    asked = asked.select("of", F.struct("text", "at", "kind").alias("c"), F.xxhash64("chunk", "of").alias("h")).withColumnRenamed("of", "chunk")
+    lists = asked.groupBy("chunk").agg(F.ceil(F.sum(F.octet_length("c.text")) / CLAIM_BYTES).alias("lists"))
+    asked = asked.join(lists, "chunk").groupBy("chunk", F.pmod("h", "lists").alias("list"), "lists").agg(F.collect_list("c").alias("claims"))
+    few = chunks.join(asked.where("lists <= 1").drop("list", "lists"), "chunk")
+    copies = chunks.join(lists.where("lists > 1"), "chunk").withColumn("list", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lists") - 1))).drop("lists")
+    return few.unionByName(copies.join(asked.where("lists > 1").drop("lists"), ["chunk", "list"]).drop("list"))
+
+
+def settled(chunks: Chunked, how: Hashing, bucket_keys: int, looks: Looks | None = None) -> DataFrame | None:
     """chunk, gone: the packed bits of the bytes that go, after the three sorts and a sort for each look;
-    None if some keys were equal by chance. Then ``looks`` has one more, for the strings in doubt."""
+    None if some keys were equal by chance. Then ``looks`` has one more, for the strings in doubt, and
+    the next call sorts only them, and works only on chunks that have them."""
     spark = chunks.table.sparkSession
-    looks = [] if looks is None else looks
+    looks = Looks() if looks is None else looks
     old, seed = list(looks), how.seed + 1 + len(looks)
     buckets = chunks.bytes * len(COVER) // PERIOD // bucket_keys + 1
 
@@ -568,11 +688,14 @@ def settled(chunks: Chunked, how: Hashing, bucket_keys: int, looks: list[Look] |
         for name, chunk, row in opened(batches, 0):
             yield pa.record_batch([pa.array([name], pa.int64()), pa.array([chunk.shared(keys_of(row["found"], 0)[0])], pa.binary())], ["chunk", "kept"])
 
+    # Claims of the sorts, and of earlier looks, have been checked before a further look.
+    since = 0 if looks.whole else 1 + len(old)
+
     def claim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, chunk, row in opened(batches, 2):
             known = [keys_of(row["found"], 1 + k) for k in range(2 + len(old))]
             gone = chunk.removed(known[1][0], [(look, have[0]) for look, have in zip(old, known[2:], strict=True)])
-            wrong, claims = chunk.claims(known, seed)
+            wrong, claims = chunk.claims(known, seed, since)
             whole = (name, wrong.view(np.int64).tolist(), np.packbits(gone).tobytes(), chunk.marks(), None, None, None, None)
             yield claim_batch([whole, *((name, None, None, None, *some) for some in claims)])
 
@@ -581,40 +704,48 @@ def settled(chunks: Chunked, how: Hashing, bucket_keys: int, looks: list[Look] |
             wrong = chunk.refute(row["claims"].as_py(), row["marks"].as_py(), old, seed)
             yield pa.record_batch([pa.array([wrong.view(np.int64).tolist()], pa.list_(pa.int64()))], ["wrong"])
 
-    found: list[tuple[int, DataFrame]] = []
-    base = chunks.table
+    base, touched = looks.base or chunks.table, None
     for number, (name, _, parts) in enumerate(passes):
+        if looks.base and number < len(passes) - 1:
+            continue
         own = []
         for k in range(parts):
             part = range(buckets * k // parts, buckets * (k + 1) // parts)
-            rows = with_found(base, found).mapInArrow(keys_to_sort(number, part), KEY_ROWS)
+            rows = with_found(base, looks.found).mapInArrow(keys_to_sort(number, part), KEY_ROWS)
+            if number > 2:
+                # Keys of strings in doubt are few; the chunks that have them are all that changes.
+                rows = stored(rows, name)
+                looks.scratch.append(rows)
+                touched = rows.select("chunk").distinct()
             own.append((number, stored(sort_buckets(rows, every=number == 0), f"shared-{name}")))
             del rows
             let_go(spark)
-        found += own
+        looks.found += own
         if number == 0:
             # Which samples are shared is told once, as bits; later passes needn't sort samples again.
-            shared = stored(with_found(base, found).mapInArrow(mark, "chunk long, kept binary"), "shared-samples")
-            forget(found.pop()[1])
+            shared = stored(with_found(base, looks.found).mapInArrow(mark, "chunk long, kept binary"), "shared-samples")
+            forget(looks.found.pop()[1])
+            looks.scratch.append(shared)
             base = chunks.table.join(shared, "chunk")
-    claims = stored(with_found(base, found).mapInArrow(claim, CLAIM_ROWS), "claims")
-    asked = claims.where("of is not null").select(F.col("of").alias("chunk"), F.struct("text", "at", "kind").alias("c"), F.xxhash64("chunk", "of").alias("h"))
-    # A chunk that many others copy from gets its claims in several lists.
-    lists = asked.groupBy("chunk").agg(F.ceil(F.sum(F.octet_length("c.text")) / CLAIM_BYTES).alias("lists"))
-    asked = asked.join(lists, "chunk").groupBy("chunk", F.pmod("h", "lists").alias("list")).agg(F.collect_list("c").alias("claims"))
-    marks = claims.where("of is null").select("chunk", "marks")
-    wrong = chunks.table.join(marks, "chunk").join(asked.drop("list"), "chunk").mapInArrow(check, "wrong array<long>")
+    looks.base = base
+    some = base if touched is None or looks.whole else base.join(touched, "chunk", "left_semi")
+    claims = stored(with_found(some, looks.found).mapInArrow(claim, CLAIM_ROWS), "claims")
+    new = claims.where("of is null")
+    wrong = dealt(chunks.table.join(new.select("chunk", "marks"), "chunk"), claims.where("of is not null")).mapInArrow(check, "wrong array<long>")
     wrong = wrong.unionByName(claims.where("size(wrong) > 0").select("wrong")).select(F.explode("wrong").alias("key")).distinct()
     # Any of the strings in doubt will do: those beyond the bound fail again, and the next look is theirs.
     found_wrong = wrong.limit(MOST_DOUBTS).toArrow()["key"].to_numpy().astype(np.int64).view(np.uint64)
-    for rows in (shared, *(rows for _, rows in found)):
-        forget(rows)
-    let_go(spark)
+    gone = new.select("chunk", "gone")
+    looks.gone = gone if some is base else gone.unionByName(looks.gone.join(new.select("chunk"), "chunk", "left_anti"))
+    looks.whole = len(found_wrong) >= MOST_DOUBTS
     if len(found_wrong):
-        forget(claims)
+        let_go(spark)
         looks.append(Look(seed, np.sort(found_wrong)))
         return None
-    return claims.where("of is null").select("chunk", "gone")
+    for rows in (*looks.scratch, *(rows for _, rows in looks.found)):
+        forget(rows)
+    let_go(spark)
+    return looks.gone
 
 
 def dedup(
@@ -625,7 +756,7 @@ def dedup(
     chunks = make_chunks(df, id_col, text_col, carry, chunk_bytes)
     samples = chunks.bytes * len(COVER) // PERIOD
     sample_bits = sample_bits or min(KEY_BITS, max(32, samples.bit_length() + SPARE_BITS))
-    how, looks = Hashing(length, sample_bits, key_bits, 50), []
+    how, looks = Hashing(length, sample_bits, key_bits, 50), Looks()
     gone = settled(chunks, how, bucket_keys, looks)
     while gone is None:
         gone = settled(chunks, how, bucket_keys, looks)

@@ -127,3 +127,68 @@ def test_strings_in_doubt_are_settled_by_one_more_look(spark, docs, monkeypatch)
     monkeypatch.setattr(S, "MOST_DOUBTS", 4000)
     assert got(S.remove_repeats(docs(rows), chunk_bytes=2000, key_bits=8)) == expected
     assert 2 <= len(calls) < 12
+
+
+def test_a_further_look_sorts_nothing_anew(docs, monkeypatch):
+    """Samples, long ties and the rest are sorted once, however many looks there are."""
+    rng = random.Random(15)
+    shared = [words(rng, 60) for _ in range(6)]
+    rows = [(i, f"{words(rng, 25)} {rng.choice(shared)[rng.randint(0, 9) :]} {words(rng, 9)}") for i in range(50)]
+    names, stored = [], S.stored
+    monkeypatch.setattr(S, "stored", lambda df, name, *a: names.append(name) or stored(df, name, *a))
+    assert got(S.remove_repeats(docs(rows), chunk_bytes=900, key_bits=10)) == brute(rows)
+    assert names.count("shared-look_keys") >= 1
+    assert [names.count(f"shared-{x}_keys") for x in ("sample", "long", "rest")] == [1, 1, S.REST_PARTS]
+
+
+def test_claims_on_one_chunk_are_dealt(spark, docs, monkeypatch):
+    """All documents copy from the first one; its claims don't meet in a task."""
+    rng = random.Random(16)
+    passage = words(rng, 150)
+    rows = [(i, f"{words(rng, 9)} {passage} {words(rng, 9)}") for i in range(60)]
+    frames, dealt = [], S.dealt
+    monkeypatch.setattr(S, "CLAIM_BYTES", 3000)
+    monkeypatch.setattr(S, "dealt", lambda *a: frames.append(dealt(*a)) or frames[-1])
+    assert got(S.remove_repeats(docs(rows), chunk_bytes=600)) == brute(rows)
+    # Tables this small would be broadcast, or their partitions put together.
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        lists = frames[0].selectExpr("chunk", "size(claims) AS n", "spark_partition_id() AS p").collect()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    first = min(r["chunk"] for r in lists)
+    assert sum(r["n"] for r in lists if r["chunk"] == first) > 20
+    assert len({r["p"] for r in lists if r["chunk"] == first}) > 1
+
+
+def test_steps_against_plain_ones():
+    rng = np.random.default_rng(17)
+    of = np.unique(rng.integers(0, 1 << 62, 5000, np.uint64))
+    keys = np.concatenate([rng.choice(of, 3000), rng.integers(0, 1 << 62, 3000, np.uint64)])
+    there = {k: i for i, k in enumerate(of.tolist())}
+    for some in (keys, keys[::20]):
+        assert S.find(some, of).tolist() == [there.get(k, -1) for k in some.tolist()]
+    assert S.find(keys, of[:0]).tolist() == [-1] * len(keys)
+    x, y = rng.integers(0, 2, 3000).astype(np.uint8), rng.integers(0, 2, 3000).astype(np.uint8)
+    y[500:900] = x[700:1100]
+    y[620] ^= 1
+    a = np.concatenate([np.arange(700, 1060, 3), rng.integers(0, 2900, 200)])
+    b = np.concatenate([np.arange(500, 860, 3), rng.integers(0, 2900, 200)])
+    plain = [bytes(x[i : i + 50]) != bytes(y[j : j + 50]) for i, j in zip(a, b, strict=True)]
+    assert 10 < sum(plain[:120]) < 100
+    assert S.differ(x, a, y, b, 50).tolist() == plain
+    # Keys of over 60 bits and owners don't fit into one number.
+    for top in (1 << 10, 1 << 62):
+        each = [np.unique(rng.integers(0, top, 90, np.uint64)) for _ in range(9)]
+        each[5] = np.unique(np.concatenate([each[5], each[2][:40], each[7][-40:]]))
+        owners = {}
+        for o, ks in enumerate(each):
+            for k in ks.tolist():
+                owners.setdefault(k, []).append(o)
+        for every in (False, True):
+            found = S.shared_keys(np.concatenate(each), [len(ks) for ks in each], every)
+            expected = [(k, o, owners[k][0]) for o, ks in enumerate(each) for k in ks.tolist() if len(owners[k]) > 1 and (every or o > owners[k][0])]
+            assert list(zip(*(z.tolist() for z in found), strict=True)) == expected
