@@ -93,17 +93,20 @@ def keys_at(data: np.ndarray, at: np.ndarray, length: int, bits: int, odd: np.nd
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Ascending distinct keys as a first byte, the width, and differences of so many bytes."""
-    steps = np.diff(keys, prepend=np.uint64(0))
+    """Ascending distinct keys as a first byte, the width, the first key, and differences of so many bytes."""
+    steps = keys[1:] - keys[:-1]
     width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return bytes([width]) + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpack(data: bytes) -> np.ndarray:
+    if len(data) == 1:
+        return np.zeros(0, np.uint64)
     width = data[0]
-    raw = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    steps = np.zeros((len(raw), 8), np.uint8)
-    steps[:, :width] = raw
+    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    steps = np.zeros((len(raw) + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, count=8, offset=1)
+    steps[1:, :width] = raw
     return np.cumsum(steps.view("<u8").reshape(-1), dtype=np.uint64)
 
 
@@ -685,8 +688,12 @@ def settled(chunks: Chunked, how: Hashing, bucket_keys: int, looks: Looks | None
         return send
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        long = pa.list_(pa.struct({"bucket": pa.int64(), "keys": pa.binary()}))
         for name, chunk, row in opened(batches, 0):
-            yield pa.record_batch([pa.array([name], pa.int64()), pa.array([chunk.shared(keys_of(row["found"], 0)[0])], pa.binary())], ["chunk", "kept"])
+            kept = chunk.shared(keys_of(row["found"], 0)[0])
+            chunk.keep(kept)
+            rows = [{"bucket": b, "keys": keys} for b, _, keys in bucket_rows(name, chunk.long_keys, how.key_bits, buckets, range(buckets))]
+            yield pa.record_batch([pa.array([name], pa.int64()), pa.array([kept], pa.binary()), pa.array([rows], long)], ["chunk", "kept", "long"])
 
     # Claims of the sorts, and of earlier looks, have been checked before a further look.
     since = 0 if looks.whole else 1 + len(old)
@@ -711,7 +718,10 @@ def settled(chunks: Chunked, how: Hashing, bucket_keys: int, looks: Looks | None
         own = []
         for k in range(parts):
             part = range(buckets * k // parts, buckets * (k + 1) // parts)
-            rows = with_found(base, looks.found).mapInArrow(keys_to_sort(number, part), KEY_ROWS)
+            if number == 1:
+                rows = shared.select("chunk", F.explode("long").alias("row")).select("row.bucket", "chunk", "row.keys")
+            else:
+                rows = with_found(base, looks.found).mapInArrow(keys_to_sort(number, part), KEY_ROWS)
             if number > 2:
                 # Keys of strings in doubt are few; the chunks that have them are all that changes.
                 rows = stored(rows, name)
@@ -722,11 +732,14 @@ def settled(chunks: Chunked, how: Hashing, bucket_keys: int, looks: Looks | None
             let_go(spark)
         looks.found += own
         if number == 0:
-            # Which samples are shared is told once, as bits; later passes needn't sort samples again.
-            shared = stored(with_found(base, looks.found).mapInArrow(mark, "chunk long, kept binary"), "shared-samples")
+            # Which samples are shared is told once, as bits, with the keys of long ties; later passes
+            # needn't sort samples again.
+            marked = with_found(base, looks.found).mapInArrow(mark, "chunk long, kept binary, long array<struct<bucket:bigint,keys:binary>>")
+            shared = stored(marked, "shared-samples")
+            del marked
             forget(looks.found.pop()[1])
             looks.scratch.append(shared)
-            base = chunks.table.join(shared, "chunk")
+            base = chunks.table.join(shared.select("chunk", "kept"), "chunk")
     looks.base = base
     some = base if touched is None or looks.whole else base.join(touched, "chunk", "left_semi")
     claims = stored(with_found(some, looks.found).mapInArrow(claim, CLAIM_ROWS), "claims")
